@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, mixing, packing, rules
-from .common import table, text_column
+from . import ann, chat, mixing, ngram_join, packing, quality, rules, substring, suffix, toxicity
+from .common import crc_mod, table, text_column
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -15,6 +15,28 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def held_out(modulus: int, remainder: int) -> Column:
+    """A null doc_id is not held out."""
+    return F.coalesce(crc_mod("doc_id", modulus) == remainder, F.lit(False))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = toxicity.scored(docs, toxicity.fit(docs, labels, "toxic", ~held_out(5, 0)))
+    return found.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_sentences", "offending")
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels, "quality", ~held_out(3, 1))
+    found = quality.with_score(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out(3, 1).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", marked), (-7, 1, "assistant", marked)], "conv_id long, turn long, role string, text string")
@@ -40,5 +62,13 @@ def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20)
 
 
-QUERIES = {f.__name__: f for f in (op4_chat_formatting, op5_packing, op6_quality_rules, op7_source_mixing, op8_nearest_vectors)}
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("_kept")
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.without_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_classifier, op3_ngram_join, op4_chat_formatting, op5_packing, op6_quality_rules, op7_source_mixing, op8_nearest_vectors, op9_suffix_array_dedup, op10_substring_dedup)}
 ORACLES: dict[str, str] = {}
