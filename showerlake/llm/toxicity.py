@@ -6,7 +6,8 @@ documents, and the sentence scores then locate what offends.
 
 The model is fitted on at most about `per_label` documents of each label, chosen by a hash
 of doc_id and weighted back to the labels' true shares; everything else covers all rows. A word is a run of ASCII letters and
-digits and of bytes of other scripts, ASCII case ignored; sentences end at . ! ? and line ends.
+digits and of bytes of other scripts, ASCII case ignored; sentences end at . ! ? and line ends. Beside a word
+its beginnings of 4 to 8 bytes count, since a stem may have more endings than the sample shows.
 Null and empty texts have no sentence and score 0. Repeated rows get equal scores.
 Without labels of both kinds every text scores the share of label 1 (0 if none).
 """
@@ -23,9 +24,11 @@ from pyspark.sql import functions as F
 from .common import U64, filled, signed, text_chunks, text_column, word_hashes
 from .quality import labelled_sample
 
-PER_LABEL = 2_500
-MIN_DOCUMENTS = 8
-STEPS, RATE, RIDGE = 150, 0.1, 2e-4
+PER_LABEL = 2_000
+STEMS = (4, 5, 6, 7, 8)
+#: A feature is learned from this many documents on, if their labels differ from the others' by so many deviations.
+MIN_DOCUMENTS, MIN_DEVIATIONS = 8, 3.0
+STEPS, RATE, RIDGE = 200, 0.1, 2e-4
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -36,7 +39,7 @@ _END[list(b".!?\n")] = True
 
 
 def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Hash and sentence of every word; start byte, end byte and text of every sentence that has a word."""
+    """Hash and sentence of every word and stem; start byte, end byte and text of every sentence that has a word."""
     inside = _LETTER[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
@@ -47,12 +50,18 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     first[cut] |= inside[cut]
     last[cut - 1] |= inside[cut - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    h = word_hashes(_LOWER[data], starts, ends)
+    low = _LOWER[data]
+    h = [word_hashes(low, starts, ends)]
     breaks = np.union1d(np.flatnonzero(_END[data]) + 1, offsets[:-1])
     breaks = np.append(breaks[breaks < len(data)], len(data))
     part = np.searchsorted(breaks, starts, "right") - 1
     used, word_sentence = np.unique(part, return_inverse=True)
-    return h, word_sentence, breaks[used], breaks[used + 1] if len(used) else used, np.searchsorted(offsets, breaks[used], "right") - 1
+    of = [word_sentence]
+    for k in STEMS:
+        longer = ends - starts > k
+        h.append(word_hashes(low, starts[longer], starts[longer] + k) + U64(k))
+        of.append(word_sentence[longer])
+    return np.concatenate(h), np.concatenate(of), breaks[used], breaks[used + 1] if len(used) else used, np.searchsorted(offsets, breaks[used], "right") - 1
 
 
 class NoisyOr:
@@ -71,7 +80,12 @@ class NoisyOr:
             return model
         known, code = np.unique(words, return_inverse=True)
         pairs = np.unique(code.astype(np.int64) * len(y) + owner[sentence])
-        common = np.bincount(pairs // len(y), minlength=len(known)) >= MIN_DOCUMENTS
+        of, doc = pairs // len(y), pairs % len(y)
+        seen = [np.bincount(of[y[doc] == v], minlength=len(known)) for v in (0, 1)]
+        n = [max(1, int((y == v).sum())) for v in (0, 1)]
+        both = (seen[0] + seen[1]) / (n[0] + n[1])
+        far = np.abs(seen[1] / n[1] - seen[0] / n[0]) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n[0] + 1 / n[1]))
+        common = (seen[0] + seen[1] >= MIN_DOCUMENTS) & (far >= MIN_DEVIATIONS)
         new = np.cumsum(common) - 1
         keep = common[code]
         code, sentence = new[code[keep]], sentence[keep]
@@ -88,11 +102,15 @@ class NoisyOr:
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
             params -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         model.constant, model.words, model.weights, model.bias = None, known[common], params[:-1], float(params[-1])
+        model.may_be = np.zeros(1 << 16, bool)
+        model.may_be[(model.words >> U64(48)).astype(np.int64)] = True
         return model
 
     def sentence_scores(self, h: np.ndarray, sentence: np.ndarray, n: int) -> np.ndarray:
         if not len(self.words):
             return np.full(n, self.bias)
+        near = np.flatnonzero(self.may_be[(h >> U64(48)).astype(np.int64)])
+        h, sentence = h[near], sentence[near]
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
         return self.bias + np.bincount(sentence, np.where(self.words[at] == h, self.weights[at], 0.0), n)
 
@@ -121,30 +139,31 @@ def _scored(batches: Iterator[pa.RecordBatch], model: NoisyOr, located: float) -
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each text of the sample: its word hashes, the sentence of each, and how many sentences it has."""
     for batch in batches:
         y = batch.column(batch.schema.get_field_index("y")).to_numpy()
         ids = batch.column(0).to_numpy()
-        for first, _, data, offsets in text_chunks(filled(batch)):
+        for first, end, data, offsets in text_chunks(filled(batch)):
             h, sentence, _, _, owner = sentences(data, offsets)
-            doc = owner[sentence]
-            lo = np.searchsorted(doc, np.arange(len(offsets) - 1))
-            hi = np.searchsorted(doc, np.arange(len(offsets) - 1), "right")
-            base = np.searchsorted(owner, np.arange(len(offsets) - 1))
+            order = np.argsort(sentence, kind="stable")
+            h, sentence = h[order], sentence[order]
+            docs = np.arange(end - first + 1)
+            cut, base = np.searchsorted(owner[sentence], docs), np.searchsorted(owner, docs)
             yield pa.RecordBatch.from_pydict({
-                "doc_id": ids[first : first + len(lo)], "y": pa.array(y[first : first + len(lo)], pa.int32()),
-                "words": pa.array([signed(h[a:b]) for a, b in zip(lo, hi, strict=True)], pa.list_(pa.int64())),
-                "sentence": pa.array([(sentence[a:b] - s).astype(np.int32) for a, b, s in zip(lo, hi, base, strict=True)], pa.list_(pa.int32())),
+                "doc_id": ids[first:end], "y": pa.array(y[first:end], pa.int32()), "n": pa.array(np.diff(base), pa.int32()),
+                "words": pa.array([signed(x) for x in np.split(h, cut[1:-1])], pa.list_(pa.int64())),
+                "sentence": pa.array([(x - b).astype(np.int32) for x, b in zip(np.split(sentence, cut[1:-1]), base, strict=False)], pa.list_(pa.int32())),
             })
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_label: int = PER_LABEL) -> NoisyOr:
     sample, stands_for = labelled_sample(docs, labels, label, usable, per_label, by_class=True)
-    rows = sample.select(F.col("doc_id").cast("long"), "text", "y").mapInArrow(_bags, "doc_id long, y int, words array<long>, sentence array<int>").toArrow().to_pandas()
+    rows = sample.select(F.col("doc_id").cast("long"), "text", "y").mapInArrow(_bags, "doc_id long, y int, n int, words array<long>, sentence array<int>").toArrow().to_pandas()
     rows = rows.sort_values(["doc_id", "y"], kind="stable")
     y = rows["y"].to_numpy(np.float64)
     if not len(rows):
         return NoisyOr(0.0)
-    counts = np.array([(s.max() + 1) if len(s) else 0 for s in rows["sentence"]])
+    counts = rows["n"].to_numpy()
     base = np.concatenate([[0], np.cumsum(counts)[:-1]])
     words = np.concatenate(rows["words"].to_list()).astype(np.int64).view(U64)
     sentence = np.concatenate([s + b for s, b in zip(rows["sentence"], base, strict=True)]).astype(np.int64)
