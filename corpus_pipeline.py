@@ -1,20 +1,62 @@
-"""The corpus pipeline: quality classifier, near-duplicate join, repeated substrings, source mixing, packing."""
+"""The corpus pipeline: quality classifier, near-duplicate join, repeated substrings, source mixing, packing.
 
-from __future__ import annotations
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but
+the last return the columns of `documents`. A stage's result is written to the shared folder as
+Parquet, and the next stage reads it again.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from showerlake.llm import mixing, ngram_join, packing, quality, queries, suffix
+from showerlake.llm.common import table, written
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject. It learns from the labels that are not held out."""
+    labels = table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels, "quality", ~queries.held_out(3, 1))
+    return quality.with_score(docs, model).filter("_score >= 0.5").drop("_score")
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates. Texts without words are no near duplicates; all of them stay."""
+    return ngram_join.representatives(docs)
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The texts without the bytes of repeated strings; a cut inside a character drops what is left of it. A document of which nothing is left goes."""
+    cut = suffix.without_repeats(docs, with_text=True).filter((F.length("_kept") > 0) | (F.col("n_bytes") == 0))
+    new = {"text": F.col("_kept")} | ({"n_chars": F.length("_kept").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return cut.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
 
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights; documents repeat as their shards are taken."""
+    return mixing.mix_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences."""
+    return packing.pack_documents(docs, queries.tokenizer_path())
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("n-gram Jaccard join", keep_one_of_each),
+    ("suffix-array dedup", cut_repeats),
+    ("mixing sources to target weights", mix),
+    ("packing", pack),
+]
+
+#: No stage but the mixing can be said in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; each result is written to the shared folder and read again."""
-    from showerlake.llm.common import table, written
-
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

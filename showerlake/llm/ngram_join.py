@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, filled, gram_hashes, mix, signed, text_chunks, word_hashes, words_of, written
+from .common import U64, WORD_CLASS, filled, gram_hashes, mix, signed, text_chunks, text_column, word_hashes, words_of, written
 from .components import components
 from .substring import keyed
 
@@ -241,7 +241,18 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMALL_BUC
     least = base.filter("n > 0").groupBy("sh").agg(F.count("*").alias("copies"), F.min("did").alias("least"))
     least = least.join(roots.withColumnRenamed("node", "sh"), "sh", "left").withColumn("root", F.coalesce("root", "sh")).join(n_links, "sh", "left")
     classes = least.groupBy("root").agg(F.min("least").alias("class_id"))
-    per_set = least.join(classes, "root").select("sh", "class_id", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    per_set = least.join(classes, "root").select("sh", "root", "class_id", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = base.select("did", "th", "sh", "n").join(per_set, "sh", "left")
     known = lambda c: F.when(F.col(c) != (1 << 63) - 1, F.col(c))
-    return out.select(known("did").alias("doc_id"), "th", F.when(F.col("n") > 0, known("class_id")).otherwise(known("did")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("n") == 0).alias("empty"))
+    return out.select(known("did").alias("doc_id"), "sh", F.col("root").alias("class_key"), "th", F.when(F.col("n") > 0, known("class_id")).otherwise(known("did")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("n") == 0).alias("empty"))
+
+
+def representatives(docs: DataFrame, **how) -> DataFrame:
+    """The rows of `docs` without all but one of each class: the one with the smallest doc_id (null last), then of the
+    smallest hash of its text; rows that agree in both are one row. Texts without words all stay."""
+    found = joined(docs, **how)
+    order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("did"), "th")
+    first = found.filter(~F.col("empty")).groupBy("class_key").agg(F.min(order).alias("one")).select("one.did", "one.th")
+    rows = keyed(docs, F.struct(*docs.columns).alias("_doc")).drop("text")
+    one = rows.join(first, ["did", "th"], "left_semi").groupBy("did", "th").agg(F.first("_doc").alias("_doc"))
+    return one.select("_doc.*").unionByName(docs.filter(~text_column().rlike(WORD_CLASS)))

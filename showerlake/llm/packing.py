@@ -13,12 +13,13 @@ itself. An empty table gives no pieces.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,33 +31,99 @@ GROUP_TOKENS = 1 << 20
 #: Cost of a piece of n tokens: n + n * n / QUADRATIC, where attention and the rest cost the same at QUADRATIC tokens.
 QUADRATIC = 6144.0
 
-_TOKENIZERS: dict[str, tuple] = {}
-_CACHED_WORDS = 200_000
+_KEPT = 400_000
 
 
-def _tokenizer(path: str) -> tuple:
-    if path not in _TOKENIZERS:
+class Encoder:
+    """The token ids of texts, as bytes of little-endian unsigned 32-bit numbers.
+
+    The tokenizer drops white space and joins nothing over it, so blank-separated parts are
+    encoded once and looked up afterwards. It also splits letters, single digits and other marks from each other and
+    ignores case, so an unseen part is looked up again in those pieces, where that is sure to be the same."""
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = Tokenizer.from_file(path), {}
-    return _TOKENIZERS[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.parts: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def direct(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False) if words else []
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def one_by_one(self, pieces: list[str]) -> list[bytes]:
+        """Each piece ends in one token with the word-end mark, so many are encoded as one text and cut apart there."""
+        out: list[bytes] = []
+        for at in range(0, len(pieces), 1000):
+            some = pieces[at : at + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.int64)
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(some) and (not len(ids) or cut[-1] == len(ids)):
+                raw, cut = ids.astype("<u4").tobytes(), (cut * 4).tolist()
+                out += [raw[a:b] for a, b in zip([0, *cut], cut, strict=False)]
+            else:
+                out += self.direct(some)
+        return out
+
+    def split(self, part: str) -> list[str] | None:
+        """The pieces that may be encoded apart; None if that is not sure."""
+        if "'" in part or any(s in part for s in self.special):
+            return None
+        if part.isascii():
+            return _PIECE.findall(part.lower())
+        if unicodedata.is_normalized("NFC", part) and max(part) <= "\u017f":
+            return _PIECE.findall("".join(c.lower() if c < "\u0130" else c for c in part))
+        return None
+
+    def learn(self, parts: list[str]) -> dict[str, bytes]:
+        split = {p: self.split(p) for p in parts}
+        new = list({x for xs in split.values() if xs is not None for x in xs if x not in self.pieces})
+        fresh = dict(zip(new, self.one_by_one(new), strict=True))
+        find = _Both(self.pieces, fresh).__getitem__
+        whole = [p for p, xs in split.items() if xs is None]
+        out = dict(zip(whole, self.direct(whole), strict=True))
+        out |= {p: b"".join(map(find, xs)) for p, xs in split.items() if xs is not None}
+        for known, more in ((self.pieces, fresh), (self.parts, out)):
+            room = _KEPT - len(known)
+            if room > 0:
+                known.update(more if len(more) <= room else dict(list(more.items())[:room]))
+        return out
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        fresh = self.learn(list(set().union(*split) - self.parts.keys()))
+        known = self.parts
+        if not fresh.keys() <= known.keys():
+            known = _Both(self.parts, fresh)
+        find = known.__getitem__
+        return [b"".join(map(find, p)) for p in split]
+
+
+class _Both(dict):
+    """Lookups of parts too many to keep: first in the kept ones, then in those of this batch."""
+
+    def __init__(self, kept: dict[str, bytes], fresh: dict[str, bytes]):
+        super().__init__(fresh)
+        self.kept = kept
+
+    def __missing__(self, part: str) -> bytes:
+        return self.kept[part]
+
+
+_PIECE = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def token_ids(texts: list[str], path: str) -> list[np.ndarray]:
-    """The ids of each whole text. The tokenizer drops white space and never joins what stands on two sides of a blank
-    or a line end, so blank-separated parts are encoded once and looked up afterwards."""
-    tokenizer, known = _tokenizer(path)
-    parts = [t.replace("\n", " ").split(" ") for t in texts]
-    new = list({w for p in parts for w in p if w not in known})
-    fresh = dict(zip(new, (e.ids for e in tokenizer.encode_batch(new, add_special_tokens=False)), strict=True)) if new else {}
-    if len(known) + len(fresh) <= _CACHED_WORDS:
-        known.update(fresh)
-        find = known.__getitem__
-    else:
-        both = fresh | {w: known[w] for p in parts for w in p if w in known}
-        known.update((w, fresh[w]) for w in new[: max(0, _CACHED_WORDS - len(known))])
-        find = both.__getitem__
-    return [np.fromiter(chain.from_iterable(map(find, p)), np.uint32) for p in parts]
+    """The ids of each whole text."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return [np.frombuffer(x, "<u4") for x in _ENCODERS[path](texts)]
 
 
 def capacities(tokens: int, length: int) -> np.ndarray:

@@ -112,7 +112,7 @@ class AdditiveModel:
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
         share = float(np.mean(y)) if len(y) else 0.5
-        self.constant = None if 0 < share < 1 else share
+        self.constant = None if len(y) and 0 < share < 1 else share
         if self.constant is not None:
             return
         self.edges = [_edges(c, BINS) for c in x.T]
