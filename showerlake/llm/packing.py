@@ -80,39 +80,26 @@ class Encoder:
             return _PIECE.findall("".join(c.lower() if c < "\u0130" else c for c in part))
         return None
 
-    def learn(self, parts: list[str]) -> dict[str, bytes]:
+    def learn(self, parts: list[str]) -> tuple[list[str], list[str]]:
+        """Encode unseen parts; returns what was added to `parts` and to `pieces`."""
         split = {p: self.split(p) for p in parts}
         new = list({x for xs in split.values() if xs is not None for x in xs if x not in self.pieces})
-        fresh = dict(zip(new, self.one_by_one(new), strict=True))
-        find = _Both(self.pieces, fresh).__getitem__
+        self.pieces.update(zip(new, self.one_by_one(new), strict=True))
         whole = [p for p, xs in split.items() if xs is None]
-        out = dict(zip(whole, self.direct(whole), strict=True))
-        out |= {p: b"".join(map(find, xs)) for p, xs in split.items() if xs is not None}
-        for known, more in ((self.pieces, fresh), (self.parts, out)):
-            room = _KEPT - len(known)
-            if room > 0:
-                known.update(more if len(more) <= room else dict(list(more.items())[:room]))
-        return out
+        self.parts.update(zip(whole, self.direct(whole), strict=True))
+        find = self.pieces.__getitem__
+        self.parts.update((p, b"".join(map(find, xs))) for p, xs in split.items() if xs is not None)
+        return parts, new
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = self.learn(list(set().union(*split) - self.parts.keys()))
-        known = self.parts
-        if not fresh.keys() <= known.keys():
-            known = _Both(self.parts, fresh)
-        find = known.__getitem__
-        return [b"".join(map(find, p)) for p in split]
-
-
-class _Both(dict):
-    """Lookups of parts too many to keep: first in the kept ones, then in those of this batch."""
-
-    def __init__(self, kept: dict[str, bytes], fresh: dict[str, bytes]):
-        super().__init__(fresh)
-        self.kept = kept
-
-    def __missing__(self, part: str) -> bytes:
-        return self.kept[part]
+        added = self.learn([w for w in set().union(*split) if w not in self.parts])
+        find = self.parts.__getitem__
+        out = [b"".join(map(find, p)) for p in split]
+        for known, new in zip((self.parts, self.pieces), added, strict=True):
+            for w in new[: max(0, len(known) - _KEPT)]:  # the first that were met stay
+                del known[w]
+        return out
 
 
 _PIECE = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -183,8 +170,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, length: int, end_id: i
     total = 0
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), filled(batch)
-        for at in range(0, len(ids), 256):
-            for doc, got in zip(ids[at : at + 256], token_ids(texts.slice(at, 256).to_pylist(), path), strict=True):
+        for at in range(0, len(ids), 512):
+            for doc, got in zip(ids[at : at + 512], token_ids(texts.slice(at, 512).to_pylist(), path), strict=True):
                 held_ids.append(doc)
                 held.append(np.append(got, np.uint32(end_id)))
                 total += len(held[-1])
