@@ -6,11 +6,14 @@ A hash lies in one slice of the filter; slices are filled on the executors, as s
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 
 from .common import U64, mix
 
@@ -87,3 +90,20 @@ def test(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     out = np.zeros(len(h), bool)
     out[live] = True
     return out
+
+
+_OPEN: dict[str, np.ndarray] = {}
+
+
+def share(spark: SparkSession, bits: np.ndarray) -> Broadcast:
+    """The filter for all executors, compressed: filters are sparse, and each executor writes down what is broadcast."""
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, zlib.compress(bits.tobytes(), 1)))
+
+
+def shared(of: Broadcast) -> np.ndarray:
+    key, packed = of.value
+    if key not in _OPEN:
+        while len(_OPEN) >= 3:
+            _OPEN.pop(next(iter(_OPEN)))
+        _OPEN[key] = np.frombuffer(zlib.decompress(packed), np.uint8)
+    return _OPEN[key]

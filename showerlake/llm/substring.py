@@ -62,7 +62,7 @@ def _probes(batch: pa.RecordBatch, block: int, index: Broadcast) -> Iterator[np.
     for _, _, data, offsets in text_chunks(filled(batch)):
         _, h, doc, place = _grams(data, offsets, block)
         h = h[_within(doc, len(h), block) & (place[: len(h)] % block != 0)]
-        yield h[filters.test(index.value, h)]
+        yield h[filters.test(filters.shared(index), h)]
 
 
 ROWS = "h long, did long, th long, place int, least long"
@@ -79,8 +79,8 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int, block: int, index:
             own = place[: len(h)] % block == 0
             inside = _within(doc, len(h), block)
             hit = np.zeros(len(h), bool)
-            hit[inside & ~own] = filters.test(index.value, h[inside & ~own])
-            hit[inside & own] = filters.test(twice.value, h[inside & own]) | filters.test(probed.value, h[inside & own])
+            hit[inside & ~own] = filters.test(filters.shared(index), h[inside & ~own])
+            hit[inside & own] = filters.test(filters.shared(twice), h[inside & own]) | filters.test(filters.shared(probed), h[inside & own])
             near = np.concatenate([[0], np.cumsum(hit)])
             n, span = len(whole), window - block + 1
             at = np.flatnonzero((near[span : span + n] - near[:n] > 0) & _within(doc, n, window))
@@ -100,7 +100,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, block: int = BLOCK,
     """did, th and the places (word numbers) of the windows that a document with a smaller doc_id also starts."""
     if 2 * block - 1 > window:
         raise ValueError("a window must hold a whole block at any offset")
-    share = docs.sparkSession.sparkContext.broadcast
+    share = lambda bits: filters.share(docs.sparkSession, bits)
     rows = keyed(docs)
     once, twice = filters.fill(rows.select("text"), lambda b: _index(b, block), log_bits)
     index, twice = share(once), share(twice)

@@ -198,7 +198,7 @@ def _segments(batches: Iterator[pa.RecordBatch], length: int, twice: Broadcast)
         dids, ths = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for first, _, data, offsets in text_chunks(filled(batch)):
             h, doc, at, n = segments_of(data, offsets, length)
-            live = filters.test(twice.value, h)
+            live = filters.test(filters.shared(twice), h)
             h, doc, at, n = h[live], doc[live], at[live], n[live]
             if not len(h):
                 continue
@@ -271,7 +271,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, log_bits: int = filter
     """did, th and ranges of window starts (from, to) whose window also starts anywhere else."""
     rows = keyed(docs)
     _, twice = filters.fill(rows.select("text"), lambda b: _anchors(b, length), log_bits)
-    twice = docs.sparkSession.sparkContext.broadcast(twice)
+    twice = filters.share(docs.sparkSession, twice)
     segments = written(rows.select("did", "th", "text").mapInArrow(lambda b: _segments(b, length, twice), SEGMENTS), "segments")
     # max() skips the nulls that stand for texts sent by another row
     kinds = segments.groupBy("h", "fp").agg(F.max("segment").alias("segment"), F.count("*").alias("times"), F.first("n").alias("n"))
