@@ -1 +1,182 @@
-"""Queries."""
+"""Queries of the event-level panels, the estimators and the intervals."""
+
+from pyspark.sql import functions as F
+
+from ..functions import estimates as es
+from ..operators import events as ev
+from ..operators import filters as fl
+from ..operators import panels as pn
+from .registry import q
+
+SERIES = "SELECT event_number, b, d, p, bin, theta, 'truth' AS series, p AS value FROM sh UNION ALL SELECT event_number, b, d, p, bin, theta, 'model', energy_pred FROM sh UNION ALL SELECT event_number, b, d, p, bin, theta, 'deposit', e_own / 1e-2 FROM sh"
+SLICE = "CASE WHEN d IS NULL THEN -1 WHEN d <= 50 THEN 0 WHEN d <= 100 THEN 1 WHEN d <= 150 THEN 2 WHEN d <= 200 THEN 3 ELSE 4 END"
+GAUSS = "count(value) AS n, avg(value) AS mu, stddev_samp(value) AS s, stddev_pop(value) AS s0, median(value) AS median, (quantile_cont(value, 75e-2) - quantile_cont(value, 25e-2)) / 1349e-3 AS robust"
+T = "(CASE WHEN n < 2 THEN NULL WHEN n <= 31 THEN list_extract([" + ", ".join(f"CAST({x} AS DOUBLE)" for x in es.T975) + "], CAST(n - 1 AS INT)) ELSE 1959963984540054e-15 + (pow(1959963984540054e-15, 3) + 1959963984540054e-15) / (4e0 * (n - 1)) + (5 * pow(1959963984540054e-15, 5) + 16 * pow(1959963984540054e-15, 3) + 3 * 1959963984540054e-15) / (96e0 * (n - 1) * (n - 1)) END)"
+Z = "1959963984540054e-15"
+RATIO = "sum(a) / sum(b) AS ratio, sqrt(greatest(0, sum(a * a) - 2 * sum(a) / sum(b) * sum(a * b) + pow(sum(a) / sum(b), 2) * sum(b * b)) * count(*) / nullif(count(*) - 1, 0)) / sum(b) AS se"
+
+
+def table(c):
+    return pn.feature_table(ev.features(ev.shape_sums(c.single)), c.singles)
+
+
+def windows(c):
+    return pn.resolution_windows(pn.energy_series(c.showers))
+
+
+q("V1_summary", lambda c: pn.summary(c.events), "n n_hits without_d ~e_dep ~mean_d ~median_d ~sd_d ~mean_e1 ~mean_e2 ~mean_cax ~mean_cby", "SELECT count(*) AS n, sum(n_hits) AS n_hits, count(*) - count(d) AS without_d, sum(e_dep) AS e_dep, avg(d) AS mean_d, median(d) AS median_d, stddev_samp(d) AS sd_d, avg(e1) AS mean_e1, avg(e2) AS mean_e2, avg(cax) AS mean_cax, avg(cby) AS mean_cby FROM ev")
+q("V2_coherence", lambda c: pn.coherence(c.showers), "b n ~r ~theta", "SELECT b, count(*) AS n, sqrt(pow(avg(cos(phi)), 2) + pow(avg(sin(phi)), 2)) AS r, avg(theta) AS theta FROM sh GROUP BY b")
+q("V3_pointing", lambda c: pn.pointing(c.showers), "b ~mean ~sd ~depth", "SELECT b, avg(o) AS mean, stddev_samp(o) AS sd, median(sqrt(cxt * cxt + cyt * cyt) / tan(theta)) AS depth FROM (SELECT *, atan2(sin(phi - atan2(cyt, cxt)), cos(phi - atan2(cyt, cxt))) AS o FROM sh) GROUP BY b")
+q("V4_trajectories", lambda c: pn.trajectories(c.showers, 10), "event_number b ~theta ~phi ~cx", "SELECT * FROM sh WHERE event_number IN (SELECT DISTINCT event_number FROM sh ORDER BY 1 LIMIT 10)")
+q("V5_window_axis", lambda c: pn.window_axis(c.showers, 20, 80), "b station n ~centre ~spread ~rayleigh_p", "SELECT b, station, n, entry + slope * w AS centre, sqrt(greatest(0, v + 2 * w * cov + w * w * vs)) AS spread, rayleigh_p FROM (SELECT b, count(*) AS n, avg(p0x) AS entry, var_samp(p0x) AS v, avg(t) AS slope, var_samp(t) AS vs, covar_samp(p0x, t) AS cov, exp(-count(*) * (pow(avg(cos(phi)), 2) + pow(avg(sin(phi)), 2))) AS rayleigh_p FROM (SELECT *, tan(theta) * cos(phi) AS t FROM sh WHERE p0x BETWEEN 20 AND 80) GROUP BY b), (SELECT station, station * 1875e-2 AS w FROM range(9) r(station)) r")
+q("V6_ensemble_axes", lambda c: pn.ensemble_axes(c.showers), "b n ~slope ~sd ~lo ~hi", f"SELECT *, slope - {T} * sd / sqrt(n) AS lo, slope + {T} * sd / sqrt(n) AS hi FROM (SELECT b, count(*) AS n, avg(tan(theta) * cos(phi)) AS slope, stddev_samp(tan(theta) * cos(phi)) AS sd FROM sh GROUP BY b)")
+q("V7_energy_by_d", lambda c: pn.energy_by_d(c.showers), "slice $series n ~mu ~s ~median ~robust ~mu_lo", f"SELECT *, CASE WHEN n >= 8 THEN mu - {T} * s / sqrt(n) END AS mu_lo FROM (SELECT {SLICE} AS slice, series, {GAUSS} FROM ({SERIES}) GROUP BY ALL)")
+q("V8_energy_by_p", lambda c: pn.energy_by_p(c.showers), "bin $series n ~mu ~s ~median", f"SELECT bin, series, {GAUSS} FROM ({SERIES}) GROUP BY ALL")
+q("V9_benchmarks", lambda c: pn.benchmarks(c.events), "~marker_a ~marker_b ~width", "SELECT avg(e1) AS marker_a, avg(e2) AS marker_b, 5e-2 AS width FROM ev")
+q("V10_sampling", lambda c: pn.sampling(c.showers), "b n ~ratio ~se ~lo ~hi", f"SELECT *, ratio - {T} * se AS lo, ratio + {T} * se AS hi FROM (SELECT k AS b, count(*) AS n, {RATIO} FROM (SELECT b AS k, e_own AS a, p AS b FROM sh) GROUP BY k)")
+q("V11_sampling_by_bin", lambda c: pn.sampling_by_bin(c.showers), "b bin n ~mu ~s ~ratio ~scale", "SELECT b, bin, count(*) AS n, avg(e_own / p) AS mu, stddev_samp(e_own / p) AS s, sum(e_own) / sum(p) AS ratio, sum(p) / sum(e_own) AS scale FROM sh GROUP BY ALL")
+CHI = "((n - 1) * pow(1 - 2 / (9e0 * greatest(n - 1, 1)) + {z} * sqrt(2 / (9e0 * greatest(n - 1, 1))), 3))"
+q("V12_resolution", lambda c: pn.resolution(c.showers), "b bin n ~mu ~s ~res ~s_lo ~s_hi ~sd_p", f"SELECT *, s / mu AS res, CASE WHEN n >= 2 THEN s * sqrt((n - 1) / nullif({CHI.format(z=Z)}, 0)) END AS s_lo, CASE WHEN n >= 2 THEN s * sqrt((n - 1) / nullif({CHI.format(z='-' + Z)}, 0)) END AS s_hi FROM (SELECT b, bin, count(*) AS n, avg(e_own / 1e-2 / p) AS mu, stddev_samp(e_own / 1e-2 / p) AS s, stddev_samp(p) AS sd_p FROM sh GROUP BY ALL)")
+WIN = f"SELECT series, bin, count(*) AS n, avg(1 / sqrt(p)) AS x, avg(r) AS mu, stddev_samp(r) AS s, median(r) AS median, median(abs(r - 1)) AS off, stddev_samp(r) / avg(r) AS kappa, (quantile_cont(r, 75e-2) - quantile_cont(r, 25e-2)) / (1349e-3 * median(r)) AS robust FROM (SELECT *, value / p AS r FROM ({SERIES})) GROUP BY ALL"
+q("V13_resolution_windows", lambda c: windows(c), "$series bin n ~x ~mu ~s ~median ~off ~kappa ~robust", WIN)
+q("V14_pooled_scale", lambda c: pn.pooled_scale(windows(c)), "$series ~scale", f"SELECT series, median(sqrt(n) * kappa) AS scale FROM ({WIN}) WHERE n >= 8 AND kappa IS NOT NULL GROUP BY series")
+q("V15_anchors", lambda c: pn.anchors(windows(c)), "$series anchor bin", f"SELECT series, anchor, bin FROM ({WIN}), (VALUES (0, 25e-1), (1, 55e-1), (2, 105e-1)) a(anchor, nominal) WHERE n >= 15 QUALIFY row_number() OVER (PARTITION BY series, anchor ORDER BY round(abs(ln((bin + 5e-1) / nominal)), 9), bin) = 1")
+
+
+def _fit_sql() -> str:
+    def step(i: int, weight: str, joined: str = "") -> str:
+        return f"f{i} AS (SELECT series, count(*) AS n, sum(w * x * y) / sum(w * x * x) AS a0, (sum(w) * sum(w * x * y) - sum(w * x) * sum(w * y)) / (sum(w) * sum(w * x * x) - pow(sum(w * x), 2)) AS a, (sum(w * y) - (sum(w) * sum(w * x * y) - sum(w * x) * sum(w * y)) / (sum(w) * sum(w * x * x) - pow(sum(w * x), 2)) * sum(w * x)) / sum(w) AS c FROM (SELECT w.series, x, kappa AS y, {weight} AS w FROM w {joined}) GROUP BY series)"
+
+    model = "2 * w.n / pow(greatest(f.a * x + f.c, 1e-3), 2)"
+    return f"WITH w AS (SELECT * FROM ({WIN}) WHERE n >= 8 AND kappa > 1e-9), {step(0, '2 * n / (kappa * kappa)')}, {step(1, model, 'JOIN f0 f ON w.series = f.series')}, {step(2, model, 'JOIN f1 f ON w.series = f.series')} SELECT * FROM f2"
+
+
+q("V16_fit_resolution", lambda c: pn.fit_resolution(windows(c).filter("kappa > 1e-9")), "$series n ~a ~c ~a0", _fit_sql())
+q("V17_fit_noise", lambda c: pn.fit_noise(windows(c).filter("kappa > 1e-9")), "$series $face ~a ~b ~c")
+q("V18_median_calibration", lambda c: pn.median_calibration(c.showers), "b ~c", "SELECT b, 1 / median(e_own / p) AS c FROM sh WHERE e_own > 0 GROUP BY b")
+q("V19_dominant_species", lambda c: pn.dominant_species(c.singles), "$primary_type n ~share dominant", "SELECT primary_type, count(*) AS n, count(*) / sum(count(*)) OVER () AS share, 0 AS dominant FROM sg GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1")
+QUANT = "SELECT 'x' AS quantity, xl AS c, energy FROM hits UNION ALL SELECT 'y', yl, energy FROM hits UNION ALL SELECT 'z', zl, energy FROM hits UNION ALL SELECT 'rho', sqrt(xl * xl + yl * yl), energy FROM hits UNION ALL SELECT 'e', energy, energy FROM hits"
+q("V20_describe_hits", lambda c: pn.describe_hits(c.hits), "$quantity n ~mean ~s1 ~s0 ~lo ~q1 ~q2 ~q3 ~hi ~weighted", f"SELECT quantity, count(*) AS n, avg(c) AS mean, stddev_samp(c) AS s1, stddev_pop(c) AS s0, min(c) AS lo, quantile_cont(c, 25e-2) AS q1, median(c) AS q2, quantile_cont(c, 75e-2) AS q3, max(c) AS hi, sum(energy * c) / sum(energy) AS weighted FROM ({QUANT}) GROUP BY 1")
+q("V21_weighted_quartiles", lambda c: pn.weighted_quartiles(c.hits), "~q1 ~q2 ~q3", "WITH s AS (SELECT *, sum(e) OVER (ORDER BY bin) AS upto, sum(e) OVER () AS total FROM (SELECT floor(xl) AS bin, sum(energy) AS e FROM hits GROUP BY 1)) SELECT arg_min(bin + (25e-2 * total - upto + e) / e, bin) FILTER (WHERE upto >= 25e-2 * total) AS q1, arg_min(bin + (5e-1 * total - upto + e) / e, bin) FILTER (WHERE upto >= 5e-1 * total) AS q2, arg_min(bin + (75e-2 * total - upto + e) / e, bin) FILTER (WHERE upto >= 75e-2 * total) AS q3 FROM s")
+q("V22_selection_counts", lambda c: pn.selection_counts(c.showers), "events showers hits with_a", "SELECT count(DISTINCT event_number) AS events, count(*) AS showers, sum(n_own) AS hits, count(DISTINCT event_number) FILTER (WHERE b = 0) AS with_a FROM sh")
+NEG = "SELECT event_number, CASE WHEN origin = 'A' THEN 0 ELSE 1 END AS sb, max(p) AS p, count(*) AS n, count(*) FILTER (WHERE zl < -1025e-2) AS nn, sum(energy) AS e, coalesce(sum(energy) FILTER (WHERE zl < -1025e-2), 0) AS en FROM hits GROUP BY ALL"
+q("V23_negative_depth", lambda c: pn.negative_depth(c.hits), "$split n ~hit_share ~hit_se ~energy_share affected", f"SELECT split, count(*) AS n, ratio AS hit_share, se AS hit_se, energy_share, affected FROM (SELECT split, count(*) AS n, {RATIO}, sum(en) / sum(e) AS energy_share, count(*) FILTER (WHERE a > 0) AS affected FROM (SELECT 'all' AS split, CAST(nn AS DOUBLE) AS a, CAST(n AS DOUBLE) AS b, e, en FROM ({NEG}) UNION ALL SELECT CASE WHEN p < 5 THEN 'low' WHEN p < 10 THEN 'mid' ELSE 'high' END, nn, n, e, en FROM ({NEG})) GROUP BY split)".replace("SELECT split, count(*) AS n, ratio AS", "SELECT split, n, ratio AS"))
+q("V24_affected", lambda c: pn.affected(c.hits), "n ~mean ~sd ~median", f"SELECT count(*) AS n, avg(f) AS mean, stddev_samp(f) AS sd, median(f) AS median FROM (SELECT CAST(nn AS DOUBLE) / n AS f FROM ({NEG})) WHERE f > 0")
+
+
+def _curves_sql() -> str:
+    from .base import KEYED
+
+    one = lambda axis, j: f"SELECT event_number, b, {axis} AS axis, {j} AS bin, sum(v) AS e FROM ({KEYED}) k GROUP BY ALL"
+    return f"WITH f AS (SELECT axis, bin, e, e / e_own AS f FROM ({one(0, 'jw')} UNION ALL {one(1, 'jr')}) p JOIN sh USING (event_number, b)), n AS (SELECT count(*) AS n, sum(e_own) AS ee FROM sh) SELECT axis, bin, sum(f) / any_value(n) AS mean, sqrt(greatest(0, (sum(f * f) - any_value(n) * pow(sum(f) / any_value(n), 2)) / (any_value(n) - 1))) AS sd, sum(e) / any_value(ee) AS pooled FROM f, n GROUP BY axis, bin"
+
+
+q("V25_profile_curves", lambda c: pn.profile_curves(ev.profiles(c.hits), c.showers), "axis bin ~mean ~sd ~pooled", _curves_sql())
+q("V26_hit_uvw", lambda c: pn.hit_uvw(c.hits), "mb $axis bin n", "WITH o AS (SELECT ((i + 5e-1) / 2 - 5e-1) * 486e-1 AS ox, ((j + 5e-1) / 2 - 5e-1) * 505e-1 AS oy FROM range(2) a(i), range(2) b(j)) SELECT floor(p) AS mb, axis, floor(c / 20) AS bin, count(*) AS n FROM (SELECT p, 'u' AS axis, xl + ox AS c FROM hits, o UNION ALL SELECT p, 'v', yl + oy FROM hits, o UNION ALL SELECT p, 'w', zl FROM hits, o) GROUP BY ALL")
+q("V27_hit_energy", lambda c: pn.hit_energy(c.hits), "mb bin n", "SELECT floor(p) AS mb, floor(log10(energy) * 100) AS bin, count(*) AS n FROM hits GROUP BY ALL")
+q("V28_shower_hist", lambda c: pn.shower_hist(c.showers, "theta", 0.05, 0.55, 25), "mb at n hits", "SELECT bin AS mb, CASE WHEN theta < 5e-2 THEN -1 WHEN theta >= CAST('0.55' AS DOUBLE) THEN 25 ELSE floor((theta - CAST('0.05' AS DOUBLE)) / ((CAST('0.55' AS DOUBLE) - CAST('0.05' AS DOUBLE)) / 25)) END AS at, count(*) AS n, sum(n_own) AS hits FROM sh GROUP BY ALL")
+q("V29_weighted_percentile", lambda c: pn.weighted_percentile(c.showers), "b ~median_p ~p90_theta", "SELECT b, median(p) AS median_p, quantile_cont(theta, 9e-1) AS p90_theta FROM (SELECT b, p, theta, unnest(range(n_own)) FROM sh) GROUP BY b")
+
+
+def _moment_sql(source: str, cols: dict[str, str], keys: str = "") -> str:
+    names = list(cols)
+    inner = ", ".join(f"{v} AS v_{k}" for k, v in cols.items())
+    sums = [f"sum(v_{n}) AS s_{n}" for n in names] + [f"sum(v_{a} * v_{b}) AS s_{a}{b}" for i, a in enumerate(names) for b in names[i:]]
+    return f"SELECT g, count(*) AS n, {', '.join(sums)} FROM (SELECT event_number % 64 AS g, {inner} FROM {source}) GROUP BY g"
+
+
+HM = _moment_sql("hits", {"x": "xl", "y": "yl", "z": "zl - 70", "e": "log10(energy) + 15e-1", "p": "p - 8", "t": "theta", "c": "cos(phi)", "s": "sin(phi)"})
+EM = _moment_sql("sh", {"p": "p - 8", "t": "theta", "c": "cos(phi)", "s": "sin(phi)"})
+q("V30_hit_moments", lambda c: pn.hit_moments(c.hits), "g n ~s_x ~s_y ~s_z ~s_e ~s_p ~s_t ~s_c ~s_s ~s_xx ~s_xy ~s_ze ~s_ep ~s_pt ~s_cs", HM)
+q("V31_event_moments", lambda c: pn.event_moments(c.showers), "g n ~s_p ~s_t ~s_c ~s_s ~s_pp ~s_pt ~s_pc ~s_cs", EM)
+q("V31_event_moments_by_hits", lambda c: pn.event_moments(c.showers, True), "g n ~s_p ~s_t ~s_c ~s_pt", "SELECT event_number % 64 AS g, sum(n_own) AS n, sum(n_own * p) AS s_p, sum(n_own * theta) AS s_t, sum(n_own * cos(phi)) AS s_c, sum(n_own * p * theta) AS s_pt FROM sh GROUP BY 1")
+
+
+def _jack_sql() -> str:
+    from itertools import combinations
+
+    rows = " UNION ALL ".join(f"SELECT g, '{a}{b}' AS pair, n, s_{a} AS a, s_{b} AS b, s_{a}{a} AS aa, s_{b}{b} AS bb, s_{a}{b} AS ab FROM m" for a, b in combinations("xyzept", 2))
+    left = "(n * ab - a * b) / (sqrt(n * aa - a * a) * sqrt(n * bb - b * b))"
+    minus = ", ".join(f"sum({c}) OVER w - {c} AS {c}" for c in ("n", "a", "b", "aa", "bb", "ab"))
+    return f"WITH m AS ({HM}), l AS ({rows}), t AS (SELECT pair, {left} AS r, n FROM (SELECT pair, sum(n) AS n, sum(a) AS a, sum(b) AS b, sum(aa) AS aa, sum(bb) AS bb, sum(ab) AS ab FROM l GROUP BY pair)), z AS (SELECT pair, count(*) AS groups, sqrt((count(*) - 1) * var_pop(atanh({left}))) AS se FROM (SELECT pair, {minus} FROM l WINDOW w AS (PARTITION BY pair)) GROUP BY pair) SELECT t.pair, r, n, groups, se FROM t JOIN z USING (pair)"
+
+
+q("V32_corr_matrix", lambda c: pn.corr_matrix(pn.hit_moments(c.hits)), "$pair ~r n groups ~se", _jack_sql())
+q("V33_mardia", lambda c: pn.mardia(pn.event_moments(c.showers)), "~xc ~xs ~cs ~r", "SELECT *, sqrt((xc * xc + xs * xs - 2 * xc * xs * cs) / (1 - cs * cs)) AS r FROM (SELECT corr(p, cos(phi)) AS xc, corr(p, sin(phi)) AS xs, corr(cos(phi), sin(phi)) AS cs FROM sh)")
+FT = "SELECT * FROM ft WHERE n > 1"
+LONG = " UNION ALL ".join(f"SELECT label, '{n}' AS feature, {n} AS value FROM ft WHERE n > 1" for n in pn.LINEAR)
+q("V34_feature_table", lambda c: table(c), "event_number label p_bin ~p ~width ~height ~depth ~mean_r ~weighted_r", FT)
+q("V35_feature_describe", lambda c: pn.feature_describe(table(c)), "label $feature n ~mean ~s1 ~s0 ~lo ~median ~hi floored ~mean_lo", f"SELECT *, mean - {T} * s1 / sqrt(n) AS mean_lo FROM (SELECT label, feature, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS s1, stddev_pop(value) AS s0, min(value) AS lo, median(value) AS median, max(value) AS hi, count(*) FILTER (WHERE value <= 1e-6) AS floored FROM ({LONG}) GROUP BY ALL)")
+
+
+def _pairs_sql() -> str:
+    from itertools import combinations
+
+    return " UNION ALL ".join(f"SELECT label, '{a}:{b}' AS pair, {a} AS u, {b} AS v FROM ft WHERE n > 1 AND {a} > 1e-6 AND {b} > 1e-6" for a, b in combinations(pn.LINEAR, 2))
+
+
+q("V36_feature_corr", lambda c: pn.feature_corr(table(c)), "label $pair ~r n", f"SELECT label, pair, corr(u, v) AS r, count(*) AS n FROM ({_pairs_sql()}) GROUP BY ALL")
+q("V37_circ_corr", lambda c: pn.circ_corr(c.events, "phi_a", "phi_b"), "~r n", "SELECT sum(sin(phi_a - ma) * sin(phi_b - mb)) / sqrt(sum(pow(sin(phi_a - ma), 2)) * sum(pow(sin(phi_b - mb), 2))) AS r, count(*) AS n FROM ev, (SELECT atan2(avg(sin(phi_a)), avg(cos(phi_a))) AS ma, atan2(avg(sin(phi_b)), avg(cos(phi_b))) AS mb FROM ev)")
+q("V38_feature_hist", lambda c: pn.feature_hist(table(c), "weighted_r"), "label bin n", "SELECT label, least(19, floor((weighted_r - lo) / ((hi - lo) / 20))) AS bin, count(*) AS n FROM ft, (SELECT min(weighted_r) AS lo, max(weighted_r) AS hi FROM ft WHERE n > 1) WHERE n > 1 GROUP BY ALL")
+q("V39_value_step", lambda c: pn.value_step(c.hits, "z"), "~step n", "SELECT min(gap) AS step, count(*) AS n FROM (SELECT v - lag(v) OVER (ORDER BY v) AS gap FROM (SELECT DISTINCT round(z, 6) AS v FROM hits))")
+q("V40_hist2d", lambda c: pn.hist2d(c.singles, ("p", 0.0, 1.0), ("e_dep", 0.0, 0.05)), "bx by n", "SELECT floor(p) AS bx, floor(e_dep / CAST('0.05' AS DOUBLE)) AS by, count(*) AS n FROM sg GROUP BY ALL")
+SEG = "accuracy ~precision ~recall ~f1 ~mae ~weighted_mae ~rmse"
+SEGSQL = "sum(n_correct) / CAST(sum(n_hits) AS DOUBLE) AS accuracy, sum(n_tp) / CAST(sum(n_pred) AS DOUBLE) AS precision, sum(n_tp) / CAST(sum(n_true) AS DOUBLE) AS recall, 2e0 * sum(n_tp) / (sum(n_pred) + sum(n_true)) AS f1, sum(abs_err) / sum(n_hits) AS mae, sum(wabs_err) / sum(e_dep) AS weighted_mae, sqrt(sum(sq_err) / sum(n_hits)) AS rmse"
+q("V41_seg_quality", lambda c: pn.seg_quality(c.events), f"n_hits ~{SEG}", f"SELECT sum(n_hits) AS n_hits, {SEGSQL} FROM ev")
+q("V41_seg_quality_by_d", lambda c: pn.seg_quality(c.events.withColumn("slice", fl.d_slice(F.col("d"))), "slice"), f"slice n_hits ~{SEG}", f"SELECT {SLICE} AS slice, sum(n_hits) AS n_hits, {SEGSQL} FROM ev GROUP BY 1")
+CARD = "count(*) AS n, avg(energy_pred / p - 1) AS e_bias, stddev_samp(energy_pred / p - 1) AS e_sd, sqrt(avg(pow(energy_pred / p - 1, 2))) AS e_rmse, corr(energy_pred, p) AS e_r, avg(1e3 * (angle_pred - theta)) AS a_bias, stddev_samp(1e3 * (angle_pred - theta)) AS a_sd"
+q("V42_residual_cards", lambda c: pn.residual_cards(c.showers), "b n ~e_bias ~e_sd ~e_rmse ~e_r ~a_bias ~a_sd", f"SELECT b, {CARD} FROM sh GROUP BY b")
+q("V43_perf_bins", lambda c: pn.perf_bins(c.showers), "b bin n ~rmse ~mae ~bias ~median_rel ~median_abs missing", "SELECT b, bin, count(*) AS n, sqrt(avg(pow(energy_pred - p, 2))) AS rmse, avg(abs(energy_pred - p)) AS mae, avg(energy_pred - p) AS bias, median((energy_pred - p) / p) AS median_rel, median(abs(energy_pred - p)) AS median_abs, 0 AS missing FROM sh GROUP BY ALL")
+q("V44_pred_density", lambda c: pn.pred_density(c.showers), "b pb tb n", "SELECT b, CASE WHEN energy_pred >= 20 THEN 20 ELSE floor(energy_pred) END AS pb, CASE WHEN p >= 20 THEN 20 ELSE floor(p) END AS tb, count(*) AS n FROM sh GROUP BY ALL")
+q("V45_residual_hist", lambda c: pn.residual_hist(c.showers), "bin n", "WITH r AS (SELECT (energy_pred - p) / p AS r FROM sh), q AS (SELECT quantile_cont(r, 1e-2) AS lo, quantile_cont(r, 99e-2) AS hi, 2 * (quantile_cont(r, 75e-2) - quantile_cont(r, 25e-2)) / pow(count(*), 1 / 3e0) AS w FROM r) SELECT floor((r - lo) / w + 1e-9) AS bin, count(*) AS n FROM r, q WHERE r BETWEEN lo AND hi GROUP BY 1")
+q("V46_phi_residual", lambda c: pn.phi_residual(c.showers), "b n ~mean ~r ~sd", "SELECT b, count(*) AS n, atan2(avg(sin(o)), avg(cos(o))) AS mean, sqrt(pow(avg(cos(o)), 2) + pow(avg(sin(o)), 2)) AS r, sqrt(-2 * ln(sqrt(pow(avg(cos(o)), 2) + pow(avg(sin(o)), 2)))) AS sd FROM (SELECT b, phi - atan2(cyt, cxt) AS o FROM sh) GROUP BY b")
+WILSON = f"(k / CAST(n AS DOUBLE) + {Z} * {Z} / (2e0 * n)) / (1 + {Z} * {Z} / n) {{s}} {Z} * sqrt(k / CAST(n AS DOUBLE) * (1 - k / CAST(n AS DOUBLE)) / n + {Z} * {Z} / (4e0 * n * n)) / (1 + {Z} * {Z} / n)"
+q("V47_primaries", lambda c: pn.primaries(c.singles), "p_bin n k ~lo ~hi", f"SELECT *, {WILSON.format(s='-')} AS lo, {WILSON.format(s='+')} AS hi FROM (SELECT p_bin, count(*) AS n, count(*) FILTER (WHERE n_primary = 0) AS k FROM sg GROUP BY 1)")
+q("V48_primary_counts", lambda c: pn.primary_counts(c.singles), "bucket n", "SELECT least(n_primary, 10) AS bucket, count(*) AS n FROM sg GROUP BY 1")
+q("V49_candidates", lambda c: pn.candidates(c.events), "selected unplaceable pool matching both", "SELECT count(*) AS selected, count(*) - count(d) AS unplaceable, count(*) FILTER (WHERE d IS NOT NULL AND n_hits >= 3) AS pool, count(*) FILTER (WHERE e1 BETWEEN 5 AND 10) + count(*) FILTER (WHERE e2 BETWEEN 5 AND 10) AS matching, count(*) FILTER (WHERE e1 BETWEEN 5 AND 10 AND e2 BETWEEN 5 AND 10) AS both FROM ev")
+q("V50_membership", lambda c: pn.membership(c.events, 100), "rank size before after", "SELECT count(*) FILTER (WHERE event_number <= 100) AS rank, count(*) AS size, max(event_number) FILTER (WHERE event_number < 100) AS before, min(event_number) FILTER (WHERE event_number > 100) AS after FROM ev WHERE d IS NOT NULL AND n_hits >= 3")
+q("V51_pick_tilted", lambda c: pn.pick_tilted(c.events), "event_number n_hits ~theta_a", "SELECT * FROM ev WHERE n_hits > (SELECT avg(n_hits) FROM ev) ORDER BY theta_a DESC, event_number LIMIT 20")
+q("V52_pick_densest", lambda c: pn.pick_densest(c.events, 5), "event_number n_hits", "SELECT * FROM ev ORDER BY n_hits DESC, event_number LIMIT 5")
+q("V53_pick_uniform", lambda c: pn.pick_uniform(c.events, 3, 17), "event_number n_hits", "SELECT * FROM (SELECT event_number, n_hits, row_number() OVER (ORDER BY (event_number * 7919 + 3 * 104729) % 1000003, event_number) AS k, count(*) OVER () AS n FROM ev WHERE d IS NOT NULL AND n_hits >= 3) WHERE k = 17 % n + 1")
+q("V54_resolution_inputs", lambda c: pn.resolution_inputs(c.showers), "event_number b $series bin ~ratio", f"SELECT *, value / p AS ratio FROM ({SERIES}) WHERE p > 0")
+q("V55_p_marker", lambda c: pn.p_marker(c.showers), "bin ~mean ~sd ~lo ~hi", "SELECT bin, avg(p) AS mean, stddev_samp(p) AS sd, min(p) AS lo, max(p) AS hi FROM sh GROUP BY bin")
+q("V56_holdout_perf", lambda c: pn.perf_bins(c.showers.filter("event_number % 5 = 0")), "b bin n ~rmse ~mae ~bias", "SELECT b, bin, count(*) AS n, sqrt(avg(pow(energy_pred - p, 2))) AS rmse, avg(abs(energy_pred - p)) AS mae, avg(energy_pred - p) AS bias FROM sh WHERE event_number % 5 = 0 GROUP BY ALL")
+
+# --- estimators ---------------------------------------------------------------------------------------
+PR = "SELECT b, bin, count(*) AS n, avg(p) AS mean, stddev_samp(p) AS sd FROM sh GROUP BY ALL"
+
+
+def per_bin(c):
+    return c.showers.groupBy("b", "bin").agg(F.count("*").alias("n"), F.avg("p").alias("mean"), F.stddev_samp("p").alias("sd"))
+
+
+def two(df, lo_hi):
+    return df.withColumns({"lo": lo_hi[0], "hi": lo_hi[1]})
+
+
+q("T1_t_interval", lambda c: two(per_bin(c), es.t_interval(F.col("mean"), F.col("sd"), F.col("n"))), "b bin n ~lo ~hi", f"SELECT *, mean - {T} * sd / sqrt(n) AS lo, mean + {T} * sd / sqrt(n) AS hi FROM ({PR})")
+q("T2_chi2_interval", lambda c: two(per_bin(c), es.chi2_interval(F.col("sd"), F.col("n"))), "b bin n ~lo ~hi", f"SELECT *, CASE WHEN n >= 2 THEN sd * sqrt((n - 1) / nullif({CHI.format(z=Z)}, 0)) END AS lo, CASE WHEN n >= 2 THEN sd * sqrt((n - 1) / nullif({CHI.format(z='-' + Z)}, 0)) END AS hi FROM ({PR})")
+q("T3_c4", lambda c: per_bin(c).withColumn("c4", es.c4(F.col("n"))), "b bin n ~c4", f"SELECT *, CASE WHEN n < 2 THEN NULL WHEN n <= 30 THEN sqrt(2e0 / (n - 1)) * exp(lgamma(n / 2e0) - lgamma((n - 1) / 2e0)) ELSE 1 - 1 / (4e0 * n) - 7 / (32e0 * n * n) END AS c4 FROM ({PR})")
+q("T4_gauss", lambda c: es.gauss(pn.energy_series(c.showers), ["series", "bin"], "value"), "$series bin n ~mu ~s ~s0 ~robust ~se ~resolution", f"SELECT *, CASE WHEN n >= 2 THEN s / sqrt(n) END AS se, s / mu AS resolution FROM (SELECT series, bin, {GAUSS} FROM ({SERIES}) GROUP BY ALL)")
+
+
+def _core_sql() -> str:
+    base = "SELECT b, e_own / 1e-2 / p AS v FROM sh"
+    steps = [f"v AS ({base})", "m0 AS (SELECT b, avg(v) AS mu, stddev_samp(v) AS s, count(*) AS n FROM v GROUP BY b)"]
+    steps += [f"m{i} AS (SELECT v.b, avg(v) AS mu, stddev_samp(v) / CAST('0.93656' AS DOUBLE) AS s, count(*) AS n FROM v JOIN m{i - 1} m ON v.b = m.b AND abs(v - mu) <= 25e-1 * s GROUP BY v.b)" for i in range(1, 5)]
+    return f"WITH {', '.join(steps)} SELECT * FROM m4"
+
+
+q("T5_core_refit", lambda c: es.core_refit(c.showers.withColumn("v", F.col("e_own") / 0.01 / F.col("p")), ["b"], "v"), "b n ~mu ~s", _core_sql())
+q("T6_ratio_ci", lambda c: es.ratio_ci(c.showers, ["b", "bin"], F.col("e_own"), F.col("p")), "b bin n ~ratio ~se", f"SELECT k AS b, bin, count(*) AS n, {RATIO} FROM (SELECT b AS k, bin, e_own AS a, p AS b FROM sh) GROUP BY ALL")
+q("T7_wilson", lambda c: two(c.events.groupBy(F.floor("e1").alias("bin")).agg(F.count("*").alias("n"), F.count_if(F.col("n_ab") > 0).alias("k")), es.wilson(F.col("k"), F.col("n"))), "bin n k ~lo ~hi", f"SELECT *, {WILSON.format(s='-')} AS lo, {WILSON.format(s='+')} AS hi FROM (SELECT floor(e1) AS bin, count(*) AS n, count(*) FILTER (WHERE n_ab > 0) AS k FROM ev GROUP BY 1)")
+q("T8_fisher_ci", lambda c: two(c.showers.groupBy("b").agg(F.corr("p", "e_own").alias("r"), F.count("*").alias("n")), es.fisher_ci(F.col("r"), F.col("n"))), "b n ~r ~lo ~hi", f"SELECT *, tanh(atanh(r) - {Z} / sqrt(n - 3)) AS lo, tanh(atanh(r) + {Z} / sqrt(n - 3)) AS hi FROM (SELECT b, corr(p, e_own) AS r, count(*) AS n FROM sh GROUP BY b)")
+q("T9_mae_rmse", lambda c: es.mae_rmse(c.showers, ["b"], F.col("energy_pred") - F.col("p")), "b n ~mae ~mae_lo ~mae_hi ~rmse ~rmse_lo ~rmse_hi ~bias", f"SELECT *, mae - {T} * sa / sqrt(n) AS mae_lo, mae + {T} * sa / sqrt(n) AS mae_hi, sqrt(mse) AS rmse, sqrt(greatest(0, mse - {T} * sq / sqrt(n))) AS rmse_lo, sqrt(mse + {T} * sq / sqrt(n)) AS rmse_hi FROM (SELECT b, count(*) AS n, avg(abs(e)) AS mae, stddev_samp(abs(e)) AS sa, avg(e * e) AS mse, stddev_samp(e * e) AS sq, avg(e) AS bias FROM (SELECT b, energy_pred - p AS e FROM sh) GROUP BY b)")
+q("T10_bootstrap", lambda c: es.bootstrap(c.showers, ["b"], "p", ["event_number", "b"]), "b ~se ~n ~lo ~hi")
+q("T11_median_order_ci", lambda c: es.median_order_ci(c.showers, ["b", "bin"], "e_own"), "b bin n ~lo ~hi", f"SELECT b, bin, n, max(e_own) FILTER (WHERE k = j) AS lo, max(e_own) FILTER (WHERE k = n + 1 - j) AS hi FROM (SELECT *, greatest(1, floor((n - {Z} * sqrt(n)) / 2)) AS j FROM (SELECT b, bin, e_own, row_number() OVER (PARTITION BY b, bin ORDER BY e_own) AS k, count(*) OVER (PARTITION BY b, bin) AS n FROM sh)) WHERE n >= 6 GROUP BY ALL")
+q("T12_robust_width", lambda c: es.robust_width(c.showers.withColumn("v", F.col("e_own") / F.col("p")), ["b"], "v"), "b n ~median ~sigma ~width ~tail", "WITH m AS (SELECT b, median(v) AS median, (quantile_cont(v, 75e-2) - quantile_cont(v, 25e-2)) / 1349e-3 AS sigma, count(*) AS n FROM (SELECT b, e_own / p AS v FROM sh) GROUP BY b) SELECT m.b, n, median, sigma, sigma / median AS width, CASE WHEN n >= 300 THEN count(*) FILTER (WHERE abs(e_own / p - median) > 3 * sigma) / CAST(n AS DOUBLE) END AS tail FROM m JOIN sh USING (b) GROUP BY ALL")
+q("T13_circular", lambda c: es.circular(c.showers, ["b"], "phi"), "b n ~c ~s ~mean ~r ~sd ~rayleigh_p", "SELECT *, atan2(s, c) AS mean, sqrt(c * c + s * s) / n AS r, sqrt(-2 * ln(sqrt(c * c + s * s) / n)) AS sd, exp(-(c * c + s * s) / n) AS rayleigh_p FROM (SELECT b, count(*) AS n, sum(cos(phi)) AS c, sum(sin(phi)) AS s FROM sh GROUP BY b)")
+q("T14_clip_range", lambda c: es.clip_range(c.showers, ["b"], "e_own"), "b ~lo ~hi below above n", "WITH m AS (SELECT b, quantile_cont(e_own, 1e-2) AS lo, quantile_cont(e_own, 99e-2) AS hi FROM sh GROUP BY b) SELECT b, lo, hi, count(*) FILTER (WHERE e_own < lo) AS below, count(*) FILTER (WHERE e_own > hi) AS above, count(*) AS n FROM sh JOIN m USING (b) GROUP BY ALL")
+q("T15_histogram", lambda c: es.histogram(c.showers, ["b"], "p", 0.0, 16.0, 32), "b bin n ~density", "SELECT *, n / (sum(n) OVER (PARTITION BY b) * 5e-1) AS density FROM (SELECT b, CASE WHEN p > 16 THEN 32 ELSE least(31, floor(p / 5e-1)) END AS bin, count(*) AS n FROM sh GROUP BY ALL)")
+q("T16_band", lambda c: es.band(c.showers, ["b"], "energy_pred", "p", 4.0, 8.0), "b n ~response ~resolution", "SELECT b, count(*) AS n, avg(energy_pred / p) AS response, CASE WHEN count(*) >= 10 THEN stddev_samp(energy_pred / p) / avg(energy_pred / p) END AS resolution FROM sh WHERE p BETWEEN 4 AND 8 GROUP BY b")
+q("T17_kde", lambda c: es.kde(c.showers, ["b"], "p", 0.0, 20.0), "b point ~at ~density", "WITH m AS (SELECT b, count(*) AS total, 106e-2 * stddev_samp(p) * pow(count(*), -2e-1) AS h FROM sh GROUP BY b), f AS (SELECT b, least(255, floor(p / (20e0 / 256))) AS k, count(*) AS n FROM sh WHERE p BETWEEN 0 AND 20 GROUP BY ALL) SELECT b, point, point * 20e0 / 31 AS at, sum(n * exp(-5e-1 * pow((point * 20e0 / 31 - (k + 5e-1) * (20e0 / 256)) / h, 2)) / h) / (any_value(total) * sqrt(2 * pi())) AS density FROM f JOIN m USING (b), range(32) r(point) GROUP BY b, point")

@@ -1 +1,136 @@
-"""Queries."""
+"""Queries of sources, orders and sets, checks and model analysis."""
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import checks as ck
+from ..operators import events as ev
+from ..operators import filters as fl
+from ..operators import frames as fr
+from ..operators import joins as jn
+from ..operators import models as md
+from ..sources import files as fs
+from ..streaming import folder
+from .frames import DETREND, MARGINAL, marginal
+from .panels import T, WILSON, table
+from .registry import q
+
+ALL = "rows ~energy ~zl events"
+ALLSQL = "SELECT count(*) AS rows, sum(energy) AS energy, sum(zl) AS zl, count(DISTINCT event_number) AS events FROM raw"
+
+
+def digest(df):
+    return df.agg(F.count("*").alias("rows"), F.sum("energy").alias("energy"), F.sum("zl").alias("zl"), F.countDistinct("event_number").alias("events"))
+
+
+def typed(c):
+    return c.raw.select(*[F.col(f.name).cast(f.dataType) for f in fs.schema("two")])
+
+
+def as_csv(c):
+    path = fs.scratch(c.spark, "csv")
+    typed(c).write.option("header", True).option("emptyValue", "").csv(path)
+    return path
+
+
+def as_parquet(c):
+    path = fs.scratch(c.spark, "parquet")
+    columns = [f.name for f in fs.schema("two")]
+    typed(c).select("*", F.lit(0).alias("__index_level_0__")).select("__index_level_0__", *reversed(columns)).write.parquet(path)
+    return path
+
+
+def archived(c):
+    path = fs.scratch(c.spark, "archive")
+    fs.write_archive(typed(c), path)
+    return path
+
+
+def two_parts(c):
+    a, b = fs.scratch(c.spark, "part"), fs.scratch(c.spark, "part")
+    fs.write_archive(typed(c).filter("event_number % 2 = 0"), a)
+    fs.write_archive(typed(c).filter("event_number % 2 = 1"), b)
+    return fs.read_archive(c.spark, [a, b], "two")
+
+
+def ingested(c, rebuild=False):
+    target = fs.scratch(c.spark, "dataset")
+    out = fs.ingest(c.spark, as_parquet(c), target)
+    return fs.rebuild(c.spark, target) if rebuild else out
+
+
+def dropped(c):
+    source, target = fs.scratch(c.spark, "drop"), fs.scratch(c.spark, "loaded")
+    for part in (0, 1):
+        typed(c).filter(F.col("event_number") % 2 == part).write.mode("append").parquet(source)
+        out = folder.ingest_folder(c.spark, source, target, target + "-checkpoint", fs.schema("two"))
+    return out
+
+
+q("L1_read_hits_csv", lambda c: digest(fs.read_hits_csv(c.spark, as_csv(c), "two")), ALL, ALLSQL)
+q("L2_read_hits_parquet", lambda c: fs.read_hits_parquet(c.spark, as_parquet(c), "two"), "event_number cell_id $origin ~energy $daughter_type", "SELECT * FROM raw")
+q("L3_audit_source", lambda c: fs.audit_source(typed(c), "two"), "rows out_of_range integers", "SELECT count(*) AS rows, 0 AS out_of_range, 6 AS integers FROM raw")
+q("L4_nan_to_null", lambda c: fs.nan_to_null(c.events.select(F.coalesce("d", F.lit(float("nan"))).alias("d")), ["d"])[0].agg(F.count("*").alias("n"), F.count("d").alias("defined"), F.sum("d").alias("sum")), "n defined ~sum", "SELECT count(*) AS n, count(d) AS defined, sum(d) AS sum FROM ev")
+q("L5_write_archive", lambda c: digest(c.spark.read.parquet(archived(c)).filter("event_number BETWEEN 100 AND 400")), ALL, ALLSQL + " WHERE event_number BETWEEN 100 AND 400")
+q("L6_read_archive", lambda c: digest(two_parts(c)), ALL, ALLSQL)
+q("L7_append_part", lambda c: digest(fs.append_part(typed(c), typed(c), 10_000_000)), ALL, "SELECT 2 * rows AS rows, 2 * energy AS energy, 2 * zl AS zl, 2 * events AS events FROM (" + ALLSQL + ")")
+q("L8_ingest", lambda c: ingested(c)["events"], "event_number n_hits ~e_dep ~d", "SELECT * FROM ev")
+q("L9_rebuild", lambda c: ingested(c, True)["layers"], "event_number b layer ~e n", "SELECT * FROM lay")
+q("L10_publish", lambda c: ck.failures(fs.read_hits_parquet(c.spark, as_parquet(c), "two"), ingested(c)), "$check failed", "SELECT unnest(['projection', 'lattice', 'energy', 'derived', 'undefined_d']) AS \"check\", 0 AS failed FROM (SELECT count(*) FROM raw)")
+q("L11_ingest_folder", lambda c: digest(dropped(c)), ALL, ALLSQL)
+q("L12_csv_to_parquet", lambda c: digest(fs.csv_to_parquet(c.spark, as_csv(c), fs.scratch(c.spark, "typed"), "two")), ALL, ALLSQL)
+q("L13_catalogue", lambda c: fs.catalogue(c.hits, c.events), "n_hits ~energy n_events ~min_e1 ~max_e1 ~max_d n_x n_y n_z", "SELECT * FROM (SELECT count(*) AS n_hits, sum(energy) AS energy, count(DISTINCT x) AS n_x, count(DISTINCT y) AS n_y, count(DISTINCT z) AS n_z FROM hits), (SELECT count(*) AS n_events, min(e1) AS min_e1, max(e1) AS max_e1, max(d) AS max_d FROM ev)")
+
+# --- orders, sets, windows --------------------------------------------------------------------------
+q("O1_sorted_hits", lambda c: c.hits.repartitionByRange("event_number").sortWithinPartitions("event_number", "iz", "iy", "ix"), "event_number iz iy ix ~energy", "SELECT * FROM hits ORDER BY event_number, iz, iy, ix")
+q("O2_top_k", lambda c: fr.top_cells(c.events, "e_dep", 25, "event_number"), "event_number ~e_dep", "SELECT * FROM ev ORDER BY e_dep DESC, event_number LIMIT 25")
+q("O3_ordinal", lambda c: jn.ordinal(c.hits, "x"), "~x k", "SELECT x, row_number() OVER (ORDER BY x) - 1 AS k FROM (SELECT DISTINCT x FROM hits)")
+q("O4_stack", lambda c: c.events.select("event_number", F.col("e1").alias("e")).unionByName(c.events.select("event_number", F.col("e2").alias("e"))), "event_number ~e", "SELECT event_number, e1 AS e FROM ev UNION ALL SELECT event_number, e2 FROM ev")
+q("O5_distinct", lambda c: c.hits.select("ix", "iy", "origin").distinct(), "ix iy $origin", "SELECT DISTINCT ix, iy, origin FROM hits")
+q("O6_only_in", lambda c: jn.only_in(c.events.filter("n_hits > 2"), c.events.filter("d > 100")), "event_number n_hits", "SELECT * FROM ev WHERE n_hits > 2 AND NOT coalesce(d > 100, FALSE)")
+q("O7_cumulative_share", lambda c: fr.running_share(marginal(c), "e", "bin"), "bin ~share", f"SELECT bin, sum(e) OVER (ORDER BY bin) / sum(e) OVER () AS share FROM ({MARGINAL})")
+q("O8_detrend", lambda c: fr.detrend(marginal(c)), "bin ~rest ~before", DETREND)
+q("O9_lead_row", lambda c: c.hits.withColumn("k", F.row_number().over(Window.partitionBy("event_number").orderBy(F.desc("energy"), "cell_id", "origin"))).filter("k = 1"), "event_number cell_id ~energy", "SELECT event_number, cell_id, energy FROM hits QUALIFY row_number() OVER (PARTITION BY event_number ORDER BY energy DESC, cell_id, origin) = 1")
+
+# --- checks --------------------------------------------------------------------------------------------
+q("C1_check_rows", lambda c: ck.check_rows(c.raw, two_parts(c)), "source archive failed", "SELECT count(*) AS source, count(*) AS archive, 0 AS failed FROM raw")
+q("C2_check_projection", lambda c: ck.check_projection(c.raw, fl.project_rows(c.hits)), "rows kept events kept_events warned failed", "SELECT count(*) AS rows, count(*) FILTER (WHERE energy > 0) AS kept, count(DISTINCT event_number) AS events, count(DISTINCT event_number) FILTER (WHERE energy > 0) AS kept_events, 0 AS warned, 0 AS failed FROM raw")
+q("C3_check_lattice", lambda c: ck.check_lattice(c.hits), "max_ix max_iy max_iz least failed", "SELECT max(ix) AS max_ix, max(iy) AS max_iy, max(iz) AS max_iz, 0 AS least, 0 AS failed FROM hits")
+q("C4_check_energy", lambda c: ck.check_energy(c.hits), "~energy not_finite failed", "SELECT sum(energy) AS energy, 0 AS not_finite, 0 AS failed FROM hits")
+q("C5_check_derived", lambda c: ck.check_derived(c.hits, c.events, ev.layers(c.hits)), "~shower_residual ~layer_residual failed", "SELECT max(abs(e_own_a + e_own_b - e_dep) / e_dep) AS shower_residual, 0 AS layer_residual, 0 AS failed FROM ev")
+q("C6_check_undefined_d", lambda c: ck.check_undefined_d(c.events), "n undefined failed", "SELECT count(*) AS n, count(*) - count(d) AS undefined, 0 AS failed FROM ev")
+q("C7_check_rows_contract", lambda c: ck.check_rows_contract(c.hits), "not_finite ~rotation ~layer out_of_range off_origin", "SELECT 0 AS not_finite, 0 AS rotation, max(abs(zt / 205e-1 - round(zt / 205e-1))) AS layer, count(*) FILTER (WHERE seg_pred > 1) AS out_of_range, 0 AS off_origin FROM hits")
+q("C8_check_p0", lambda c: ck.check_p0(c.hits), "n ~mean ~worst", "SELECT count(*) AS n, avg(d) AS mean, max(d) AS worst FROM (SELECT sqrt(pow(sum(energy * x) FILTER (WHERE z = z0) / sum(energy) FILTER (WHERE z = z0) - avg(x - xt), 2) + pow(sum(energy * y) FILTER (WHERE z = z0) / sum(energy) FILTER (WHERE z = z0) - avg(y - yt), 2)) AS d FROM (SELECT *, origin = 'A' AS a, min(z) OVER (PARTITION BY event_number, origin = 'A') AS z0 FROM hits) GROUP BY event_number, a)")
+q("C9_anchor_residual", lambda c: ck.anchor_residual(c.events.filter("d IS NOT NULL")), "$shower ~median ~p90 over", "SELECT shower, median(r) AS median, quantile_cont(r, 9e-1) AS p90, count(*) FILTER (WHERE r > 505e-1) AS over FROM (" + " UNION ALL ".join(f"SELECT '{s}' AS shower, sqrt(pow(c{s}x - p0{s}x - (c{s}z - p0{s}z) * tan(theta_{s}) * cos(phi_{s}), 2) + pow(c{s}y - p0{s}y - (c{s}z - p0{s}z) * tan(theta_{s}) * sin(phi_{s}), 2)) AS r FROM ev WHERE d IS NOT NULL" for s in "ab") + ") GROUP BY shower")
+q("C10_check_single", lambda c: ck.check_single(c.single), "repeated off_bin unknown parents", "SELECT 0 AS repeated, count(*) FILTER (WHERE p_bin <> floor(p)) AS off_bin, 0 AS unknown, 0 AS parents FROM single")
+q("C11_check_events", lambda c: ck.check_events(table(c)), "n label_off floored out_of_range", "SELECT count(*) AS n, 0 AS label_off, count(*) FILTER (WHERE width <= 1e-6) AS floored, 0 AS out_of_range FROM ft WHERE n > 1")
+q("C12_feature_parity", lambda c: ck.feature_parity(ev.features(ev.shape_sums(c.single)), ev.features(ev.shape_sums(c.single), "t"), ["width", "height", "mean_r"]), "$feature ~rel n", "SELECT feature, max(abs(u - v) / greatest(abs(u), abs(v), 1e-6)) AS rel, count(*) AS n FROM (SELECT 'width' AS feature, width AS u, greatest(max_xt - min_xt, 1e-6) AS v FROM ft0 UNION ALL SELECT 'height', height, greatest(max_yt - min_yt, 1e-6) FROM ft0 UNION ALL SELECT 'mean_r', mean_r, CASE WHEN sum_r_t = 0 THEN 0 ELSE sum_r_t / n END FROM ft0) GROUP BY 1")
+
+# --- model analysis ---------------------------------------------------------------------------------------
+FOLD = "(event_number * 7919) % 1000003 % 5"
+PRED = "SELECT event_number, b, p, energy_pred AS pred, theta, angle_pred FROM sh"
+
+
+def preds(c):
+    return c.showers.select("event_number", "b", "p", F.col("energy_pred").alias("pred"), "theta", "angle_pred", "phi")
+
+
+def fitted(c):
+    rows = md.split(table(c)).cache()
+    return md.fit_regressor(rows), rows
+
+
+q("X1_split", lambda c: md.split(preds(c)), "event_number b holdout", f"SELECT *, CASE WHEN {FOLD} = 0 THEN 1 ELSE 0 END AS holdout FROM ({PRED})")
+q("X2_fit", lambda c: (lambda m, rows: md.predict(m, rows.filter("holdout = 1")))(*fitted(c)), "event_number ~p ~pred")
+q("X3_split_check", lambda c: md.split_check(preds(c)), "seed ~mse_valid ~mse_train n_valid", f"SELECT seed, avg(pow(pred - p, 2)) FILTER (WHERE h = 0) AS mse_valid, avg(pow(pred - p, 2)) FILTER (WHERE h <> 0) AS mse_train, count(*) FILTER (WHERE h = 0) AS n_valid FROM (SELECT *, (event_number * 7919 + seed * 104729) % 1000003 % 5 AS h FROM ({PRED}), range(20) r(seed)) GROUP BY seed")
+FM = f"SELECT {FOLD} AS fold, count(*) AS n, avg(abs(pred - p)) AS mae, avg(pow(pred - p, 2)) AS mse, sqrt(avg(pow(pred - p, 2))) AS rmse, 1 - avg(pow(pred - p, 2)) / var_pop(p) AS r2 FROM ({PRED}) GROUP BY 1"
+q("X4_fold_metrics", lambda c: md.fold_metrics(preds(c)), "fold n ~mae ~mse ~rmse ~r2", FM)
+q("X5_mean_interval", lambda c: md.mean_interval(md.fold_metrics(preds(c))), "k ~mean ~lo ~hi", f"SELECT n AS k, mean, mean - {T} * s * sqrt(1e0 / n + 1e0 / (n - 1)) AS lo, mean + {T} * s * sqrt(1e0 / n + 1e0 / (n - 1)) AS hi FROM (SELECT count(*) AS n, avg(mae) AS mean, stddev_samp(mae) AS s FROM ({FM}))")
+q("X6_output_order", lambda c: md.output_order(preds(c), ["pred", "angle_pred"], ["p", "theta"]), "$output $label ~mse", "SELECT output, label, avg(sq) AS mse FROM (" + " UNION ALL ".join(f"SELECT '{o}' AS output, '{t}' AS label, pow({o} - {t}, 2) AS sq FROM ({PRED})" for o in ("pred", "angle_pred") for t in ("p", "theta")) + ") GROUP BY ALL")
+q("X7_binary_sample", lambda c: md.binary_sample(preds(c).filter("b = 0")), "event_number y ~p", f"SELECT event_number, 0 AS y, p FROM (SELECT * FROM ({PRED}) WHERE b = 0 AND p < 2 ORDER BY (event_number * 7919) % 1000003, event_number LIMIT 99) UNION ALL SELECT event_number, 1, p FROM (SELECT * FROM ({PRED}) WHERE b = 0 AND p > 10 ORDER BY (event_number * 7919) % 1000003, event_number LIMIT 1)")
+q("X8_confusion", lambda c: md.confusion(preds(c)), "tp fp fn tn n ~accuracy ~recall ~precision ~balanced ~lo ~hi", f"SELECT tp, fp, fn, tn, n, k / CAST(n AS DOUBLE) AS accuracy, tp / CAST(tp + fn AS DOUBLE) AS recall, tp / CAST(tp + fp AS DOUBLE) AS precision, (tp / CAST(tp + fn AS DOUBLE) + tn / CAST(tn + fp AS DOUBLE)) / 2 AS balanced, {WILSON.format(s='-')} AS lo, {WILSON.format(s='+')} AS hi FROM (SELECT count(*) FILTER (WHERE p >= 2 AND pred >= 2) AS tp, count(*) FILTER (WHERE p < 2 AND pred >= 2) AS fp, count(*) FILTER (WHERE p >= 2 AND pred < 2) AS fn, count(*) FILTER (WHERE p < 2 AND pred < 2) AS tn, count(*) AS n, count(*) FILTER (WHERE (p >= 2) = (pred >= 2)) AS k FROM ({PRED}))")
+q("X9_surrogate", lambda c: md.surrogate(table(c), "p"), "~leaf n ~value ~variance")
+q("X10_circ_fidelity", lambda c: md.circ_fidelity(c.showers.withColumn("at", F.atan2("cyt", "cxt")), "at", "phi"), "~fidelity ~mae", "WITH s AS (SELECT phi, atan2(cyt, cxt) AS a FROM sh), m AS (SELECT atan2(avg(sin(phi)), avg(cos(phi))) AS m FROM s) SELECT 1 - sum(1 - cos(a - phi)) / sum(1 - cos(phi - m)) AS fidelity, avg(abs(atan2(sin(a - phi), cos(a - phi)))) AS mae FROM s, m")
+q("X11_importance", lambda c: c.spark.createDataFrame(md.importance(fitted(c)[0]), "feature string, gain double"), "$feature ~gain")
+q("X12_stamp", lambda c: md.arithmetic_stamp(c.events, "event_number", "n_hits"), "n sum", "SELECT count(*) AS n, sum((event_number * 7919 + n_hits * 104729) % 1000003) AS sum FROM ev")
+q("X12_stamp_of_values", lambda c: md.stamp(c.events.select("event_number", "n_hits")).select("n"), "n", "SELECT count(*) AS n FROM ev")
