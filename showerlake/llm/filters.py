@@ -52,12 +52,12 @@ def _fill(batches: Iterator[pa.RecordBatch], log_bits: int) -> Iterator[pa.Recor
             more[again] = True
             twice |= (once & own) | np.packbits(more, bitorder="little")
             once |= own
-    if found:
-        yield pa.RecordBatch.from_pydict({"slice": pa.array(list(found), pa.int32()), "once": [x[0].tobytes() for x in found.values()], "twice": [x[1].tobytes() for x in found.values()]})
+    for i, bits in found.items():
+        yield pa.RecordBatch.from_pydict({"slice": pa.array([i], pa.int32()), **{n: [zlib.compress(x.tobytes(), 1)] for n, x in zip(("once", "twice"), bits, strict=True)}})
 
 
-def fill(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], log_bits: int = LOG_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(bits set once or more, bits set twice or more), over what `hashes` gives for each batch of `docs`."""
+def fill(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], log_bits: int = LOG_BITS, which: tuple[str, ...] = ("once", "twice")) -> list[np.ndarray]:
+    """The bits set once or more, or twice or more, over what `hashes` gives for each batch of `docs`; slices come to the driver compressed."""
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -72,12 +72,13 @@ def fill(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray
             yield by_slice(np.concatenate(held))
 
     rows = docs.mapInArrow(sliced, "slice int, hashes binary").repartition(SLICES, "slice")
-    filled = rows.mapInArrow(lambda b: _fill(b, log_bits), "slice int, once binary, twice binary").collect()
-    out = np.zeros((2, SLICES, 1 << (log_bits - 9)), np.uint8)
-    for row in filled:
-        out[0, row["slice"]] = np.frombuffer(row["once"], np.uint8)
-        out[1, row["slice"]] = np.frombuffer(row["twice"], np.uint8)
-    return out[0].reshape(-1), out[1].reshape(-1)
+    filled = rows.mapInArrow(lambda b: _fill(b, log_bits), "slice int, once binary, twice binary").select("slice", *which).collect()
+    out = [np.zeros((SLICES, 1 << (log_bits - 9)), np.uint8) for _ in which]
+    while filled:
+        row = filled.pop()
+        for bits, name in zip(out, which, strict=True):
+            bits[row["slice"]] = np.frombuffer(zlib.decompress(row[name]), np.uint8)
+    return [bits.reshape(-1) for bits in out]
 
 
 def test(bits: np.ndarray, h: np.ndarray) -> np.ndarray:

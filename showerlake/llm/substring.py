@@ -104,7 +104,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, block: int = BLOCK,
     rows = keyed(docs)
     once, twice = filters.fill(rows.select("text"), lambda b: _index(b, block), log_bits)
     index, twice = share(once), share(twice)
-    probed, _ = filters.fill(rows.select("text"), lambda b: _probes(b, block, index), log_bits)
+    [probed] = filters.fill(rows.select("text"), lambda b: _probes(b, block, index), log_bits, ("once",))
     probed = share(probed)
     found = rows.select("did", "th", "text").mapInArrow(lambda b: _windows(b, window, block, index, twice, probed), ROWS)
     found = found.withColumn("least", F.min("least").over(Window.partitionBy("h"))).filter("least < did")

@@ -34,6 +34,7 @@ LENGTH = 400
 GRAM = 32
 GROUP_BYTES = 4 << 20
 BATCH_BYTES = 256 << 10
+LOG_BITS = 26
 SEPARATOR = b"\xff"  # never a byte of UTF-8
 
 
@@ -267,10 +268,10 @@ def _hashed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_pydict({"w": signed(w), "h": np.full(n, h), "fp": np.full(n, fp), "place": at.astype(np.int32)})
 
 
-def repeated_bytes(docs: DataFrame, length: int = LENGTH, log_bits: int = filters.LOG_BITS, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def repeated_bytes(docs: DataFrame, length: int = LENGTH, log_bits: int = LOG_BITS, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """did, th and ranges of window starts (from, to) whose window also starts anywhere else."""
     rows = keyed(docs)
-    _, twice = filters.fill(rows.select("text"), lambda b: _anchors(b, length), log_bits)
+    [twice] = filters.fill(rows.select("text"), lambda b: _anchors(b, length), log_bits, ("twice",))
     twice = filters.share(docs.sparkSession, twice)
     segments = written(rows.select("did", "th", "text").mapInArrow(lambda b: _segments(b, length, twice), SEGMENTS), "segments")
     # max() skips the nulls that stand for texts sent by another row
