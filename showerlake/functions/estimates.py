@@ -70,11 +70,13 @@ def core_refit(df: DataFrame, keys: list[str], col: str, width: float = 2.5, rou
 
 def ratio_ci(df: DataFrame, keys: list[str], num: Column, den: Column) -> DataFrame:
     """Sum over sum by group, with the error of clusters (rows) from five sums."""
-    by = df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(num).alias("a"), F.sum(den).alias("b"), F.sum(num * num).alias("aa"), F.sum(num * den).alias("ab"), F.sum(den * den).alias("bb"))
-    r = F.try_divide("a", "b")
-    spread = F.greatest(F.lit(0.0), F.col("aa") - 2 * r * F.col("ab") + r * r * F.col("bb"))
-    se = F.sqrt(spread * F.try_divide(F.col("n"), F.col("n") - 1)) / F.abs("b")
-    return by.withColumns({"ratio": r, "se": se}).withColumns({"lo": F.col("ratio") - t975(F.col("n") - 1) * F.col("se"), "hi": F.col("ratio") + t975(F.col("n") - 1) * F.col("se")}).drop("aa", "ab", "bb")
+    c = F.col
+    by = df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(num).alias("_u"), F.sum(den).alias("_v"), F.sum(num * num).alias("_uu"), F.sum(num * den).alias("_uv"), F.sum(den * den).alias("_vv"))
+    by = by.withColumn("ratio", F.try_divide("_u", "_v"))
+    spread = F.greatest(F.lit(0.0), c("_uu") - 2 * c("ratio") * c("_uv") + c("ratio") ** 2 * c("_vv"))
+    by = by.withColumn("se", F.sqrt(spread * F.try_divide(c("n"), c("n") - 1)) / F.abs("_v"))
+    half = t975(c("n") - 1) * c("se")
+    return by.withColumns({"lo": c("ratio") - half, "hi": c("ratio") + half}).drop("_u", "_v", "_uu", "_uv", "_vv")
 
 
 def wilson(k: Column, n: Column) -> tuple[Column, Column]:
@@ -162,8 +164,8 @@ def kde(df: DataFrame, keys: list[str], col: str, lo: float, hi: float, points:
     """Gaussian kernel density on a grid, from counts in 256 bins and Silverman's bandwidth."""
     m = df.groupBy(*keys).agg(F.count(col).alias("total"), F.stddev_samp(col).alias("s"))
     m = m.withColumn("h", 1.06 * F.col("s") * F.pow(F.col("total"), F.lit(-0.2)))
-    fine = df.filter(F.col(col).between(lo, hi)).groupBy(*keys, F.least(F.lit(255), F.floor((F.col(col) - lo) / ((hi - lo) / 256))).alias("b")).agg(F.count("*").alias("n"))
+    fine = df.filter(F.col(col).between(lo, hi)).groupBy(*keys, F.least(F.lit(255), F.floor((F.col(col) - lo) / ((hi - lo) / 256))).alias("_cell")).agg(F.count("*").alias("n"))
     grid = F.array(*[F.struct(F.lit(i).alias("point"), F.lit(lo + (hi - lo) * i / (points - 1)).alias("at")) for i in range(points)])
-    spread = fine.join(m, keys).select(*keys, "b", "n", "total", "h", F.inline(grid))
-    z = (F.col("at") - (lo + (F.col("b") + 0.5) * ((hi - lo) / 256))) / F.col("h")
+    spread = fine.join(m, keys).select(*keys, "_cell", "n", "total", "h", F.inline(grid))
+    z = (F.col("at") - (lo + (F.col("_cell") + 0.5) * ((hi - lo) / 256))) / F.col("h")
     return spread.groupBy(*keys, "point", "at").agg((F.sum(F.col("n") * F.exp(-0.5 * z * z) / F.col("h")) / (F.first("total") * math.sqrt(2 * math.pi))).alias("density"))

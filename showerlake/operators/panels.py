@@ -238,7 +238,7 @@ def shower_hist(showers: DataFrame, column: str, lo: float, hi: float, bins: int
 
 
 def weighted_percentile(showers: DataFrame) -> DataFrame:
-    return showers.groupBy("b").agg(F.percentile("p", 0.5, "n_own").alias("median_p"), F.percentile("theta", 0.9, "n_own").alias("p90_theta"))
+    return showers.groupBy("b").agg(F.percentile("p", 0.5, F.col("n_own")).alias("median_p"), F.percentile("theta", 0.9, F.col("n_own")).alias("p90_theta"))
 
 
 MOMENT_COLUMNS = {"x": "xl", "y": "yl", "z": "zl", "e": "loge", "p": "p", "t": "theta", "c": "cphi", "s": "sphi"}

@@ -45,7 +45,7 @@ q("J7_feature_parity", lambda c: jn.parity_sides(c.events.filter("event_number %
 q("J8_consistency", lambda c: jn.differing(c.events.selectExpr("event_number", "n_own_a AS n"), ev.layers(c.hits).filter("b = 0").groupBy("event_number").agg(F.sum("n").alias("n"))), "event_number left_n right_n", "SELECT event_number, n_own_a AS left_n, NULL AS right_n FROM ev WHERE n_own_a = 0")
 q("J9_holdout", lambda c: jn.restrict(c.showers.select("event_number", "b", "p", "energy_pred").filter("event_number % 5 = 0"), fl.select(c.events, (5, 10))), "event_number b ~p ~energy_pred", "SELECT * FROM sh WHERE event_number % 5 = 0 AND e1 BETWEEN 5 AND 10")
 q("J10_first_layer", lambda c: jn.first_layer(c.hits), f"{HIT} b ~z", "SELECT * FROM (SELECT event_number, cell_id, z, CASE WHEN origin = 'A' THEN 0 ELSE 1 END AS b, min(z) OVER (PARTITION BY event_number, origin = 'A') AS z0 FROM hits) WHERE z = z0")
-q("J11_resample", lambda c: jn.resample(c.hits.groupBy(F.col("x").alias("at")).agg(F.sum("energy").alias("v")).withColumns({"lo": F.col("at") - 24.3, "hi": F.col("at") + 24.3}), [i * 35.0 - 40 for i in range(32)]), "bin ~v", "SELECT i AS bin, sum(v * (least(at + 243e-1, i * 35 - 5) - greatest(at - 243e-1, i * 35 - 40)) / 486e-1) AS v FROM (SELECT x AS at, sum(energy) AS v FROM hits GROUP BY x) s, range(31) r(i) WHERE at - 243e-1 < i * 35 - 5 AND at + 243e-1 > i * 35 - 40 GROUP BY i")
+q("J11_resample", lambda c: jn.resample(c.hits.groupBy(F.col("x").alias("at")).agg(F.sum("energy").alias("v")).withColumns({"lo": F.col("at") - 24.3, "hi": F.col("at") + 24.3}), [i * 35.0 - 40 for i in range(32)]), "bin ~v", "SELECT i AS bin, sum(v * (least(pos + 243e-1, i * 35 - 5) - greatest(pos - 243e-1, i * 35 - 40)) / 486e-1) AS v FROM (SELECT x AS pos, sum(energy) AS v FROM hits GROUP BY x) s, range(31) r(i) WHERE pos - 243e-1 < i * 35 - 5 AND pos + 243e-1 > i * 35 - 40 GROUP BY i")
 q("J12_n_selected", lambda c: jn.counted_gate(fl.select(c.events, (5, 10))), "n_selected n_framed ~mean_d", "SELECT count(*) AS n_selected, count(d) AS n_framed, avg(d) AS mean_d FROM ev WHERE e1 BETWEEN 5 AND 10")
 
 # --- event tables ------------------------------------------------------------------------------

@@ -31,7 +31,7 @@ q("P5_transform", lambda c: fr.in_shower_frame(c.hits, c.showers), "event_number
 q("P6_frame_stats", lambda c: fr.frame_stats(c.events), "n n_hits ~mean_entry ~median_entry ~sd_entry ~mean_d ~median_d ~slope_a ~sd_slope_a ~slope_b ~psi_resultant ill", "SELECT count(*) AS n, sum(n_hits) AS n_hits, avg(d_entry) AS mean_entry, median(d_entry) AS median_entry, stddev_samp(d_entry) AS sd_entry, avg(d) AS mean_d, median(d) AS median_d, avg(cos(phi_a - psi) * tan(theta_a)) AS slope_a, stddev_samp(cos(phi_a - psi) * tan(theta_a)) AS sd_slope_a, avg(cos(phi_b - psi) * tan(theta_b)) AS slope_b, sqrt(pow(avg(cos(psi)), 2) + pow(avg(sin(psi)), 2)) AS psi_resultant, count(*) FILTER (WHERE d_entry < 10) AS ill FROM fr")
 q("P7_shower_stats", lambda c: fr.shower_stats(c.showers), "b n ~mean_cxl ~sd_cxl ~mean_cyl ~sd_cyl ~mean_czl ~sd_czl ~phi_resultant", "SELECT b, count(*) AS n, avg(cxl) AS mean_cxl, stddev_samp(cxl) AS sd_cxl, avg(cyl) AS mean_cyl, stddev_samp(cyl) AS sd_cyl, avg(czl) AS mean_czl, stddev_samp(czl) AS sd_czl, sqrt(pow(avg(cos(phi)), 2) + pow(avg(sin(phi)), 2)) AS phi_resultant FROM sh WHERE d IS NOT NULL GROUP BY b")
 q("P8_accumulate_dframe", lambda c: fr.accumulate_dframe(c.hits, c.events), "jx jy layer ~e n", "SELECT CASE WHEN inside THEN jx ELSE -1 END AS jx, CASE WHEN inside THEN jy ELSE -1 END AS jy, layer, sum(v) AS e, count(*) AS n FROM (SELECT *, jx BETWEEN 0 AND 59 AND jy BETWEEN 0 AND 59 AS inside FROM (SELECT iz AS layer, energy / 4 AS v, floor((cos(psi) * (x + ox - ax) + sin(psi) * (y + oy - ay)) / 20) + 30 AS jx, floor((cos(psi) * (y + oy - ay) - sin(psi) * (x + ox - ax)) / 20) + 30 AS jy FROM hits JOIN fr USING (event_number), (SELECT ((i + 5e-1) / 2 - 5e-1) * 486e-1 AS ox, ((j + 5e-1) / 2 - 5e-1) * 505e-1 AS oy FROM range(2) a(i), range(2) b(j)) o)) GROUP BY ALL")
-q("P9_accumulate_trans", lambda c: fr.accumulate_trans(c.hits).filter("abs(e) > 1e-7"), "bx by ~e", "SELECT CAST(bx AS BIGINT) AS bx, CAST(by AS BIGINT) AS by, e FROM (SELECT bx, by, sum(energy * greatest(0, least(ux + 243e-2, bx + 1) - greatest(ux, bx)) / 243e-2 * greatest(0, least(uy + 2525e-3, by + 1) - greatest(uy, by)) / 2525e-3) AS e FROM (SELECT *, floor(ux) + i AS bx, floor(uy) + j AS by FROM (SELECT energy, (xt - 243e-1) / 20 + 20 AS ux, (yt - 2525e-2) / 20 + 20 AS uy FROM hits), range(4) a(i), range(4) b(j)) GROUP BY ALL) WHERE abs(e) > 1e-7")
+q("P9_accumulate_trans", lambda c: fr.accumulate_trans(c.hits).filter("abs(e) > 1e-7"), "bx by ~e", 'SELECT CAST(bx AS BIGINT) AS bx, CAST(cy AS BIGINT) AS "by", e FROM (SELECT bx, cy, sum(energy * greatest(0, least(ux + 243e-2, bx + 1) - greatest(ux, bx)) / 243e-2 * greatest(0, least(uy + 2525e-3, cy + 1) - greatest(uy, cy)) / 2525e-3) AS e FROM (SELECT *, floor(ux) + i AS bx, floor(uy) + j AS cy FROM (SELECT energy, (xt - 243e-1) / 20 + 20 AS ux, (yt - 2525e-2) / 20 + 20 AS uy FROM hits), range(4) a(i), range(4) b(j)) GROUP BY ALL) WHERE abs(e) > 1e-7')
 q("P10_accumulate_local", lambda c: fr.accumulate_local(c.hits), "ju jv jw ~e", "SELECT CASE WHEN inside THEN ju ELSE -1 END AS ju, CASE WHEN inside THEN jv ELSE -1 END AS jv, jw, sum(v) AS e FROM (SELECT *, ju BETWEEN 0 AND 59 AND jv BETWEEN 0 AND 59 AS inside FROM (SELECT energy / 8 AS v, floor((xl + cos(theta) * cos(phi) * ox + cos(theta) * sin(phi) * oy - sin(theta) * oz) / 20) + 30 AS ju, floor((yl - sin(phi) * ox + cos(phi) * oy) / 20) + 30 AS jv, floor((zl + sin(theta) * cos(phi) * ox + sin(theta) * sin(phi) * oy + cos(theta) * oz) / 205e-1) AS jw FROM hits, (SELECT ((i + 5e-1) / 2 - 5e-1) * 486e-1 AS ox, ((j + 5e-1) / 2 - 5e-1) * 505e-1 AS oy, ((m + 5e-1) / 2 - 5e-1) * 205e-1 AS oz FROM range(2) a(i), range(2) b(j), range(2) d(m)) o)) GROUP BY ALL")
 q("P11_frame_residual", lambda c: fr.frame_residual(c.hits), "~residual", "SELECT max(abs(zl - sin(theta) * cos(phi) * xt - sin(theta) * sin(phi) * yt - cos(theta) * zt)) AS residual FROM hits")
 q("P12_voxels", lambda c: fr.voxels(c.hits), "vx vy vz ~e n ~peak", "SELECT ix // 2 AS vx, iy // 2 AS vy, iz AS vz, sum(m_e) AS e, sum(m_n) AS n, max(m_e) AS peak FROM cells GROUP BY ALL")
@@ -40,14 +40,14 @@ q("P14_voxel_depth", lambda c: fr.voxels(c.hits).groupBy("vz").agg(F.sum("e").al
 q("P15_cells", lambda c: c.hits.groupBy("ix", "iy", "iz").agg(F.sum("energy").alias("e"), F.count("*").alias("n"), F.bit_or(F.when(F.col("origin") == "A", 1).when(F.col("origin") == "B", 2).otherwise(3)).alias("bits"), F.sum(F.when(fl.finite(F.col("shapcam")), F.col("shapcam"))).alias("s")), "ix iy iz ~e n bits ~s", "SELECT ix, iy, iz, sum(energy) AS e, count(*) AS n, bit_or(CASE origin WHEN 'A' THEN 1 WHEN 'B' THEN 2 ELSE 3 END) AS bits, sum(shapcam) AS s FROM hits GROUP BY ALL")
 q("P16_merge_cells", lambda c: fr.merge_cells(c.hits), "event_number cell_id ~e n ~map any_primary $species ~purity origin_code", "SELECT event_number, cell_id, sum(se) AS e, sum(sn) AS n, sum(eg) / sum(se) AS map, CASE WHEN min(sec) = 0 THEN 1 ELSE 0 END AS any_primary, first(particle_type ORDER BY se DESC, particle_type) AS species, max(se) / sum(se) AS purity, bit_or(org) AS origin_code FROM (SELECT event_number, cell_id, particle_type, sum(energy) AS se, count(*) AS sn, sum(energy * gradcam) AS eg, min(is_secondary) AS sec, bit_or(CASE origin WHEN 'A' THEN 1 WHEN 'B' THEN 2 ELSE 3 END) AS org FROM hits GROUP BY ALL) GROUP BY ALL")
 q("P17_daughter_mode", lambda c: fr.daughter_mode(c.hits), "$particle_type $daughter n", "SELECT * FROM (SELECT particle_type, daughter, count(*) AS n FROM (SELECT particle_type, unnest(string_split(daughter_type, ';')) AS daughter FROM hits) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY particle_type ORDER BY n DESC, daughter) = 1")
-q("P18_centroids", lambda c: fr.centroids(c.hits), "~ax ~ay ~az ~bx ~by ~bz ~distance", "SELECT *, sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by)) AS distance FROM (SELECT sum(energy * seg_pred * x) / sum(energy * seg_pred) AS ax, sum(energy * seg_pred * y) / sum(energy * seg_pred) AS ay, sum(energy * seg_pred * z) / sum(energy * seg_pred) AS az, sum(r * x) / sum(r) AS bx, sum(r * y) / sum(r) AS by, sum(r * z) / sum(r) AS bz FROM (SELECT *, greatest(energy - energy * seg_pred, 0) AS r FROM hits))")
+q("P18_centroids", lambda c: fr.centroids(c.hits), "~ax ~ay ~az ~bx ~by ~bz ~distance", 'SELECT *, sqrt((ax - bx) * (ax - bx) + (ay - "by") * (ay - "by")) AS distance FROM (SELECT sum(energy * seg_pred * x) / sum(energy * seg_pred) AS ax, sum(energy * seg_pred * y) / sum(energy * seg_pred) AS ay, sum(energy * seg_pred * z) / sum(energy * seg_pred) AS az, sum(r * x) / sum(r) AS bx, sum(r * y) / sum(r) AS "by", sum(r * z) / sum(r) AS bz FROM (SELECT *, greatest(energy - energy * seg_pred, 0) AS r FROM hits))')
 q("P19_shower_axes", lambda c: fr.shower_axes(c.hits, 0.6), "iz ~e ~cx ~cy", "SELECT * FROM (SELECT iz, sum(energy) AS e, sum(energy * x) / sum(energy) AS cx, sum(energy * y) / sum(energy) AS cy FROM hits GROUP BY iz) QUALIFY e >= 6e-1 * max(e) OVER ()")
 q("P20_layer_profile", lambda c: c.hits.groupBy(F.round(F.col("zt") / 20.5).cast("int").alias("kt")).agg(F.sum("energy").alias("e"), F.sum(F.col("energy") * F.col("gradcam")).alias("eg")), "kt ~e ~eg", "SELECT round(zt / 205e-1) AS kt, sum(energy) AS e, sum(energy * gradcam) AS eg FROM hits GROUP BY 1")
 q("P21_reach", lambda c: fr.reach(c.hits), "k n", "SELECT k, count(*) FILTER (WHERE s <= 6 - k) AS n FROM range(7) r(k), (SELECT event_number, min(iz) AS s FROM hits GROUP BY event_number, origin = 'A') t GROUP BY k")
 q("P22_pool_layers", lambda c: fr.pool_layers(c.hits), "grp ~e n layers", "SELECT CASE WHEN iz < 1 THEN 0 WHEN iz < 3 THEN 1 ELSE 2 END AS grp, sum(energy) AS e, count(*) AS n, count(DISTINCT iz) AS layers FROM hits GROUP BY 1")
 q("P23_fit_window", lambda c: fr.fit_window(marginal(c)), "half ~outside ~total", f"WITH m AS ({MARGINAL}), s AS (SELECT *, sum(e) OVER (ORDER BY bin) / sum(e) OVER () AS share FROM m), h AS (SELECT greatest(2, -min(bin) FILTER (WHERE share >= 5e-3), min(bin) FILTER (WHERE share >= 995e-3)) AS half FROM s) SELECT half, coalesce(sum(e) FILTER (WHERE bin < -half OR bin > half), 0) AS outside, sum(e) AS total FROM m, h GROUP BY half")
 q("P24_islands", lambda c: fr.islands(marginal(c).filter("bin % 9 NOT IN (2, 3, 4)")), "island lo hi ~e ~share", f"WITH m AS (SELECT * FROM ({MARGINAL}) WHERE bin % 9 NOT IN (2, 3, 4)) SELECT island, min(bin) AS lo, max(bin) AS hi, sum(e) AS e, sum(e) / (SELECT sum(e) FROM m) AS share FROM (SELECT *, sum(cut) OVER (ORDER BY bin) AS island FROM (SELECT *, CASE WHEN bin - lag(bin) OVER (ORDER BY bin) > 2 THEN 1 ELSE 0 END AS cut FROM m)) GROUP BY island")
-q("P25_ratio_resample", lambda c: jn.resample(c.hits.groupBy(F.col("x").alias("at")).agg(F.sum(F.col("energy") * F.col("gradcam")).alias("v")).withColumns({"lo": F.col("at") - 24.3, "hi": F.col("at") + 24.3}), [i * 35.0 - 40 for i in range(32)]).withColumnRenamed("v", "num").join(jn.resample(c.hits.groupBy(F.col("x").alias("at")).agg(F.sum("energy").alias("v")).withColumns({"lo": F.col("at") - 24.3, "hi": F.col("at") + 24.3}), [i * 35.0 - 40 for i in range(32)]), "bin").withColumn("ratio", F.try_divide("num", "v")), "bin ~ratio", "SELECT i AS bin, sum(g * o) / sum(v * o) AS ratio FROM (SELECT i, g, v, (least(at + 243e-1, i * 35 - 5) - greatest(at - 243e-1, i * 35 - 40)) AS o FROM (SELECT x AS at, sum(energy) AS v, sum(energy * gradcam) AS g FROM hits GROUP BY x) s, range(31) r(i)) WHERE o > 0 GROUP BY i")
+q("P25_ratio_resample", lambda c: jn.resample(c.hits.groupBy(F.col("x").alias("at")).agg(F.sum(F.col("energy") * F.col("gradcam")).alias("v")).withColumns({"lo": F.col("at") - 24.3, "hi": F.col("at") + 24.3}), [i * 35.0 - 40 for i in range(32)]).withColumnRenamed("v", "num").join(jn.resample(c.hits.groupBy(F.col("x").alias("at")).agg(F.sum("energy").alias("v")).withColumns({"lo": F.col("at") - 24.3, "hi": F.col("at") + 24.3}), [i * 35.0 - 40 for i in range(32)]), "bin").withColumn("ratio", F.try_divide("num", "v")), "bin ~ratio", "SELECT i AS bin, sum(g * o) / sum(v * o) AS ratio FROM (SELECT i, g, v, (least(pos + 243e-1, i * 35 - 5) - greatest(pos - 243e-1, i * 35 - 40)) AS o FROM (SELECT x AS pos, sum(energy) AS v, sum(energy * gradcam) AS g FROM hits GROUP BY x) s, range(31) r(i)) WHERE o > 0 GROUP BY i")
 q("P26_kernel_resample", lambda c: fr.kernel_resample(marginal(c)), "bin ~e", f"WITH k AS (SELECT o, exp(-5e-1 * o * o) / sum(exp(-5e-1 * o * o)) OVER () AS wt FROM range(-3, 4) r(o)) SELECT bin + o AS bin, sum(e * wt) AS e FROM ({MARGINAL}) m, k GROUP BY 1")
 q("P27_top_cells", lambda c: fr.top_cells(fl.summed(c.hits, "ix", "iy", "iz"), "m_s", 20, "ix", "iy", "iz"), "ix iy iz ~m_s", "SELECT * FROM cells ORDER BY abs(m_s) DESC, ix, iy, iz LIMIT 20")
 DETREND = f"SELECT *, lag(rest) OVER (ORDER BY bin) AS before FROM (SELECT bin, e, e - avg(e) OVER (ORDER BY bin ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS rest FROM ({MARGINAL}) m)"

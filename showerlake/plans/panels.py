@@ -68,13 +68,13 @@ def _curves_sql() -> str:
     from .base import KEYED
 
     one = lambda axis, j: f"SELECT event_number, b, {axis} AS axis, {j} AS bin, sum(v) AS e FROM ({KEYED}) k GROUP BY ALL"
-    return f"WITH f AS (SELECT axis, bin, e, e / e_own AS f FROM ({one(0, 'jw')} UNION ALL {one(1, 'jr')}) p JOIN sh USING (event_number, b)), n AS (SELECT count(*) AS n, sum(e_own) AS ee FROM sh) SELECT axis, bin, sum(f) / any_value(n) AS mean, sqrt(greatest(0, (sum(f * f) - any_value(n) * pow(sum(f) / any_value(n), 2)) / (any_value(n) - 1))) AS sd, sum(e) / any_value(ee) AS pooled FROM f, n GROUP BY axis, bin"
+    return f"WITH f AS (SELECT axis, p.bin, e, e / e_own AS f FROM ({one(0, 'jw')} UNION ALL {one(1, 'jr')}) p JOIN sh USING (event_number, b)), n AS (SELECT count(*) AS n, sum(e_own) AS ee FROM sh) SELECT axis, bin, sum(f) / any_value(n) AS mean, sqrt(greatest(0, (sum(f * f) - any_value(n) * pow(sum(f) / any_value(n), 2)) / (any_value(n) - 1))) AS sd, sum(e) / any_value(ee) AS pooled FROM f, n GROUP BY axis, bin"
 
 
 q("V25_profile_curves", lambda c: pn.profile_curves(ev.profiles(c.hits), c.showers), "axis bin ~mean ~sd ~pooled", _curves_sql())
 q("V26_hit_uvw", lambda c: pn.hit_uvw(c.hits), "mb $axis bin n", "WITH o AS (SELECT ((i + 5e-1) / 2 - 5e-1) * 486e-1 AS ox, ((j + 5e-1) / 2 - 5e-1) * 505e-1 AS oy FROM range(2) a(i), range(2) b(j)) SELECT floor(p) AS mb, axis, floor(c / 20) AS bin, count(*) AS n FROM (SELECT p, 'u' AS axis, xl + ox AS c FROM hits, o UNION ALL SELECT p, 'v', yl + oy FROM hits, o UNION ALL SELECT p, 'w', zl FROM hits, o) GROUP BY ALL")
 q("V27_hit_energy", lambda c: pn.hit_energy(c.hits), "mb bin n", "SELECT floor(p) AS mb, floor(log10(energy) * 100) AS bin, count(*) AS n FROM hits GROUP BY ALL")
-q("V28_shower_hist", lambda c: pn.shower_hist(c.showers, "theta", 0.05, 0.55, 25), "mb at n hits", "SELECT bin AS mb, CASE WHEN theta < 5e-2 THEN -1 WHEN theta >= CAST('0.55' AS DOUBLE) THEN 25 ELSE floor((theta - CAST('0.05' AS DOUBLE)) / ((CAST('0.55' AS DOUBLE) - CAST('0.05' AS DOUBLE)) / 25)) END AS at, count(*) AS n, sum(n_own) AS hits FROM sh GROUP BY ALL")
+q("V28_shower_hist", lambda c: pn.shower_hist(c.showers, "theta", 0.05, 0.55, 25), "mb at n hits", "SELECT bin AS mb, CASE WHEN theta < 5e-2 THEN -1 WHEN theta >= CAST('0.55' AS DOUBLE) THEN 25 ELSE floor((theta - CAST('0.05' AS DOUBLE)) / ((CAST('0.55' AS DOUBLE) - CAST('0.05' AS DOUBLE)) / 25)) END AS \"at\", count(*) AS n, sum(n_own) AS hits FROM sh GROUP BY ALL")
 q("V29_weighted_percentile", lambda c: pn.weighted_percentile(c.showers), "b ~median_p ~p90_theta", "SELECT b, median(p) AS median_p, quantile_cont(theta, 9e-1) AS p90_theta FROM (SELECT b, p, theta, unnest(range(n_own)) FROM sh) GROUP BY b")
 
 
@@ -119,7 +119,7 @@ q("V36_feature_corr", lambda c: pn.feature_corr(table(c)), "label $pair ~r n", f
 q("V37_circ_corr", lambda c: pn.circ_corr(c.events, "phi_a", "phi_b"), "~r n", "SELECT sum(sin(phi_a - ma) * sin(phi_b - mb)) / sqrt(sum(pow(sin(phi_a - ma), 2)) * sum(pow(sin(phi_b - mb), 2))) AS r, count(*) AS n FROM ev, (SELECT atan2(avg(sin(phi_a)), avg(cos(phi_a))) AS ma, atan2(avg(sin(phi_b)), avg(cos(phi_b))) AS mb FROM ev)")
 q("V38_feature_hist", lambda c: pn.feature_hist(table(c), "weighted_r"), "label bin n", "SELECT label, least(19, floor((weighted_r - lo) / ((hi - lo) / 20))) AS bin, count(*) AS n FROM ft, (SELECT min(weighted_r) AS lo, max(weighted_r) AS hi FROM ft WHERE n > 1) WHERE n > 1 GROUP BY ALL")
 q("V39_value_step", lambda c: pn.value_step(c.hits, "z"), "~step n", "SELECT min(gap) AS step, count(*) AS n FROM (SELECT v - lag(v) OVER (ORDER BY v) AS gap FROM (SELECT DISTINCT round(z, 6) AS v FROM hits))")
-q("V40_hist2d", lambda c: pn.hist2d(c.singles, ("p", 0.0, 1.0), ("e_dep", 0.0, 0.05)), "bx by n", "SELECT floor(p) AS bx, floor(e_dep / CAST('0.05' AS DOUBLE)) AS by, count(*) AS n FROM sg GROUP BY ALL")
+q("V40_hist2d", lambda c: pn.hist2d(c.singles, ("p", 0.0, 1.0), ("e_dep", 0.0, 0.05)), "bx by n", "SELECT floor(p) AS bx, floor(e_dep / CAST('0.05' AS DOUBLE)) AS \"by\", count(*) AS n FROM sg GROUP BY ALL")
 SEG = "accuracy ~precision ~recall ~f1 ~mae ~weighted_mae ~rmse"
 SEGSQL = "sum(n_correct) / CAST(sum(n_hits) AS DOUBLE) AS accuracy, sum(n_tp) / CAST(sum(n_pred) AS DOUBLE) AS precision, sum(n_tp) / CAST(sum(n_true) AS DOUBLE) AS recall, 2e0 * sum(n_tp) / (sum(n_pred) + sum(n_true)) AS f1, sum(abs_err) / sum(n_hits) AS mae, sum(wabs_err) / sum(e_dep) AS weighted_mae, sqrt(sum(sq_err) / sum(n_hits)) AS rmse"
 q("V41_seg_quality", lambda c: pn.seg_quality(c.events), f"n_hits ~{SEG}", f"SELECT sum(n_hits) AS n_hits, {SEGSQL} FROM ev")
@@ -133,7 +133,7 @@ q("V46_phi_residual", lambda c: pn.phi_residual(c.showers), "b n ~mean ~r ~sd",
 WILSON = f"(k / CAST(n AS DOUBLE) + {Z} * {Z} / (2e0 * n)) / (1 + {Z} * {Z} / n) {{s}} {Z} * sqrt(k / CAST(n AS DOUBLE) * (1 - k / CAST(n AS DOUBLE)) / n + {Z} * {Z} / (4e0 * n * n)) / (1 + {Z} * {Z} / n)"
 q("V47_primaries", lambda c: pn.primaries(c.singles), "p_bin n k ~lo ~hi", f"SELECT *, {WILSON.format(s='-')} AS lo, {WILSON.format(s='+')} AS hi FROM (SELECT p_bin, count(*) AS n, count(*) FILTER (WHERE n_primary = 0) AS k FROM sg GROUP BY 1)")
 q("V48_primary_counts", lambda c: pn.primary_counts(c.singles), "bucket n", "SELECT least(n_primary, 10) AS bucket, count(*) AS n FROM sg GROUP BY 1")
-q("V49_candidates", lambda c: pn.candidates(c.events), "selected unplaceable pool matching both", "SELECT count(*) AS selected, count(*) - count(d) AS unplaceable, count(*) FILTER (WHERE d IS NOT NULL AND n_hits >= 3) AS pool, count(*) FILTER (WHERE e1 BETWEEN 5 AND 10) + count(*) FILTER (WHERE e2 BETWEEN 5 AND 10) AS matching, count(*) FILTER (WHERE e1 BETWEEN 5 AND 10 AND e2 BETWEEN 5 AND 10) AS both FROM ev")
+q("V49_candidates", lambda c: pn.candidates(c.events), "selected unplaceable pool matching both", "SELECT count(*) AS selected, count(*) - count(d) AS unplaceable, count(*) FILTER (WHERE d IS NOT NULL AND n_hits >= 3) AS pool, count(*) FILTER (WHERE e1 BETWEEN 5 AND 10) + count(*) FILTER (WHERE e2 BETWEEN 5 AND 10) AS matching, count(*) FILTER (WHERE e1 BETWEEN 5 AND 10 AND e2 BETWEEN 5 AND 10) AS \"both\" FROM ev")
 q("V50_membership", lambda c: pn.membership(c.events, 100), "rank size before after", "SELECT count(*) FILTER (WHERE event_number <= 100) AS rank, count(*) AS size, max(event_number) FILTER (WHERE event_number < 100) AS before, min(event_number) FILTER (WHERE event_number > 100) AS after FROM ev WHERE d IS NOT NULL AND n_hits >= 3")
 q("V51_pick_tilted", lambda c: pn.pick_tilted(c.events), "event_number n_hits ~theta_a", "SELECT * FROM ev WHERE n_hits > (SELECT avg(n_hits) FROM ev) ORDER BY theta_a DESC, event_number LIMIT 20")
 q("V52_pick_densest", lambda c: pn.pick_densest(c.events, 5), "event_number n_hits", "SELECT * FROM ev ORDER BY n_hits DESC, event_number LIMIT 5")
@@ -174,9 +174,9 @@ q("T8_fisher_ci", lambda c: two(c.showers.groupBy("b").agg(F.corr("p", "e_own").
 q("T9_mae_rmse", lambda c: es.mae_rmse(c.showers, ["b"], F.col("energy_pred") - F.col("p")), "b n ~mae ~mae_lo ~mae_hi ~rmse ~rmse_lo ~rmse_hi ~bias", f"SELECT *, mae - {T} * sa / sqrt(n) AS mae_lo, mae + {T} * sa / sqrt(n) AS mae_hi, sqrt(mse) AS rmse, sqrt(greatest(0, mse - {T} * sq / sqrt(n))) AS rmse_lo, sqrt(mse + {T} * sq / sqrt(n)) AS rmse_hi FROM (SELECT b, count(*) AS n, avg(abs(e)) AS mae, stddev_samp(abs(e)) AS sa, avg(e * e) AS mse, stddev_samp(e * e) AS sq, avg(e) AS bias FROM (SELECT b, energy_pred - p AS e FROM sh) GROUP BY b)")
 q("T10_bootstrap", lambda c: es.bootstrap(c.showers, ["b"], "p", ["event_number", "b"]), "b ~se ~n ~lo ~hi")
 q("T11_median_order_ci", lambda c: es.median_order_ci(c.showers, ["b", "bin"], "e_own"), "b bin n ~lo ~hi", f"SELECT b, bin, n, max(e_own) FILTER (WHERE k = j) AS lo, max(e_own) FILTER (WHERE k = n + 1 - j) AS hi FROM (SELECT *, greatest(1, floor((n - {Z} * sqrt(n)) / 2)) AS j FROM (SELECT b, bin, e_own, row_number() OVER (PARTITION BY b, bin ORDER BY e_own) AS k, count(*) OVER (PARTITION BY b, bin) AS n FROM sh)) WHERE n >= 6 GROUP BY ALL")
-q("T12_robust_width", lambda c: es.robust_width(c.showers.withColumn("v", F.col("e_own") / F.col("p")), ["b"], "v"), "b n ~median ~sigma ~width ~tail", "WITH m AS (SELECT b, median(v) AS median, (quantile_cont(v, 75e-2) - quantile_cont(v, 25e-2)) / 1349e-3 AS sigma, count(*) AS n FROM (SELECT b, e_own / p AS v FROM sh) GROUP BY b) SELECT m.b, n, median, sigma, sigma / median AS width, CASE WHEN n >= 300 THEN count(*) FILTER (WHERE abs(e_own / p - median) > 3 * sigma) / CAST(n AS DOUBLE) END AS tail FROM m JOIN sh USING (b) GROUP BY ALL")
+q("T12_robust_width", lambda c: es.robust_width(c.showers.withColumn("v", F.col("e_own") / F.col("p")), ["b"], "v"), "b n ~median ~sigma ~width ~tail", "WITH m AS (SELECT b, median(v) AS median, (quantile_cont(v, 75e-2) - quantile_cont(v, 25e-2)) / 1349e-3 AS sigma, count(*) AS n FROM (SELECT b, e_own / p AS v FROM sh) GROUP BY b) SELECT m.b, n, median, sigma, sigma / median AS width, CASE WHEN n >= 300 THEN far / CAST(n AS DOUBLE) END AS tail FROM m JOIN (SELECT sh.b, count(*) FILTER (WHERE abs(e_own / p - median) > 3 * sigma) AS far FROM m JOIN sh ON m.b = sh.b GROUP BY sh.b) k ON m.b = k.b")
 q("T13_circular", lambda c: es.circular(c.showers, ["b"], "phi"), "b n ~c ~s ~mean ~r ~sd ~rayleigh_p", "SELECT *, atan2(s, c) AS mean, sqrt(c * c + s * s) / n AS r, sqrt(-2 * ln(sqrt(c * c + s * s) / n)) AS sd, exp(-(c * c + s * s) / n) AS rayleigh_p FROM (SELECT b, count(*) AS n, sum(cos(phi)) AS c, sum(sin(phi)) AS s FROM sh GROUP BY b)")
 q("T14_clip_range", lambda c: es.clip_range(c.showers, ["b"], "e_own"), "b ~lo ~hi below above n", "WITH m AS (SELECT b, quantile_cont(e_own, 1e-2) AS lo, quantile_cont(e_own, 99e-2) AS hi FROM sh GROUP BY b) SELECT b, lo, hi, count(*) FILTER (WHERE e_own < lo) AS below, count(*) FILTER (WHERE e_own > hi) AS above, count(*) AS n FROM sh JOIN m USING (b) GROUP BY ALL")
 q("T15_histogram", lambda c: es.histogram(c.showers, ["b"], "p", 0.0, 16.0, 32), "b bin n ~density", "SELECT *, n / (sum(n) OVER (PARTITION BY b) * 5e-1) AS density FROM (SELECT b, CASE WHEN p > 16 THEN 32 ELSE least(31, floor(p / 5e-1)) END AS bin, count(*) AS n FROM sh GROUP BY ALL)")
 q("T16_band", lambda c: es.band(c.showers, ["b"], "energy_pred", "p", 4.0, 8.0), "b n ~response ~resolution", "SELECT b, count(*) AS n, avg(energy_pred / p) AS response, CASE WHEN count(*) >= 10 THEN stddev_samp(energy_pred / p) / avg(energy_pred / p) END AS resolution FROM sh WHERE p BETWEEN 4 AND 8 GROUP BY b")
-q("T17_kde", lambda c: es.kde(c.showers, ["b"], "p", 0.0, 20.0), "b point ~at ~density", "WITH m AS (SELECT b, count(*) AS total, 106e-2 * stddev_samp(p) * pow(count(*), -2e-1) AS h FROM sh GROUP BY b), f AS (SELECT b, least(255, floor(p / (20e0 / 256))) AS k, count(*) AS n FROM sh WHERE p BETWEEN 0 AND 20 GROUP BY ALL) SELECT b, point, point * 20e0 / 31 AS at, sum(n * exp(-5e-1 * pow((point * 20e0 / 31 - (k + 5e-1) * (20e0 / 256)) / h, 2)) / h) / (any_value(total) * sqrt(2 * pi())) AS density FROM f JOIN m USING (b), range(32) r(point) GROUP BY b, point")
+q("T17_kde", lambda c: es.kde(c.showers, ["b"], "p", 0.0, 20.0), "b point ~at ~density", "WITH m AS (SELECT b, count(*) AS total, 106e-2 * stddev_samp(p) * pow(count(*), -2e-1) AS h FROM sh GROUP BY b), f AS (SELECT b, least(255, floor(p / (20e0 / 256))) AS k, count(*) AS n FROM sh WHERE p BETWEEN 0 AND 20 GROUP BY ALL) SELECT b, point, point * 20e0 / 31 AS \"at\", sum(n * exp(-5e-1 * pow((point * 20e0 / 31 - (k + 5e-1) * (20e0 / 256)) / h, 2)) / h) / (any_value(total) * sqrt(2 * pi())) AS density FROM f JOIN m USING (b), range(32) r(point) GROUP BY b, point")

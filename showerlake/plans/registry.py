@@ -119,7 +119,7 @@ class Query:
         cols = []
         for c in self.columns:
             name = c.lstrip("~$")
-            cols.append(f"round(CAST({name} AS DOUBLE), 6) + CAST(0 AS DOUBLE) AS {name}" if c[0] == "~" else f"CAST({name} AS VARCHAR) AS {name}" if c[0] == "$" else f"CAST({name} AS BIGINT) AS {name}")
+            cols.append(f'round(CAST("{name}" AS DOUBLE), 6) + CAST(0 AS DOUBLE) AS "{name}"' if c[0] == "~" else f'CAST("{name}" AS VARCHAR) AS "{name}"' if c[0] == "$" else f'CAST("{name}" AS BIGINT) AS "{name}"')
         body = f"SELECT {', '.join(cols)} FROM ({self.sql}) answer"
         return f"WITH {head} {body}" if head else body
 
