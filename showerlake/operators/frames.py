@@ -294,8 +294,9 @@ def comb(marginal: DataFrame, threshold: float = -0.10) -> DataFrame:
 def principal_axis(hits: DataFrame, keys=("event_number",)) -> DataFrame:
     """Largest eigenvalue of the energy-weighted covariance of each group (closed form of a symmetric 3x3 matrix), its share, and the angle of its axis to the depth."""
     e, total = F.col("energy"), F.sum("energy")
-    mean = lambda c: F.sum(e * F.col(c)) / total
-    cov = lambda a, b: F.sum(e * F.col(a) * F.col(b)) / total - mean(a) * mean(b)
+    at = {"x": F.col("x"), "y": F.col("y"), "z": F.col("z") - Z_FRONT}  # far from the origin, squares would lose digits
+    mean = lambda c: F.sum(e * at[c]) / total
+    cov = lambda a, b: F.sum(e * at[a] * at[b]) / total - mean(a) * mean(b)
     s = hits.groupBy(*keys).agg(F.count("*").alias("n"), *[cov(a, b).alias(a + b) for a, b in ("xx", "yy", "zz", "xy", "xz", "yz")])
     c = F.col
     q = (c("xx") + c("yy") + c("zz")) / 3

@@ -56,7 +56,10 @@ FROM (SELECT event_number, cell_id, min(ix) AS ix, min(iy) AS iy, min(iz) AS iz,
 
 
 class Fixture:
-    """The relations that the registered queries start from, each built once a query."""
+    """The relations that the registered queries start from.
+
+    Hits and the tables derived per event are kept for the session (in memory, or on executors' disks), as a
+    dataset's derived tables would be: a panel is then a roll-up of them, and its plan starts there."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -70,7 +73,7 @@ class Fixture:
     @cached_property
     def raw(self) -> DataFrame:
         """All hits, those without energy too."""
-        return self.sql(HITS)
+        return self.sql(HITS).persist()
 
     @cached_property
     def hits(self) -> DataFrame:
@@ -79,16 +82,26 @@ class Fixture:
     @cached_property
     def single(self) -> DataFrame:
         """One shower an event, one row a cell."""
-        return self.sql(SINGLE).filter("energy > 0")
+        return self.sql(SINGLE).filter("energy > 0").persist()
 
     @cached_property
     def events(self) -> DataFrame:
-        return ev.events_two(self.hits)
+        return ev.events_two(self.hits).persist()
 
     @cached_property
     def singles(self) -> DataFrame:
-        return ev.events_single(self.single)
+        return ev.events_single(self.single).persist()
 
     @cached_property
     def showers(self) -> DataFrame:
         return fl.showers(self.events)
+
+
+_FIXTURES: dict[tuple[str, str], Fixture] = {}
+
+
+def fixture(spark: SparkSession, sf_dir: str) -> Fixture:
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _FIXTURES:
+        _FIXTURES[key] = Fixture(spark, sf_dir)
+    return _FIXTURES[key]
