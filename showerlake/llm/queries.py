@@ -41,7 +41,7 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", marked), (-7, 1, "assistant", marked)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return chat.chat_digests(chat.chat_segments(rows))
+    return chat.chat_digests(chat.chat_segments(rows)).drop("error")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,4 +71,36 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_classifier, op3_ngram_join, op4_chat_formatting, op5_packing, op6_quality_rules, op7_source_mixing, op8_nearest_vectors, op9_suffix_array_dedup, op10_substring_dedup)}
-ORACLES: dict[str, str] = {}
+
+OP4 = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+f AS (SELECT *, length(text) + length(text) - length(replace(text, '\', '')) + CASE role WHEN 'system' THEN 13 WHEN 'user' THEN 15 WHEN 'assistant' THEN 17 ELSE 16 + length(role) END
+  + list_sum(list_transform(['<s>', '</s>', '[SYS]', '[/SYS]', '[INST]', '[/INST]', '[ANS]', '[/ANS]', '[ROLE', '[/ROLE]'], x -> (length(text) - length(replace(text, x, ''))) // length(x))) AS chars FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars,
+  regexp_full_match(string_agg(role || ',', '' ORDER BY turn NULLS FIRST, role, text), '(system,)?user,(assistant,user,)*(assistant,)?|system,') AS valid
+FROM f GROUP BY conv_id"""
+
+OP7 = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s0 AS (SELECT source, sum(size) AS source_size, count(*) AS n FROM d GROUP BY source),
+s1 AS (SELECT *, list_extract([5e0, 2e0, 1e0], (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1) AS weight, source_size * 2e0 AS most, sum(source_size) OVER () * 15e-1 AS total FROM s0),
+s2 AS (SELECT *, most / weight AS reach, (total - coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS here FROM s1),
+s3 AS (SELECT *, max(here) FILTER (WHERE here <= reach) OVER () AS level FROM s2),
+s AS (SELECT source, CAST(source_size AS BIGINT) AS source_size, total / 16384 AS block, greatest(1, CAST(ceil(n / 8192e0) AS BIGINT)) AS shards, CASE WHEN source_size = 0 THEN 0e0 ELSE least(most, coalesce(level * weight, most)) END AS target FROM s3),
+q1 AS (SELECT source, count(*) AS quota FROM (SELECT *, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, source NULLS LAST) AS place FROM (SELECT *, unnest(range(CAST(ceil(16384 * target / whole) + 1 AS BIGINT))) AS k FROM (SELECT *, sum(target) OVER () AS whole FROM s) WHERE target > 0)) WHERE place <= 16384 GROUP BY source),
+p AS (SELECT d.*, s.source_size, s.target, s.block, coalesce(((d.doc_id % shards) + shards) % shards, 0) AS shard FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+u AS (SELECT p.source, shard, sum(size) AS unit_size, coalesce(any_value(quota), 0) AS seats FROM p LEFT JOIN q1 ON p.source IS NOT DISTINCT FROM q1.source GROUP BY p.source, shard),
+q2 AS (SELECT source, shard, count(*) AS quota FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY unit_size / CAST(2 * k + 1 AS DOUBLE) DESC, shard) AS place FROM (SELECT *, unnest(range(CAST(ceil(seats * unit_size / CAST(whole AS DOUBLE)) + 1 AS BIGINT))) AS k FROM (SELECT *, sum(unit_size) OVER (PARTITION BY source) AS whole FROM u) WHERE unit_size > 0)) WHERE place <= seats GROUP BY source, shard),
+t AS (SELECT p.*, unit_size, round(least(coalesce(quota, 0) * block, 2e0 * unit_size)) AS words, sum(size) OVER (PARTITION BY p.source, p.shard ORDER BY md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), size ROWS UNBOUNDED PRECEDING) - size AS start
+  FROM p JOIN u ON p.source IS NOT DISTINCT FROM u.source AND p.shard = u.shard LEFT JOIN q2 ON p.source IS NOT DISTINCT FROM q2.source AND p.shard = q2.shard)
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN unit_size > 0 THEN floor(words / unit_size) ELSE 0 END * size + greatest(0, least(size, words - CASE WHEN unit_size > 0 THEN floor(words / unit_size) ELSE 0 END * unit_size - start)) AS BIGINT) AS taken FROM t"""
+
+OP8 = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.e, c.e) DESC, c.vec_id) AS rank
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0) WHERE rank <= 20"""
+
+ORACLES: dict[str, str] = {"op4_chat_formatting": OP4, "op7_source_mixing": OP7, "op8_nearest_vectors": OP8}
