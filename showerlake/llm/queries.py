@@ -76,7 +76,7 @@ OP4 = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
 f AS (SELECT *, length(text) + length(text) - length(replace(text, '\', '')) + CASE role WHEN 'system' THEN 13 WHEN 'user' THEN 15 WHEN 'assistant' THEN 17 ELSE 16 + length(role) END
-  + list_sum(list_transform(['<s>', '</s>', '[SYS]', '[/SYS]', '[INST]', '[/INST]', '[ANS]', '[/ANS]', '[ROLE', '[/ROLE]'], x -> (length(text) - length(replace(text, x, ''))) // length(x))) AS chars FROM c)
+  + list_sum(list_transform(['<s>', '</s>', '[SYS]', '[/SYS]', '[INST]', '[/INST]', '[ANS]', '[/ANS]', '[ROLE', '[/ROLE]'], lambda x: (length(text) - length(replace(text, x, ''))) // length(x))) AS chars FROM c)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars,
@@ -99,7 +99,7 @@ t AS (SELECT p.*, unit_size, round(least(coalesce(quota, 0) * block, 2e0 * unit_
 SELECT doc_id, size, source_size, target, CAST(CASE WHEN unit_size > 0 THEN floor(words / unit_size) ELSE 0 END * size + greatest(0, least(size, words - CASE WHEN unit_size > 0 THEN floor(words / unit_size) ELSE 0 END * unit_size - start)) AS BIGINT) AS taken FROM t"""
 
 OP8 = """
-WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0)
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.e, c.e) DESC, c.vec_id) AS rank
   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0) WHERE rank <= 20"""
 
