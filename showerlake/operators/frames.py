@@ -276,7 +276,8 @@ def kernel_resample(marginal: DataFrame, sigma: float = 1.0, reach_: int = 3) ->
 
 
 def top_cells(df: DataFrame, value: str, k: int, *ties: str) -> DataFrame:
-    return df.orderBy(F.desc(F.abs(value)), *ties).limit(k)
+    """The k largest by magnitude; what agrees in nine digits is a tie."""
+    return df.orderBy(F.desc(F.abs(F.round(value, 9))), *ties).limit(k)
 
 
 def detrend(marginal: DataFrame, bins: int = 9) -> DataFrame:

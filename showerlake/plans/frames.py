@@ -49,10 +49,10 @@ q("P23_fit_window", lambda c: fr.fit_window(marginal(c)), "half ~outside ~total"
 q("P24_islands", lambda c: fr.islands(marginal(c).filter("bin % 9 NOT IN (2, 3, 4)")), "island lo hi ~e ~share", f"WITH m AS (SELECT * FROM ({MARGINAL}) WHERE bin % 9 NOT IN (2, 3, 4)) SELECT island, min(bin) AS lo, max(bin) AS hi, sum(e) AS e, sum(e) / (SELECT sum(e) FROM m) AS share FROM (SELECT *, sum(cut) OVER (ORDER BY bin) AS island FROM (SELECT *, CASE WHEN bin - lag(bin) OVER (ORDER BY bin) > 2 THEN 1 ELSE 0 END AS cut FROM m)) GROUP BY island")
 q("P25_ratio_resample", lambda c: jn.resample(c.hits.groupBy(F.col("x").alias("at")).agg(F.sum(F.col("energy") * F.col("gradcam")).alias("v")).withColumns({"lo": F.col("at") - 24.3, "hi": F.col("at") + 24.3}), [i * 35.0 - 40 for i in range(32)]).withColumnRenamed("v", "num").join(jn.resample(c.hits.groupBy(F.col("x").alias("at")).agg(F.sum("energy").alias("v")).withColumns({"lo": F.col("at") - 24.3, "hi": F.col("at") + 24.3}), [i * 35.0 - 40 for i in range(32)]), "bin").withColumn("ratio", F.try_divide("num", "v")), "bin ~ratio", "SELECT i AS bin, sum(g * o) / sum(v * o) AS ratio FROM (SELECT i, g, v, (least(pos + 243e-1, i * 35 - 5) - greatest(pos - 243e-1, i * 35 - 40)) AS o FROM (SELECT x AS pos, sum(energy) AS v, sum(energy * gradcam) AS g FROM hits GROUP BY x) s, range(31) r(i)) WHERE o > 0 GROUP BY i")
 q("P26_kernel_resample", lambda c: fr.kernel_resample(marginal(c)), "bin ~e", f"WITH k AS (SELECT o, exp(-5e-1 * o * o) / sum(exp(-5e-1 * o * o)) OVER () AS wt FROM range(-3, 4) r(o)) SELECT bin + o AS bin, sum(e * wt) AS e FROM ({MARGINAL}) m, k GROUP BY 1")
-q("P27_top_cells", lambda c: fr.top_cells(fl.summed(c.hits, "ix", "iy", "iz"), "m_s", 20, "ix", "iy", "iz"), "ix iy iz ~m_s", "SELECT * FROM cells ORDER BY abs(m_s) DESC, ix, iy, iz LIMIT 20")
+q("P27_top_cells", lambda c: fr.top_cells(fl.summed(c.hits, "ix", "iy", "iz"), "m_s", 20, "ix", "iy", "iz"), "ix iy iz ~m_s", "SELECT * FROM cells ORDER BY abs(round(m_s, 9)) DESC, ix, iy, iz LIMIT 20")
 DETREND = f"SELECT *, lag(rest) OVER (ORDER BY bin) AS before FROM (SELECT bin, e, e - avg(e) OVER (ORDER BY bin ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS rest FROM ({MARGINAL}) m)"
 q("P28_comb", lambda c: fr.comb(marginal(c)), "~lag1 n comb", f"SELECT corr(rest, before) AS lag1, count(*) AS n, CASE WHEN corr(rest, before) < -1e-1 THEN 1 ELSE 0 END AS comb FROM ({DETREND})")
-q("P29_principal_axis", lambda c: fr.principal_axis(c.single).withColumn("trace", 3 * F.col("q")), "event_number n ~xx ~yy ~zz ~xy ~trace", "SELECT event_number, count(*) AS n, sum(energy * x * x) / sum(energy) - pow(sum(energy * x) / sum(energy), 2) AS xx, sum(energy * y * y) / sum(energy) - pow(sum(energy * y) / sum(energy), 2) AS yy, sum(energy * (z - 3700) * (z - 3700)) / sum(energy) - pow(sum(energy * (z - 3700)) / sum(energy), 2) AS zz, sum(energy * x * y) / sum(energy) - sum(energy * x) / sum(energy) * sum(energy * y) / sum(energy) AS xy, xx + yy + zz AS trace FROM single GROUP BY 1")
+q("P29_principal_axis", lambda c: fr.principal_axis(c.single).selectExpr("event_number", "n", *[f"{a} / 1e3 AS {a}" for a in ("xx", "yy", "zz", "xy")], "3 * q / 1e3 AS trace"), "event_number n ~xx ~yy ~zz ~xy ~trace", "SELECT event_number, n, xx / 1e3 AS xx, yy / 1e3 AS yy, zz / 1e3 AS zz, xy / 1e3 AS xy, (xx + yy + zz) / 1e3 AS trace FROM (SELECT event_number, count(*) AS n, sum(energy * x * x) / sum(energy) - pow(sum(energy * x) / sum(energy), 2) AS xx, sum(energy * y * y) / sum(energy) - pow(sum(energy * y) / sum(energy), 2) AS yy, sum(energy * (z - 36624e-1) * (z - 36624e-1)) / sum(energy) - pow(sum(energy * (z - 36624e-1)) / sum(energy), 2) AS zz, sum(energy * x * y) / sum(energy) - sum(energy * x) / sum(energy) * sum(energy * y) / sum(energy) AS xy FROM single GROUP BY 1)")
 q("P30_event_panels", lambda c: fr.event_panels(c.hits, [1, 2, 3, 4, 5, 6, 7, 32, 33]), "event_number $panel i j ~e", "SELECT event_number, panel, floor(a / 20) AS i, floor(b / 20) AS j, sum(energy) AS e FROM (" + " UNION ALL ".join(f"SELECT event_number, '{n}_{a}{b}' AS panel, {a}{f} AS a, {b}{f} AS b, energy FROM hits" for n, f in (("lab", ""), ("trans", "t"), ("local", "l")) for a, b in ("xy", "xz", "yz")) + ") WHERE event_number IN (1, 2, 3, 4, 5, 6, 7, 32, 33) GROUP BY ALL")
 q("P31_density", lambda c: fr.density(fr.project_xy(c.hits), c.events.agg(F.count("*").alias("n_events")), 48.6 * 50.5), "ix iy ~density ~peak", "SELECT ix, iy, density, max(density) OVER () AS peak FROM (SELECT ix, iy, sum(m_e) / ((SELECT count(*) FROM ev) * 486e-1 * 505e-1) AS density FROM cells WHERE iz <= 2 GROUP BY ix, iy)")
 q("P32_floor_mask", lambda c: fr.floor_mask(fl.summed(c.hits, "ix", "iy", "iz"), 0.5), "drawn masked ~masked_e", "SELECT count(*) FILTER (WHERE r >= 5e-1) AS drawn, count(*) FILTER (WHERE r < 5e-1) AS masked, coalesce(sum(m_e) FILTER (WHERE r < 5e-1), 0) AS masked_e FROM (SELECT *, m_e / max(m_e) OVER () AS r FROM cells)")

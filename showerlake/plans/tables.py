@@ -83,7 +83,7 @@ q("L13_catalogue", lambda c: fs.catalogue(c.hits, c.events), "n_hits ~energy n_e
 
 # --- orders, sets, windows --------------------------------------------------------------------------
 q("O1_sorted_hits", lambda c: c.hits.repartitionByRange("event_number").sortWithinPartitions("event_number", "iz", "iy", "ix"), "event_number iz iy ix ~energy", "SELECT * FROM hits ORDER BY event_number, iz, iy, ix")
-q("O2_top_k", lambda c: fr.top_cells(c.events, "e_dep", 25, "event_number"), "event_number ~e_dep", "SELECT * FROM ev ORDER BY e_dep DESC, event_number LIMIT 25")
+q("O2_top_k", lambda c: fr.top_cells(c.events, "e_dep", 25, "event_number"), "event_number ~e_dep", "SELECT * FROM ev ORDER BY round(e_dep, 9) DESC, event_number LIMIT 25")
 q("O3_ordinal", lambda c: jn.ordinal(c.hits, "x"), "~x k", "SELECT x, row_number() OVER (ORDER BY x) - 1 AS k FROM (SELECT DISTINCT x FROM hits)")
 q("O4_stack", lambda c: c.events.select("event_number", F.col("e1").alias("e")).unionByName(c.events.select("event_number", F.col("e2").alias("e"))), "event_number ~e", "SELECT event_number, e1 AS e FROM ev UNION ALL SELECT event_number, e2 FROM ev")
 q("O5_distinct", lambda c: c.hits.select("ix", "iy", "origin").distinct(), "ix iy $origin", "SELECT DISTINCT ix, iy, origin FROM hits")

@@ -43,13 +43,13 @@ SELECT *, CASE WHEN origin = 'A+B' THEN 0e0 WHEN origin = 'A' THEN x - q_ax ELSE
 FROM ({PLACED}) moved_base"""
 
 HITS = f"""
-SELECT *, cos(theta) * cos(phi) * xt + cos(theta) * sin(phi) * yt - sin(theta) * zt AS xl, -sin(phi) * xt + cos(phi) * yt AS yl,
-  sin(theta) * cos(phi) * xt + sin(theta) * sin(phi) * yt + cos(theta) * zt AS zl
+SELECT *, round(cos(theta) * cos(phi) * xt + cos(theta) * sin(phi) * yt - sin(theta) * zt, 9) + 0e0 AS xl, round(cos(phi) * yt - sin(phi) * xt, 9) + 0e0 AS yl,
+  round(sin(theta) * cos(phi) * xt + sin(theta) * sin(phi) * yt + cos(theta) * zt, 9) + 0e0 AS zl
 FROM ({MOVED}) hits_base"""
 
 SINGLE = f"""
-SELECT *, cos(theta) * cos(phi) * xt + cos(theta) * sin(phi) * yt - sin(theta) * zt AS xl, -sin(phi) * xt + cos(phi) * yt AS yl,
-  sin(theta) * cos(phi) * xt + sin(theta) * sin(phi) * yt + cos(theta) * zt AS zl, CASE WHEN is_secondary = 0 THEN NULL ELSE 'gamma' END AS parent_type
+SELECT *, round(cos(theta) * cos(phi) * xt + cos(theta) * sin(phi) * yt - sin(theta) * zt, 9) + 0e0 AS xl, round(cos(phi) * yt - sin(phi) * xt, 9) + 0e0 AS yl,
+  round(sin(theta) * cos(phi) * xt + sin(theta) * sin(phi) * yt + cos(theta) * zt, 9) + 0e0 AS zl, CASE WHEN is_secondary = 0 THEN NULL ELSE 'gamma' END AS parent_type
 FROM (SELECT event_number, cell_id, min(ix) AS ix, min(iy) AS iy, min(iz) AS iz, min(x) AS x, min(y) AS y, min(z) AS z, min(x) - min(q_ax) AS xt, min(y) - min(q_ay) AS yt,
   min(z) - 36624e-1 AS zt, sum(energy) AS energy, min(p_a) AS p, min(bin_a) AS p_bin, min(theta_a) AS theta, min(phi_a) AS phi, min(is_secondary) AS is_secondary,
   min(particle_type) AS particle_type, min(daughter_type) AS daughter_type FROM ({MOVED}) single_base GROUP BY event_number, cell_id) single_cells"""
