@@ -288,10 +288,11 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, log_bits: int = LOG_BI
         again = large.groupBy("w").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
         hashed = large.join(again, "w").select("h", "fp", F.array("place").alias("starts"), F.array(F.col("place") + 1).alias("ends"))
         found = found.unionByName(hashed)
-    each = found.select("h", "fp", F.explode(F.arrays_zip("starts", "ends")).alias("_r")).select("h", "fp", F.col("_r.starts").alias("a"), F.col("_r.ends").alias("b"))
+    # One row for each kind of segment, so that its owners meet it once however many ranges it has.
+    each = found.groupBy("h", "fp").agg(F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))).alias("rs"))
     met = segments.select("h", "fp", "did", "th", "at").join(each, ["h", "fp"])
-    ranges = met.select("did", "th", F.struct((F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b")).alias("r"))
-    return ranges.groupBy("did", "th").agg(F.collect_set("r").alias("ranges"))
+    placed = F.transform("rs", lambda r: F.struct((F.col("at") + r["starts"]).alias("a"), (F.col("at") + r["ends"]).alias("b")))
+    return met.groupBy("did", "th").agg(F.flatten(F.collect_list(placed)).alias("ranges"))
 
 
 def covered(ranges: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
