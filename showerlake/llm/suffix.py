@@ -290,8 +290,8 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, log_bits: int = LOG_BI
         found = found.unionByName(hashed)
     # One row for each kind of segment, so that its owners meet it once however many ranges it has.
     each = found.groupBy("h", "fp").agg(F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))).alias("rs"))
-    # Periodic texts own one kind many times: a row for each document, with its places.
-    owned = segments.groupBy("h", "fp", "did", "th").agg(F.collect_list("at").alias("ats"))
+    # Periodic texts own one kind many times: a row for each document, with its places. Rows that are equal share them.
+    owned = segments.groupBy("h", "fp", "did", "th").agg(F.collect_set("at").alias("ats"))
     met = owned.join(each, ["h", "fp"])
     placed = F.flatten(F.transform("ats", lambda at: F.transform("rs", lambda r: F.struct((at + r["starts"]).alias("a"), (at + r["ends"]).alias("b")))))
     return met.groupBy("did", "th").agg(F.flatten(F.collect_list(placed)).alias("ranges"))
