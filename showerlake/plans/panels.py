@@ -87,7 +87,9 @@ def _moment_sql(source: str, cols: dict[str, str], keys: str = "") -> str:
 
 HM = _moment_sql("hits", {"x": "xl", "y": "yl", "z": "zl - 70", "e": "log10(energy) + 15e-1", "p": "p - 8", "t": "theta", "c": "cos(phi)", "s": "sin(phi)"})
 EM = _moment_sql("sh", {"p": "p - 8", "t": "theta", "c": "cos(phi)", "s": "sin(phi)"})
-q("V30_hit_moments", lambda c: pn.hit_moments(c.hits), "g n ~s_x ~s_y ~s_z ~s_e ~s_p ~s_t ~s_c ~s_s ~s_xx ~s_xy ~s_ze ~s_ep ~s_pt ~s_cs", HM)
+#: Sums of squares in mm have 14 digits, more than two orders of summation agree in; means per hit do not grow with the data.
+MEANS = "x y z e p t c s xx xy ze ep pt cs".split()
+q("V30_hit_moments", lambda c: pn.hit_moments(c.hits).select("g", "n", *[(F.col(f"s_{m}") / F.col("n")).alias(f"m_{m}") for m in MEANS]), "g n " + " ".join(f"~m_{m}" for m in MEANS), f"SELECT g, n, {', '.join(f's_{m} / n AS m_{m}' for m in MEANS)} FROM ({HM})")
 q("V31_event_moments", lambda c: pn.event_moments(c.showers), "g n ~s_p ~s_t ~s_c ~s_s ~s_pp ~s_pt ~s_pc ~s_cs", EM)
 q("V31_event_moments_by_hits", lambda c: pn.event_moments(c.showers, True), "g n ~s_p ~s_t ~s_c ~s_pt", "SELECT event_number % 64 AS g, sum(n_own) AS n, sum(n_own * p) AS s_p, sum(n_own * theta) AS s_t, sum(n_own * cos(phi)) AS s_c, sum(n_own * p * theta) AS s_pt FROM sh GROUP BY 1")
 
