@@ -3,8 +3,11 @@
 A document is the set of its 5-word shingles. Each run sends a set to a bucket for each of its
 tokens whose hash of the run falls under 1 / (threshold * size), so two similar sets
 meet in a bucket with a chance of two thirds; a bucket that is still large is split again on other
-sampled tokens, level by level, and runs repeat until the target recall. Small buckets
-are compared by brute force, on sketches; what may be similar is linked, and the sets linked so,
+sampled tokens, level by level, and runs repeat until the target recall: a pair at the threshold
+that is split over k levels is found by a run with a chance of (2/3)^k, so sets of buckets that are split
+twice and more are sent through more runs. Small buckets are compared by brute force, on sketches;
+a last bucket beyond a bound is dealt over many tasks in blocks, each of which meets the same few pivots,
+and sets that no pivot covers meet block against block; what may be similar is linked, and the sets linked so,
 directly or over others, are then compared exactly, all pairs of them, in tiles of bounded size. No
 pair of documents is ever a row: a tile gives each of its sets the number of its links.
 
@@ -28,9 +31,14 @@ from .substring import keyed
 
 SHINGLE = 5
 THRESHOLD = 0.8
-RUNS = 16  # at most 32
+#: Runs of all sets, and of sets in buckets that are split twice and more. At the threshold, a pair's recall is
+#: 1 - (1 - (2/3)^k)^runs: with 16 runs over 0.9999 to two levels; with 32 over 0.9999 at three levels and 0.9991 at four.
+FIRST_RUNS, RUNS = 16, 32  # at most 32
 LEVELS = 4
 SMALL_BUCKET = 48
+#: Sets of one bucket that a task compares; a tile of two blocks has about twice as many.
+LARGE_BUCKET = 2_048
+PIVOTS, PIVOT_ROUNDS = 64, 3
 SKETCH = 128
 #: Estimated similarity from which sets of a small bucket are linked: the threshold less five deviations of the sketch.
 MAYBE = THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / SKETCH) ** 0.5
@@ -74,8 +82,10 @@ def _described(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[
         yield pa.RecordBatch.from_pydict({"did": batch.column(0), "th": batch.column(1), "sh": pa.array(out["sh"], pa.int64()), "n": pa.array(out["n"], pa.int32()), "sketch": pa.array(out["sketch"], pa.binary()), **lists})
 
 
-def leaf_buckets(sets: DataFrame, small: int) -> DataFrame:
-    """path, sh: the buckets of two sets and more in which splitting ends. `sets` has a row for each sh."""
+def leaf_buckets(sets: DataFrame, small: int) -> tuple[DataFrame, DataFrame | None]:
+    """path, sh, size: the buckets of two sets and more in which splitting ends; and sh of the sets in buckets that are
+    split twice and more. `sets` has a row for each sh."""
+    deep = None
     rows = sets.select("sh", F.explode("t1").alias("path"))
     leaves = None
     for level in range(1, LEVELS + 1):
@@ -86,10 +96,25 @@ def leaf_buckets(sets: DataFrame, small: int) -> DataFrame:
         large = sized.filter(F.col("size") > small).select("path", "sh")
         if level == LEVELS or large.isEmpty():
             break
-        run = lambda c: F.col(c).bitwiseAND(31)
-        deeper = large.join(sets.select("sh", F.col(f"t{level + 1}").alias("t")), "sh").select("path", "sh", F.explode("t").alias("t")).filter(run("path") == run("t"))
-        rows = deeper.select("sh", F.xxhash64("path", "t").bitwiseAND(~31).bitwiseOR(run("path")).alias("path"))
-    return leaves.select("path", "sh", "size")
+        if level == 2:
+            deep = large.select("sh").distinct()
+        run = F.col("path").bitwiseAND(31)
+        own = F.filter(f"t{level + 1}", lambda t: t.bitwiseAND(31) == run)
+        deeper = large.join(sets.select("sh", f"t{level + 1}"), "sh").select("path", "sh", F.explode(own).alias("t"))
+        rows = deeper.select("sh", F.xxhash64("path", "t").bitwiseAND(~31).bitwiseOR(run).alias("path"))
+    return leaves.select("path", "sh", "size"), deep
+
+
+def all_leaves(base: DataFrame, small: int) -> DataFrame:
+    """The buckets of the first runs, and those of the other runs for the sets that need them."""
+    levels = [f"t{level + 1}" for level in range(LEVELS)]
+    some = lambda df, rule: df.groupBy("sh").agg(*[F.first(F.filter(c, rule)).alias(c) for c in levels])
+    worded = base.filter("n > 0")
+    leaves, deep = leaf_buckets(some(worded, lambda t: t.bitwiseAND(31) < FIRST_RUNS), small)
+    if deep is None:
+        return leaves
+    again = written(some(worded.join(written(deep, "deep"), "sh", "left_semi"), lambda t: t.bitwiseAND(31) >= FIRST_RUNS), "deep-sets")
+    return leaves.unionByName(leaf_buckets(again, small)[0])
 
 
 def _estimates(pivot: np.ndarray, values: np.ndarray, owner: np.ndarray, ends: np.ndarray, full: np.ndarray) -> np.ndarray:
@@ -166,6 +191,64 @@ def _linked(batches: Iterator[pa.RecordBatch], small: int) -> Iterator[pa.Record
     yield batch()
 
 
+def _met_by_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows: path, block, kind (0: pivot, 1: member), sh, sketch; sorted by the first four. Out: links, and path and sh of
+    each member that no pivot covers."""
+    out: list[tuple] = []
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], names=["path", "sh", "u", "v"])
+    for (path, _), rows in _groups(batches, 2):
+        pivots, members = [r for r in rows if r[2] == 0], [r for r in rows if r[2] == 1]
+        if not members:
+            continue
+        ids, sketches = np.array([r[3] for r in members], np.int64), [np.frombuffer(r[4], np.uint32) for r in members]
+        values, owner = np.concatenate(sketches).astype(np.int64), np.repeat(np.arange(len(ids)), [len(s) for s in sketches])
+        ends = np.array([s[-1] for s in sketches], np.int64)
+        full = np.array([len(s) == SKETCH for s in sketches])
+        active = np.ones(len(ids), bool)
+        links = []
+        for p in pivots:
+            if not active.any():
+                break
+            keep = active[owner]
+            est = _estimates(np.frombuffer(p[4], np.uint32).astype(np.int64), values[keep], owner[keep], ends, full)
+            est[~active] = 0
+            links += [(p[3], int(i)) for i in ids[est >= NEAR_PIVOT] if i != p[3]]
+            active &= (est < COVERED) & (ids != p[3])
+        out += [(None, None, u, v) for u, v in _star(links)]
+        out += [(path, int(i), None, None) for i in ids[active]]
+        if len(out) > 50_000:
+            yield batch()
+            out = []
+    yield batch()
+
+
+def bounded_buckets(leaves: DataFrame, sketches: DataFrame, large: int) -> tuple[DataFrame, list[DataFrame]]:
+    """path, sh: buckets of at most `large` sets and tiles of about twice as many, in place of any larger ones; and links.
+
+    The sets of a larger bucket are dealt into blocks, and its pivots are sent to each. As within one bucket, what is similar
+    to a covered set is linked to the same pivot, so covered sets are done; the others go on, with new pivots. A block
+    meets each other block of what is left after some rounds, so no pair is lost."""
+    done, links = leaves.filter(F.col("size") <= large).select("path", "sh"), []
+    big = leaves.filter(F.col("size") > large)
+    blocks = F.ceil(F.col("size") / large).cast("int")
+    block = F.pmod(F.xxhash64("sh"), blocks).cast("int").alias("block")
+    for turn in range(PIVOT_ROUNDS):
+        if big.isEmpty():
+            return done, links
+        pivots = big.groupBy("path", F.pmod(F.xxhash64("sh", F.lit(turn)), F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct(F.xxhash64("path", "sh"), "sh")).alias("one"), F.first("size").alias("size"))
+        pivots = pivots.select("path", "size", F.col("one.sh").alias("sh")).join(sketches, "sh").select("path", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(0).alias("kind"), "sh", "sketch")
+        members = big.join(sketches, "sh").select("path", block, F.lit(1).alias("kind"), "sh", "sketch")
+        dealt = pivots.unionByName(members).repartition("path", "block").sortWithinPartitions("path", "block", "kind", "sh")
+        met = written(dealt.mapInArrow(_met_by_pivots, "path long, sh long, u long, v long"), "pivots")
+        links.append(met.filter("u is not null").select("u", "v"))
+        left = met.filter("path is not null").select("path", "sh")
+        left = left.join(left.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1"), "path")
+        done = done.unionByName(left.filter(F.col("size") <= large).select("path", "sh"))
+        big = left.filter(F.col("size") > large)
+    tiles = big.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return done.unionByName(tiles.select(F.xxhash64("path", F.least("block", "other"), F.greatest("block", "other")).alias("path"), "sh")), links
+
+
 def similar_pairs(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     """Which pairs of sets have a Jaccard similarity of the threshold or more, exactly."""
     sizes = np.array([len(s) for s in sets])
@@ -214,16 +297,18 @@ def _compared(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[p
     yield batch()
 
 
-def joined(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMALL_BUCKET, tile: int = TILE) -> DataFrame:
+def joined(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMALL_BUCKET, tile: int = TILE, large: int = LARGE_BUCKET) -> DataFrame:
     """One row per document: doc_id, th (hash of its text), class_id (the smallest doc_id that it is linked to, directly or
     over others, itself included) and n_links (documents of at least the threshold's similarity, copies included)."""
     rows = keyed(docs, F.col("doc_id").cast("long").alias("_id"))
     base = written(rows.select("did", "th", "text").mapInArrow(lambda b: _described(b, threshold), BASE), "sets")
-    sets = base.filter("n > 0").groupBy("sh").agg(*[F.first(c).alias(c) for c in ("t1", "t2", "t3", "t4")])
-    leaves = written(leaf_buckets(sets, small), "leaves")
+    leaves = written(all_leaves(base, small), "leaves")
     sketches = base.filter("n > 0").select("sh", "sketch").dropDuplicates(["sh"])
-    filled_leaves = leaves.join(sketches, "sh").select("path", "sh", "sketch")
+    bounded, by_pivots = bounded_buckets(leaves, sketches, large)
+    filled_leaves = bounded.join(sketches, "sh").select("path", "sh", "sketch")
     links = filled_leaves.repartition("path").sortWithinPartitions("path").mapInArrow(lambda b: _linked(b, small), "u long, v long")
+    for more in by_pivots:
+        links = links.unionByName(more)
     found = components(links)
     members = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "sh")
     sizes = members.groupBy("root").agg(F.count("*").alias("m"))

@@ -156,6 +156,37 @@ def test_join_of_large_buckets_and_tiles(spark):
     assert sortable(got.collect()) == sortable(brute_join(texts))
 
 
+def test_join_of_buckets_beyond_one_task(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(90):
+        w = list(base)
+        w[rng.randrange(120)] = f"x{i}"
+        texts.append((i, " ".join(w)))
+    # Similar to each other, but to no pivot but one of their own; and pairs of near copies among them.
+    for i in range(40):
+        own = [f"y{i // 2}_{j}" for j in range(60)]
+        texts.append((1000 + i, " ".join(base + own + [f"z{i}"])))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    want = sortable(brute_join(texts))
+    most = []
+    whole = ngram_join.bounded_buckets
+
+    def seen(*args):
+        done, links = whole(*args)
+        most.append((args[0].groupBy("path").count().agg({"count": "max"}).first()[0], done.groupBy("path").count().agg({"count": "max"}).first()[0] or 0))
+        return done, links
+
+    monkeypatch.setattr(ngram_join, "bounded_buckets", seen)
+    for pivots, rounds in ((64, 3), (1, 1)):  # the second leaves tiles to be met
+        monkeypatch.setattr(ngram_join, "PIVOTS", pivots)
+        monkeypatch.setattr(ngram_join, "PIVOT_ROUNDS", rounds)
+        got = ngram_join.joined(docs, small=4, tile=16, large=8).select("doc_id", "class_id", "n_links")
+        assert sortable(got.collect()) == want
+        assert most[-1][0] > 30 and most[-1][1] <= 2 * 8 + 16
+
+
 def test_suffix_array():
     import numpy as np
 
