@@ -174,7 +174,7 @@ q("T6_ratio_ci", lambda c: es.ratio_ci(c.showers, ["b", "bin"], F.col("e_own"),
 q("T7_wilson", lambda c: two(c.events.groupBy(F.floor("e1").alias("bin")).agg(F.count("*").alias("n"), F.count_if(F.col("n_ab") > 0).alias("k")), es.wilson(F.col("k"), F.col("n"))), "bin n k ~lo ~hi", f"SELECT *, {WILSON.format(s='-')} AS lo, {WILSON.format(s='+')} AS hi FROM (SELECT floor(e1) AS bin, count(*) AS n, count(*) FILTER (WHERE n_ab > 0) AS k FROM ev GROUP BY 1)")
 q("T8_fisher_ci", lambda c: two(c.showers.groupBy("b").agg(F.corr("p", "e_own").alias("r"), F.count("*").alias("n")), es.fisher_ci(F.col("r"), F.col("n"))), "b n ~r ~lo ~hi", f"SELECT *, tanh(atanh(r) - {Z} / sqrt(n - 3)) AS lo, tanh(atanh(r) + {Z} / sqrt(n - 3)) AS hi FROM (SELECT b, corr(p, e_own) AS r, count(*) AS n FROM sh GROUP BY b)")
 q("T9_mae_rmse", lambda c: es.mae_rmse(c.showers, ["b"], F.col("energy_pred") - F.col("p")), "b n ~mae ~mae_lo ~mae_hi ~rmse ~rmse_lo ~rmse_hi ~bias", f"SELECT *, mae - {T} * sa / sqrt(n) AS mae_lo, mae + {T} * sa / sqrt(n) AS mae_hi, sqrt(mse) AS rmse, sqrt(greatest(0, mse - {T} * sq / sqrt(n))) AS rmse_lo, sqrt(mse + {T} * sq / sqrt(n)) AS rmse_hi FROM (SELECT b, count(*) AS n, avg(abs(e)) AS mae, stddev_samp(abs(e)) AS sa, avg(e * e) AS mse, stddev_samp(e * e) AS sq, avg(e) AS bias FROM (SELECT b, energy_pred - p AS e FROM sh) GROUP BY b)")
-q("T10_bootstrap", lambda c: es.bootstrap(c.showers, ["b"], "p", ["event_number", "b"]), "b ~se ~n ~lo ~hi")
+q("T10_bootstrap", lambda c: es.bootstrap(c.showers, ["b"], "p", ["event_number", "b"], F.col("energy_pred") - F.col("p")), "b n n_rmse ~se ~lo ~hi ~width_se ~width_lo ~width_hi ~rmse_se ~rmse_lo ~rmse_hi")
 q("T11_median_order_ci", lambda c: es.median_order_ci(c.showers, ["b", "bin"], "e_own"), "b bin n ~lo ~hi", f"SELECT b, bin, n, max(e_own) FILTER (WHERE k = j) AS lo, max(e_own) FILTER (WHERE k = n + 1 - j) AS hi FROM (SELECT *, greatest(1, floor((n - {Z} * sqrt(n)) / 2)) AS j FROM (SELECT b, bin, e_own, row_number() OVER (PARTITION BY b, bin ORDER BY e_own) AS k, count(*) OVER (PARTITION BY b, bin) AS n FROM sh)) WHERE n >= 6 GROUP BY ALL")
 q("T12_robust_width", lambda c: es.robust_width(c.showers.withColumn("v", F.col("e_own") / F.col("p")), ["b"], "v"), "b n ~median ~sigma ~width ~tail", "WITH m AS (SELECT b, median(v) AS median, (quantile_cont(v, 75e-2) - quantile_cont(v, 25e-2)) / 1349e-3 AS sigma, count(*) AS n FROM (SELECT b, e_own / p AS v FROM sh) GROUP BY b) SELECT m.b, n, median, sigma, sigma / median AS width, CASE WHEN n >= 300 THEN far / CAST(n AS DOUBLE) END AS tail FROM m JOIN (SELECT sh.b, count(*) FILTER (WHERE abs(e_own / p - median) > 3 * sigma) AS far FROM m JOIN sh ON m.b = sh.b GROUP BY sh.b) k ON m.b = k.b")
 q("T13_circular", lambda c: es.circular(c.showers, ["b"], "phi"), "b n ~c ~s ~mean ~r ~sd ~rayleigh_p", "SELECT *, atan2(s, c) AS mean, sqrt(c * c + s * s) / n AS r, sqrt(-2 * ln(sqrt(c * c + s * s) / n)) AS sd, exp(-(c * c + s * s) / n) AS rayleigh_p FROM (SELECT b, count(*) AS n, sum(cos(phi)) AS c, sum(sin(phi)) AS s FROM sh GROUP BY b)")
