@@ -37,15 +37,21 @@ def text_column(name: str = "text") -> Column:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see, from spark.checkpoint.dir; set here only where it is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        rdd_dir = spark.sparkContext.getCheckpointDir()
-        found = rdd_dir or "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
-        if not rdd_dir:
-            spark.sparkContext.setCheckpointDir(found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
+        spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, or with a number after it if `df` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (name, *(f"{name}_{i}" for i in range(len(taken) + 1))) if n.lower() not in taken)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: its lineage ends here, and a lost executor costs none of it."""
     path = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"

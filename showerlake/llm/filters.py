@@ -17,28 +17,34 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import U64, mix
 
-SLICES = 64
 LOG_BITS = 28
+SLICE_BITS = 20
 _FIELDS = pa.schema([("slice", pa.int32()), ("hashes", pa.binary())])
 
 
+def _slices(log_bits: int) -> int:
+    """Slices of 2**SLICE_BITS bits, as a power of two; at least 64 of them, so that as many tasks fill the filter."""
+    return max(6, log_bits - SLICE_BITS)
+
+
 def _places(h: np.ndarray, log_bits: int) -> list[np.ndarray]:
     """Three bit places of each hash, all in its slice."""
-    g, mask = mix(h), U64((1 << (log_bits - 6)) - 1)
-    base = (h >> U64(58)) << U64(log_bits - 6)
+    s = _slices(log_bits)
+    g, mask = mix(h), U64((1 << (log_bits - s)) - 1)
+    base = (h >> U64(64 - s)) << U64(log_bits - s)
     return [(base | ((g >> U64(shift)) & mask)).astype(np.int64) for shift in (0, 21, 42)]
 
 
-def by_slice(h: np.ndarray) -> pa.RecordBatch:
+def by_slice(h: np.ndarray, log_bits: int) -> pa.RecordBatch:
     """Hashes as one row for each slice."""
-    h = np.sort(h)
-    cut = np.searchsorted(h, np.arange(1, SLICES, dtype=U64) << U64(58))
+    h, s = np.sort(h), _slices(log_bits)
+    cut = np.searchsorted(h, np.arange(1, 1 << s, dtype=U64) << U64(64 - s))
     parts = [(i, x.tobytes()) for i, x in enumerate(np.split(h, cut)) if len(x)]
     return pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], schema=_FIELDS)
 
 
 def _fill(batches: Iterator[pa.RecordBatch], log_bits: int) -> Iterator[pa.RecordBatch]:
-    size = 1 << (log_bits - 6)
+    size = 1 << (log_bits - _slices(log_bits))
     found: dict[int, list[np.ndarray]] = {}
     for batch in batches:
         for i, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -66,14 +72,14 @@ def fill(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray
                 held.append(h)
                 n += len(h)
                 if n >= 1 << 20:
-                    yield by_slice(np.concatenate(held))
+                    yield by_slice(np.concatenate(held), log_bits)
                     held, n = [], 0
         if n:
-            yield by_slice(np.concatenate(held))
+            yield by_slice(np.concatenate(held), log_bits)
 
-    rows = docs.mapInArrow(sliced, "slice int, hashes binary").repartition(SLICES, "slice")
+    rows = docs.mapInArrow(sliced, "slice int, hashes binary").repartition(1 << _slices(log_bits), "slice")
     filled = rows.mapInArrow(lambda b: _fill(b, log_bits), "slice int, once binary, twice binary").select("slice", *which).collect()
-    out = [np.zeros((SLICES, 1 << (log_bits - 9)), np.uint8) for _ in which]
+    out = [np.zeros((1 << _slices(log_bits), 1 << (log_bits - _slices(log_bits) - 3)), np.uint8) for _ in which]
     while filled:
         row = filled.pop()
         for bits, name in zip(out, which, strict=True):

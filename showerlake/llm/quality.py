@@ -7,7 +7,8 @@ two features. A score is a vectorised sum of looked-up values.
 The model is fitted on at most about `sample_rows` labelled documents, chosen by a hash of
 doc_id; everything else covers all rows. Inputs of a score are counts of the text alone.
 Null and empty texts get the score of their (zero) counts. Repeated rows get equal
-scores. Without labels of both kinds the score is the share of label 1 (one half if none).
+scores. Other columns pass through, whatever their names. A text beyond one chunk is scored like any other; the arrays
+of its words and bytes stand in one task. Without labels of both kinds the score is the share of label 1 (one half if none).
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, U64, filled, gram_hashes, powers, text_chunks, text_column, word_hashes, words_of
+from .common import SPACE, U64, filled, fresh, gram_hashes, powers, text_chunks, text_column, word_hashes, words_of
 
 SAMPLE_ROWS = 20_000
 BINS, PAIR_BINS, N_PAIRS = 48, 12, 6
@@ -193,15 +194,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, usable: Column, sample_r
     return AdditiveModel(x[order], rows["y"].to_numpy(np.float64)[order])
 
 
-def _scored(batches: Iterator[pa.RecordBatch], model: AdditiveModel) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], model: AdditiveModel, text: str, name: str) -> Iterator[pa.RecordBatch]:
+    """The last column is the text that is scored; its score takes its place."""
     for batch in batches:
-        scores = [model.score(features(data, offsets)) for _, _, data, offsets in text_chunks(filled(batch, "_text"))]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=[*batch.schema.names[:-1], "_score"])
+        scores = [model.score(features(data, offsets)) for _, _, data, offsets in text_chunks(filled(batch, text))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=[*batch.schema.names[:-1], name])
 
 
-def with_score(docs: DataFrame, model: AdditiveModel) -> DataFrame:
-    """The rows of `docs` with `_score`. No shuffle."""
+def with_score(docs: DataFrame, model: AdditiveModel, name: str = "_score") -> DataFrame:
+    """The rows of `docs` with their score as the last column, `name`, which `docs` must not have. No shuffle."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    schema = StructType([*docs.schema.fields, StructField("_score", DoubleType())])
-    return docs.withColumn("_text", text_column()).mapInArrow(lambda b: _scored(b, model), schema)
+    if fresh(docs, name) != name:
+        raise ValueError(f"the rows have a column {name}")
+    text = fresh(docs, "_text")
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
+    return docs.withColumn(text, text_column()).mapInArrow(lambda b: _scored(b, model, text, name), schema)

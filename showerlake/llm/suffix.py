@@ -11,7 +11,8 @@ any number of copies is one row, and its windows are repeated without sorting.
 The segments of one hash that differ are sorted together; where they exceed `group_bytes` in all,
 their windows are grouped by hash over the cluster instead, so no task holds such a group.
 
-Null texts are empty. Rows that are equal in doc_id and text are copies like any others: a long one loses
+Null texts are empty. Other columns pass through. A text beyond one chunk is cut like any other; its anchors are
+found part by part, its hashes stand in one task. Rows that are equal in doc_id and text are copies like any others: a long one loses
 all its bytes. Matches never cross texts. Places are bytes of UTF-8.
 """
 
@@ -107,6 +108,23 @@ def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def common_prefixes(t: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """How many bytes the suffixes at a[i] and b[i] have in common, up to `most`; eight bytes at a time."""
+    padded = np.concatenate([t, np.zeros(most + 16, np.uint8)]).astype(U64)
+    eight = sum((padded[j : len(padded) - 8 + j] << U64(8 * j) for j in range(1, 8)), padded[: len(padded) - 8])
+    out, live = np.full(len(a), most, np.int64), np.arange(len(a))
+    for k in range(0, most, 8):
+        x = eight[a[live] + k] ^ eight[b[live] + k]
+        ended = x != 0
+        if ended.any():
+            first = ((x[ended, None] >> (U64(8) * np.arange(8, dtype=U64))) & U64(255) != 0).argmax(1)
+            out[live[ended]] = np.minimum(most, k + first)
+            live = live[~ended]
+        if not len(live):
+            break
+    return out
+
+
 def repeated_starts(segments: list[bytes], counts: list[int], length: int) -> list[np.ndarray]:
     """For each segment, which of its windows (all that fit into it) start in another place of the segments too."""
     t = np.frombuffer(SEPARATOR.join(segments) + SEPARATOR, np.uint8)
@@ -117,13 +135,7 @@ def repeated_starts(segments: list[bytes], counts: list[int], length: int) -> li
     order = suffix_array(t, length)
     order = order[windows[order]]
     a, b = order[:-1], order[1:]
-    for at in (0, 8, length // 2, length - 8):  # most neighbours differ early
-        same = np.ones(len(a), bool)
-        for j in range(8):
-            same &= t[a + at + j] == t[b + at + j]
-        a, b = a[same], b[same]
-    raw = t.tobytes()
-    met = np.fromiter((raw[i : i + length] == raw[j : j + length] for i, j in zip(a.tolist(), b.tolist(), strict=True)), bool, len(a))
+    met = common_prefixes(t, a, b, length) == length
     hit = np.zeros(len(t), bool)
     hit[a[met]] = hit[b[met]] = True
     return [hit[s : s + n] for s, n in zip(starts, counts, strict=True)]
@@ -334,9 +346,14 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, with_text: bool) -> Ite
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False, **how) -> DataFrame:
-    """The rows of `docs` with n_bytes, n_removed, n_spans, kept_sha256 and (with_text; else null) the kept text as `_kept`."""
+    """The rows of `docs` with n_bytes, n_removed, n_spans, kept_sha256 and (with_text; else null) the kept text as `_kept`.
+
+    `docs` must not have columns of these names; one that may have them is passed as a struct (see corpus_pipeline.py)."""
     from pyspark.sql.types import StructType, _parse_datatype_string
 
+    clash = {c.lower() for c in docs.columns} & {c.split()[0] for c in DONE.split(", ")}
+    if clash:
+        raise ValueError(f"the rows have columns {', '.join(sorted(clash))}")
     found = repeated_bytes(docs, length, **how)
     own = [c for c in docs.columns if c != "text"]
     rows = keyed(docs, *[F.col(c).alias(f"_own_{i}") for i, c in enumerate(own)])

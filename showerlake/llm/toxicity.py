@@ -5,10 +5,11 @@ chance that one sentence at least is toxic. The word weights are trained from la
 documents, and the sentence scores then locate what offends.
 
 The model is fitted on at most about `per_label` documents of each label, chosen by a hash
-of doc_id and weighted back to the labels' true shares; everything else covers all rows. A word is a run of ASCII letters and
+of doc_id and weighted back to the labels' true shares; everything else covers all rows. Only what is learned from goes to the driver. A word is a run of ASCII letters and
 digits and of bytes of other scripts, ASCII case ignored; sentences end at . ! ? and line ends. Beside a word
 its beginnings of 4 to 8 bytes count, since a stem may have more endings than the sample shows.
-Null and empty texts have no sentence and score 0. Repeated rows get equal scores.
+Null and empty texts have no sentence and score 0; a text beyond one chunk is scored like any other. Other columns are
+not looked at, whatever their names. Repeated rows get equal scores.
 Without labels of both kinds every text scores the share of label 1 (0 if none).
 """
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, filled, signed, text_chunks, text_column, word_hashes
+from .common import U64, filled, signed, text_chunks, text_column, word_hashes, written
 from .quality import labelled_sample
 
 PER_LABEL = 2_000
@@ -73,23 +74,13 @@ class NoisyOr:
 
     @classmethod
     def trained(cls, words: np.ndarray, sentence: np.ndarray, owner: np.ndarray, y: np.ndarray, weight: np.ndarray) -> NoisyOr:
-        """words: hashes; sentence: of each word; owner: document of each sentence; y, weight: of each document."""
+        """words: hashes of what is learned from; sentence: of each; owner: document of each sentence; y, weight: of each document."""
         share = float((y * weight).sum() / weight.sum()) if len(y) else 0.0
         model = cls(share)
         if not 0 < share < 1:
             return model
         known, code = np.unique(words, return_inverse=True)
-        pairs = np.unique(code.astype(np.int64) * len(y) + owner[sentence])
-        of, doc = pairs // len(y), pairs % len(y)
-        seen = [np.bincount(of[y[doc] == v], minlength=len(known)) for v in (0, 1)]
-        n = [max(1, int((y == v).sum())) for v in (0, 1)]
-        both = (seen[0] + seen[1]) / (n[0] + n[1])
-        far = np.abs(seen[1] / n[1] - seen[0] / n[0]) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n[0] + 1 / n[1]))
-        common = (seen[0] + seen[1] >= MIN_DOCUMENTS) & (far >= MIN_DEVIATIONS)
-        new = np.cumsum(common) - 1
-        keep = common[code]
-        code, sentence = new[code[keep]], sentence[keep]
-        params, m, v = np.zeros(int(common.sum()) + 1), 0.0, 0.0
+        params, m, v = np.zeros(len(known) + 1), 0.0, 0.0
         params[-1] = np.log(share / (1 - share)) - 3
         weight = weight / weight.sum()
         for step in range(1, STEPS + 1):
@@ -101,7 +92,7 @@ class NoisyOr:
             grad = np.append(np.bincount(code, dz[sentence], len(params) - 1) + RIDGE * params[:-1], dz.sum())
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
             params -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        model.constant, model.words, model.weights, model.bias = None, known[common], params[:-1], float(params[-1])
+        model.constant, model.words, model.weights, model.bias = None, known, params[:-1], float(params[-1])
         model.may_be = np.zeros(1 << 16, bool)
         model.may_be[(model.words >> U64(48)).astype(np.int64)] = True
         return model
@@ -138,13 +129,43 @@ def _scored(batches: Iterator[pa.RecordBatch], model: NoisyOr, located: float) -
             yield pa.RecordBatch.from_pydict({"doc_id": ids.slice(first, n), "score": score, "n_sentences": np.bincount(owner, minlength=n).astype(np.int32), "offending": pa.array(spans, pa.list_(_SPAN))})
 
 
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each text of the sample: its word hashes, the sentence of each, and how many sentences it has."""
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each word or stem and label: how many texts of the batch hold it."""
+    for batch in batches:
+        y = batch.column(batch.schema.get_field_index("y")).to_numpy()
+        for first, _, data, offsets in text_chunks(filled(batch)):
+            h, sentence, _, _, owner = sentences(data, offsets)
+            doc = owner[sentence]
+            order = np.lexsort((doc, h))
+            h, doc = h[order], doc[order]
+            new = np.concatenate([h[:1] == h[:1], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])
+            h, toxic = h[new], y[first + doc[new]] == 1
+            head = np.flatnonzero(np.concatenate([h[:1] == h[:1], h[1:] != h[:-1]]))
+            n, n1 = (np.add.reduceat(x.astype(np.int64), head) if len(head) else np.zeros(0, np.int64) for x in (np.ones(len(h)), toxic))
+            yield pa.RecordBatch.from_pydict({"h": signed(h[head]), "n0": n - n1, "n1": n1})
+
+
+def learned(sample: DataFrame) -> np.ndarray:
+    """Sorted hashes of the words and stems that MIN_DOCUMENTS of the sample's texts hold, and whose share differs between the
+    labels by MIN_DEVIATIONS. They come to the driver: what a bounded sample can hold so often is bounded."""
+    n = [F.greatest(F.lit(1), F.count_if(F.col("y") == v)).alias(f"t{v}") for v in (0, 1)]
+    seen = sample.select("text", "y").mapInArrow(_seen, "h long, n0 long, n1 long").groupBy("h").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    seen = seen.filter(F.col("n0") + F.col("n1") >= MIN_DOCUMENTS).crossJoin(F.broadcast(sample.agg(*n)))  # one row of totals
+    both = (F.col("n0") + F.col("n1")) / (F.col("t0") + F.col("t1"))
+    spread = F.sqrt(F.greatest(both * (1 - both), F.lit(1e-12)) * (1 / F.col("t0") + 1 / F.col("t1")))
+    found = seen.filter(F.abs(F.col("n1") / F.col("t1") - F.col("n0") / F.col("t0")) >= MIN_DEVIATIONS * spread).select("h").toPandas()
+    return np.sort(found["h"].to_numpy(np.int64).view(U64))
+
+
+def _bags(batches: Iterator[pa.RecordBatch], known: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each text of the sample: its known words, the sentence of each, and how many sentences it has."""
     for batch in batches:
         y = batch.column(batch.schema.get_field_index("y")).to_numpy()
         ids = batch.column(0).to_numpy()
         for first, end, data, offsets in text_chunks(filled(batch)):
             h, sentence, _, _, owner = sentences(data, offsets)
+            keep = np.isin(h, known)
+            h, sentence = h[keep], sentence[keep]
             order = np.argsort(sentence, kind="stable")
             h, sentence = h[order], sentence[order]
             docs = np.arange(end - first + 1)
@@ -158,7 +179,9 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_label: int = PER_LABEL) -> NoisyOr:
     sample, stands_for = labelled_sample(docs, labels, label, usable, per_label, by_class=True)
-    rows = sample.select(F.col("doc_id").cast("long"), "text", "y").mapInArrow(_bags, "doc_id long, y int, n int, words array<long>, sentence array<int>").toArrow().to_pandas()
+    sample = written(sample, "toxicity-sample")
+    known = learned(sample)
+    rows = sample.select(F.col("doc_id").cast("long"), "text", "y").mapInArrow(lambda b: _bags(b, known), "doc_id long, y int, n int, words array<long>, sentence array<int>").toArrow().to_pandas()
     rows = rows.sort_values(["doc_id", "y"], kind="stable")
     y = rows["y"].to_numpy(np.float64)
     if not len(rows):

@@ -200,7 +200,7 @@ def test_filter_loses_nothing():
     import numpy as np
 
     h = np.random.default_rng(0).integers(0, 1 << 63, 1000).astype(np.uint64)
-    rows = list(filters._fill(iter([filters.by_slice(h)]), 12))
+    rows = list(filters._fill(iter([filters.by_slice(h, 12)]), 12))
     once = np.zeros((64, 8), np.uint8)
     for r in rows:
         for i, x in zip(r.column(0).to_pylist(), r.column(1).to_pylist()):
