@@ -11,14 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from showerlake.llm import mixing, ngram_join, packing, quality, queries, suffix
-from showerlake.llm.common import table, written
+from showerlake.llm.common import fresh, table, written
+
+#: A passage of over 50 words goes if it repeats: words of four bytes at least, blanks among them, are 200 bytes.
+REPEAT_BYTES = 200
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject. It learns from the labels that are not held out."""
     labels = table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels, "quality", ~queries.held_out(3, 1))
-    return quality.with_score(docs, model).filter("_score >= 0.5").drop("_score")
+    score = fresh(docs, "_score")
+    return quality.with_score(docs, model, score).filter(F.col(score) >= 0.5).drop(score)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,10 +31,13 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The texts without the bytes of repeated strings; a cut inside a character drops what is left of it. A document of which nothing is left goes."""
-    cut = suffix.without_repeats(docs, with_text=True).filter((F.length("_kept") > 0) | (F.col("n_bytes") == 0))
-    new = {"text": F.col("_kept")} | ({"n_chars": F.length("_kept").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return cut.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    """The texts without the bytes of repeated strings of REPEAT_BYTES; a cut inside a character drops what is left of it.
+    A document of which nothing is left goes."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *rest).alias("_row"))
+    cut = suffix.without_repeats(rows, REPEAT_BYTES, with_text=True).filter((F.length("_kept") > 0) | (F.col("n_bytes") == 0))
+    new = {"text": F.col("_kept"), "doc_id": F.col("doc_id"), "n_chars": F.length("_kept")}
+    return cut.select(*[new.get(c, F.col("_row")[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
