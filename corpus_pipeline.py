@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from showerlake.llm import mixing, ngram_join, packing, quality, queries, suffix
 from showerlake.llm.common import fresh, table, written
 
-#: A passage of over 50 words goes if it repeats: words of four bytes at least, blanks among them, are 200 bytes.
+#: A passage of over 50 words goes if it repeats: 51 words of three bytes and a blank each are over 200 bytes.
 REPEAT_BYTES = 200
 
 
