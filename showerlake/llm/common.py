@@ -17,6 +17,8 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
 #: Bytes of text that one step of the vectorised code takes at once.
 CHUNK_BYTES = 2 << 20
+#: The same where many arrays of a chunk's length stand beside each other.
+LITTLE = 512 << 10
 
 U64 = np.uint64
 _IS_SPACE = np.zeros(256, bool)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WORD_CLASS, filled, gram_hashes, mix, signed, text_chunks, text_column, word_hashes, words_of, written
+from .common import LITTLE, U64, WORD_CLASS, filled, gram_hashes, mix, signed, text_chunks, text_column, word_hashes, words_of, written
 from .components import components
 from .substring import keyed
 
@@ -68,7 +68,7 @@ BASE = "did long, th long, sh long, n int, sketch binary, t1 array<long>, t2 arr
 def _described(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: dict[str, list] = {c: [] for c in ("sh", "n", "sketch", "t1", "t2", "t3", "t4")}
-        for _, _, data, offsets in text_chunks(filled(batch)):
+        for _, _, data, offsets in text_chunks(filled(batch), LITTLE):
             for s in shingle_sets(data, offsets):
                 out["n"].append(len(s))
                 out["sh"].append(int(signed(mix(np.array([np.sum(s * U64(0x9E3779B97F4A7C15)) ^ np.bitwise_xor.reduce(s), len(s)], U64)).sum(keepdims=True))[0]) if len(s) else 0)
@@ -281,7 +281,7 @@ def _compared(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[p
     batch = lambda: pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], names=["sh", "linked", "u", "v"])
     for (_, i, j), rows in _groups(batches, 3):
         texts = pa.array([r[6] for r in rows])
-        sets = [s for _, _, data, offsets in text_chunks(texts) for s in shingle_sets(data, offsets)]
+        sets = [s for _, _, data, offsets in text_chunks(texts, LITTLE) for s in shingle_sets(data, offsets)]
         near = similar_pairs(sets, threshold)
         if i != j:  # pairs inside a block belong to the block's own tile
             block = np.array([r[3] for r in rows])

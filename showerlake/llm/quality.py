@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, U64, filled, fresh, gram_hashes, powers, text_chunks, text_column, word_hashes, words_of
+from .common import LITTLE, SPACE, U64, filled, fresh, gram_hashes, powers, text_chunks, text_column, word_hashes, words_of
 
 SAMPLE_ROWS = 20_000
 BINS, PAIR_BINS, N_PAIRS = 48, 12, 6
@@ -182,7 +182,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
 def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         y = batch.column(batch.schema.get_field_index("y")).to_numpy()
-        for first, end, data, offsets in text_chunks(filled(batch)):
+        for first, end, data, offsets in text_chunks(filled(batch), LITTLE):
             yield pa.RecordBatch.from_pydict({"y": pa.array(y[first:end], pa.int32()), "x": pa.array(list(features(data, offsets)), pa.list_(pa.float64()))})
 
 
@@ -197,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, usable: Column, sample_r
 def _scored(batches: Iterator[pa.RecordBatch], model: AdditiveModel, text: str, name: str) -> Iterator[pa.RecordBatch]:
     """The last column is the text that is scored; its score takes its place."""
     for batch in batches:
-        scores = [model.score(features(data, offsets)) for _, _, data, offsets in text_chunks(filled(batch, text))]
+        scores = [model.score(features(data, offsets)) for _, _, data, offsets in text_chunks(filled(batch, text), LITTLE)]
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=[*batch.schema.names[:-1], name])
 
 

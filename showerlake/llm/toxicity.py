@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, filled, signed, text_chunks, text_column, word_hashes, written
+from .common import LITTLE, U64, filled, signed, text_chunks, text_column, word_hashes, written
 from .quality import labelled_sample
 
 PER_LABEL = 2_000
@@ -113,7 +113,7 @@ _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.floa
 def _scored(batches: Iterator[pa.RecordBatch], model: NoisyOr, located: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
-        for first, end, data, offsets in text_chunks(filled(batch)):
+        for first, end, data, offsets in text_chunks(filled(batch), LITTLE):
             n = end - first
             h, sentence, starts, ends, owner = sentences(data, offsets)
             z = model.sentence_scores(h, sentence, len(starts))
@@ -133,7 +133,7 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each word or stem and label: how many texts of the batch hold it."""
     for batch in batches:
         y = batch.column(batch.schema.get_field_index("y")).to_numpy()
-        for first, _, data, offsets in text_chunks(filled(batch)):
+        for first, _, data, offsets in text_chunks(filled(batch), LITTLE):
             h, sentence, _, _, owner = sentences(data, offsets)
             doc = owner[sentence]
             order = np.lexsort((doc, h))
@@ -162,7 +162,7 @@ def _bags(batches: Iterator[pa.RecordBatch], known: np.ndarray) -> Iterator[pa.R
     for batch in batches:
         y = batch.column(batch.schema.get_field_index("y")).to_numpy()
         ids = batch.column(0).to_numpy()
-        for first, end, data, offsets in text_chunks(filled(batch)):
+        for first, end, data, offsets in text_chunks(filled(batch), LITTLE):
             h, sentence, _, _, owner = sentences(data, offsets)
             keep = np.isin(h, known)
             h, sentence = h[keep], sentence[keep]
