@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 # 0.975 quantiles of Student's t for 1 to 30 degrees of freedom.
 T975 = (
     12.706205, 4.302653, 3.182446, 2.776445, 2.570582, 2.446912, 2.364624, 2.306004, 2.262157, 2.228139, 2.200985, 2.178813, 2.160369, 2.144787, 2.131450,
@@ -14,6 +17,13 @@ T975 = (
 )
 Z = 1.959963984540054
 ROBUST = 1.349
+# Least rows of a curve, of the core refit and of robust numbers; the core's half-width in sigmas, its rounds
+# and what a cut there leaves of a Gaussian's sigma; how far the robust width may be from sigma.
+LEAST_CURVE, LEAST_CORE, LEAST_ROBUST = 8, 15, 20
+CORE_WIDTH, CORE_ROUNDS, CORE_FACTOR = 2.5, 16, 0.9365574133
+FAR_TOLERANCE = 0.15
+#: Groups up to this size look up the exact rank of the median's interval.
+RANKED = 1_000
 
 
 def t975(nu: Column) -> Column:
@@ -23,10 +33,36 @@ def t975(nu: Column) -> Column:
     return F.when(nu < 1, None).when(nu <= 30, F.get(F.array(*[F.lit(x) for x in T975]), (nu - 1).cast("int"))).otherwise(far)
 
 
-def chi2_quantile(nu: Column, z: float) -> Column:
-    """Wilson-Hilferty's cube."""
-    v = nu.cast("double")
-    return v * F.pow(1 - 2 / (9 * v) + z * F.sqrt(2 / (9 * v)), 3)
+@lru_cache(None)
+def chi2_table(p: float, most: int = 30) -> tuple[float, ...]:
+    """Quantiles of chi-square for 1 to `most` degrees of freedom: bisection on the series of its distribution."""
+
+    def below(x: float, nu: int) -> float:
+        a, y = nu / 2, x / 2
+        term = total = 1.0
+        k = 0
+        while term > 1e-17 * total:
+            k += 1
+            term *= y / (a + k)
+            total += term
+        return math.exp(a * math.log(y) - y - math.lgamma(a + 1)) * total
+
+    out = []
+    for nu in range(1, most + 1):
+        lo, hi = 1e-9, 10.0 * nu + 20
+        for _ in range(100):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if below(mid, nu) < p else (lo, mid)
+        out.append((lo + hi) / 2)
+    return tuple(out)
+
+
+def chi2_quantile(nu: Column, upper: bool) -> Column:
+    """The 0.975 (upper) or 0.025 quantile: exact to 30 degrees of freedom, Wilson-Hilferty's cube beyond."""
+    v, z = nu.cast("double"), Z if upper else -Z
+    far = v * F.pow(1 - 2 / (9 * v) + z * F.sqrt(2 / (9 * v)), 3)
+    known = chi2_table(0.975 if upper else 0.025)
+    return F.when(nu < 1, None).when(nu <= 30, F.get(F.array(*[F.lit(x) for x in known]), (nu - 1).cast("int"))).otherwise(far)
 
 
 def t_interval(mean: Column, sd: Column, n: Column) -> tuple[Column, Column]:
@@ -35,9 +71,9 @@ def t_interval(mean: Column, sd: Column, n: Column) -> tuple[Column, Column]:
 
 
 def chi2_interval(sd: Column, n: Column) -> tuple[Column, Column]:
+    """Of a standard deviation; none for one value."""
     nu = n - 1
-    ok = lambda x: F.when(nu >= 1, x)
-    return ok(sd * F.sqrt(nu / chi2_quantile(F.greatest(nu, F.lit(1)), Z))), ok(sd * F.sqrt(nu / chi2_quantile(F.greatest(nu, F.lit(1)), -Z)))
+    return sd * F.sqrt(nu / chi2_quantile(nu, True)), sd * F.sqrt(nu / chi2_quantile(nu, False))
 
 
 def c4(n: Column) -> Column:
@@ -47,25 +83,42 @@ def c4(n: Column) -> Column:
 
 
 def gauss(df: DataFrame, keys: list[str], col: str) -> DataFrame:
-    """Moments and a robust width of each group, with errors; nothing under two values, no interval under eight."""
+    """Moments of each group with errors and intervals, from two values on; from LEAST_ROBUST on the robust width and
+    whether it is far from sigma."""
     by = df.groupBy(*keys).agg(F.count(col).alias("n"), F.avg(col).alias("mu"), F.stddev_samp(col).alias("s"), F.stddev_pop(col).alias("s0"), F.percentile(col, [0.25, 0.5, 0.75]).alias("qs"))
-    by = by.withColumns({"median": F.get("qs", F.lit(1)), "robust": (F.get("qs", F.lit(2)) - F.get("qs", F.lit(0))) / ROBUST}).drop("qs")
+    by = by.withColumns({"median": F.get("qs", F.lit(1)), "robust": F.when(F.col("n") >= LEAST_ROBUST, (F.get("qs", F.lit(2)) - F.get("qs", F.lit(0))) / ROBUST)}).drop("qs")
     lo, hi = t_interval(F.col("mu"), F.col("s"), F.col("n"))
+    s_lo, s_hi = chi2_interval(F.col("s"), F.col("n"))
     gate = lambda x, least: F.when(F.col("n") >= least, x)
     return by.withColumns({
-        "mu_lo": gate(lo, 8), "mu_hi": gate(hi, 8), "se": gate(F.col("s") / F.sqrt("n"), 2), "resolution": F.try_divide("s", "mu"),
+        "mu_lo": lo, "mu_hi": hi, "s_lo": s_lo, "s_hi": s_hi, "s_unbiased": F.col("s") / c4(F.col("n")), "se": gate(F.col("s") / F.sqrt("n"), 2), "resolution": F.try_divide("s", "mu"),
         "resolution_se": gate(F.abs(F.try_divide(F.col("s"), F.col("mu"))) * F.sqrt(1 / (2.0 * (F.col("n") - 1)) + F.try_divide(F.col("s") ** 2, F.col("n") * F.col("mu") ** 2)), 2),
-        "far": gate((F.abs(F.col("s") - F.col("robust")) > 0.25 * F.col("s")).cast("int"), 20),
+        "far": gate(((F.col("s") > 0) & (F.col("robust") > 0) & (F.abs(F.col("s") - F.col("robust")) > FAR_TOLERANCE * F.col("s"))).cast("int"), LEAST_ROBUST),
     })
 
 
-def core_refit(df: DataFrame, keys: list[str], col: str, width: float = 2.5, rounds: int = 4, factor: float = 0.93656) -> DataFrame:
-    """Moments inside mu +- width * sigma, again and again; each round is one aggregate and a join with its result."""
-    m = df.groupBy(*keys).agg(F.avg(col).alias("mu"), F.stddev_samp(col).alias("s"))
+def core_refit(df: DataFrame, keys: list[str], col: str, width: float = CORE_WIDTH, rounds: int = CORE_ROUNDS, factor: float = CORE_FACTOR, least: int = LEAST_CORE) -> DataFrame:
+    """Moments inside mu +- width * sigma, again until sigma settles: mu, s, n (inside), rounds, cut, applied.
+
+    A round is one aggregate over the groups that are still open, and its result is written, so that the next one starts
+    there. The window is the raw sigma; `factor` makes up for the cut at the end, if rows were cut. Groups of under
+    `least` rows, or without a width, keep their plain moments. Rows whose key is null belong to no group."""
+    rows = df.select(*keys, F.col(col).cast("double").alias("_v")).filter("_v IS NOT NULL")
+    m = rows.groupBy(*keys).agg(F.count("*").alias("all"), F.avg("_v").alias("mu"), F.stddev_samp("_v").alias("s"))
+    m = m.withColumns({"n": F.col("all"), "rounds": F.lit(0), "open": F.coalesce((F.col("all") >= least) & (F.col("s") > 0), F.lit(False))})
+    m = written(m, "core")
     for _ in range(rounds):
-        inside = df.join(m, keys).filter(F.abs(F.col(col) - F.col("mu")) <= width * F.col("s"))
-        m = inside.groupBy(*keys).agg(F.avg(col).alias("mu"), (F.stddev_samp(col) / factor).alias("s"), F.count("*").alias("n"))
-    return m
+        if m.filter("open").isEmpty():
+            break
+        window = m.filter("open").select(*keys, (F.col("mu") - width * F.col("s")).alias("_lo"), (F.col("mu") + width * F.col("s")).alias("_hi"))
+        inside = rows.join(window, keys).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        met = m.join(inside.groupBy(*keys).agg(F.count("*").alias("_n"), F.avg("_v").alias("_mu"), F.stddev_samp("_v").alias("_s")), keys, "left")
+        go = F.coalesce(F.col("open") & (F.col("_n") >= least) & (F.col("_s") > 0), F.lit(False))
+        settled = F.abs(F.col("_s") - F.col("s")) <= 1e-7 * F.greatest(F.col("s"), F.lit(1e-12))
+        take = lambda new, old: F.when(go, F.col(new)).otherwise(F.col(old)).alias(old)
+        m = written(met.select(*keys, "all", take("_mu", "mu"), take("_s", "s"), take("_n", "n"), (F.col("rounds") + go.cast("int")).alias("rounds"), (go & ~settled).alias("open")), "core")
+    cut = F.col("n") < F.col("all")
+    return m.select(*keys, "n", "mu", F.when(cut, F.col("s") / factor).otherwise(F.col("s")).alias("s"), "rounds", cut.cast("int").alias("cut"), (F.col("rounds") > 0).cast("int").alias("applied"))
 
 
 def ratio_ci(df: DataFrame, keys: list[str], num: Column, den: Column) -> DataFrame:
@@ -129,28 +182,49 @@ def bootstrap(df: DataFrame, keys: list[str], col: str, row_key: list[str], resi
     return by.select(*[F.col(f"c.{k}").alias(k) for k in keys], "n", "n_rmse", *out)
 
 
+@lru_cache(None)
+def median_ranks() -> tuple[int, ...]:
+    """For each number of values to RANKED, by exact binomial sums: the largest j with P(Bin(n, 1/2) <= j - 1) <= 1/40."""
+    out = []
+    for n in range(RANKED + 1):
+        j, below, term = 0, 0, 1  # term: n over j
+        while 40 * (below + term) <= 2**n:
+            below, j = below + term, j + 1
+            term = term * (n - j + 1) // j
+        out.append(max(1, j))
+    return tuple(out)
+
+
 def median_order_ci(df: DataFrame, keys: list[str], col: str) -> DataFrame:
-    """Order statistics about the median whose ranks come from the binomial's normal limit; from six values on."""
+    """Order statistics about the median: the rank j is the largest whose j - 1 has a chance of 0.025 at most under
+    Bin(n, 1/2); looked up to RANKED values, its normal limit beyond. From six values on."""
     w = Window.partitionBy(*keys)
-    r = df.withColumns({"place": F.row_number().over(w.orderBy(col)), "n": F.count("*").over(w)})
-    j = F.greatest(F.lit(1), F.floor((F.col("n") - Z * F.sqrt("n")) / 2))
+    r = df.filter(F.col(col).isNotNull()).withColumns({"place": F.row_number().over(w.orderBy(col)), "n": F.count("*").over(w)})
+    known = F.array(*[F.lit(j) for j in median_ranks()])
+    j = F.when(F.col("n") <= RANKED, F.get(known, F.col("n").cast("int"))).otherwise(F.floor((F.col("n") + 1 - Z * F.sqrt("n")) / 2))
     return r.filter("n >= 6").groupBy(*keys).agg(F.first("n").alias("n"), F.max(F.when(F.col("place") == j, F.col(col))).alias("lo"), F.max(F.when(F.col("place") == F.col("n") + 1 - j, F.col(col))).alias("hi"))
 
 
-def robust_width(df: DataFrame, keys: list[str], col: str, least: int = 300) -> DataFrame:
-    """IQR / 1.349 over the median, and the share beyond three robust deviations in groups that are large enough."""
+def robust_width(df: DataFrame, keys: list[str], col: str, least: int = 300, row_key: list[str] | None = None) -> DataFrame:
+    """IQR / 1.349 over a positive median, from LEAST_ROBUST values on, and the share beyond three robust deviations in
+    groups of `least` and more. With row_key also the width's error and interval, see `bootstrap`."""
     m = df.groupBy(*keys).agg(F.percentile(col, [0.25, 0.5, 0.75]).alias("q"), F.count("*").alias("n"))
     m = m.select(*keys, "n", F.get("q", F.lit(1)).alias("median"), ((F.get("q", F.lit(2)) - F.get("q", F.lit(0))) / ROBUST).alias("sigma"))
     tails = df.join(m, keys).groupBy(*keys).agg(F.count_if(F.abs(F.col(col) - F.col("median")) > 3 * F.col("sigma")).alias("far"))
-    return m.join(tails, keys).withColumns({"width": F.try_divide("sigma", "median"), "tail": F.when(F.col("n") >= least, F.col("far") / F.col("n"))})
+    out = m.join(tails, keys).withColumns({
+        "width": F.when((F.col("n") >= LEAST_ROBUST) & (F.col("median") > 0), F.col("sigma") / F.col("median")),
+        "tail": F.when((F.col("n") >= least) & (F.col("sigma") > 0), F.col("far") / F.col("n")),
+    })
+    return out if row_key is None else out.join(bootstrap(df, keys, col, row_key).select(*keys, "width_se", "width_lo", "width_hi"), keys, "left")
 
 
 def circular(df: DataFrame, keys: list[str], col: str) -> DataFrame:
     """Mean direction, resultant, circular deviation and Rayleigh's p of an angle."""
     by = df.groupBy(*keys).agg(F.count(col).alias("n"), F.sum(F.cos(col)).alias("c"), F.sum(F.sin(col)).alias("s"))
-    r = F.sqrt(F.col("c") ** 2 + F.col("s") ** 2) / F.col("n")
-    by = by.withColumns({"mean": F.atan2("s", "c"), "r": r})
-    return by.withColumns({"sd": F.sqrt(F.greatest(F.lit(0.0), -2 * F.ln("r"))), "rayleigh_p": F.exp(-F.col("n") * F.col("r") ** 2)})
+    r = F.least(F.lit(1.0), F.try_divide(F.hypot("c", "s"), F.col("n")))
+    by = by.withColumns({"mean": F.when((F.col("c") != 0) | (F.col("s") != 0), F.atan2("s", "c")), "r": r})
+    sd = F.when(F.col("r") > 0, F.sqrt(F.greatest(F.lit(0.0), -2 * F.ln("r"))))
+    return by.withColumns({"sd": sd, "rayleigh_p": F.when(F.col("n") >= 2, F.exp(-F.col("n") * F.col("r") ** 2))})
 
 
 def clip_range(df: DataFrame, keys: list[str], col: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
@@ -161,11 +235,13 @@ def clip_range(df: DataFrame, keys: list[str], col: str, low: float = 0.01, high
 
 
 def histogram(df: DataFrame, keys: list[str], col: str, lo: float, hi: float, bins: int) -> DataFrame:
-    """Counts and densities on shared edges; the last bin is closed; outside rows count in -1 (below) and `bins` (above)."""
+    """Counts and densities on shared edges; the last bin is closed; outside rows count in -1 (below) and `bins` (above).
+    The density is that of the rows inside: its area is one, and the two outer bins have none."""
     c = F.col(col)
     at = F.when(c < lo, -1).when(c > hi, bins).otherwise(F.least(F.floor((c - lo) / ((hi - lo) / bins)), F.lit(bins - 1))).cast("int")
-    h = df.filter(c.isNotNull()).groupBy(*keys, at.alias("bin")).agg(F.count("*").alias("n"))
-    return h.withColumn("density", F.col("n") / (F.sum("n").over(Window.partitionBy(*keys)) * ((hi - lo) / bins)))
+    h = df.filter(c.isNotNull() & ~F.isnan(c.cast("double"))).groupBy(*keys, at.alias("bin")).agg(F.count("*").alias("n"))
+    inside = F.when(F.col("bin").between(0, bins - 1), F.col("n"))
+    return h.withColumn("density", inside / (F.sum(inside).over(Window.partitionBy(*keys)) * ((hi - lo) / bins)))
 
 
 def band(df: DataFrame, keys: list[str], reco: str, truth: str, lo: float, hi: float, least: int = 10) -> DataFrame:
@@ -175,12 +251,30 @@ def band(df: DataFrame, keys: list[str], reco: str, truth: str, lo: float, hi: f
     return by.withColumn("resolution", F.when(F.col("n") >= least, F.try_divide("s", "response")))
 
 
-def kde(df: DataFrame, keys: list[str], col: str, lo: float, hi: float, points: int = 32) -> DataFrame:
-    """Gaussian kernel density on a grid, from counts in 256 bins and Silverman's bandwidth."""
-    m = df.groupBy(*keys).agg(F.count(col).alias("total"), F.stddev_samp(col).alias("s"))
-    m = m.withColumn("h", 1.06 * F.col("s") * F.pow(F.col("total"), F.lit(-0.2)))
-    fine = df.filter(F.col(col).between(lo, hi)).groupBy(*keys, F.least(F.lit(255), F.floor((F.col(col) - lo) / ((hi - lo) / 256))).alias("_cell")).agg(F.count("*").alias("n"))
+def kde(df: DataFrame, keys: list[str], col: str, lo: float, hi: float, points: int = 160) -> DataFrame:
+    """Gaussian kernel density at `points` places from lo to hi, with the bandwidth h = 0.9 min(s, IQR / 1.349) n**-0.2.
+
+    Rows are binned linearly on nodes of at most h / 4 apart (256 to 8,192 of them, from lo - 4 h to hi + 4 h), so a group is as
+    many rows before it meets the points; the kernel ends at 4 h. No row for groups under LEAST_CURVE values, without a
+    spread, or whose bandwidth is under two nodes. What lies outside stays missing from the area."""
+    v = F.col("_v")
+    rows = df.select(*keys, F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & (F.abs("_v") < float("inf")))
+    m = rows.groupBy(*keys).agg(F.count("*").alias("total"), F.stddev_samp("_v").alias("_s"), F.percentile("_v", [0.25, 0.75]).alias("_q"))
+    iqr = (F.get("_q", F.lit(1)) - F.get("_q", F.lit(0))) / ROBUST
+    m = m.withColumn("h", 0.9 * F.when(iqr > 0, F.least("_s", iqr)).otherwise(F.col("_s")) * F.pow("total", F.lit(-0.2)))
+    m = m.filter((F.col("total") >= LEAST_CURVE) & (F.col("h") > 0)).withColumn("_g0", lo - 4 * F.col("h"))
+    m = m.withColumn("_m", F.least(F.lit(8192), F.greatest(F.lit(256), F.ceil((hi - lo + 8 * F.col("h")) / (F.col("h") / 4)) + 1)))
+    m = m.withColumn("_d", (hi - lo + 8 * F.col("h")) / (F.col("_m") - 1)).filter("_d <= h / 2").select(*keys, "total", "h", "_g0", "_m", "_d")
+    t = (v - F.col("_g0")) / F.col("_d")
+    placed = rows.join(m, keys).withColumn("_t", t).filter("_t >= 0 AND _t <= _m - 1")
+    placed = placed.withColumn("_i", F.least(F.floor("_t"), F.col("_m") - 2)).withColumn("_f", F.col("_t") - F.col("_i"))
+    ends = F.array(F.struct(F.col("_i").alias("node"), (1 - F.col("_f")).alias("w")), F.struct((F.col("_i") + 1).alias("node"), F.col("_f").alias("w")))
+    nodes = placed.select(*keys, F.inline(ends)).groupBy(*keys, "node").agg(F.sum("w").alias("w"))
     grid = F.array(*[F.struct(F.lit(i).alias("point"), F.lit(lo + (hi - lo) * i / (points - 1)).alias("at")) for i in range(points)])
-    spread = fine.join(m, keys).select(*keys, "_cell", "n", "total", "h", F.inline(grid))
-    z = (F.col("at") - (lo + (F.col("_cell") + 0.5) * ((hi - lo) / 256))) / F.col("h")
-    return spread.groupBy(*keys, "point", "at").agg((F.sum(F.col("n") * F.exp(-0.5 * z * z) / F.col("h")) / (F.first("total") * math.sqrt(2 * math.pi))).alias("density"))
+    met = nodes.join(m, keys).select(*keys, "node", "w", "total", "h", "_d", "_m", "_g0", F.inline(grid))
+    place = (F.col("at") - F.col("_g0")) / F.col("_d")
+    met = met.withColumn("_k", F.least(F.floor(place), F.col("_m") - 2)).withColumn("_a", place - F.col("_k"))
+    steps = F.ceil(4 * F.col("h") / F.col("_d"))
+    kernel = lambda j: F.when(F.abs(j) <= steps, F.exp(-0.5 * (j * F.col("_d") / F.col("h")) ** 2)).otherwise(0.0)
+    value = F.col("w") * ((1 - F.col("_a")) * kernel(F.col("_k") - F.col("node")) + F.col("_a") * kernel(F.col("_k") + 1 - F.col("node")))
+    return met.groupBy(*keys, "point", "at").agg((F.sum(value) / (F.first("h") * F.first("total") * math.sqrt(2 * math.pi))).alias("density"))

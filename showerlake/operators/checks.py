@@ -31,7 +31,7 @@ def check_lattice(projection: DataFrame, sizes=(20, 3, 7)) -> DataFrame:
 
 def check_energy(df: DataFrame) -> DataFrame:
     out = df.agg(F.sum("energy").alias("energy"), F.count_if(~finite(F.col("energy"))).alias("not_finite"))
-    return out.withColumn("failed", ((F.col("energy") <= 0) | (F.col("not_finite") > 0)).cast("int"))
+    return out.withColumn("failed", (~F.coalesce(F.col("energy") > 0, F.lit(False)) | (F.col("not_finite") > 0)).cast("int"))  # no rows: no energy
 
 
 def check_derived(hits: DataFrame, events: DataFrame, layers: DataFrame) -> DataFrame:
@@ -97,11 +97,31 @@ def feature_parity(a: DataFrame, b: DataFrame, names: list[str], floor: float =
     return worst
 
 
-def failures(archive: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    """One row for each check of an ingest."""
+def check_sums(events: DataFrame, sums: DataFrame, total: str, most: float = 1e-6) -> DataFrame:
+    """Events whose sums are missing, or do not add up to `total` (of `events`, by event and shower where it has one)."""
+    keys = ["event_number", *(["b"] if "b" in events.columns else [])]
+    by = sums.groupBy(*keys).agg(F.sum("e").alias("_e"))
+    met = events.select(*keys, F.col(total).alias("_total")).join(by, keys, "left")
+    return met.agg(F.count_if(~F.coalesce(F.abs(F.col("_e") - F.col("_total")) <= most * F.abs("_total"), F.lit(False))).alias("failed"))
+
+
+def failures(archive: DataFrame, tables: dict[str, DataFrame], kind: str = "two") -> DataFrame:
+    """One row for each check of an ingest of this kind."""
     named = lambda n, df: df.select(F.lit(n).alias("check"), F.col("failed").cast("long"))
-    kept = tables["projection"]
-    all_ = [named("projection", check_projection(archive, kept)), named("lattice", check_lattice(kept)), named("energy", check_energy(kept)), named("derived", check_derived(archive, tables["events"], tables["layers"])), named("undefined_d", check_undefined_d(tables["events"]))]
+    added = lambda df, *names: df.withColumn("failed", sum((F.coalesce(F.col(n), F.lit(0)) for n in names[1:]), F.coalesce(F.col(names[0]), F.lit(0))))
+    events = tables["events"]
+    if kind == "features":
+        repeated = events.agg((F.count("*") - F.countDistinct("event_number")).alias("failed"))
+        all_ = [named("rows", added(check_rows(archive, events), "failed")), named("repeated", repeated), named("labels", added(check_events(events.withColumns({"width": F.col("local_width"), "avg_theta": F.col("local_avg_theta")})), "label_off", "out_of_range"))]
+    else:
+        kept = tables["projection"]
+        along = tables["profiles"].filter("axis = 0")
+        all_ = [named("projection", check_projection(archive, kept)), named("lattice", check_lattice(kept)), named("energy", check_energy(kept))]
+        if kind == "two":
+            all_ += [named("derived", check_derived(archive, events, tables["layers"])), named("undefined_d", check_undefined_d(events))]
+        else:
+            all_ += [named("rows_of_cells", added(check_single(kept), "repeated", "off_bin", "unknown", "parents"))]
+        all_ += [named("shape_sums", check_sums(events, tables["shape_sums"], "e_dep")), named("profiles", check_sums(events, along, "e_dep"))]
     out = all_[0]
     for df in all_[1:]:
         out = out.unionByName(df)

@@ -307,19 +307,19 @@ def principal_axis(hits: DataFrame, keys=("event_number",)) -> DataFrame:
     det = a * (b * d - c("yz") ** 2) - c("xy") * (c("xy") * d - c("yz") * c("xz")) + c("xz") * (c("xy") * c("yz") - b * c("xz"))
     half = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(det, 2 * c("pp") ** 3)))
     s = s.withColumn("largest", F.when(c("pp") < 1e-9, c("q")).otherwise(c("q") + 2 * c("pp") * F.cos(F.acos(half) / 3)))
-    # (M - l2)(M - l3) projects on the first axis; its depth column gives the angle
+    # The principal minors of M - m are the squared components of the first axis, up to one factor: the gaps' product.
     m = c("largest")
-    vx, vy = c("xz") * (c("yy") - m) - c("xy") * c("yz"), c("yz") * (c("xx") - m) - c("xy") * c("xz")
-    vz = c("xy") ** 2 - (c("xx") - m) * (c("yy") - m)
-    norm = F.sqrt(vx**2 + vy**2 + vz**2)
-    return s.withColumns({"share": F.try_divide(m, 3 * c("q")), "angle": F.acos(F.least(F.lit(1.0), F.try_divide(F.abs(vz), norm)))})
+    minor = lambda i, j: F.greatest(F.lit(0.0), (c(i + i) - m) * (c(j + j) - m) - c("".join(sorted(i + j))) ** 2)
+    across, along = F.sqrt(minor("y", "z") + minor("x", "z")), F.sqrt(minor("x", "y"))
+    known = (c("q") > 1e-3) & (across**2 + along**2 > 1e-6 * c("q") ** 2)  # one place, or no axis above the others: no angle
+    return s.withColumns({"share": F.when(c("q") > 1e-3, m / (3 * c("q"))), "angle": F.when(known, F.atan2(across, along))})
 
 
-def event_panels(hits: DataFrame, events: list[int]) -> DataFrame:
-    """Energy panels of chosen events in all frames, by plane and bin."""
+def event_panels(hits: DataFrame, events: DataFrame) -> DataFrame:
+    """Energy panels of the events chosen in `events`, in all frames, by plane and bin."""
     planes = [(f"{name}_{a}{b}", a + f, b + f) for name, f in (("lab", ""), ("trans", "t"), ("local", "l")) for a, b in ("xy", "xz", "yz")]
     rows = F.array(*[F.struct(F.lit(n).alias("panel"), F.floor(F.col(a) / BIN).alias("i"), F.floor(F.col(b) / BIN).alias("j")) for n, a, b in planes])
-    return hits.filter(F.col("event_number").isin(events)).select("event_number", "energy", F.inline(rows)).groupBy("event_number", "panel", "i", "j").agg(F.sum("energy").alias("e"))
+    return hits.join(events.select("event_number"), "event_number", "left_semi").select("event_number", "energy", F.inline(rows)).groupBy("event_number", "panel", "i", "j").agg(F.sum("energy").alias("e"))
 
 
 def density(cells: DataFrame, n_events: DataFrame, area: float) -> DataFrame:

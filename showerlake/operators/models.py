@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import estimates as es
 
+OUTPUTS = ("p", "theta", "phi")
 FEATURES = ("width", "height", "depth", "mean_r", "max_r", "weighted_r", "n", "e")
 
 
@@ -26,23 +27,52 @@ def assembled(df: DataFrame, names=FEATURES) -> DataFrame:
     return VectorAssembler(inputCols=list(names), outputCol="features").transform(df.fillna(0.0, list(names)))
 
 
-def fit_regressor(df: DataFrame, label: str = "p", trees: int = 10, rate: float = 0.1, depth: int = 3):
+def fit_regressor(df: DataFrame, label: str = "p", trees: int = 100, rate: float = 0.1, depth: int = 3):
+    """Boosted trees on the rows that are not held out."""
     from pyspark.ml.regression import GBTRegressor
 
     return GBTRegressor(labelCol=label, maxIter=trees, stepSize=rate, maxDepth=depth, seed=7).fit(assembled(df.filter("holdout = 0")))
 
 
+def fit_outputs(df: DataFrame, outputs: tuple[str, ...] = OUTPUTS, folds: tuple[int, ...] = (0,), **how) -> dict:
+    """One model for each output and fold (the fold is held out); the fits run side by side, each as Spark jobs."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    kinds = [(o, k) for o in outputs for k in folds]
+    one = lambda kind: fit_regressor(df.withColumn("holdout", (fold() == kind[1]).cast("int")), kind[0], **how)
+    with ThreadPoolExecutor(min(8, len(kinds))) as pool:
+        return dict(zip(kinds, pool.map(one, kinds), strict=True))
+
+
+def predict_outputs(models: dict, df: DataFrame) -> DataFrame:
+    """The held-out rows of each fold with its models' predictions: fold, pred_<output>."""
+    rows = assembled(df).withColumn("fold", fold())
+    parts = []
+    for k in sorted({k for _, k in models}):
+        part = rows.filter(F.col("fold") == k)
+        for o in sorted({o for o, _ in models}):
+            part = models[o, k].transform(part).withColumnRenamed("prediction", f"pred_{o}")
+        parts.append(part.drop("features"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def predict(model, df: DataFrame) -> DataFrame:
     return model.transform(assembled(df)).withColumnRenamed("prediction", "pred").drop("features")
 
 
 def surrogate(df: DataFrame, target: str = "pred", depth: int = 3) -> DataFrame:
-    """A shallow tree on predictions: rows, mean and variance of each leaf, by the values that the tree gives."""
+    """A shallow tree on predictions: rows, mean and variance of each leaf, by the values that the tree gives, and the tree's
+    R2 and mean absolute error over all rows."""
     from pyspark.ml.regression import DecisionTreeRegressor
 
     rows = assembled(df)
     leaf = DecisionTreeRegressor(labelCol=target, maxDepth=depth, predictionCol="leaf", seed=7).fit(rows).transform(rows)
-    return leaf.groupBy("leaf").agg(F.count("*").alias("n"), F.avg(target).alias("value"), F.var_pop(target).alias("variance"))
+    leaf = leaf.withColumn("_off", F.abs(F.col(target) - F.col("leaf")))
+    whole = leaf.agg((1 - F.avg(F.col("_off") ** 2) / F.var_pop(target)).alias("r2"), F.avg("_off").alias("mae"))
+    return leaf.groupBy("leaf").agg(F.count("*").alias("n"), F.avg(target).alias("value"), F.var_samp(target).alias("variance")).crossJoin(F.broadcast(whole))
 
 
 def importance(model, names=FEATURES) -> list[tuple[str, float]]:
@@ -50,7 +80,7 @@ def importance(model, names=FEATURES) -> list[tuple[str, float]]:
     return [(n, float(v)) for n, v in zip(names, values, strict=True)]
 
 
-def split_check(preds: DataFrame, seeds: int = 20) -> DataFrame:
+def split_check(preds: DataFrame, seeds: int = 100) -> DataFrame:
     """Mean squared error of both parts for many splits, in one pass over exploded seeds."""
     each = preds.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
     held = F.pmod(F.col("event_number") * 7919 + F.col("seed") * 104729, F.lit(1000003)) % 5 == 0
@@ -58,10 +88,12 @@ def split_check(preds: DataFrame, seeds: int = 20) -> DataFrame:
     return each.groupBy("seed").agg(F.avg(F.when(held, sq)).alias("mse_valid"), F.avg(F.when(~held, sq)).alias("mse_train"), F.count_if(held).alias("n_valid"))
 
 
-def fold_metrics(preds: DataFrame) -> DataFrame:
-    err = F.col("pred") - F.col("p")
-    by = preds.groupBy(fold().alias("fold")).agg(F.count("*").alias("n"), F.avg(F.abs(err)).alias("mae"), F.avg(err * err).alias("mse"), F.var_pop("p").alias("v"))
-    return by.withColumns({"rmse": F.sqrt("mse"), "r2": 1 - F.col("mse") / F.col("v")})
+def fold_metrics(preds: DataFrame, pred: str = "pred", truth: str = "p", wrapped: bool = False) -> DataFrame:
+    """Errors of each fold; those of an azimuth are wrapped, and it has no R2."""
+    err = F.col(pred) - F.col(truth)
+    err = F.atan2(F.sin(err), F.cos(err)) if wrapped else err
+    by = preds.groupBy(fold().alias("fold")).agg(F.count("*").alias("n"), F.avg(F.abs(err)).alias("mae"), F.avg(err * err).alias("mse"), F.var_pop(truth).alias("v"))
+    return by.withColumns({"rmse": F.sqrt("mse"), "r2": F.lit(None).cast("double") if wrapped else 1 - F.col("mse") / F.col("v")})
 
 
 def mean_interval(folds: DataFrame, col: str = "mae") -> DataFrame:
@@ -77,21 +109,32 @@ def output_order(preds: DataFrame, outputs: list[str], labels: list[str]) -> Dat
     return preds.select(F.inline(rows)).groupBy("output", "label").agg(F.avg("sq").alias("mse"))
 
 
-def binary_sample(preds: DataFrame, low: int = 99, high: int = 1, least: float = 2.0, far: float = 10.0) -> DataFrame:
-    """A fixed mix of the two momentum pools: the first of each in hashed order."""
+def binary_sample(preds: DataFrame, low: int = 1980, high: int = 20, least: float = 2.0, far: float = 10.0, enough: int = 50) -> DataFrame:
+    """99 : 1 of the two momentum pools among the held-out rows: the first of each in hashed order. The pool above `far`
+    gives way to all above `least` where it has under `enough` rows; `fallback` says so."""
+    held = split(preds).filter("holdout = 1").drop("holdout")
+    few = held.agg((F.count_if(F.col("p") > far) < enough).alias("few"))
+    rows = held.crossJoin(F.broadcast(few)).withColumn("fallback", F.col("few").cast("int")).drop("few")
     key = F.pmod(F.col("event_number") * 7919, F.lit(1000003))
-    pool = lambda rule, n, y: preds.filter(rule).withColumn("y", F.lit(y)).orderBy(key, "event_number").limit(n)
-    return pool(F.col("p") < least, low, 0).unionByName(pool(F.col("p") > far, high, 1))
+    pool = lambda rule, n, y: rows.filter(rule).withColumn("y", F.lit(y)).orderBy(key, "event_number").limit(n)
+    upper = F.col("p") > F.when(F.col("fallback") == 1, least).otherwise(far)
+    return pool(F.col("p") < least, low, 0).unionByName(pool(upper, high, 1))
 
 
 def confusion(df: DataFrame, threshold: float = 2.0) -> DataFrame:
-    """Counts and rates of p >= threshold, with Wilson intervals."""
-    t, p = F.col("p") >= threshold, F.col("pred") >= threshold
+    """Counts and rates of p > threshold, with Wilson intervals; balanced accuracy has the one that combines the limits of
+    both classes' recalls (MOVER)."""
+    t, p = F.col("p") > threshold, F.col("pred") > threshold
     by = df.agg(F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"), F.count_if(t & ~p).alias("fn"), F.count_if(~t & ~p).alias("tn"), F.count("*").alias("n"))
     c = F.col
-    lo, hi = es.wilson(c("tp") + c("tn"), c("n"))
-    recall, spec = F.try_divide(c("tp"), c("tp") + c("fn")), F.try_divide(c("tn"), c("tn") + c("fp"))
-    return by.withColumns({"accuracy": (c("tp") + c("tn")) / c("n"), "recall": recall, "precision": F.try_divide(c("tp"), c("tp") + c("fp")), "balanced": (recall + spec) / 2, "lo": lo, "hi": hi})
+    rates = {"accuracy": (c("tp") + c("tn"), c("n")), "recall": (c("tp"), c("tp") + c("fn")), "recall_0": (c("tn"), c("tn") + c("fp")), "precision": (c("tp"), c("tp") + c("fp")), "precision_0": (c("tn"), c("tn") + c("fn"))}
+    for name, (k, n) in rates.items():
+        lo, hi = es.wilson(k, F.nullif(n, F.lit(0)))
+        by = by.withColumns({name: F.try_divide(k, n), f"{name}_lo": lo, f"{name}_hi": hi})
+    half = lambda end: F.hypot(c("recall") - c(f"recall_{end}"), c("recall_0") - c(f"recall_0_{end}")) / 2
+    by = by.withColumn("balanced", (c("recall") + c("recall_0")) / 2)
+    known = c("balanced").isNotNull()
+    return by.withColumns({"balanced_lo": F.when(known, F.greatest(F.lit(0.0), c("balanced") - half("lo"))), "balanced_hi": F.when(known, F.least(F.lit(1.0), c("balanced") + half("hi")))})
 
 
 def circ_fidelity(df: DataFrame, pred: str, truth: str) -> DataFrame:
@@ -103,8 +146,10 @@ def circ_fidelity(df: DataFrame, pred: str, truth: str) -> DataFrame:
 
 
 def stamp(df: DataFrame) -> DataFrame:
-    """Whether a table has changed: rows and an order-free sum of row hashes."""
-    return df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)")).cast("string").alias("hash"))
+    """Whether a table has changed: rows and an order-free sum of 32-bit hashes of all of a row's values as text."""
+    values = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in sorted(df.columns)]
+    row = F.conv(F.substring(F.md5(F.concat_ws("|", *values).cast("binary")), 1, 8), 16, 10).cast("long")
+    return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(row), F.lit(0)).alias("hash"))
 
 
 def arithmetic_stamp(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -96,7 +96,7 @@ def resolution_windows(df: DataFrame, keys=("series", "bin")) -> DataFrame:
     """Per window: rows, mean 1/sqrt(p), sample and robust widths of a ratio and its tail."""
     r = F.col("value") / F.col("p")
     by = df.withColumn("r", r).groupBy(*keys).agg(F.count("*").alias("n"), F.avg(1 / F.sqrt("p")).alias("x"), F.avg("r").alias("mu"), F.stddev_samp("r").alias("s"), F.median("r").alias("median"), F.median(F.abs(F.col("r") - 1)).alias("off"), F.percentile("r", [0.25, 0.75]).alias("q"))
-    return by.withColumns({"kappa": F.try_divide("s", "mu"), "robust": F.try_divide(F.get("q", F.lit(1)) - F.get("q", F.lit(0)), es.ROBUST * F.col("median"))}).drop("q")
+    return by.withColumns({"kappa": F.try_divide("s", "mu"), "robust": F.when((F.col("n") >= es.LEAST_ROBUST) & (F.col("median") > 0), (F.get("q", F.lit(1)) - F.get("q", F.lit(0))) / (es.ROBUST * F.col("median")))}).drop("q")
 
 
 def pooled_scale(windows: DataFrame, least: int = 8) -> DataFrame:
@@ -237,6 +237,13 @@ def shower_hist(showers: DataFrame, column: str, lo: float, hi: float, bins: int
     return showers.groupBy(F.col("bin").alias("mb"), at.cast("int").alias("at")).agg(F.count("*").alias("n"), F.sum("n_own").alias("hits"))
 
 
+def shower_hists(showers: DataFrame, axes: dict[str, tuple[float, float, int]]) -> DataFrame:
+    """`shower_hist` of each quantity (lo, hi, bins), in one pass: its place on each axis is a row before the partial sums."""
+    at = lambda c, lo, hi, n: F.when(c < lo, -1).when(c >= hi, n).otherwise(F.floor((c - lo) / ((hi - lo) / n))).cast("int")
+    rows = F.array(*[F.struct(F.lit(q).alias("quantity"), at(F.col(q), *axis).alias("at")) for q, axis in axes.items()])
+    return showers.select(F.col("bin").alias("mb"), "n_own", F.inline(rows)).groupBy("quantity", "mb", "at").agg(F.count("*").alias("n"), F.sum("n_own").alias("hits"))
+
+
 def weighted_percentile(showers: DataFrame) -> DataFrame:
     return showers.groupBy("b").agg(F.percentile("p", 0.5, F.col("n_own")).alias("median_p"), F.percentile("theta", 0.9, F.col("n_own")).alias("p90_theta"))
 
@@ -416,9 +423,17 @@ def membership(events: DataFrame, event: int) -> DataFrame:
     return events.filter(in_pool()).agg(F.count_if(n <= event).alias("rank"), F.count("*").alias("size"), F.max(F.when(n < event, n)).alias("before"), F.min(F.when(n > event, n)).alias("after"))
 
 
-def pick_tilted(events: DataFrame, most: int = 20) -> DataFrame:
-    mean = events.agg(F.avg("n_hits").alias("mean_hits"))
-    return events.crossJoin(F.broadcast(mean)).filter("n_hits > mean_hits").orderBy(F.desc("theta_a"), "event_number").limit(most)
+def pick_tilted(events: DataFrame, most: int = 20, seed: int = 0) -> DataFrame:
+    """Of the placeable events with more hits than their mean, the `most` with the largest polar angle of either shower (if
+    none has more, those with most hits), and which of them a seeded order draws."""
+    placed = events.filter("d IS NOT NULL").withColumn("theta", F.greatest("theta_a", "theta_b"))
+    mean = placed.agg(F.avg("n_hits").alias("mean_hits"), F.max("n_hits").alias("max_hits"))
+    pool = placed.crossJoin(F.broadcast(mean)).filter("n_hits > mean_hits OR max_hits <= mean_hits")
+    rank = F.when(F.col("max_hits") > F.col("mean_hits"), F.round("theta", 9)).otherwise(F.col("n_hits").cast("double"))
+    pool = pool.orderBy(rank.desc(), "event_number").limit(most)
+    key = F.pmod(F.col("event_number") * 7919 + seed * 104729, F.lit(1000003))
+    place = F.row_number().over(Window.orderBy(key, "event_number"))  # of `most` rows
+    return pool.withColumn("drawn", (place == 1).cast("int"))
 
 
 def pick_densest(events: DataFrame, most: int) -> DataFrame:

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from ..operators import events as ev
 from ..operators import filters as fl
 from ..operators import joins as jn
-from .registry import q
+from ..operators import models as md
+from .registry import FEATURE_SQL, q
 
 HIT = "event_number cell_id"
 LABEL = "SELECT CASE WHEN p >= 2 THEN 1 ELSE 0 END AS label, count(*) AS n, 0 AS disagree FROM sh GROUP BY 1"
@@ -41,9 +42,9 @@ q("J3_join_frame", lambda c: jn.join_frame(c.hits, jn.event_frame(c.events)), f"
 q("J4_splat", lambda c: ev.splat(c.hits, 2, 2).groupBy("iz").agg(F.count("*").alias("n"), F.sum("v").alias("e"), F.sum(F.col("v") * (F.col("x") + F.col("ox"))).alias("ex")), "iz n ~e ~ex", "SELECT iz, 8 * count(*) AS n, sum(energy) AS e, sum(energy * x) AS ex FROM hits GROUP BY iz")
 q("J5_event_table", lambda c: jn.event_table(c.hits), "event_number n_hits n_cells n_split n_bad_split ~e_own_a ~e_own_b", "SELECT ev.event_number, n_hits, n_cells, n_split, n_bad_split, e_own_a, e_own_b FROM ev LEFT JOIN (SELECT event_number, count(*) AS n_cells, count(*) FILTER (WHERE n > 1) AS n_split, count(*) FILTER (WHERE n > 1 AND o < n) AS n_bad_split FROM (SELECT event_number, cell_id, count(*) AS n, count(DISTINCT origin) AS o FROM hits GROUP BY ALL) GROUP BY event_number) USING (event_number)")
 q("J6_restrict", lambda c: jn.restrict(ev.layers(c.hits), fl.select(c.events, (5, 10))), "event_number b layer ~e n", "SELECT * FROM lay WHERE event_number IN (SELECT event_number FROM ev WHERE e1 BETWEEN 5 AND 10)")
-q("J7_feature_parity", lambda c: jn.parity_sides(c.events.filter("event_number % 3 <> 0"), c.singles.filter("event_number % 5 <> 0")), "shared only_left only_right", "SELECT count(*) FILTER (WHERE l AND r) AS shared, count(*) FILTER (WHERE l AND NOT r) AS only_left, count(*) FILTER (WHERE r AND NOT l) AS only_right FROM (SELECT event_number, event_number IN (SELECT event_number FROM ev WHERE event_number % 3 <> 0) AS l, event_number IN (SELECT event_number FROM sg WHERE event_number % 5 <> 0) AS r FROM (SELECT event_number FROM ev UNION SELECT event_number FROM sg))")
+q("J7_feature_parity", lambda c: jn.parity_sides(c.events.filter("d IS NOT NULL"), c.singles.filter("n_hits > 2")), "shared only_left only_right", "SELECT count(*) FILTER (WHERE l AND r) AS shared, count(*) FILTER (WHERE l AND NOT r) AS only_left, count(*) FILTER (WHERE r AND NOT l) AS only_right FROM (SELECT coalesce(ev.event_number, sg.event_number) AS event_number, coalesce(d IS NOT NULL, FALSE) AS l, coalesce(sg.n_hits > 2, FALSE) AS r FROM ev FULL JOIN sg ON ev.event_number = sg.event_number)")
 q("J8_consistency", lambda c: jn.differing(c.events.selectExpr("event_number", "n_own_a AS n"), ev.layers(c.hits).filter("b = 0").groupBy("event_number").agg(F.sum("n").alias("n"))), "event_number left_n right_n", "SELECT event_number, n_own_a AS left_n, NULL AS right_n FROM ev WHERE n_own_a = 0")
-q("J9_holdout", lambda c: jn.restrict(c.showers.select("event_number", "b", "p", "energy_pred").filter("event_number % 5 = 0"), fl.select(c.events, (5, 10))), "event_number b ~p ~energy_pred", "SELECT * FROM sh WHERE event_number % 5 = 0 AND e1 BETWEEN 5 AND 10")
+q("J9_holdout", lambda c: jn.restrict(md.split(c.showers.select("event_number", "b", "p", "energy_pred")).filter("holdout = 1"), fl.select(c.events, (5, 10))), "event_number b ~p ~energy_pred", "SELECT * FROM sh WHERE (event_number * 7919) % 1000003 % 5 = 0 AND e1 BETWEEN 5 AND 10")
 q("J10_first_layer", lambda c: jn.first_layer(c.hits), f"{HIT} b ~z", "SELECT * FROM (SELECT event_number, cell_id, z, CASE WHEN origin = 'A' THEN 0 ELSE 1 END AS b, min(z) OVER (PARTITION BY event_number, origin = 'A') AS z0 FROM hits) WHERE z = z0")
 q("J11_resample", lambda c: jn.resample(c.hits.groupBy(F.col("x").alias("at")).agg(F.sum("energy").alias("v")).withColumns({"lo": F.col("at") - 24.3, "hi": F.col("at") + 24.3}), [i * 35.0 - 40 for i in range(32)]), "bin ~v", "SELECT i AS bin, sum(v * (least(pos + 243e-1, i * 35 - 5) - greatest(pos - 243e-1, i * 35 - 40)) / 486e-1) AS v FROM (SELECT x AS pos, sum(energy) AS v FROM hits GROUP BY x) s, range(31) r(i) WHERE pos - 243e-1 < i * 35 - 5 AND pos + 243e-1 > i * 35 - 40 GROUP BY i")
 q("J12_n_selected", lambda c: jn.counted_gate(fl.select(c.events, (5, 10))), "n_selected n_framed ~mean_d", "SELECT count(*) AS n_selected, count(d) AS n_framed, avg(d) AS mean_d FROM ev WHERE e1 BETWEEN 5 AND 10")
@@ -60,9 +61,27 @@ q("E7_zero_mask", lambda c: ev.zero_mask(c.hits), "event_number zero_mask", "SEL
 q("E8_spreads", lambda c: ev.spreads(c.hits), "event_number ~model_spread ~p0_spread", "SELECT event_number, 0 AS model_spread, greatest(max(gx), max(gy), max(gz)) AS p0_spread FROM (SELECT event_number, origin = 'A' AS a, max(x - xt) - min(x - xt) AS gx, max(y - yt) - min(y - yt) AS gy, max(z - zt) - min(z - zt) AS gz FROM hits GROUP BY ALL) GROUP BY 1")
 q("E9_cell_census", lambda c: ev.cell_census(c.hits), "event_number n_cells n_split n_bad_split ~max_cell", "SELECT event_number, count(*) AS n_cells, count(*) FILTER (WHERE n > 1) AS n_split, count(*) FILTER (WHERE n > 1 AND o < n) AS n_bad_split, max(e) AS max_cell FROM (SELECT event_number, cell_id, count(*) AS n, sum(energy) AS e, count(DISTINCT origin) AS o FROM hits GROUP BY ALL) GROUP BY 1")
 q("E10_shape_sums", lambda c: ev.shape_sums(c.single), "event_number n ~e n_neg ~e_neg ~e_rho ~e_rho2 ~sum_r_ ~sd_r_t ~max_r_l ~sum_er_l ~sum_th_l ~sd_th_l ~sum_ph_t ~sum_c_l ~sum_s_l ~min_xl ~max_zl ~sum_eyt", "SELECT * FROM shapes")
-q("E11_features", lambda c: ev.features(ev.shape_sums(c.single)), "event_number ~width ~height ~depth ~depth_range ~centroid_x ~centroid_y ~centroid_z ~mean_r ~std_r ~max_r ~weighted_r ~avg_theta ~avg_phi ~spread", "SELECT * FROM ft0")
+SHAPES = [n for n in ev.FEATURES if n not in ("volume", "number_density", "energy_density")]
+
+
+def shapes(c):
+    """The 17 features in each frame; volume and densities as logarithms, which keep their digits."""
+    sums = ev.shape_sums(c.single)
+    parts = [ev.features(sums, f).withColumns({"frame": F.lit(f or "lab")} | {n: F.log10(n) for n in ("volume", "number_density", "energy_density")}) for f in ev.FRAMES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _features_sql(f: str) -> str:
+    import re
+
+    own = lambda text: re.sub(r"_l\b", f"_{f}", re.sub(r"(?<=[xyz])l\b", f, text))
+    named = ", ".join(f"{own(v)} AS {k}" for k, v in FEATURE_SQL.items())
+    return f"SELECT *, log10(width * height * depth) AS volume, log10(n / (width * height * depth)) AS number_density, log10(e / (width * height * depth)) AS energy_density FROM (SELECT '{f or 'lab'}' AS frame, event_number, n, e, {named} FROM shapes)"
+
+
+q("E11_features", shapes, "$frame event_number " + " ".join(f"~{n}" for n in ev.FEATURES), " UNION ALL ".join(_features_sql(f) for f in ev.FRAMES))
 q("E12_circular_mean", lambda c: ev.circular_of_sums(ev.shape_sums(c.single)), "event_number ~circ_mean ~resultant", "SELECT event_number, atan2(sum_s_l, sum_c_l) AS circ_mean, sqrt(sum_s_l * sum_s_l + sum_c_l * sum_c_l) / n AS resultant FROM shapes")
-q("E13_circular_spread", lambda c: ev.circular_of_sums(ev.shape_sums(c.single)).filter("resultant < 0.999"), "event_number ~circ_sd ~spread_circ", "SELECT *, sd_th_l + circ_sd AS spread_circ FROM (SELECT *, sqrt(-2 * ln(sqrt(sum_s_l * sum_s_l + sum_c_l * sum_c_l) / n)) AS circ_sd FROM shapes WHERE sqrt(sum_s_l * sum_s_l + sum_c_l * sum_c_l) / n < 999e-3)")
+q("E13_circular_spread", lambda c: ev.circular_of_sums(ev.shape_sums(c.single)), "event_number ~resultant ~circ_sd ~spread_circ", "SELECT *, sd_th_l + circ_sd AS spread_circ FROM (SELECT *, sqrt(-2 * ln(least(1e0, resultant))) AS circ_sd FROM (SELECT *, sqrt(sum_s_l * sum_s_l + sum_c_l * sum_c_l) / n AS resultant FROM shapes))")
 q("E14_events_features", lambda c: ev.events_features(c.singles.select("event_number", "p", "theta", "cx", "cy")), "repeated nulled n n_label", "SELECT count(*) - count(DISTINCT event_number) AS repeated, 0 AS nulled, count(*) AS n, count(*) FILTER (WHERE p >= 2) AS n_label FROM sg")
 q("E15_layers", lambda c: ev.layers(c.hits), "event_number b layer ~e n ~e_u ~e_v ~e_rho ~e_rho2", "SELECT * FROM lay")
 SUB = "SELECT ((i + 5e-1) / 6 - 5e-1) * 486e-1 AS ox, ((j + 5e-1) / 6 - 5e-1) * 505e-1 AS oy, ((m + 5e-1) / 2 - 5e-1) * 205e-1 AS oz FROM range(6) r1(i), range(6) r2(j), range(2) r3(m)"

@@ -52,8 +52,18 @@ q("P26_kernel_resample", lambda c: fr.kernel_resample(marginal(c)), "bin ~e", f"
 q("P27_top_cells", lambda c: fr.top_cells(fl.summed(c.hits, "ix", "iy", "iz"), "m_s", 20, "ix", "iy", "iz"), "ix iy iz ~m_s", "SELECT * FROM cells ORDER BY abs(round(m_s, 9)) DESC, ix, iy, iz LIMIT 20")
 DETREND = f"SELECT *, lag(rest) OVER (ORDER BY bin) AS before FROM (SELECT bin, e, e - avg(e) OVER (ORDER BY bin ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS rest FROM ({MARGINAL}) m)"
 q("P28_comb", lambda c: fr.comb(marginal(c)), "~lag1 n comb", f"SELECT corr(rest, before) AS lag1, count(*) AS n, CASE WHEN corr(rest, before) < -1e-1 THEN 1 ELSE 0 END AS comb FROM ({DETREND})")
-q("P29_principal_axis", lambda c: fr.principal_axis(c.single).selectExpr("event_number", "n", *[f"{a} / 1e3 AS {a}" for a in ("xx", "yy", "zz", "xy")], "3 * q / 1e3 AS trace"), "event_number n ~xx ~yy ~zz ~xy ~trace", "SELECT event_number, n, xx / 1e3 AS xx, yy / 1e3 AS yy, zz / 1e3 AS zz, xy / 1e3 AS xy, (xx + yy + zz) / 1e3 AS trace FROM (SELECT event_number, count(*) AS n, sum(energy * x * x) / sum(energy) - pow(sum(energy * x) / sum(energy), 2) AS xx, sum(energy * y * y) / sum(energy) - pow(sum(energy * y) / sum(energy), 2) AS yy, sum(energy * (z - 36624e-1) * (z - 36624e-1)) / sum(energy) - pow(sum(energy * (z - 36624e-1)) / sum(energy), 2) AS zz, sum(energy * x * y) / sum(energy) - sum(energy * x) / sum(energy) * sum(energy * y) / sum(energy) AS xy FROM single GROUP BY 1)")
-q("P30_event_panels", lambda c: fr.event_panels(c.hits, [1, 2, 3, 4, 5, 6, 7, 32, 33]), "event_number $panel i j ~e", "SELECT event_number, panel, floor(a / 20) AS i, floor(b / 20) AS j, sum(energy) AS e FROM (" + " UNION ALL ".join(f"SELECT event_number, '{n}_{a}{b}' AS panel, {a}{f} AS a, {b}{f} AS b, energy FROM hits" for n, f in (("lab", ""), ("trans", "t"), ("local", "l")) for a, b in ("xy", "xz", "yz")) + ") WHERE event_number IN (1, 2, 3, 4, 5, 6, 7, 32, 33) GROUP BY ALL")
+def _axis_sql() -> str:
+    cov = lambda a, b: f"sum(energy * {a} * {b}) / sum(energy) - sum(energy * {a}) / sum(energy) * sum(energy * {b}) / sum(energy) AS {a}{b}"
+    m = f"SELECT event_number, count(*) AS n, {', '.join(cov(*p) for p in ('xx', 'yy', 'zz', 'xy', 'xz', 'yz'))} FROM (SELECT event_number, energy, x, y, z - 36624e-1 AS z FROM single) GROUP BY 1"
+    s = f"SELECT *, (xx + yy + zz) / 3 AS q, sqrt(greatest(0, (pow(2 * xx - yy - zz, 2) + pow(2 * yy - xx - zz, 2) + pow(2 * zz - xx - yy, 2)) / 54 + (xy * xy + xz * xz + yz * yz) / 3)) AS r FROM ({m})"
+    det = "((xx - q) * (yy - q) * (zz - q) + 2 * xy * xz * yz - (xx - q) * yz * yz - (yy - q) * xz * xz - (zz - q) * xy * xy)"
+    top = f"SELECT *, CASE WHEN r < 1e-9 THEN q ELSE q + 2 * r * cos(acos(greatest(-1e0, least(1e0, {det} / (2 * pow(r, 3))))) / 3) END AS l FROM ({s})"
+    parts = f"SELECT *, greatest(0, (yy - l) * (zz - l) - yz * yz) + greatest(0, (xx - l) * (zz - l) - xz * xz) AS ac, greatest(0, (xx - l) * (yy - l) - xy * xy) AS al FROM ({top})"
+    return f"SELECT event_number, n, xx / 1e3 AS xx, yy / 1e3 AS yy, zz / 1e3 AS zz, xy / 1e3 AS xy, 3 * q / 1e3 AS trace, l / 1e3 AS largest, CASE WHEN q > 1e-3 THEN l / (3 * q) END AS share, CASE WHEN q > 1e-3 AND ac + al > 1e-6 * q * q THEN atan2(sqrt(ac), sqrt(al)) END AS angle FROM ({parts})"
+
+
+q("P29_principal_axis", lambda c: fr.principal_axis(c.single).selectExpr("event_number", "n", *[f"{a} / 1e3 AS {a}" for a in ("xx", "yy", "zz", "xy", "largest")], "3 * q / 1e3 AS trace", "share", "angle"), "event_number n ~xx ~yy ~zz ~xy ~trace ~largest ~share ~angle", _axis_sql())
+q("P30_event_panels", lambda c: fr.event_panels(c.hits, fl.select(c.events, (5, 10))), "event_number $panel i j ~e", "SELECT event_number, panel, floor(a / 20) AS i, floor(b / 20) AS j, sum(energy) AS e FROM (" + " UNION ALL ".join(f"SELECT event_number, '{n}_{a}{b}' AS panel, {a}{f} AS a, {b}{f} AS b, energy FROM hits" for n, f in (("lab", ""), ("trans", "t"), ("local", "l")) for a, b in ("xy", "xz", "yz")) + ") WHERE event_number IN (SELECT event_number FROM ev WHERE e1 BETWEEN 5 AND 10) GROUP BY ALL")
 q("P31_density", lambda c: fr.density(fr.project_xy(c.hits), c.events.agg(F.count("*").alias("n_events")), 48.6 * 50.5), "ix iy ~density ~peak", "SELECT ix, iy, density, max(density) OVER () AS peak FROM (SELECT ix, iy, sum(m_e) / ((SELECT count(*) FROM ev) * 486e-1 * 505e-1) AS density FROM cells WHERE iz <= 2 GROUP BY ix, iy)")
 q("P32_floor_mask", lambda c: fr.floor_mask(fl.summed(c.hits, "ix", "iy", "iz"), 0.5), "drawn masked ~masked_e", "SELECT count(*) FILTER (WHERE r >= 5e-1) AS drawn, count(*) FILTER (WHERE r < 5e-1) AS masked, coalesce(sum(m_e) FILTER (WHERE r < 5e-1), 0) AS masked_e FROM (SELECT *, m_e / max(m_e) OVER () AS r FROM cells)")
 q("P33_event_window", lambda c: fr.event_window(c.hits), "event_number ~lo ~hi n_out ~e_out", "SELECT event_number, max(lo) AS lo, max(hi) AS hi, count(*) FILTER (WHERE x < lo OR x > hi) AS n_out, coalesce(sum(energy) FILTER (WHERE x < lo OR x > hi), 0) AS e_out FROM (SELECT *, min(x) FILTER (WHERE s >= 5e-2) OVER w - 1 AS lo, min(x) FILTER (WHERE s >= 95e-2 - 1e-9) OVER w + 1 AS hi FROM (SELECT event_number, x, energy, sum(energy) OVER (PARTITION BY event_number ORDER BY x) / sum(energy) OVER (PARTITION BY event_number) AS s FROM hits) WINDOW w AS (PARTITION BY event_number)) GROUP BY 1")

@@ -5,12 +5,13 @@ from pyspark.sql import functions as F
 from ..functions import estimates as es
 from ..operators import events as ev
 from ..operators import filters as fl
+from ..operators import models as md
 from ..operators import panels as pn
 from .registry import q
 
 SERIES = "SELECT event_number, b, d, p, bin, theta, 'truth' AS series, p AS value FROM sh UNION ALL SELECT event_number, b, d, p, bin, theta, 'model', energy_pred FROM sh UNION ALL SELECT event_number, b, d, p, bin, theta, 'deposit', e_own / 1e-2 FROM sh"
 SLICE = "CASE WHEN d IS NULL THEN -1 WHEN d <= 50 THEN 0 WHEN d <= 100 THEN 1 WHEN d <= 150 THEN 2 WHEN d <= 200 THEN 3 ELSE 4 END"
-GAUSS = "count(value) AS n, avg(value) AS mu, stddev_samp(value) AS s, stddev_pop(value) AS s0, median(value) AS median, (quantile_cont(value, 75e-2) - quantile_cont(value, 25e-2)) / 1349e-3 AS robust"
+GAUSS = "count(value) AS n, avg(value) AS mu, stddev_samp(value) AS s, stddev_pop(value) AS s0, median(value) AS median, CASE WHEN count(value) >= 20 THEN (quantile_cont(value, 75e-2) - quantile_cont(value, 25e-2)) / 1349e-3 END AS robust"
 T = "(CASE WHEN n < 2 THEN NULL WHEN n <= 31 THEN list_extract([" + ", ".join(f"CAST({x} AS DOUBLE)" for x in es.T975) + "], CAST(n - 1 AS INT)) ELSE 1959963984540054e-15 + (pow(1959963984540054e-15, 3) + 1959963984540054e-15) / (4e0 * (n - 1)) + (5 * pow(1959963984540054e-15, 5) + 16 * pow(1959963984540054e-15, 3) + 3 * 1959963984540054e-15) / (96e0 * (n - 1) * (n - 1)) END)"
 Z = "1959963984540054e-15"
 RATIO = "sum(a) / sum(b) AS ratio, sqrt(greatest(0, sum(a * a) - 2 * sum(a) / sum(b) * sum(a * b) + pow(sum(a) / sum(b), 2) * sum(b * b)) * count(*) / nullif(count(*) - 1, 0)) / sum(b) AS se"
@@ -30,14 +31,14 @@ q("V3_pointing", lambda c: pn.pointing(c.showers), "b ~mean ~sd ~depth", "SELECT
 q("V4_trajectories", lambda c: pn.trajectories(c.showers, 10), "event_number b ~theta ~phi ~cx", "SELECT * FROM sh WHERE event_number IN (SELECT DISTINCT event_number FROM sh ORDER BY 1 LIMIT 10)")
 q("V5_window_axis", lambda c: pn.window_axis(c.showers, 20, 80), "b station n ~centre ~spread ~rayleigh_p", "SELECT b, station, n, entry + slope * w AS centre, sqrt(greatest(0, v + 2 * w * cov + w * w * vs)) AS spread, rayleigh_p FROM (SELECT b, count(*) AS n, avg(p0x) AS entry, var_samp(p0x) AS v, avg(t) AS slope, var_samp(t) AS vs, covar_samp(p0x, t) AS cov, exp(-count(*) * (pow(avg(cos(phi)), 2) + pow(avg(sin(phi)), 2))) AS rayleigh_p FROM (SELECT *, tan(theta) * cos(phi) AS t FROM sh WHERE p0x BETWEEN 20 AND 80) GROUP BY b), (SELECT station, station * 1875e-2 AS w FROM range(9) r(station)) r")
 q("V6_ensemble_axes", lambda c: pn.ensemble_axes(c.showers), "b n ~slope ~sd ~lo ~hi", f"SELECT *, slope - {T} * sd / sqrt(n) AS lo, slope + {T} * sd / sqrt(n) AS hi FROM (SELECT b, count(*) AS n, avg(tan(theta) * cos(phi)) AS slope, stddev_samp(tan(theta) * cos(phi)) AS sd FROM sh GROUP BY b)")
-q("V7_energy_by_d", lambda c: pn.energy_by_d(c.showers), "slice $series n ~mu ~s ~median ~robust ~mu_lo", f"SELECT *, CASE WHEN n >= 8 THEN mu - {T} * s / sqrt(n) END AS mu_lo FROM (SELECT {SLICE} AS slice, series, {GAUSS} FROM ({SERIES}) GROUP BY ALL)")
+q("V7_energy_by_d", lambda c: pn.energy_by_d(c.showers), "slice $series n ~mu ~s ~median ~robust ~mu_lo", f"SELECT *, mu - {T} * s / sqrt(n) AS mu_lo FROM (SELECT {SLICE} AS slice, series, {GAUSS} FROM ({SERIES}) GROUP BY ALL)")
 q("V8_energy_by_p", lambda c: pn.energy_by_p(c.showers), "bin $series n ~mu ~s ~median", f"SELECT bin, series, {GAUSS} FROM ({SERIES}) GROUP BY ALL")
 q("V9_benchmarks", lambda c: pn.benchmarks(c.events), "~marker_a ~marker_b ~width", "SELECT avg(e1) AS marker_a, avg(e2) AS marker_b, 5e-2 AS width FROM ev")
 q("V10_sampling", lambda c: pn.sampling(c.showers), "b n ~ratio ~se ~lo ~hi", f"SELECT *, ratio - {T} * se AS lo, ratio + {T} * se AS hi FROM (SELECT k AS b, count(*) AS n, {RATIO} FROM (SELECT b AS k, e_own AS a, p AS b FROM sh) GROUP BY k)")
 q("V11_sampling_by_bin", lambda c: pn.sampling_by_bin(c.showers), "b bin n ~mu ~s ~ratio ~scale", "SELECT b, bin, count(*) AS n, avg(e_own / p) AS mu, stddev_samp(e_own / p) AS s, sum(e_own) / sum(p) AS ratio, sum(p) / sum(e_own) AS scale FROM sh GROUP BY ALL")
-CHI = "((n - 1) * pow(1 - 2 / (9e0 * greatest(n - 1, 1)) + {z} * sqrt(2 / (9e0 * greatest(n - 1, 1))), 3))"
-q("V12_resolution", lambda c: pn.resolution(c.showers), "b bin n ~mu ~s ~res ~s_lo ~s_hi ~sd_p", f"SELECT *, s / mu AS res, CASE WHEN n >= 2 THEN s * sqrt((n - 1) / nullif({CHI.format(z=Z)}, 0)) END AS s_lo, CASE WHEN n >= 2 THEN s * sqrt((n - 1) / nullif({CHI.format(z='-' + Z)}, 0)) END AS s_hi FROM (SELECT b, bin, count(*) AS n, avg(e_own / 1e-2 / p) AS mu, stddev_samp(e_own / 1e-2 / p) AS s, stddev_samp(p) AS sd_p FROM sh GROUP BY ALL)")
-WIN = f"SELECT series, bin, count(*) AS n, avg(1 / sqrt(p)) AS x, avg(r) AS mu, stddev_samp(r) AS s, median(r) AS median, median(abs(r - 1)) AS off, stddev_samp(r) / avg(r) AS kappa, (quantile_cont(r, 75e-2) - quantile_cont(r, 25e-2)) / (1349e-3 * median(r)) AS robust FROM (SELECT *, value / p AS r FROM ({SERIES})) GROUP BY ALL"
+CHI = {end: f"(CASE WHEN n < 2 THEN NULL WHEN n <= 31 THEN list_extract([{', '.join(f'CAST({x!r} AS DOUBLE)' for x in es.chi2_table(p))}], CAST(n - 1 AS INT)) ELSE (n - 1) * pow(1 - 2 / (9e0 * (n - 1)) {sign} {Z} * sqrt(2 / (9e0 * (n - 1))), 3) END)" for end, p, sign in (("lo", 0.975, "+"), ("hi", 0.025, "-"))}
+q("V12_resolution", lambda c: pn.resolution(c.showers), "b bin n ~mu ~s ~res ~s_lo ~s_hi ~sd_p", f"SELECT *, s / mu AS res, s * sqrt((n - 1) / {CHI['lo']}) AS s_lo, s * sqrt((n - 1) / {CHI['hi']}) AS s_hi FROM (SELECT b, bin, count(*) AS n, avg(e_own / 1e-2 / p) AS mu, stddev_samp(e_own / 1e-2 / p) AS s, stddev_samp(p) AS sd_p FROM sh GROUP BY ALL)")
+WIN = f"SELECT series, bin, count(*) AS n, avg(1 / sqrt(p)) AS x, avg(r) AS mu, stddev_samp(r) AS s, median(r) AS median, median(abs(r - 1)) AS off, stddev_samp(r) / avg(r) AS kappa, CASE WHEN count(*) >= 20 AND median(r) > 0 THEN (quantile_cont(r, 75e-2) - quantile_cont(r, 25e-2)) / (1349e-3 * median(r)) END AS robust FROM (SELECT *, value / p AS r FROM ({SERIES})) GROUP BY ALL"
 q("V13_resolution_windows", lambda c: windows(c), "$series bin n ~x ~mu ~s ~median ~off ~kappa ~robust", WIN)
 q("V14_pooled_scale", lambda c: pn.pooled_scale(windows(c)), "$series ~scale", f"SELECT series, median(sqrt(n) * kappa) AS scale FROM ({WIN}) WHERE n >= 8 AND kappa IS NOT NULL GROUP BY series")
 q("V15_anchors", lambda c: pn.anchors(windows(c)), "$series anchor bin", f"SELECT series, anchor, bin FROM ({WIN}), (VALUES (0, 25e-1), (1, 55e-1), (2, 105e-1)) a(anchor, nominal) WHERE n >= 15 QUALIFY row_number() OVER (PARTITION BY series, anchor ORDER BY round(abs(ln((bin + 5e-1) / nominal)), 9), bin) = 1")
@@ -74,7 +75,15 @@ def _curves_sql() -> str:
 q("V25_profile_curves", lambda c: pn.profile_curves(ev.profiles(c.hits), c.showers), "axis bin ~mean ~sd ~pooled", _curves_sql())
 q("V26_hit_uvw", lambda c: pn.hit_uvw(c.hits), "mb $axis bin n", "WITH o AS (SELECT ((i + 5e-1) / 2 - 5e-1) * 486e-1 AS ox, ((j + 5e-1) / 2 - 5e-1) * 505e-1 AS oy FROM range(2) a(i), range(2) b(j)) SELECT floor(p) AS mb, axis, floor(c / 20) AS bin, count(*) AS n FROM (SELECT p, 'u' AS axis, xl + ox AS c FROM hits, o UNION ALL SELECT p, 'v', yl + oy FROM hits, o UNION ALL SELECT p, 'w', zl FROM hits, o) GROUP BY ALL")
 q("V27_hit_energy", lambda c: pn.hit_energy(c.hits), "mb bin n", "SELECT floor(p) AS mb, floor(log10(energy) * 100) AS bin, count(*) AS n FROM hits GROUP BY ALL")
-q("V28_shower_hist", lambda c: pn.shower_hist(c.showers, "theta", 0.05, 0.55, 25), "mb at n hits", "SELECT bin AS mb, CASE WHEN theta < 5e-2 THEN -1 WHEN theta >= CAST('0.55' AS DOUBLE) THEN 25 ELSE floor((theta - CAST('0.05' AS DOUBLE)) / ((CAST('0.55' AS DOUBLE) - CAST('0.05' AS DOUBLE)) / 25)) END AS \"at\", count(*) AS n, sum(n_own) AS hits FROM sh GROUP BY ALL")
+HISTS = (("theta", "0.05", "0.55", 25), ("phi", "-3.0", "3.0", 24), ("p", "1.0", "20.0", 38))
+
+
+def _hist_sql() -> str:
+    one = lambda c, lo, hi, n: f"SELECT '{c}' AS quantity, bin AS mb, CASE WHEN {c} < CAST('{lo}' AS DOUBLE) THEN -1 WHEN {c} >= CAST('{hi}' AS DOUBLE) THEN {n} ELSE floor(({c} - CAST('{lo}' AS DOUBLE)) / ((CAST('{hi}' AS DOUBLE) - CAST('{lo}' AS DOUBLE)) / {n})) END AS \"at\", count(*) AS n, sum(n_own) AS hits FROM sh GROUP BY ALL"
+    return " UNION ALL ".join(one(*h) for h in HISTS)
+
+
+q("V28_shower_hist", lambda c: pn.shower_hists(c.showers, {n: (float(lo), float(hi), k) for n, lo, hi, k in HISTS}), "$quantity mb at n hits", _hist_sql())
 q("V29_weighted_percentile", lambda c: pn.weighted_percentile(c.showers), "b ~median_p ~p90_theta", "SELECT b, median(p) AS median_p, quantile_cont(theta, 9e-1) AS p90_theta FROM (SELECT b, p, theta, unnest(range(n_own)) FROM sh) GROUP BY b")
 
 
@@ -137,12 +146,16 @@ q("V47_primaries", lambda c: pn.primaries(c.singles), "p_bin n k ~lo ~hi", f"SEL
 q("V48_primary_counts", lambda c: pn.primary_counts(c.singles), "bucket n", "SELECT least(n_primary, 10) AS bucket, count(*) AS n FROM sg GROUP BY 1")
 q("V49_candidates", lambda c: pn.candidates(c.events), "selected unplaceable pool matching both", "SELECT count(*) AS selected, count(*) - count(d) AS unplaceable, count(*) FILTER (WHERE d IS NOT NULL AND n_hits >= 3) AS pool, count(*) FILTER (WHERE e1 BETWEEN 5 AND 10) + count(*) FILTER (WHERE e2 BETWEEN 5 AND 10) AS matching, count(*) FILTER (WHERE e1 BETWEEN 5 AND 10 AND e2 BETWEEN 5 AND 10) AS \"both\" FROM ev")
 q("V50_membership", lambda c: pn.membership(c.events, 100), "rank size before after", "SELECT count(*) FILTER (WHERE event_number <= 100) AS rank, count(*) AS size, max(event_number) FILTER (WHERE event_number < 100) AS before, min(event_number) FILTER (WHERE event_number > 100) AS after FROM ev WHERE d IS NOT NULL AND n_hits >= 3")
-q("V51_pick_tilted", lambda c: pn.pick_tilted(c.events), "event_number n_hits ~theta_a", "SELECT * FROM ev WHERE n_hits > (SELECT avg(n_hits) FROM ev) ORDER BY theta_a DESC, event_number LIMIT 20")
+TILTED = "SELECT * FROM ev WHERE d IS NOT NULL AND n_hits > (SELECT avg(n_hits) FROM ev WHERE d IS NOT NULL) ORDER BY round(greatest(theta_a, theta_b), 9) DESC, event_number LIMIT 20"
+q("V51_pick_tilted", lambda c: pn.pick_tilted(c.events, seed=3), "event_number n_hits ~theta drawn", f"SELECT event_number, n_hits, greatest(theta_a, theta_b) AS theta, CASE WHEN row_number() OVER (ORDER BY (event_number * 7919 + 3 * 104729) % 1000003, event_number) = 1 THEN 1 ELSE 0 END AS drawn FROM ({TILTED})")
 q("V52_pick_densest", lambda c: pn.pick_densest(c.events, 5), "event_number n_hits", "SELECT * FROM ev ORDER BY n_hits DESC, event_number LIMIT 5")
 q("V53_pick_uniform", lambda c: pn.pick_uniform(c.events, 3, 17), "event_number n_hits", "SELECT * FROM (SELECT event_number, n_hits, row_number() OVER (ORDER BY (event_number * 7919 + 3 * 104729) % 1000003, event_number) AS k, count(*) OVER () AS n FROM ev WHERE d IS NOT NULL AND n_hits >= 3) WHERE k = 17 % n + 1")
 q("V54_resolution_inputs", lambda c: pn.resolution_inputs(c.showers), "event_number b $series bin ~ratio", f"SELECT *, value / p AS ratio FROM ({SERIES}) WHERE p > 0")
 q("V55_p_marker", lambda c: pn.p_marker(c.showers), "bin ~mean ~sd ~lo ~hi", "SELECT bin, avg(p) AS mean, stddev_samp(p) AS sd, min(p) AS lo, max(p) AS hi FROM sh GROUP BY bin")
-q("V56_holdout_perf", lambda c: pn.perf_bins(c.showers.filter("event_number % 5 = 0")), "b bin n ~rmse ~mae ~bias", "SELECT b, bin, count(*) AS n, sqrt(avg(pow(energy_pred - p, 2))) AS rmse, avg(abs(energy_pred - p)) AS mae, avg(energy_pred - p) AS bias FROM sh WHERE event_number % 5 = 0 GROUP BY ALL")
+HELD = "(event_number * 7919) % 1000003 % 5 = 0"
+held = lambda c: md.split(c.showers).filter("holdout = 1")
+q("V56_holdout_perf", lambda c: pn.perf_bins(held(c)), "b bin n ~rmse ~mae ~bias", f"SELECT b, bin, count(*) AS n, sqrt(avg(pow(energy_pred - p, 2))) AS rmse, avg(abs(energy_pred - p)) AS mae, avg(energy_pred - p) AS bias FROM sh WHERE {HELD} GROUP BY ALL")
+q("V56_holdout_density", lambda c: pn.pred_density(held(c)), "b pb tb n", f"SELECT b, CASE WHEN energy_pred >= 20 THEN 20 ELSE floor(energy_pred) END AS pb, CASE WHEN p >= 20 THEN 20 ELSE floor(p) END AS tb, count(*) AS n FROM sh WHERE {HELD} GROUP BY ALL")
 
 # --- estimators ---------------------------------------------------------------------------------------
 PR = "SELECT b, bin, count(*) AS n, avg(p) AS mean, stddev_samp(p) AS sd FROM sh GROUP BY ALL"
@@ -157,28 +170,38 @@ def two(df, lo_hi):
 
 
 q("T1_t_interval", lambda c: two(per_bin(c), es.t_interval(F.col("mean"), F.col("sd"), F.col("n"))), "b bin n ~lo ~hi", f"SELECT *, mean - {T} * sd / sqrt(n) AS lo, mean + {T} * sd / sqrt(n) AS hi FROM ({PR})")
-q("T2_chi2_interval", lambda c: two(per_bin(c), es.chi2_interval(F.col("sd"), F.col("n"))), "b bin n ~lo ~hi", f"SELECT *, CASE WHEN n >= 2 THEN sd * sqrt((n - 1) / nullif({CHI.format(z=Z)}, 0)) END AS lo, CASE WHEN n >= 2 THEN sd * sqrt((n - 1) / nullif({CHI.format(z='-' + Z)}, 0)) END AS hi FROM ({PR})")
+q("T2_chi2_interval", lambda c: two(per_bin(c), es.chi2_interval(F.col("sd"), F.col("n"))), "b bin n ~lo ~hi", f"SELECT *, sd * sqrt((n - 1) / {CHI['lo']}) AS lo, sd * sqrt((n - 1) / {CHI['hi']}) AS hi FROM ({PR})")
 q("T3_c4", lambda c: per_bin(c).withColumn("c4", es.c4(F.col("n"))), "b bin n ~c4", f"SELECT *, CASE WHEN n < 2 THEN NULL WHEN n <= 30 THEN sqrt(2e0 / (n - 1)) * exp(lgamma(n / 2e0) - lgamma((n - 1) / 2e0)) ELSE 1 - 1 / (4e0 * n) - 7 / (32e0 * n * n) END AS c4 FROM ({PR})")
 q("T4_gauss", lambda c: es.gauss(pn.energy_series(c.showers), ["series", "bin"], "value"), "$series bin n ~mu ~s ~s0 ~robust ~se ~resolution", f"SELECT *, CASE WHEN n >= 2 THEN s / sqrt(n) END AS se, s / mu AS resolution FROM (SELECT series, bin, {GAUSS} FROM ({SERIES}) GROUP BY ALL)")
 
 
 def _core_sql() -> str:
-    base = "SELECT b, e_own / 1e-2 / p AS v FROM sh"
-    steps = [f"v AS ({base})", "m0 AS (SELECT b, avg(v) AS mu, stddev_samp(v) AS s, count(*) AS n FROM v GROUP BY b)"]
-    steps += [f"m{i} AS (SELECT v.b, avg(v) AS mu, stddev_samp(v) / CAST('0.93656' AS DOUBLE) AS s, count(*) AS n FROM v JOIN m{i - 1} m ON v.b = m.b AND abs(v - mu) <= 25e-1 * s GROUP BY v.b)" for i in range(1, 5)]
-    return f"WITH {', '.join(steps)} SELECT * FROM m4"
+    steps = ["v AS MATERIALIZED (SELECT b, e_own / 1e-2 / p AS v FROM sh)", "m0 AS MATERIALIZED (SELECT *, n AS k, 0 AS rounds, n >= 15 AND s > 0 AS o FROM (SELECT b, count(*) AS n, avg(v) AS mu, stddev_samp(v) AS s FROM v GROUP BY b))"]
+    for i in range(1, 17):
+        inner = f"SELECT v.b, count(*) AS ck, avg(v) AS cm, stddev_samp(v) AS cs FROM v JOIN m{i - 1} m ON v.b = m.b AND o AND v BETWEEN mu - 25e-1 * s AND mu + 25e-1 * s GROUP BY v.b"
+        take = ", ".join(f"CASE WHEN go THEN {new} ELSE {old} END AS {old}" for new, old in (("cm", "mu"), ("cs", "s"), ("ck", "k")))
+        steps.append(f"m{i} AS MATERIALIZED (SELECT b, n, {take}, rounds + CASE WHEN go THEN 1 ELSE 0 END AS rounds, go AND abs(cs - s) > 1e-7 * greatest(s, 1e-12) AS o FROM (SELECT m.*, ck, cm, cs, coalesce(o AND ck >= 15 AND cs > 0, FALSE) AS go FROM m{i - 1} m LEFT JOIN ({inner}) c ON m.b = c.b))")
+    return f"WITH {', '.join(steps)} SELECT b, k AS n, mu, CASE WHEN k < n THEN s / 9365574133e-10 ELSE s END AS s, rounds, CASE WHEN k < n THEN 1 ELSE 0 END AS cut FROM m16"
 
 
-q("T5_core_refit", lambda c: es.core_refit(c.showers.withColumn("v", F.col("e_own") / 0.01 / F.col("p")), ["b"], "v"), "b n ~mu ~s", _core_sql())
+q("T5_core_refit", lambda c: es.core_refit(c.showers.withColumn("v", F.col("e_own") / 0.01 / F.col("p")), ["b"], "v"), "b n ~mu ~s rounds cut", _core_sql())
 q("T6_ratio_ci", lambda c: es.ratio_ci(c.showers, ["b", "bin"], F.col("e_own"), F.col("p")), "b bin n ~ratio ~se", f"SELECT k AS b, bin, count(*) AS n, {RATIO} FROM (SELECT b AS k, bin, e_own AS a, p AS b FROM sh) GROUP BY ALL")
 q("T7_wilson", lambda c: two(c.events.groupBy(F.floor("e1").alias("bin")).agg(F.count("*").alias("n"), F.count_if(F.col("n_ab") > 0).alias("k")), es.wilson(F.col("k"), F.col("n"))), "bin n k ~lo ~hi", f"SELECT *, {WILSON.format(s='-')} AS lo, {WILSON.format(s='+')} AS hi FROM (SELECT floor(e1) AS bin, count(*) AS n, count(*) FILTER (WHERE n_ab > 0) AS k FROM ev GROUP BY 1)")
 q("T8_fisher_ci", lambda c: two(c.showers.groupBy("b").agg(F.corr("p", "e_own").alias("r"), F.count("*").alias("n")), es.fisher_ci(F.col("r"), F.col("n"))), "b n ~r ~lo ~hi", f"SELECT *, tanh(atanh(r) - {Z} / sqrt(n - 3)) AS lo, tanh(atanh(r) + {Z} / sqrt(n - 3)) AS hi FROM (SELECT b, corr(p, e_own) AS r, count(*) AS n FROM sh GROUP BY b)")
 q("T9_mae_rmse", lambda c: es.mae_rmse(c.showers, ["b"], F.col("energy_pred") - F.col("p")), "b n ~mae ~mae_lo ~mae_hi ~rmse ~rmse_lo ~rmse_hi ~bias", f"SELECT *, mae - {T} * sa / sqrt(n) AS mae_lo, mae + {T} * sa / sqrt(n) AS mae_hi, sqrt(mse) AS rmse, sqrt(greatest(0, mse - {T} * sq / sqrt(n))) AS rmse_lo, sqrt(mse + {T} * sq / sqrt(n)) AS rmse_hi FROM (SELECT b, count(*) AS n, avg(abs(e)) AS mae, stddev_samp(abs(e)) AS sa, avg(e * e) AS mse, stddev_samp(e * e) AS sq, avg(e) AS bias FROM (SELECT b, energy_pred - p AS e FROM sh) GROUP BY b)")
 q("T10_bootstrap", lambda c: es.bootstrap(c.showers, ["b"], "p", ["event_number", "b"], F.col("energy_pred") - F.col("p")), "b n n_rmse ~se ~lo ~hi ~width_se ~width_lo ~width_hi ~rmse_se ~rmse_lo ~rmse_hi")
-q("T11_median_order_ci", lambda c: es.median_order_ci(c.showers, ["b", "bin"], "e_own"), "b bin n ~lo ~hi", f"SELECT b, bin, n, max(e_own) FILTER (WHERE k = j) AS lo, max(e_own) FILTER (WHERE k = n + 1 - j) AS hi FROM (SELECT *, greatest(1, floor((n - {Z} * sqrt(n)) / 2)) AS j FROM (SELECT b, bin, e_own, row_number() OVER (PARTITION BY b, bin ORDER BY e_own) AS k, count(*) OVER (PARTITION BY b, bin) AS n FROM sh)) WHERE n >= 6 GROUP BY ALL")
-q("T12_robust_width", lambda c: es.robust_width(c.showers.withColumn("v", F.col("e_own") / F.col("p")), ["b"], "v"), "b n ~median ~sigma ~width ~tail", "WITH m AS (SELECT b, median(v) AS median, (quantile_cont(v, 75e-2) - quantile_cont(v, 25e-2)) / 1349e-3 AS sigma, count(*) AS n FROM (SELECT b, e_own / p AS v FROM sh) GROUP BY b) SELECT m.b, n, median, sigma, sigma / median AS width, CASE WHEN n >= 300 THEN far / CAST(n AS DOUBLE) END AS tail FROM m JOIN (SELECT sh.b, count(*) FILTER (WHERE abs(e_own / p - median) > 3 * sigma) AS far FROM m JOIN sh ON m.b = sh.b GROUP BY sh.b) k ON m.b = k.b")
-q("T13_circular", lambda c: es.circular(c.showers, ["b"], "phi"), "b n ~c ~s ~mean ~r ~sd ~rayleigh_p", "SELECT *, atan2(s, c) AS mean, sqrt(c * c + s * s) / n AS r, sqrt(-2 * ln(sqrt(c * c + s * s) / n)) AS sd, exp(-(c * c + s * s) / n) AS rayleigh_p FROM (SELECT b, count(*) AS n, sum(cos(phi)) AS c, sum(sin(phi)) AS s FROM sh GROUP BY b)")
+# The rank by summing the binomial's chances over the groups' own sizes.
+RANKS = "SELECT n, greatest(1, count(*) FILTER (WHERE below <= 25e-3)) AS j FROM (SELECT n, k, sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2))) OVER (PARTITION BY n ORDER BY k) AS below FROM (SELECT n, unnest(range(n + 1)) AS k FROM (SELECT DISTINCT n FROM r))) GROUP BY n"
+q("T11_median_order_ci", lambda c: es.median_order_ci(c.showers, ["b", "bin"], "e_own"), "b bin n ~lo ~hi", f"WITH r AS (SELECT b, bin, e_own, row_number() OVER (PARTITION BY b, bin ORDER BY e_own) AS k, count(*) OVER (PARTITION BY b, bin) AS n FROM sh), ranks AS ({RANKS}) SELECT b, bin, n, max(e_own) FILTER (WHERE k = CASE WHEN n <= 1000 THEN j ELSE floor((n + 1 - {Z} * sqrt(n)) / 2) END) AS lo, max(e_own) FILTER (WHERE k = n + 1 - CASE WHEN n <= 1000 THEN j ELSE floor((n + 1 - {Z} * sqrt(n)) / 2) END) AS hi FROM r JOIN ranks USING (n) WHERE n >= 6 GROUP BY ALL")
+q("T12_robust_width", lambda c: es.robust_width(c.showers.withColumn("v", F.col("e_own") / F.col("p")), ["b"], "v"), "b n ~median ~sigma ~width ~tail", "WITH m AS (SELECT b, median(v) AS median, (quantile_cont(v, 75e-2) - quantile_cont(v, 25e-2)) / 1349e-3 AS sigma, count(*) AS n FROM (SELECT b, e_own / p AS v FROM sh) GROUP BY b) SELECT m.b, n, median, sigma, CASE WHEN n >= 20 AND median > 0 THEN sigma / median END AS width, CASE WHEN n >= 300 AND sigma > 0 THEN far / CAST(n AS DOUBLE) END AS tail FROM m JOIN (SELECT sh.b, count(*) FILTER (WHERE abs(e_own / p - median) > 3 * sigma) AS far FROM m JOIN sh ON m.b = sh.b GROUP BY sh.b) k ON m.b = k.b")
+q("T13_circular", lambda c: es.circular(c.showers, ["b"], "phi"), "b n ~c ~s ~mean ~r ~sd ~rayleigh_p", "SELECT *, atan2(s, c) AS mean, sqrt(c * c + s * s) / n AS r, sqrt(-2 * ln(sqrt(c * c + s * s) / n)) AS sd, CASE WHEN n >= 2 THEN exp(-(c * c + s * s) / n) END AS rayleigh_p FROM (SELECT b, count(*) AS n, sum(cos(phi)) AS c, sum(sin(phi)) AS s FROM sh GROUP BY b)")
 q("T14_clip_range", lambda c: es.clip_range(c.showers, ["b"], "e_own"), "b ~lo ~hi below above n", "WITH m AS (SELECT b, quantile_cont(e_own, 1e-2) AS lo, quantile_cont(e_own, 99e-2) AS hi FROM sh GROUP BY b) SELECT b, lo, hi, count(*) FILTER (WHERE e_own < lo) AS below, count(*) FILTER (WHERE e_own > hi) AS above, count(*) AS n FROM sh JOIN m USING (b) GROUP BY ALL")
-q("T15_histogram", lambda c: es.histogram(c.showers, ["b"], "p", 0.0, 16.0, 32), "b bin n ~density", "SELECT *, n / (sum(n) OVER (PARTITION BY b) * 5e-1) AS density FROM (SELECT b, CASE WHEN p > 16 THEN 32 ELSE least(31, floor(p / 5e-1)) END AS bin, count(*) AS n FROM sh GROUP BY ALL)")
+q("T15_histogram", lambda c: es.histogram(c.showers, ["b"], "p", 0.0, 16.0, 32), "b bin n ~density", "SELECT *, CASE WHEN bin BETWEEN 0 AND 31 THEN n / (sum(n) FILTER (WHERE bin BETWEEN 0 AND 31) OVER (PARTITION BY b) * 5e-1) END AS density FROM (SELECT b, CASE WHEN p > 16 THEN 32 ELSE least(31, floor(p / 5e-1)) END AS bin, count(*) AS n FROM sh GROUP BY ALL)")
 q("T16_band", lambda c: es.band(c.showers, ["b"], "energy_pred", "p", 4.0, 8.0), "b n ~response ~resolution", "SELECT b, count(*) AS n, avg(energy_pred / p) AS response, CASE WHEN count(*) >= 10 THEN stddev_samp(energy_pred / p) / avg(energy_pred / p) END AS resolution FROM sh WHERE p BETWEEN 4 AND 8 GROUP BY b")
-q("T17_kde", lambda c: es.kde(c.showers, ["b"], "p", 0.0, 20.0), "b point ~at ~density", "WITH m AS (SELECT b, count(*) AS total, 106e-2 * stddev_samp(p) * pow(count(*), -2e-1) AS h FROM sh GROUP BY b), f AS (SELECT b, least(255, floor(p / (20e0 / 256))) AS k, count(*) AS n FROM sh WHERE p BETWEEN 0 AND 20 GROUP BY ALL) SELECT b, point, point * 20e0 / 31 AS \"at\", sum(n * exp(-5e-1 * pow((point * 20e0 / 31 - (k + 5e-1) * (20e0 / 256)) / h, 2)) / h) / (any_value(total) * sqrt(2 * pi())) AS density FROM f JOIN m USING (b), range(32) r(point) GROUP BY b, point")
+q("T17_kde", lambda c: es.kde(c.showers, ["b"], "p", 0.0, 20.0), "b point ~at ~density", """WITH h0 AS (SELECT b, count(*) AS total, 9e-1 * CASE WHEN quantile_cont(p, 75e-2) > quantile_cont(p, 25e-2) THEN least(stddev_samp(p), (quantile_cont(p, 75e-2) - quantile_cont(p, 25e-2)) / 1349e-3) ELSE stddev_samp(p) END * pow(count(*), -2e-1) AS h FROM sh GROUP BY b),
+  g AS (SELECT *, (20 + 8 * h) / (m - 1) AS d, -4 * h AS g0 FROM (SELECT *, least(8192, greatest(256, ceil((20 + 8 * h) / (h / 4)) + 1)) AS m FROM h0 WHERE total >= 8 AND h > 0)),
+  t AS (SELECT sh.b, (p - g0) / g.d AS t, m FROM sh JOIN g USING (b) WHERE (p - g0) / g.d BETWEEN 0 AND m - 1),
+  n AS (SELECT b, node, sum(w) AS w FROM (SELECT b, least(floor(t), m - 2) AS node, 1 - t + least(floor(t), m - 2) AS w FROM t UNION ALL SELECT b, least(floor(t), m - 2) + 1, t - least(floor(t), m - 2) FROM t) GROUP BY ALL),
+  x AS (SELECT b, point, loc, h, d, total, least(floor((loc - g0) / d), m - 2) AS k, (loc - g0) / d - least(floor((loc - g0) / d), m - 2) AS a FROM g, (SELECT point, point * 20e0 / 159 AS loc FROM range(160) r(point))),
+  s AS (SELECT x.*, k - node AS j, w FROM x JOIN n USING (b))
+  SELECT b, point, loc AS "at", sum(w * ((1 - a) * CASE WHEN abs(j) <= ceil(4 * h / d) THEN exp(-5e-1 * pow(j * d / h, 2)) ELSE 0 END + a * CASE WHEN abs(j + 1) <= ceil(4 * h / d) THEN exp(-5e-1 * pow((j + 1) * d / h, 2)) ELSE 0 END)) / (any_value(h) * any_value(total) * sqrt(2 * pi())) AS density FROM s GROUP BY b, point, loc""")

@@ -1,5 +1,8 @@
 """Queries of sources, orders and sets, checks and model analysis."""
 
+import re
+from functools import lru_cache
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,6 +13,7 @@ from ..operators import frames as fr
 from ..operators import joins as jn
 from ..operators import models as md
 from ..sources import files as fs
+from ..sources.shared import written
 from ..streaming import folder
 from .frames import DETREND, MARGINAL, marginal
 from .panels import T, WILSON, table
@@ -23,8 +27,16 @@ def digest(df):
     return df.agg(F.count("*").alias("rows"), F.sum("energy").alias("energy"), F.sum("zl").alias("zl"), F.countDistinct("event_number").alias("events"))
 
 
-def typed(c):
-    return c.raw.select(*[F.col(f.name).cast(f.dataType) for f in fs.schema("two")])
+def typed(c, kind="two"):
+    df = c.raw if kind == "two" else c.single if kind == "one" else feature_rows(c)
+    return df.select(*[F.col(f.name).cast(f.dataType) for f in fs.schema(kind)])
+
+
+def feature_rows(c):
+    df = ev.shape_sums(c.single)
+    for prefix, f in fs.FEATURE_FRAMES.items():
+        df = ev.features(df, f, prefix)
+    return df.join(c.singles.select("event_number", "p", "p_bin", "theta", "phi"), "event_number").withColumn("label", (F.col("p") >= 2).cast("int"))
 
 
 def as_csv(c):
@@ -33,10 +45,10 @@ def as_csv(c):
     return path
 
 
-def as_parquet(c):
+def as_parquet(c, kind="two"):
     path = fs.scratch(c.spark, "parquet")
-    columns = [f.name for f in fs.schema("two")]
-    typed(c).select("*", F.lit(0).alias("__index_level_0__")).select("__index_level_0__", *reversed(columns)).write.parquet(path)
+    columns = [f.name for f in fs.schema(kind)]
+    typed(c, kind).select("*", F.lit(0).alias("__index_level_0__")).select("__index_level_0__", *reversed(columns)).write.parquet(path)
     return path
 
 
@@ -53,9 +65,9 @@ def two_parts(c):
     return fs.read_archive(c.spark, [a, b], "two")
 
 
-def ingested(c, rebuild=False):
+def ingested(c, rebuild=False, kind="two"):
     target = fs.scratch(c.spark, "dataset")
-    out = fs.ingest(c.spark, as_parquet(c), target)
+    out = fs.ingest(c.spark, as_parquet(c, kind), target, kind)
     return fs.rebuild(c.spark, target) if rebuild else out
 
 
@@ -71,12 +83,16 @@ q("L1_read_hits_csv", lambda c: digest(fs.read_hits_csv(c.spark, as_csv(c), "two
 q("L2_read_hits_parquet", lambda c: fs.read_hits_parquet(c.spark, as_parquet(c), "two"), "event_number cell_id $origin ~energy $daughter_type", "SELECT * FROM raw")
 q("L3_audit_source", lambda c: fs.audit_source(typed(c), "two"), "rows out_of_range integers", "SELECT count(*) AS rows, 0 AS out_of_range, 6 AS integers FROM raw")
 q("L4_nan_to_null", lambda c: fs.nan_to_null(c.events.select(F.coalesce("d", F.lit(float("nan"))).alias("d")), ["d"])[0].agg(F.count("*").alias("n"), F.count("d").alias("defined"), F.sum("d").alias("sum")), "n defined ~sum", "SELECT count(*) AS n, count(d) AS defined, sum(d) AS sum FROM ev")
-q("L5_write_archive", lambda c: digest(c.spark.read.parquet(archived(c)).filter("event_number BETWEEN 100 AND 400")), ALL, ALLSQL + " WHERE event_number BETWEEN 100 AND 400")
+q("L5_write_archive", lambda c: digest(c.spark.read.parquet(archived(c))), ALL, ALLSQL)
 q("L6_read_archive", lambda c: digest(two_parts(c)), ALL, ALLSQL)
 q("L7_append_part", lambda c: digest(fs.append_part(typed(c), typed(c), 10_000_000)), ALL, "SELECT 2 * rows AS rows, 2 * energy AS energy, 2 * zl AS zl, 2 * events AS events FROM (" + ALLSQL + ")")
 q("L8_ingest", lambda c: ingested(c)["events"], "event_number n_hits ~e_dep ~d", "SELECT * FROM ev")
+q("L8_ingest_shapes", lambda c: ingested(c)["shape_sums"].groupBy("event_number").agg(F.sum("n").alias("n"), F.sum("sum_ezl").alias("ez"), F.max("max_r_l").alias("r")), "event_number n ~ez ~r", "SELECT event_number, count(*) AS n, sum(energy * zl) AS ez, max(sqrt(xl * xl + yl * yl + zl * zl)) AS r FROM hits GROUP BY 1")
+q("L8_ingest_profiles", lambda c: ingested(c)["profiles"].groupBy("event_number", "b", "axis").agg(F.sum("e").alias("e")), "event_number b axis ~e", "SELECT event_number, CASE WHEN origin = 'A' THEN 0 ELSE 1 END AS b, axis, sum(energy) AS e FROM hits, range(2) a(axis) GROUP BY ALL")
+q("L8_ingest_one", lambda c: ingested(c, kind="one")["events"], "event_number n_hits ~e_dep n_primary $primary_type ~cxl", "SELECT * FROM sg")
+q("L8_ingest_features", lambda c: ingested(c, kind="features")["events"], "event_number n label ~p ~local_width ~local_mean_r ~local_avg_theta", "SELECT ft0.*, ft0.width AS local_width, ft0.mean_r AS local_mean_r, ft0.avg_theta AS local_avg_theta, sg.p, CASE WHEN sg.p >= 2 THEN 1 ELSE 0 END AS label FROM ft0 JOIN sg USING (event_number)")
 q("L9_rebuild", lambda c: ingested(c, True)["layers"], "event_number b layer ~e n", "SELECT * FROM lay")
-q("L10_publish", lambda c: ck.failures(fs.read_hits_parquet(c.spark, as_parquet(c), "two"), ingested(c)), "$check failed", "SELECT unnest(['projection', 'lattice', 'energy', 'derived', 'undefined_d']) AS \"check\", 0 AS failed FROM (SELECT count(*) FROM raw)")
+q("L10_publish", lambda c: ck.failures(fs.read_hits_parquet(c.spark, as_parquet(c), "two"), ingested(c)), "$check failed", "SELECT unnest(['projection', 'lattice', 'energy', 'derived', 'undefined_d', 'shape_sums', 'profiles']) AS \"check\", 0 AS failed FROM (SELECT count(*) FROM raw)")
 q("L11_ingest_folder", lambda c: digest(dropped(c)), ALL, ALLSQL)
 q("L12_csv_to_parquet", lambda c: digest(fs.csv_to_parquet(c.spark, as_csv(c), fs.scratch(c.spark, "typed"), "two")), ALL, ALLSQL)
 q("L13_catalogue", lambda c: fs.catalogue(c.hits, c.events), "n_hits ~energy n_events ~min_e1 ~max_e1 ~max_d n_x n_y n_z", "SELECT * FROM (SELECT count(*) AS n_hits, sum(energy) AS energy, count(DISTINCT x) AS n_x, count(DISTINCT y) AS n_y, count(DISTINCT z) AS n_z FROM hits), (SELECT count(*) AS n_events, min(e1) AS min_e1, max(e1) AS max_e1, max(d) AS max_d FROM ev)")
@@ -115,22 +131,60 @@ def preds(c):
     return c.showers.select("event_number", "b", "p", F.col("energy_pred").alias("pred"), "theta", "angle_pred", "phi")
 
 
-def fitted(c):
-    rows = md.split(table(c)).cache()
-    return md.fit_regressor(rows), rows
+def modelled(c):
+    """The feature table with the outputs, written once: fits read it many times."""
+    angles = c.singles.select("event_number", "theta", "phi")
+    return written(table(c).join(angles, "event_number"), "modelled")
+
+
+@lru_cache(4)
+def fitted(c, folds=(0,), trees=100):
+    """Models by output and fold, and their table."""
+    rows = modelled(c)
+    return md.fit_outputs(rows, folds=folds, trees=trees), rows
+
+
+#: Refits of all folds take as many fits; they are shorter than the default.
+FOLDS, FOLD_TREES = (0, 1, 2, 3, 4), 20
+
+
+def refits(c):
+    models, rows = fitted(c, FOLDS, FOLD_TREES)
+    preds = md.predict_outputs(models, rows)
+    parts = [md.fold_metrics(preds, f"pred_{o}", o, o == "phi").withColumn("output", F.lit(o)) for o in md.OUTPUTS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def gains(c):
+    models, _ = fitted(c, FOLDS, FOLD_TREES)
+    rows = [(o, k, f, g) for (o, k), m in models.items() for f, g in md.importance(m)]
+    return c.spark.createDataFrame(rows, "output string, fold int, feature string, gain double")
 
 
 q("X1_split", lambda c: md.split(preds(c)), "event_number b holdout", f"SELECT *, CASE WHEN {FOLD} = 0 THEN 1 ELSE 0 END AS holdout FROM ({PRED})")
-q("X2_fit", lambda c: (lambda m, rows: md.predict(m, rows.filter("holdout = 1")))(*fitted(c)), "event_number ~p ~pred")
-q("X3_split_check", lambda c: md.split_check(preds(c)), "seed ~mse_valid ~mse_train n_valid", f"SELECT seed, avg(pow(pred - p, 2)) FILTER (WHERE h = 0) AS mse_valid, avg(pow(pred - p, 2)) FILTER (WHERE h <> 0) AS mse_train, count(*) FILTER (WHERE h = 0) AS n_valid FROM (SELECT *, (event_number * 7919 + seed * 104729) % 1000003 % 5 AS h FROM ({PRED}), range(20) r(seed)) GROUP BY seed")
+q("X2_fit", lambda c: md.predict_outputs(*fitted(c)), "event_number fold ~p ~pred_p ~theta ~pred_theta ~phi ~pred_phi")
+q("X3_split_check", lambda c: md.split_check(preds(c)), "seed ~mse_valid ~mse_train n_valid", f"SELECT seed, avg(pow(pred - p, 2)) FILTER (WHERE h = 0) AS mse_valid, avg(pow(pred - p, 2)) FILTER (WHERE h <> 0) AS mse_train, count(*) FILTER (WHERE h = 0) AS n_valid FROM (SELECT *, (event_number * 7919 + seed * 104729) % 1000003 % 5 AS h FROM ({PRED}), range(100) r(seed)) GROUP BY seed")
 FM = f"SELECT {FOLD} AS fold, count(*) AS n, avg(abs(pred - p)) AS mae, avg(pow(pred - p, 2)) AS mse, sqrt(avg(pow(pred - p, 2))) AS rmse, 1 - avg(pow(pred - p, 2)) / var_pop(p) AS r2 FROM ({PRED}) GROUP BY 1"
 q("X4_fold_metrics", lambda c: md.fold_metrics(preds(c)), "fold n ~mae ~mse ~rmse ~r2", FM)
+q("X4_fold_refits", refits, "$output fold n ~mae ~rmse ~r2")
 q("X5_mean_interval", lambda c: md.mean_interval(md.fold_metrics(preds(c))), "k ~mean ~lo ~hi", f"SELECT n AS k, mean, mean - {T} * s * sqrt(1e0 / n + 1e0 / (n - 1)) AS lo, mean + {T} * s * sqrt(1e0 / n + 1e0 / (n - 1)) AS hi FROM (SELECT count(*) AS n, avg(mae) AS mean, stddev_samp(mae) AS s FROM ({FM}))")
 q("X6_output_order", lambda c: md.output_order(preds(c), ["pred", "angle_pred"], ["p", "theta"]), "$output $label ~mse", "SELECT output, label, avg(sq) AS mse FROM (" + " UNION ALL ".join(f"SELECT '{o}' AS output, '{t}' AS label, pow({o} - {t}, 2) AS sq FROM ({PRED})" for o in ("pred", "angle_pred") for t in ("p", "theta")) + ") GROUP BY ALL")
-q("X7_binary_sample", lambda c: md.binary_sample(preds(c).filter("b = 0")), "event_number y ~p", f"SELECT event_number, 0 AS y, p FROM (SELECT * FROM ({PRED}) WHERE b = 0 AND p < 2 ORDER BY (event_number * 7919) % 1000003, event_number LIMIT 99) UNION ALL SELECT event_number, 1, p FROM (SELECT * FROM ({PRED}) WHERE b = 0 AND p > 10 ORDER BY (event_number * 7919) % 1000003, event_number LIMIT 1)")
-q("X8_confusion", lambda c: md.confusion(preds(c)), "tp fp fn tn n ~accuracy ~recall ~precision ~balanced ~lo ~hi", f"SELECT tp, fp, fn, tn, n, k / CAST(n AS DOUBLE) AS accuracy, tp / CAST(tp + fn AS DOUBLE) AS recall, tp / CAST(tp + fp AS DOUBLE) AS precision, (tp / CAST(tp + fn AS DOUBLE) + tn / CAST(tn + fp AS DOUBLE)) / 2 AS balanced, {WILSON.format(s='-')} AS lo, {WILSON.format(s='+')} AS hi FROM (SELECT count(*) FILTER (WHERE p >= 2 AND pred >= 2) AS tp, count(*) FILTER (WHERE p < 2 AND pred >= 2) AS fp, count(*) FILTER (WHERE p >= 2 AND pred < 2) AS fn, count(*) FILTER (WHERE p < 2 AND pred < 2) AS tn, count(*) AS n, count(*) FILTER (WHERE (p >= 2) = (pred >= 2)) AS k FROM ({PRED}))")
-q("X9_surrogate", lambda c: md.surrogate(table(c), "p"), "~leaf n ~value ~variance")
+HELDOUT = f"SELECT *, CASE WHEN (SELECT count(*) FROM ({PRED}) WHERE b = 0 AND p > 10 AND {FOLD} = 0) < 50 THEN 1 ELSE 0 END AS fallback FROM ({PRED}) WHERE b = 0 AND {FOLD} = 0"
+q("X7_binary_sample", lambda c: md.binary_sample(preds(c).filter("b = 0")), "event_number y ~p fallback", f"SELECT event_number, 0 AS y, p, fallback FROM (SELECT * FROM ({HELDOUT}) WHERE p < 2 ORDER BY (event_number * 7919) % 1000003, event_number LIMIT 1980) UNION ALL SELECT event_number, 1, p, fallback FROM (SELECT * FROM ({HELDOUT}) WHERE p > CASE WHEN fallback = 1 THEN 2 ELSE 10 END ORDER BY (event_number * 7919) % 1000003, event_number LIMIT 20)")
+RATES = {"accuracy": ("tp + tn", "n"), "recall": ("tp", "tp + fn"), "recall_0": ("tn", "tn + fp"), "precision": ("tp", "tp + fp"), "precision_0": ("tn", "tn + fn")}
+
+
+def _rates_sql() -> str:
+    counts = "SELECT count(*) FILTER (WHERE p > 2 AND pred > 2) AS tp, count(*) FILTER (WHERE p <= 2 AND pred > 2) AS fp, count(*) FILTER (WHERE p > 2 AND pred <= 2) AS fn, count(*) FILTER (WHERE p <= 2 AND pred <= 2) AS tn, count(*) AS n FROM (" + PRED + ")"
+    limit = lambda k, n, sign: re.sub(r"\bk\b", f"({k})", re.sub(r"\bn\b", f"nullif(({n.replace('n', '@')}), 0)", WILSON.format(s=sign))).replace("@", "n")
+    each = ", ".join(f"({k}) / nullif(CAST({n} AS DOUBLE), 0) AS {name}, {limit(k, n, '-')} AS {name}_lo, {limit(k, n, '+')} AS {name}_hi" for name, (k, n) in RATES.items())
+    half = "sqrt(pow(recall - recall_{e}, 2) + pow(recall_0 - recall_0_{e}, 2)) / 2"
+    return f"SELECT *, (recall + recall_0) / 2 AS balanced, greatest(0, (recall + recall_0) / 2 - {half.format(e='lo')}) AS balanced_lo, least(1, (recall + recall_0) / 2 + {half.format(e='hi')}) AS balanced_hi FROM (SELECT tp, fp, fn, tn, n, {each} FROM ({counts}) c)"
+
+
+q("X8_confusion", lambda c: md.confusion(preds(c)), "tp fp fn tn n " + " ".join(f"~{r} ~{r}_lo ~{r}_hi" for r in [*RATES, "balanced"]), _rates_sql())
+q("X9_surrogate", lambda c: md.surrogate(md.predict_outputs(*fitted(c)), "pred_p"), "~leaf n ~value ~variance ~r2 ~mae")
 q("X10_circ_fidelity", lambda c: md.circ_fidelity(c.showers.withColumn("at", F.atan2("cyt", "cxt")), "at", "phi"), "~fidelity ~mae", "WITH s AS (SELECT phi, atan2(cyt, cxt) AS a FROM sh), m AS (SELECT atan2(avg(sin(phi)), avg(cos(phi))) AS m FROM s) SELECT 1 - sum(1 - cos(a - phi)) / sum(1 - cos(phi - m)) AS fidelity, avg(abs(atan2(sin(a - phi), cos(a - phi)))) AS mae FROM s, m")
-q("X11_importance", lambda c: c.spark.createDataFrame(md.importance(fitted(c)[0]), "feature string, gain double"), "$feature ~gain")
+q("X11_importance", gains, "$output fold $feature ~gain")
 q("X12_stamp", lambda c: md.arithmetic_stamp(c.events, "event_number", "n_hits"), "n sum", "SELECT count(*) AS n, sum((event_number * 7919 + n_hits * 104729) % 1000003) AS sum FROM ev")
-q("X12_stamp_of_values", lambda c: md.stamp(c.events.select("event_number", "n_hits")).select("n"), "n", "SELECT count(*) AS n FROM ev")
+q("X12_stamp_of_values", lambda c: md.stamp(c.events.select("event_number", "n_hits", "n_ab")), "n hash", "SELECT count(*) AS n, sum(CAST('0x' || substr(md5(event_number || '|' || n_ab || '|' || n_hits), 1, 8) AS BIGINT)) AS hash FROM ev")

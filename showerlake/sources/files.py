@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +11,7 @@ from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, Str
 from ..operators import checks as ck
 from ..operators import events as ev
 from ..operators import filters as fl
+from .shared import scratch, shared_dir  # noqa: F401
 
 _TYPES = {"i": IntegerType(), "l": LongType(), "d": DoubleType(), "s": StringType()}
 _COMMON = "event_number:l cell_id:l ix:i iy:i iz:i x:d y:d z:d xt:d yt:d zt:d xl:d yl:d zl:d energy:d theta:d phi:d p:d is_secondary:i particle_type:s parent_type:s daughter_type:s"
@@ -19,26 +19,17 @@ _COMMON = "event_number:l cell_id:l ix:i iy:i iz:i x:d y:d z:d xt:d yt:d zt:d xl
 KINDS = {
     "two": _COMMON + " origin:s p_a:d p_b:d bin_a:i bin_b:i theta_a:d theta_b:d phi_a:d phi_b:d seg_pred:d seg_true:d gradcam:d shapcam:d energy_pred:d angle_pred:d",
     "one": _COMMON + " p_bin:i",
+    "features": "event_number:l p:d theta:d phi:d p_bin:i n:l e:d label:i " + " ".join(f"{prefix}{n}:d" for prefix in ("", "trans_", "local_") for n in ev.FEATURES),
 }
+FEATURE_FRAMES = {"": "", "trans_": "t", "local_": "l"}
+#: The derived tables of each kind.
+RECIPES = {"two": ("projection", "events", "shape_sums", "layers", "profiles", "sample"), "one": ("projection", "events", "shape_sums", "layers", "profiles"), "features": ("events",)}
 
 
 def schema(kind: str) -> StructType:
     return StructType([StructField(n, _TYPES[t]) for n, t in (c.split(":") for c in KINDS[kind].split())])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where it is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/files/{name}-{uuid.uuid4().hex}"
-
-
 def read_hits_csv(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """A declared type for each column, an empty field is null, a wrong header or row is fatal."""
     return spark.read.schema(schema(kind)).option("header", True).option("nullValue", "").option("mode", "FAILFAST").option("enforceSchema", False).csv(path)
@@ -80,9 +71,9 @@ def nan_to_null(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame
 
 
 def write_archive(df: DataFrame, path: str, mode: str = "error") -> None:
-    """Parquet parts sorted by event and cell, so that a filter on events skips most of them."""
+    """Parquet parts sorted by event (and cell), so that a filter on events skips most of them."""
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    df.repartitionByRange(parts, "event_number").sortWithinPartitions("event_number", "cell_id").write.mode(mode).option("compression", "zstd").parquet(path)
+    df.repartitionByRange(parts, "event_number").sortWithinPartitions(*[c for c in ("event_number", "cell_id") if c in df.columns]).write.mode(mode).option("compression", "zstd").parquet(path)
 
 
 def read_archive(spark: SparkSession, paths: list[str], kind: str) -> DataFrame:
@@ -101,13 +92,21 @@ def append_part(existing: DataFrame, incoming: DataFrame, offset: int = 0) -> Da
     return existing.unionByName(moved)
 
 
-def derive(archive: DataFrame, path: str) -> dict[str, DataFrame]:
-    """The derived tables of an archive, each written once."""
-    kept = fl.keep_hits(archive)
-    tables = {"projection": fl.project_rows(kept), "events": ev.events_two(kept), "layers": ev.layers(kept), "sample": ev.sample10(kept)}
-    for name, df in tables.items():
-        df.write.parquet(f"{path}/{name}")
-    return {name: archive.sparkSession.read.parquet(f"{path}/{name}") for name in tables}
+def derive(archive: DataFrame, path: str, kind: str = "two") -> dict[str, DataFrame]:
+    """The derived tables of an archive, each written once. Sums and profiles are per event and own shower."""
+    if kind == "features":
+        doubles = [n for n, t in archive.dtypes if t == "double"]
+        tables = {"events": nan_to_null(archive, doubles)[0]}
+    else:
+        kept = archive.filter("energy > 0").withColumn("origin", F.lit("A")) if kind == "one" else fl.keep_hits(archive)
+        keyed = kept.withColumn("b", fl.own_shower(F.col("origin")))
+        tables = {
+            "projection": kept.drop("origin") if kind == "one" else fl.project_rows(kept), "events": (ev.events_single if kind == "one" else ev.events_two)(kept),
+            "shape_sums": ev.shape_sums(keyed, ("event_number", "b")), "layers": ev.layers(kept), "profiles": ev.profiles(kept), "sample": ev.sample10(kept),
+        }
+    for name in RECIPES[kind]:
+        tables[name].write.parquet(f"{path}/{name}")
+    return {name: archive.sparkSession.read.parquet(f"{path}/{name}") for name in RECIPES[kind]}
 
 
 def ingest(spark: SparkSession, source: str, target: str, kind: str = "two", form: str = "parquet") -> dict[str, DataFrame]:
@@ -119,31 +118,49 @@ def ingest(spark: SparkSession, source: str, target: str, kind: str = "two", for
     staged = f"{target}/staged-{uuid.uuid4().hex}"
     write_archive(df, f"{staged}/archive")
     archive = read_archive(spark, [f"{staged}/archive"], kind)
-    tables = derive(archive, staged)
-    failed = ck.failures(archive, tables).filter("failed > 0").count()
-    return publish(spark, staged, target, failed)
+    tables = derive(archive, staged, kind)
+    failed = ck.failures(archive, tables, kind).filter("failed > 0").count()
+    return publish(spark, staged, target, failed, kind)
+
+
+CATALOGUE = "version long, path string, kind string"
+
+
+def versions(spark: SparkSession, target: str) -> list:
+    """The published versions, the newest first; none where nothing was published."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema(CATALOGUE).parquet(f"{target}/catalogue").orderBy(F.desc("version")).collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
 
 
-def publish(spark: SparkSession, staged: str, target: str, failed: int) -> dict[str, DataFrame]:
-    """Point the catalogue at the staged version once its checks are clean; readers of the old version keep it."""
+def publish(spark: SparkSession, staged: str, target: str, failed: int, kind: str = "two") -> dict[str, DataFrame]:
+    """Point the catalogue at the staged version once its checks are clean; readers of the old version keep it. One writer a
+    dataset: versions are numbered by those that are there."""
     if failed:
         raise ValueError(f"{failed} checks failed; {target} is as it was")
-    spark.createDataFrame([(staged,)], "path string").withColumn("at", F.current_timestamp()).write.mode("append").parquet(f"{target}/catalogue")
+    last = versions(spark, target)
+    row = ((last[0]["version"] if last else 0) + 1, staged, kind)
+    spark.createDataFrame([row], CATALOGUE).write.mode("append").parquet(f"{target}/catalogue")
     return current(spark, target)
 
 
 def current(spark: SparkSession, target: str) -> dict[str, DataFrame]:
-    path = spark.read.parquet(f"{target}/catalogue").orderBy(F.desc("at")).first()["path"]
-    return {n: spark.read.parquet(f"{path}/{n}") for n in ("archive", "projection", "events", "layers", "sample")}
+    newest = versions(spark, target)[0]
+    return {n: spark.read.parquet(f"{newest['path']}/{n}") for n in ("archive", *RECIPES[newest["kind"]])}
 
 
 def rebuild(spark: SparkSession, target: str) -> dict[str, DataFrame]:
     """Derive every table again from the published archive alone, and publish."""
-    archive = current(spark, target)["archive"]
+    kind, archive = versions(spark, target)[0]["kind"], current(spark, target)["archive"]
     staged = f"{target}/staged-{uuid.uuid4().hex}"
     archive.write.parquet(f"{staged}/archive")
-    tables = derive(spark.read.parquet(f"{staged}/archive"), staged)
-    return publish(spark, staged, target, ck.failures(archive, tables).filter("failed > 0").count())
+    tables = derive(spark.read.parquet(f"{staged}/archive"), staged, kind)
+    return publish(spark, staged, target, ck.failures(archive, tables, kind).filter("failed > 0").count(), kind)
 
 
 def csv_to_parquet(spark: SparkSession, source: str, target: str, kind: str) -> DataFrame:
