@@ -64,7 +64,8 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     line_end = np.minimum(np.append(cut[1:], len(data)), offsets[line_owner + 1]) if len(cut) else cut
     full = cut < len(data)
     cut, line_owner, line_end = cut[full], line_owner[full], line_end[full]
-    lines = (sums[line_end] - sums[cut]) * powers(len(data), True)[cut] if len(cut) else np.zeros(0, U64)
+    stop = line_end - (data[line_end - 1] == 10)  # a last line without a line end may equal an earlier one
+    lines = (sums[stop] - sums[cut]) * powers(len(data), True)[cut] if len(cut) else np.zeros(0, U64)
     n_lines = np.bincount(line_owner, minlength=n)
     per = lambda x, by: x / np.maximum(by, 1)
     return np.column_stack([
