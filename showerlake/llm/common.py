@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word is a longest run of characters other than these white-space characters.
 SPACE = " \t\n\x0b\x0c\r"
@@ -20,6 +22,9 @@ CHUNK_BYTES = 2 << 20
 #: The same where many arrays of a chunk's length stand beside each other.
 LITTLE = 512 << 10
 
+#: Bytes of rows that a Python worker gets at once, at most (one row more where rows are longer): both sides hold them whole.
+ARROW_BYTES = 8 << 20
+
 U64 = np.uint64
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACE.encode())] = True
@@ -61,6 +66,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def mapped(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow with batches of bounded bytes: the default counts rows, and ten thousand long texts fill a worker.
+
+    The bound is the session's own setting, lowered if it is higher and never raised."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if _bytes(conf.get(key)) > ARROW_BYTES:
+        conf.set(key, str(ARROW_BYTES))
+    return df.mapInArrow(step, schema)
+
+
+def _bytes(setting: str) -> int:
+    """A size as Spark writes it: a number of bytes, or with a unit after it."""
+    number, unit = re.fullmatch(r"(\d+)\s*([a-z]*)", setting.strip().lower()).groups()
+    return int(number) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40, "p": 50}[unit.removesuffix("b") or unit]
+
+
 def crc_mod(column: str, by: int) -> Column:
     """crc32 of the id as decimal text, modulo `by`; 0 for a null id has no meaning, so it is null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % by

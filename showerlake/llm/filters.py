@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import U64, mix
+from .common import U64, mapped, mix
 
 LOG_BITS = 28
 SLICE_BITS = 20
@@ -77,8 +77,8 @@ def fill(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray
         if n:
             yield by_slice(np.concatenate(held), log_bits)
 
-    rows = docs.mapInArrow(sliced, "slice int, hashes binary").repartition(1 << _slices(log_bits), "slice")
-    filled = rows.mapInArrow(lambda b: _fill(b, log_bits), "slice int, once binary, twice binary").select("slice", *which).collect()
+    rows = mapped(docs, sliced, "slice int, hashes binary").repartition(1 << _slices(log_bits), "slice")
+    filled = mapped(rows, lambda b: _fill(b, log_bits), "slice int, once binary, twice binary").select("slice", *which).collect()
     out = [np.zeros((1 << _slices(log_bits), 1 << (log_bits - _slices(log_bits) - 3)), np.uint8) for _ in which]
     while filled:
         row = filled.pop()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LITTLE, SPACE, U64, filled, fresh, gram_hashes, powers, text_chunks, text_column, word_hashes, words_of
+from .common import LITTLE, SPACE, U64, filled, fresh, gram_hashes, mapped, powers, text_chunks, text_column, word_hashes, words_of
 
 SAMPLE_ROWS = 20_000
 BINS, PAIR_BINS, N_PAIRS = 48, 12, 6
@@ -189,7 +189,7 @@ def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, usable: Column, sample_rows: int = SAMPLE_ROWS) -> AdditiveModel:
     sample, _ = labelled_sample(docs, labels, label, usable, sample_rows)
-    rows = sample.select("text", "y").mapInArrow(_rows_of, "y int, x array<double>").toPandas()
+    rows = mapped(sample.select("text", "y"), _rows_of, "y int, x array<double>").toPandas()
     x = np.array(rows["x"].tolist(), np.float64).reshape(len(rows), len(FEATURES))
     order = np.lexsort(x.T)  # the same model however the rows arrive
     return AdditiveModel(x[order], rows["y"].to_numpy(np.float64)[order])
@@ -210,4 +210,4 @@ def with_score(docs: DataFrame, model: AdditiveModel, name: str = "_score") -> D
         raise ValueError(f"the rows have a column {name}")
     text = fresh(docs, "_text")
     schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
-    return docs.withColumn(text, text_column()).mapInArrow(lambda b: _scored(b, model, text, name), schema)
+    return mapped(docs.withColumn(text, text_column()), lambda b: _scored(b, model, text, name), schema)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import filters
-from .common import U64, filled, gram_hashes, mix, signed, text_chunks, text_column, word_hashes, words_of
+from .common import U64, filled, gram_hashes, mapped, mix, signed, text_chunks, text_column, word_hashes, words_of
 
 WINDOW = 13
 BLOCK = 7
@@ -106,7 +106,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, block: int = BLOCK,
     index, twice = share(once), share(twice)
     [probed] = filters.fill(rows.select("text"), lambda b: _probes(b, block, index), log_bits, ("once",))
     probed = share(probed)
-    found = rows.select("did", "th", "text").mapInArrow(lambda b: _windows(b, window, block, index, twice, probed), ROWS)
+    found = mapped(rows.select("did", "th", "text"), lambda b: _windows(b, window, block, index, twice, probed), ROWS)
     found = found.withColumn("least", F.min("least").over(Window.partitionBy("h"))).filter("least < did")
     return found.groupBy("did", "th").agg(F.collect_set("place").alias("places"))
 
@@ -138,6 +138,6 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, l
     found = repeated_windows(docs, window, block, log_bits)
     rows = keyed(docs, F.col("doc_id").cast("long").alias("doc_id"))
     met = rows.join(found, ["did", "th"], "left").select("doc_id", "text", "places")
-    return met.mapInArrow(lambda b: _cut(b, window, with_text), DONE + (", kept_text string" if with_text else ""))
+    return mapped(met, lambda b: _cut(b, window, with_text), DONE + (", kept_text string" if with_text else ""))
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import filters
-from .common import U64, filled, mix, powers, signed, text_chunks, written
+from .common import U64, filled, mapped, mix, powers, signed, text_chunks, written
 from .substring import keyed
 
 LENGTH = 400
@@ -285,7 +285,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, log_bits: int = LOG_BI
     rows = keyed(docs)
     [twice] = filters.fill(rows.select("text"), lambda b: _anchors(b, length), log_bits, ("twice",))
     twice = filters.share(docs.sparkSession, twice)
-    segments = written(rows.select("did", "th", "text").mapInArrow(lambda b: _segments(b, length, twice), SEGMENTS), "segments")
+    segments = written(mapped(rows.select("did", "th", "text"), lambda b: _segments(b, length, twice), SEGMENTS), "segments")
     # max() skips the nulls that stand for texts sent by another row
     kinds = segments.groupBy("h", "fp").agg(F.max("segment").alias("segment"), F.count("*").alias("times"), F.first("n").alias("n"))
     owners = segments.groupBy("h", "fp").agg(F.count("*").alias("times"), F.first("n").alias("n"))
@@ -293,10 +293,10 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, log_bits: int = LOG_BI
     sizes = owners.groupBy("h").agg(F.count("*").alias("kinds"), F.sum(F.col("n") + F.lit(length)).alias("bytes")).filter("kinds > 1")
     kinds = kinds.join(sizes, "h").select("h", "fp", "n", "segment", "bytes")
     small = kinds.filter(F.col("bytes") <= group_bytes).drop("bytes").repartition("h").sortWithinPartitions("h")
-    sorted_ = small.mapInArrow(lambda b: _marked(b, length), MARKS)
+    sorted_ = mapped(small, lambda b: _marked(b, length), MARKS)
     found = copied.unionByName(sorted_)
     if not sizes.filter(F.col("bytes") > group_bytes).isEmpty():
-        large = kinds.filter(F.col("bytes") > group_bytes).drop("bytes").mapInArrow(lambda b: _hashed(b, length), "w long, h long, fp long, place int")
+        large = mapped(kinds.filter(F.col("bytes") > group_bytes).drop("bytes"), lambda b: _hashed(b, length), "w long, h long, fp long, place int")
         again = large.groupBy("w").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
         hashed = large.join(again, "w").select("h", "fp", F.array("place").alias("starts"), F.array(F.col("place") + 1).alias("ends"))
         found = found.unionByName(hashed)
@@ -359,4 +359,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fal
     rows = keyed(docs, *[F.col(c).alias(f"_own_{i}") for i, c in enumerate(own)])
     met = rows.join(found, ["did", "th"], "left").select(*[F.col(f"_own_{i}").alias(c) for i, c in enumerate(own)], F.col("text").alias("_text"), "ranges")
     schema = StructType([*[docs.schema[c] for c in own], *_parse_datatype_string(DONE).fields])
-    return met.mapInArrow(lambda b: _cut(b, length, with_text), schema)
+    return mapped(met, lambda b: _cut(b, length, with_text), schema)

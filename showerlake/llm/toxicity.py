@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LITTLE, U64, filled, signed, text_chunks, text_column, word_hashes, written
+from .common import LITTLE, U64, filled, mapped, signed, text_chunks, text_column, word_hashes, written
 from .quality import labelled_sample
 
 PER_LABEL = 2_000
@@ -149,7 +149,7 @@ def learned(sample: DataFrame) -> np.ndarray:
     """Sorted hashes of the words and stems that MIN_DOCUMENTS of the sample's texts hold, and whose share differs between the
     labels by MIN_DEVIATIONS. They come to the driver: what a bounded sample can hold so often is bounded."""
     n = [F.greatest(F.lit(1), F.count_if(F.col("y") == v)).alias(f"t{v}") for v in (0, 1)]
-    seen = sample.select("text", "y").mapInArrow(_seen, "h long, n0 long, n1 long").groupBy("h").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    seen = mapped(sample.select("text", "y"), _seen, "h long, n0 long, n1 long").groupBy("h").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     seen = seen.filter(F.col("n0") + F.col("n1") >= MIN_DOCUMENTS).crossJoin(F.broadcast(sample.agg(*n)))  # one row of totals
     both = (F.col("n0") + F.col("n1")) / (F.col("t0") + F.col("t1"))
     spread = F.sqrt(F.greatest(both * (1 - both), F.lit(1e-12)) * (1 / F.col("t0") + 1 / F.col("t1")))
@@ -181,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_labe
     sample, stands_for = labelled_sample(docs, labels, label, usable, per_label, by_class=True)
     sample = written(sample, "toxicity-sample")
     known = learned(sample)
-    rows = sample.select(F.col("doc_id").cast("long"), "text", "y").mapInArrow(lambda b: _bags(b, known), "doc_id long, y int, n int, words array<long>, sentence array<int>").toArrow().to_pandas()
+    rows = mapped(sample.select(F.col("doc_id").cast("long"), "text", "y"), lambda b: _bags(b, known), "doc_id long, y int, n int, words array<long>, sentence array<int>").toArrow().to_pandas()
     rows = rows.sort_values(["doc_id", "y"], kind="stable")
     y = rows["y"].to_numpy(np.float64)
     if not len(rows):
@@ -195,4 +195,4 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_labe
 
 def scored(docs: DataFrame, model: NoisyOr, located: float = 0.5) -> DataFrame:
     """doc_id, score, n_sentences and the sentences with a score of `located` or more, as places in the text's characters."""
-    return docs.select(F.col("doc_id").cast("long"), text_column().alias("text")).mapInArrow(lambda b: _scored(b, model, located), SCORED)
+    return mapped(docs.select(F.col("doc_id").cast("long"), text_column().alias("text")), lambda b: _scored(b, model, located), SCORED)
