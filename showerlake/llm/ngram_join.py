@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LITTLE, U64, WORD_CLASS, filled, gram_hashes, mix, signed, text_chunks, text_column, word_hashes, words_of, written
+from .common import LITTLE, U64, WORD_CLASS, filled, gram_hashes, mapped, mix, signed, text_chunks, text_column, word_hashes, words_of, written
 from .components import components
 from .substring import keyed
 
@@ -45,6 +45,8 @@ MAYBE = THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / SKETCH) ** 0.5
 #: In a large bucket, a set this close to a pivot needs no comparison of its own: what is similar to it is linked to the pivot too.
 COVERED, NEAR_PIVOT = THRESHOLD, 0.45
 TILE = 256
+#: Shingles of one text that are hashed for all runs at once, so that a text of millions of words takes no more room.
+SAMPLED_AT_ONCE = 1 << 15
 
 _RUN_MULTIPLIERS = mix(np.arange(1, RUNS * LEVELS + 1, dtype=U64)) | U64(1)
 
@@ -65,6 +67,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> Ite
 BASE = "did long, th long, sh long, n int, sketch binary, t1 array<long>, t2 array<long>, t3 array<long>, t4 array<long>"
 
 
+def _sampled(s: np.ndarray, multipliers: np.ndarray, most: np.uint64) -> np.ndarray:
+    """The tokens of each run, with the number of the run in their last five bits."""
+    i, run = np.nonzero(s[:, None] * multipliers[None, :] <= most)
+    return (mix(s[i]) & ~U64(31)) | run.astype(U64)
+
+
 def _described(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: dict[str, list] = {c: [] for c in ("sh", "n", "sketch", "t1", "t2", "t3", "t4")}
@@ -75,9 +83,8 @@ def _described(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[
                 out["sketch"].append(np.sort((mix(s + U64(0x5BD1E995)) >> U64(32)).astype(np.uint32))[:SKETCH].tobytes())
                 most = U64(min(2**64 - 1, int(2**64 / (threshold * max(1, len(s))))))
                 for level in range(LEVELS):
-                    values = s[:, None] * _RUN_MULTIPLIERS[None, level * RUNS : (level + 1) * RUNS]
-                    i, run = np.nonzero(values <= most)
-                    out[f"t{level + 1}"].append(signed((mix(s[i]) & ~U64(31)) | run.astype(U64)))
+                    multipliers = _RUN_MULTIPLIERS[level * RUNS : (level + 1) * RUNS]
+                    out[f"t{level + 1}"].append(signed(np.concatenate([_sampled(s[at : at + SAMPLED_AT_ONCE], multipliers, most) for at in range(0, max(1, len(s)), SAMPLED_AT_ONCE)])))
         lists = {c: pa.array(out[c], pa.list_(pa.int64())) for c in ("t1", "t2", "t3", "t4")}
         yield pa.RecordBatch.from_pydict({"did": batch.column(0), "th": batch.column(1), "sh": pa.array(out["sh"], pa.int64()), "n": pa.array(out["n"], pa.int32()), "sketch": pa.array(out["sketch"], pa.binary()), **lists})
 
@@ -239,7 +246,7 @@ def bounded_buckets(leaves: DataFrame, sketches: DataFrame, large: int) -> tuple
         pivots = pivots.select("path", "size", F.col("one.sh").alias("sh")).join(sketches, "sh").select("path", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(0).alias("kind"), "sh", "sketch")
         members = big.join(sketches, "sh").select("path", block, F.lit(1).alias("kind"), "sh", "sketch")
         dealt = pivots.unionByName(members).repartition("path", "block").sortWithinPartitions("path", "block", "kind", "sh")
-        met = written(dealt.mapInArrow(_met_by_pivots, "path long, sh long, u long, v long"), "pivots")
+        met = written(mapped(dealt, _met_by_pivots, "path long, sh long, u long, v long"), "pivots")
         links.append(met.filter("u is not null").select("u", "v"))
         left = met.filter("path is not null").select("path", "sh")
         left = left.join(left.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1"), "path")
@@ -301,12 +308,12 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMALL_BUC
     """One row per document: doc_id, th (hash of its text), class_id (the smallest doc_id that it is linked to, directly or
     over others, itself included) and n_links (documents of at least the threshold's similarity, copies included)."""
     rows = keyed(docs, F.col("doc_id").cast("long").alias("_id"))
-    base = written(rows.select("did", "th", "text").mapInArrow(lambda b: _described(b, threshold), BASE), "sets")
+    base = written(mapped(rows.select("did", "th", "text"), lambda b: _described(b, threshold), BASE), "sets")
     leaves = written(all_leaves(base, small), "leaves")
     sketches = base.filter("n > 0").select("sh", "sketch").dropDuplicates(["sh"])
     bounded, by_pivots = bounded_buckets(leaves, sketches, large)
     filled_leaves = bounded.join(sketches, "sh").select("path", "sh", "sketch")
-    links = filled_leaves.repartition("path").sortWithinPartitions("path").mapInArrow(lambda b: _linked(b, small), "u long, v long")
+    links = mapped(filled_leaves.repartition("path").sortWithinPartitions("path"), lambda b: _linked(b, small), "u long, v long")
     for more in by_pivots:
         links = links.unionByName(more)
     found = components(links)
@@ -320,7 +327,7 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMALL_BUC
     tiled = texts.withColumn("nb", blocks).withColumn("block", F.pmod(F.xxhash64("sh"), F.col("nb")).cast("int"))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     tiled = tiled.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sh", "copies", "text")
-    compared = written(tiled.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(lambda b: _compared(b, threshold), TILED), "compared")
+    compared = written(mapped(tiled.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j"), lambda b: _compared(b, threshold), TILED), "compared")
     n_links = compared.filter("sh is not null").groupBy("sh").agg(F.sum("linked").alias("linked"))
     roots = components(compared.filter("u is not null").select("u", "v"))
     least = base.filter("n > 0").groupBy("sh").agg(F.count("*").alias("copies"), F.min("did").alias("least"))
