@@ -13,6 +13,7 @@ itself. An empty table gives no pieces.
 
 from __future__ import annotations
 
+import threading
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filled, text_column
+from .common import filled, mapped, text_column
 
 LENGTH = 4096
 END_ID = 2
@@ -32,6 +33,10 @@ GROUP_TOKENS = 1 << 20
 QUADRATIC = 6144.0
 
 _KEPT = 400_000
+#: A longer part is met once as a rule and isn't kept, so what is kept is bounded in bytes as well.
+_LONGEST_KEPT = 64
+#: How long a worker without texts keeps what it has learnt.
+KEPT_SECONDS = 10.0
 
 
 class Encoder:
@@ -97,6 +102,9 @@ class Encoder:
         find = self.parts.__getitem__
         out = [b"".join(map(find, p)) for p in split]
         for known, new in zip((self.parts, self.pieces), added, strict=True):
+            for w in [w for w in new if len(w) > _LONGEST_KEPT]:
+                del known[w]
+            new = [w for w in new if len(w) <= _LONGEST_KEPT]
             for w in new[: max(0, len(known) - _KEPT)]:  # the first that were met stay
                 del known[w]
         return out
@@ -104,13 +112,20 @@ class Encoder:
 
 _PIECE = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _ENCODERS: dict[str, Encoder] = {}
+_ENDING: list[threading.Timer] = []
 
 
 def token_ids(texts: list[str], path: str) -> list[np.ndarray]:
-    """The ids of each whole text."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return [np.frombuffer(x, "<u4") for x in _ENCODERS[path](texts)]
+    """The ids of each whole text. What was learnt serves the next tasks of this worker, and goes when it has had none for a while:
+    the worker may go on to other operators, which need the room."""
+    encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
+    out = [np.frombuffer(x, "<u4") for x in encoder(texts)]
+    while _ENDING:
+        _ENDING.pop().cancel()
+    _ENDING.append(threading.Timer(KEPT_SECONDS, _ENCODERS.clear))
+    _ENDING[0].daemon = True
+    _ENDING[0].start()
+    return out
 
 
 def capacities(tokens: int, length: int) -> np.ndarray:
@@ -185,4 +200,4 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, length: int, end_id: i
 def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int = END_ID, group_tokens: int = GROUP_TOKENS, with_ids: bool = False) -> DataFrame:
     """The pieces of all documents; with_ids adds their token ids. sequence_id is unique over the table."""
     schema = PIECES + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long"), text_column().alias("text")).mapInArrow(lambda b: _pieces(b, tokenizer_path, length, end_id, group_tokens, with_ids), schema)
+    return mapped(docs.select(F.col("doc_id").cast("long"), text_column().alias("text")), lambda b: _pieces(b, tokenizer_path, length, end_id, group_tokens, with_ids), schema)
