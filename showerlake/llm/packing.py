@@ -77,12 +77,12 @@ class Encoder:
 
     def split(self, part: str) -> list[str] | None:
         """The pieces that may be encoded apart; None if that is not sure."""
-        if "'" in part or any(s in part for s in self.special):
+        if "'" in part or "\u0130" in part or any(s in part for s in self.special):
             return None
         if part.isascii():
             return _PIECE.findall(part.lower())
         if unicodedata.is_normalized("NFC", part) and max(part) <= "\u017f":
-            return _PIECE.findall("".join(c.lower() if c < "\u0130" else c for c in part))
+            return _PIECE.findall("".join(c.lower() for c in part))
         return None
 
     def learn(self, parts: list[str]) -> tuple[list[str], list[str]]:

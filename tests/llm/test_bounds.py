@@ -1,5 +1,6 @@
 """Bounds on what a worker holds: batches in bytes, shingles of one text at once, what the tokenizer keeps."""
 
+import random
 import time
 
 import numpy as np
@@ -42,3 +43,14 @@ def test_tokenizer_keeps_little_and_not_for_long(monkeypatch):
     time.sleep(1)
     assert not packing._ENCODERS
     assert all(np.array_equal(a, b) for a, b in zip(first, packing.token_ids(texts, path), strict=True))
+
+
+def test_ids_of_any_characters():
+    """Parts of drawn characters get the tokenizer's own ids: letters whose lower case is longer, marks, special tokens in any case."""
+    rng = random.Random(5)
+    path = tokenizer_path()
+    drawn = [chr(c) for c in range(1, 0x180)] + list("İıſŉ'<|>̇́Σ中   \n") + ["<|startoftext|>", "<|ENDOFTEXT|>", "'s", "'LL"]
+    texts = ["".join(rng.choices(drawn, k=rng.randint(0, 12))) for _ in range(5_000)] + [a + b for a in drawn[:390] for b in "aZ1'İ"]
+    encoder = packing.Encoder(path)
+    for text, ids in zip(texts, packing.token_ids(texts, path), strict=True):
+        assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
