@@ -13,6 +13,7 @@ itself. An empty table gives no pieces.
 
 from __future__ import annotations
 
+import re
 import threading
 import unicodedata
 import zlib
@@ -50,7 +51,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.unsure = re.compile("|".join(map(re.escape, ["'", "\u0130", *special]))).search
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -77,22 +79,23 @@ class Encoder:
 
     def split(self, part: str) -> list[str] | None:
         """The pieces that may be encoded apart; None if that is not sure."""
-        if "'" in part or "\u0130" in part or any(s in part for s in self.special):
+        if self.unsure(part):
             return None
-        if part.isascii():
+        if part.isascii() or (unicodedata.is_normalized("NFC", part) and max(part) <= "\u017f"):
             return _PIECE.findall(part.lower())
-        if unicodedata.is_normalized("NFC", part) and max(part) <= "\u017f":
-            return _PIECE.findall("".join(c.lower() for c in part))
         return None
 
     def learn(self, parts: list[str]) -> tuple[list[str], list[str]]:
-        """Encode unseen parts; returns what was added to `parts` and to `pieces`."""
-        split = {p: self.split(p) for p in parts}
-        new = list({x for xs in split.values() if xs is not None for x in xs if x not in self.pieces})
+        """Encode unseen parts; returns what was added to `parts` and to `pieces`. Most parts are one piece of plain letters."""
+        plain = {p: p.lower() for p in parts if p.isascii() and p.isalpha() and not self.unsure(p)}
+        split = {p: self.split(p) for p in parts if p not in plain}
+        new = set(plain.values()).union(*[xs for xs in split.values() if xs is not None])
+        new = [x for x in new if x not in self.pieces]
         self.pieces.update(zip(new, self.one_by_one(new), strict=True))
         whole = [p for p, xs in split.items() if xs is None]
         self.parts.update(zip(whole, self.direct(whole), strict=True))
         find = self.pieces.__getitem__
+        self.parts.update(zip(plain, map(find, plain.values()), strict=True))
         self.parts.update((p, b"".join(map(find, xs))) for p, xs in split.items() if xs is not None)
         return parts, new
 
