@@ -124,12 +124,12 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     return found[: n + 1]
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start byte, end byte, text number) of every word; no word crosses two texts."""
+def words_of(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start byte, end byte, text number) of every word; no word crosses two texts. `between`: for each byte, whether it parts words."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = ~_IS_SPACE[data]
+    inside = ~between[data]
     starts = inside.copy()
     starts[1:] &= ~inside[:-1]
     ends = inside.copy()
