@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, lexical, mixing, ngram_join, packing, quality, rules, substring, suffix, toxicity
+from . import ann, chat, lexical, mixing, ngram_join, packing, quality, rules, substring, suffix, toxicity, whiten
 from .common import crc_mod, table, text_column
 
 
@@ -74,7 +74,11 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_classifier, op3_ngram_join, op4_chat_formatting, op5_packing, op6_quality_rules, op7_source_mixing, op8_nearest_vectors, op9_suffix_array_dedup, op10_substring_dedup, op12_lexical_search)}
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whitened(table(spark, sf_dir, "embeddings"), k=4)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_classifier, op3_ngram_join, op4_chat_formatting, op5_packing, op6_quality_rules, op7_source_mixing, op8_nearest_vectors, op9_suffix_array_dedup, op10_substring_dedup, op12_lexical_search, op13_embedding_whitening)}
 
 OP4 = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
