@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, lexical, mixing, ngram_join, packing, quality, rules, substring, suffix, toxicity, whiten
-from .common import crc_mod, table, text_column
+from . import ann, chat, lexical, mixing, ngram_join, packing, quality, rules, substring, suffix, toxicity, warc, whiten
+from .common import crc_mod, shared_dir, table, text_column
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -70,6 +72,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.without_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = f"{shared_dir(spark)}/files/warc-{uuid.uuid4().hex}"
+    warc.write_warc(table(spark, sf_dir, "pages"), root)
+    return warc.read_warc(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
 
@@ -78,7 +86,7 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten.whitened(table(spark, sf_dir, "embeddings"), k=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_classifier, op3_ngram_join, op4_chat_formatting, op5_packing, op6_quality_rules, op7_source_mixing, op8_nearest_vectors, op9_suffix_array_dedup, op10_substring_dedup, op12_lexical_search, op13_embedding_whitening)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_classifier, op3_ngram_join, op4_chat_formatting, op5_packing, op6_quality_rules, op7_source_mixing, op8_nearest_vectors, op9_suffix_array_dedup, op10_substring_dedup, op11_warc, op12_lexical_search, op13_embedding_whitening)}
 
 OP4 = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -111,6 +119,10 @@ WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.e, c.e) DESC, c.vec_id) AS rank
   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0) WHERE rank <= 20"""
 
+OP11 = """
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN place > 1 AND payload_bytes >= 100 THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN place > 1 AND payload_bytes >= 100 THEN first END AS refers_to
+FROM (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest, row_number() OVER (PARTITION BY h ORDER BY page_id NULLS LAST, url NULLS FIRST) AS place, min(page_id) OVER (PARTITION BY h) AS first FROM (SELECT page_id, url, coalesce(html, '') AS h FROM pages))"""
+
 OP12 = r"""
 WITH d AS (SELECT row_number() OVER () AS place, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
 size AS (SELECT place, doc_id, len(t) AS n FROM d WHERE len(t) > 0), whole AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM size),
@@ -120,4 +132,4 @@ w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / CAST(2 * count(*) + 1
 s AS (SELECT item, item_id, place, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score FROM i JOIN w USING (term) JOIN post USING (term) JOIN size USING (place), whole GROUP BY ALL)
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 20"""
 
-ORACLES: dict[str, str] = {"op12_lexical_search": OP12, "op4_chat_formatting": OP4, "op7_source_mixing": OP7, "op8_nearest_vectors": OP8}
+ORACLES: dict[str, str] = {"op11_warc": OP11, "op12_lexical_search": OP12, "op4_chat_formatting": OP4, "op7_source_mixing": OP7, "op8_nearest_vectors": OP8}
