@@ -42,6 +42,8 @@ LEAST_BYTES = 100
 SHARD_BYTES, MOST_SHARDS = 32 << 20, 20_000
 ROLL_BYTES = 64 << 20
 SAMPLES_PER_SHARD = 32
+#: Compressed bytes that one reading task gets, about; more where there are over ten thousand tasks.
+READ_BYTES = 4 << 20
 #: Equal rows beyond so many, and beyond a thousandth of all rows, are counted first; so there are at most a thousand such groups.
 FLOOD = 1 << 16
 COPIES_AT_ONCE = 4096
@@ -96,7 +98,7 @@ class _Shard:
             self.close()
         if self.out is None:
             name = f"part-{self.shard:06d}-{len(self.files):04d}.warc.gz"
-            self.out, self.size, self.sha, self.records, self.name = self.store.open_output_stream(f"{self.folder}/{name}"), 0, hashlib.sha256(), 0, name
+            self.out, self.size, self.sha, self.records, self.name = self.store.open_output_stream(f"{self.folder}/{name}", compression=None), 0, hashlib.sha256(), 0, name
             self.write(_member({"WARC-Type": "warcinfo", "WARC-Record-ID": _record_id("warcinfo", name), "WARC-Date": DATE, "WARC-Filename": name, "Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\n", self.level))
         self.write(member)
         self.records += 1
@@ -261,7 +263,7 @@ def _read(root: str) -> Callable:
         for b in batches:
             for name in b.column(0).to_pylist():
                 found, held = [], 0
-                with store.open_input_stream(f"{top}/{name}") as stream:
+                with store.open_input_stream(f"{top}/{name}", compression=None) as stream:
                     for fields, block in records(stream):
                         if fields["WARC-Type"] == "warcinfo":
                             continue
@@ -283,5 +285,6 @@ def _read(root: str) -> Callable:
 
 def read_warc(spark: SparkSession, root: str) -> DataFrame:
     """The records of an archive that write_warc has written, as RECORD; a payload that differs from its digest is an error."""
-    files = spark.read.schema(MANIFEST).parquet(f"{root}/_manifest").select("name")
-    return mapped(files.repartition(max(1, min(10_000, files.count())), "name"), _read(root), RECORD)
+    files = spark.read.schema(MANIFEST).parquet(f"{root}/_manifest")
+    n_bytes = files.agg(F.sum("bytes")).first()[0] or 0
+    return mapped(files.select("name").repartition(max(1, min(10_000, -(-n_bytes // READ_BYTES))), "name"), _read(root), RECORD)

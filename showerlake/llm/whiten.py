@@ -53,11 +53,10 @@ def tridiagonal(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def count_below(d: np.ndarray, e: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Sturm's count: how many eigenvalues of the tridiagonal matrix lie below each x, from the signs of the pivots."""
     tiny = np.finfo(float).tiny / np.finfo(float).eps * max(1.0, float((e**2).max()) if len(e) else 1.0)
-    pivot = d[0] - x
-    below = (pivot < 0).astype(int)
-    for i in range(1, len(d)):
+    pivot, below = np.ones_like(x), np.zeros(x.shape, int)
+    for i in range(len(d)):
+        pivot = d[i] - x - (e[i - 1] ** 2 / pivot if i else 0)
         pivot = np.where(np.abs(pivot) < tiny, -tiny, pivot)
-        pivot = d[i] - x - e[i - 1] ** 2 / pivot
         below += pivot < 0
     return below
 
