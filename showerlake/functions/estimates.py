@@ -5,10 +5,14 @@ from __future__ import annotations
 import math
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
+from . import quantiles as qs
+from .quantiles import with_quantiles
 
 # 0.975 quantiles of Student's t for 1 to 30 degrees of freedom.
 T975 = (
@@ -85,7 +89,8 @@ def c4(n: Column) -> Column:
 def gauss(df: DataFrame, keys: list[str], col: str) -> DataFrame:
     """Moments of each group with errors and intervals, from two values on; from LEAST_ROBUST on the robust width and
     whether it is far from sigma."""
-    by = df.groupBy(*keys).agg(F.count(col).alias("n"), F.avg(col).alias("mu"), F.stddev_samp(col).alias("s"), F.stddev_pop(col).alias("s0"), F.percentile(col, [0.25, 0.5, 0.75]).alias("qs"))
+    by = df.groupBy(*keys).agg(F.count(col).alias("n"), F.avg(col).alias("mu"), F.stddev_samp(col).alias("s"), F.stddev_pop(col).alias("s0"))
+    by = with_quantiles(by, df, keys, {"qs": (col, [0.25, 0.5, 0.75])})
     by = by.withColumns({"median": F.get("qs", F.lit(1)), "robust": F.when(F.col("n") >= LEAST_ROBUST, (F.get("qs", F.lit(2)) - F.get("qs", F.lit(0))) / ROBUST)}).drop("qs")
     lo, hi = t_interval(F.col("mu"), F.col("s"), F.col("n"))
     s_lo, s_hi = chi2_interval(F.col("s"), F.col("n"))
@@ -151,35 +156,94 @@ def mae_rmse(df: DataFrame, keys: list[str], err: Column) -> DataFrame:
     return by.withColumns({"mae_lo": lo, "mae_hi": hi, "rmse": F.sqrt("mse"), "rmse_lo": F.sqrt(F.greatest(F.lit(0.0), mlo)), "rmse_hi": F.sqrt(mhi)})
 
 
-def bootstrap(df: DataFrame, keys: list[str], col: str, row_key: list[str], residual: Column | None = None, replicates: int = 2_000, seed: int = 1) -> DataFrame:
-    """Poisson bootstrap of the median, of the robust width (IQR / 1.349 over the median) and, of `residual`, of the RMSE:
-    each row's weight in a replicate comes from a hash, so replicates need no order.
-
-    Its draws differ from those of a sampled bootstrap. Intervals are those of the replicates' percentiles, from 20 values on;
-    standard errors from two on; neither for the width if over 0.025 of the replicates have no positive median. n counts the values of `col`, n_rmse those of the residual."""
-    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
-    rows = df.select(*keys, finite(F.col(col).cast("double")).alias("_x"), finite((F.lit(None) if residual is None else residual).cast("double")).alias("_r"), F.struct(*row_key).alias("_row"))
-    u = F.pmod(F.xxhash64("_row", F.col("rep"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    weight, total, term = F.lit(0), 0.0, math.exp(-1)
-    for k in range(1, 9):
-        total += term
-        weight = weight + F.when(u >= total, 1).otherwise(0)
-        term /= k
-    drawn = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("weight", weight).filter("weight > 0")
-    square, known = F.sum(F.col("weight") * F.col("_r") * F.col("_r")), F.sum(F.when(F.col("_r").isNotNull(), F.col("weight")))
-    reps = drawn.groupBy(*keys, "rep").agg(F.percentile("_x", [0.25, 0.5, 0.75], F.col("weight")).alias("q"), F.sqrt(F.try_divide(square, known)).alias("rmse"))
-    at = lambda i: F.get("q", F.lit(i))
-    reps = reps.select(*keys, at(1).alias("median"), F.when(at(1) > 0, (at(2) - at(0)) / ROBUST / at(1)).alias("width"), "rmse")
-    stats = {"": ("median", "n"), "width_": ("width", "n"), "rmse_": ("rmse", "n_rmse")}
-    ends = [a for k, (c, _) in stats.items() for a in (F.percentile(c, [0.025, 0.975]).alias(f"{k}qs"), F.stddev_samp(c).alias(f"{k}sd"))]
-    ends.append((F.count("width") >= 0.975 * F.count("median")).alias("_positive"))
-    counts = rows.groupBy(*keys).agg(F.count("_x").alias("n"), F.count("_r").alias("n_rmse"))
-    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    by = counts.alias("c").join(reps.groupBy(*keys).agg(*ends).alias("r"), same, "left")
+#: Bins of the squares that an RMSE's replicates are drawn from.
+SQUARE_BINS = 4096
+
+
+def _drawn_ranks(replicates: int, seed: int):
+    """For each group of n values and each replicate, the ranks (from 0) in the group that the replicate's order statistics about its quartiles have.
+
+    The order statistics of n draws with replacement are those of n uniforms, times n; their joint law comes from sums of exponentials."""
+
+    def step(batches):
+        for b in batches:
+            keys, reps, ts, ranks = [], [], [], []
+            for i, (n, h) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                at = sorted({int(f(p * (n - 1))) for p in (0.25, 0.5, 0.75) for f in (math.floor, math.ceil)})
+                steps = np.diff([0, *(r + 1 for r in at), n + 1]).astype(float)
+                sums = np.random.default_rng([seed, h & (1 << 64) - 1]).standard_gamma(steps, (replicates, len(steps))).cumsum(1)
+                found = np.minimum((sums[:, :-1] / sums[:, -1:] * n).astype(np.int64), n - 1)
+                keys.append(np.full(found.size, i))
+                reps.append(np.repeat(np.arange(replicates), len(at)))
+                ts.append(np.tile(at, replicates))
+                ranks.append(found.ravel())
+            if keys:
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(keys))), pa.array(np.concatenate(reps), pa.int32()), pa.array(np.concatenate(ts), pa.int64()), pa.array(np.concatenate(ranks))], ["_k", "rep", "at", "rank"])
+
+    return step
+
+
+def _drawn_rmse(replicates: int, seed: int):
+    """For each group and replicate the root of the mean of n squares, from how many of the n draws fall into each bin; the mean of
+    those within a bin is drawn by its own mean and spread."""
+
+    def step(batches):
+        for b in batches:
+            keys, out = [], []
+            for i, (bins, h) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                bins.sort(key=lambda x: x["bin"])
+                c, mean, var = (np.array([x[k] for x in bins], float) for k in ("c", "mean", "var"))
+                rng = np.random.default_rng([seed, h & (1 << 64) - 1, 1])
+                n = int(c.sum())
+                times = rng.multinomial(n, c / n, replicates)
+                total = times @ mean + np.sqrt(times @ var) * rng.standard_normal(replicates)
+                keys.append(np.full(replicates, i))
+                out.append(np.sqrt(np.maximum(total, 0) / n))
+            if keys:
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(keys))), pa.array(np.concatenate(out))], ["_k", "rmse"])
+
+    return step
+
+
+def bootstrap(df: DataFrame, keys: list[str], col: str, residual: Column | None = None, replicates: int = 2_000, seed: int = 1) -> DataFrame:
+    """Bootstrap of the median, of the robust width (IQR / 1.349 over the median) and, of `residual`, of the RMSE.
+
+    Rows are never multiplied by replicates. A replicate's quartiles are order statistics of the group whose ranks are drawn by
+    their exact law; all ranks of all replicates are looked up by one distributed selection. A replicate's mean square is drawn from the
+    squares' bins (SQUARE_BINS a group). Draws depend on the seed and the key alone. Intervals are those of the replicates' percentiles, from 20 values on;
+    standard errors from two on; neither for the width if over 0.025 of the replicates have no positive median. n counts the finite values of `col`, n_rmse those of the residual."""
+    r = (F.lit(None) if residual is None else residual).cast("double")
+    rows = qs.keyed(df, keys, [F.col(col), r * r])
+    by = written(qs.sizes(rows), "bootstrap-sizes")
+    kind = by.schema["_k"].dataType.simpleString()
+    drawn = written(by.filter("_q = 0").select("_k", "n", F.xxhash64("_k").alias("h")).mapInArrow(_drawn_ranks(replicates, seed), f"_k {kind}, rep int, at long, rank long"), "bootstrap-ranks")
+    ends_of = by.filter("_q = 0").select("_k", "_q", "n", "lo", "hi")
+    values = qs.selected(rows.filter("_q = 0"), drawn.select("_k", "rank").distinct().join(ends_of, "_k").select("_k", "_q", "lo", "hi", "n", F.col("rank").alias("_t"), "rank"))
+    met = drawn.join(values.select("_k", F.col("_t").alias("rank"), "value"), ["_k", "rank"]).join(ends_of.select("_k", "n"), "_k")
+    place = lambda p: (F.col("n") - 1) * F.lit(p)
+    end = lambda p, f, name: F.max(F.when(F.col("at") == f(place(p)), F.col("value"))).alias(name)
+    reps = met.groupBy("_k", "rep", "n").agg(*[end(p, f, f"{name}{p}") for p in (0.25, 0.5, 0.75) for f, name in ((F.floor, "f"), (F.ceil, "c"))])
+    at = lambda p: F.col(f"`f{p}`") + (F.col(f"`c{p}`") - F.col(f"`f{p}`")) * (place(p) - F.floor(place(p)))
+    reps = reps.select("_k", at(0.5).alias("median"), F.when(at(0.5) > 0, (at(0.75) - at(0.25)) / ROBUST / at(0.5)).alias("width"))
+    square = rows.filter("_q = 1").join(by.filter("_q = 1").select("_k", "lo", "hi"), "_k")
+    place_of = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * SQUARE_BINS), F.lit(SQUARE_BINS - 1))).otherwise(0)
+    binned = square.groupBy("_k", place_of.alias("bin")).agg(F.count("*").alias("c"), F.avg("_v").alias("mean"), F.var_pop("_v").alias("var")).groupBy("_k").agg(F.collect_list(F.struct("bin", "c", "mean", "var")).alias("bins"))
+    rmse = binned.select("_k", "bins", F.xxhash64("_k").alias("h")).mapInArrow(_drawn_rmse(replicates, seed), f"_k {kind}, rmse double")
+    ends = lambda c, k: (F.percentile(c, [0.025, 0.975]).alias(f"{k}qs"), F.stddev_samp(c).alias(f"{k}sd"))  # noqa: E731  of `replicates` values
+    found = reps.groupBy("_k").agg(*ends("median", ""), *ends("width", "width_"), (F.count("width") >= 0.975 * F.count("median")).alias("_positive"))
+    counts = keyed_counts(df, keys, col, r)
+    out = counts.join(found, "_k", "left").join(rmse.groupBy("_k").agg(*ends("rmse", "rmse_")), "_k", "left")
+    out = out.withColumns({c: F.when(F.col("_positive"), F.col(c)) for c in ("width_qs", "width_sd")})
     gate = lambda n, least, c: F.when(F.col(n) >= least, c)
-    out = [x for k, (_, n) in stats.items() for x in (gate(n, 2, F.col(f"{k}sd")).alias(f"{k}se"), *(gate(n, 20, F.get(f"{k}qs", F.lit(i))).alias(f"{k}{end}") for i, end in enumerate(("lo", "hi"))))]
-    by = by.withColumns({c: F.when(F.col("_positive"), F.col(c)) for c in ("width_qs", "width_sd")})
-    return by.select(*[F.col(f"c.{k}").alias(k) for k in keys], "n", "n_rmse", *out)
+    columns = [x for k, n in (("", "n"), ("width_", "n"), ("rmse_", "n_rmse")) for x in (gate(n, 2, F.col(f"{k}sd")).alias(f"{k}se"), *(gate(n, 20, F.get(f"{k}qs", F.lit(i))).alias(f"{k}{e}") for i, e in enumerate(("lo", "hi"))))]
+    return out.select(*[F.col("_k")[k].alias(k) for k in keys], "n", "n_rmse", *columns)
+
+
+def keyed_counts(df: DataFrame, keys: list[str], col: str, residual: Column) -> DataFrame:
+    """Finite values of the column and of the residual for every key, those without any included."""
+    k = F.struct(*[F.col(x) for x in keys]) if keys else F.struct(F.lit(0).alias("_"))
+    finite = lambda c: F.count_if(c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    return df.groupBy(k.alias("_k")).agg(finite(F.col(col).cast("double")).alias("n"), finite(residual).alias("n_rmse"))
 
 
 @lru_cache(None)
@@ -197,25 +261,29 @@ def median_ranks() -> tuple[int, ...]:
 
 def median_order_ci(df: DataFrame, keys: list[str], col: str) -> DataFrame:
     """Order statistics about the median: the rank j is the largest whose j - 1 has a chance of 0.025 at most under
-    Bin(n, 1/2); looked up to RANKED values, its normal limit beyond. From six values on."""
-    w = Window.partitionBy(*keys)
-    r = df.filter(F.col(col).isNotNull()).withColumns({"place": F.row_number().over(w.orderBy(col)), "n": F.count("*").over(w)})
+    Bin(n, 1/2); looked up to RANKED values, its normal limit beyond. From six values on. Ranks are found by selection."""
+    rows = qs.keyed(df, keys, [F.col(col)])
+    by = written(qs.sizes(rows).filter("n >= 6"), "median-sizes")
     known = F.array(*[F.lit(j) for j in median_ranks()])
-    j = F.when(F.col("n") <= RANKED, F.get(known, F.col("n").cast("int"))).otherwise(F.floor((F.col("n") + 1 - Z * F.sqrt("n")) / 2))
-    return r.filter("n >= 6").groupBy(*keys).agg(F.first("n").alias("n"), F.max(F.when(F.col("place") == j, F.col(col))).alias("lo"), F.max(F.when(F.col("place") == F.col("n") + 1 - j, F.col(col))).alias("hi"))
+    j = F.when(F.col("n") <= RANKED, F.get(known, F.col("n").cast("int"))).otherwise(F.floor((F.col("n") + 1 - Z * F.sqrt("n")) / 2)).cast("long")
+    ends = F.array(F.struct(F.lit(0).alias("_t"), (j - 1).alias("rank")), F.struct(F.lit(1).alias("_t"), (F.col("n") - j).alias("rank")))
+    found = qs.selected(rows, by.select("_k", "_q", "lo", "hi", "n", F.inline(ends)))
+    side = lambda t, name: F.max(F.when(F.col("_t") == t, F.col("value"))).alias(name)
+    out = found.groupBy("_k").agg(side(0, "lo"), side(1, "hi")).join(by.select("_k", "n"), "_k")
+    return out.select(*[F.col("_k")[k].alias(k) for k in keys], "n", "lo", "hi")
 
 
-def robust_width(df: DataFrame, keys: list[str], col: str, least: int = 300, row_key: list[str] | None = None) -> DataFrame:
+def robust_width(df: DataFrame, keys: list[str], col: str, least: int = 300, error: bool = False) -> DataFrame:
     """IQR / 1.349 over a positive median, from LEAST_ROBUST values on, and the share beyond three robust deviations in
-    groups of `least` and more. With row_key also the width's error and interval, see `bootstrap`."""
-    m = df.groupBy(*keys).agg(F.percentile(col, [0.25, 0.5, 0.75]).alias("q"), F.count("*").alias("n"))
+    groups of `least` and more. With `error` also the width's error and interval, see `bootstrap`."""
+    m = with_quantiles(df.groupBy(*keys).agg(F.count("*").alias("n")), df, keys, {"q": (col, [0.25, 0.5, 0.75])})
     m = m.select(*keys, "n", F.get("q", F.lit(1)).alias("median"), ((F.get("q", F.lit(2)) - F.get("q", F.lit(0))) / ROBUST).alias("sigma"))
     tails = df.join(m, keys).groupBy(*keys).agg(F.count_if(F.abs(F.col(col) - F.col("median")) > 3 * F.col("sigma")).alias("far"))
     out = m.join(tails, keys).withColumns({
         "width": F.when((F.col("n") >= LEAST_ROBUST) & (F.col("median") > 0), F.col("sigma") / F.col("median")),
         "tail": F.when((F.col("n") >= least) & (F.col("sigma") > 0), F.col("far") / F.col("n")),
     })
-    return out if row_key is None else out.join(bootstrap(df, keys, col, row_key).select(*keys, "width_se", "width_lo", "width_hi"), keys, "left")
+    return out if not error else out.join(bootstrap(df, keys, col).select(*keys, "width_se", "width_lo", "width_hi"), keys, "left")
 
 
 def circular(df: DataFrame, keys: list[str], col: str) -> DataFrame:
@@ -228,9 +296,9 @@ def circular(df: DataFrame, keys: list[str], col: str) -> DataFrame:
 
 
 def clip_range(df: DataFrame, keys: list[str], col: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    m = df.groupBy(*keys).agg(F.percentile(col, [low, high]).alias("q"))
+    m = qs.quantiles(df, keys, {"q": (F.col(col), [low, high])})
     m = m.select(*keys, F.get("q", F.lit(0)).alias("lo"), F.get("q", F.lit(1)).alias("hi"))
-    out = df.join(F.broadcast(m), keys) if keys else df.crossJoin(F.broadcast(m))
+    out = df.join(m, keys) if keys else df.crossJoin(F.broadcast(m))  # one row
     return out.groupBy(*keys, "lo", "hi").agg(F.count_if(F.col(col) < F.col("lo")).alias("below"), F.count_if(F.col(col) > F.col("hi")).alias("above"), F.count("*").alias("n"))
 
 
@@ -259,8 +327,9 @@ def kde(df: DataFrame, keys: list[str], col: str, lo: float, hi: float, points:
     spread, or whose bandwidth is under two nodes. What lies outside stays missing from the area."""
     v = F.col("_v")
     rows = df.select(*keys, F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & (F.abs("_v") < float("inf")))
-    m = rows.groupBy(*keys).agg(F.count("*").alias("total"), F.stddev_samp("_v").alias("_s"), F.percentile("_v", [0.25, 0.75]).alias("_q"))
-    iqr = (F.get("_q", F.lit(1)) - F.get("_q", F.lit(0))) / ROBUST
+    m = rows.groupBy(*keys).agg(F.count("*").alias("total"), F.stddev_samp("_v").alias("_s"))
+    m = with_quantiles(m, rows, keys, {"_iqr": ("_v", [0.25, 0.75])})
+    iqr = (F.get("_iqr", F.lit(1)) - F.get("_iqr", F.lit(0))) / ROBUST
     m = m.withColumn("h", 0.9 * F.when(iqr > 0, F.least("_s", iqr)).otherwise(F.col("_s")) * F.pow("total", F.lit(-0.2)))
     m = m.filter((F.col("total") >= LEAST_CURVE) & (F.col("h") > 0)).withColumn("_g0", lo - 4 * F.col("h"))
     m = m.withColumn("_m", F.least(F.lit(8192), F.greatest(F.lit(256), F.ceil((hi - lo + 8 * F.col("h")) / (F.col("h") / 4)) + 1)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import with_quantiles
 from . import events as ev
 from .filters import PITCH, finite, own_shower
 
@@ -76,7 +77,8 @@ def anchor_residual(frame: DataFrame, over: float = 50.5) -> DataFrame:
     for s in "ab":
         (cx, cy), (px, py) = entry(s), entry(s, "p0")
         rows.append(F.struct(F.lit(s).alias("shower"), F.hypot(cx - px, cy - py).alias("r")))
-    return frame.select(F.inline(F.array(*rows))).groupBy("shower").agg(F.median("r").alias("median"), F.percentile("r", 0.9).alias("p90"), F.count_if(F.col("r") > over).alias("over"))
+    each = frame.select(F.inline(F.array(*rows)))
+    return with_quantiles(each.groupBy("shower").agg(F.count_if(F.col("r") > over).alias("over")), each, ["shower"], {"median": ("r", 0.5), "p90": ("r", 0.9)})
 
 
 def check_single(hits: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import with_quantiles
 from .events import _mask, rotation, splat, weighted
 from .filters import FOOTPRINT, PITCH, Z_FRONT, finite, own_shower, summed  # noqa: F401
 from .joins import entry, event_frame, join_frame, turned
@@ -65,7 +66,7 @@ def color_anchors(hits: DataFrame) -> DataFrame:
     """Largest and 99.9 % energy of a cell, over three binnings."""
     one = lambda name, *k: hits.groupBy(*k).agg(F.sum("energy").alias("e")).select(F.lit(name).alias("binning"), "e")
     stacked = one("xy", "ix", "iy").unionByName(one("xz", "ix", "iz")).unionByName(one("yz", "iy", "iz"))
-    return stacked.groupBy("binning").agg(F.max("e").alias("max_e"), F.percentile("e", 0.999).alias("p999"))
+    return with_quantiles(stacked.groupBy("binning").agg(F.max("e").alias("max_e")), stacked, ["binning"], {"p999": ("e", 0.999)})
 
 
 def bin_rule(events: DataFrame) -> DataFrame:
@@ -109,17 +110,18 @@ def resultant(cos: Column, sin: Column) -> Column:
 
 
 def frame_stats(events: DataFrame) -> DataFrame:
-    """The D-frame's statistics over the selection, in one pass."""
+    """The D-frame's statistics over the selection."""
     f = event_frame(events)
     p0 = {s: entry(s, "p0") for s in "ab"}
     off = lambda s: F.sqrt((F.col(f"x{s}") - p0[s][0]) ** 2 + (F.col(f"y{s}") - p0[s][1]) ** 2)
     c, s_ = F.cos("psi"), F.sin("psi")
     slope = lambda s: (c * F.cos(f"phi_{s}") + s_ * F.sin(f"phi_{s}")) * F.tan(f"theta_{s}")
-    return f.agg(
-        F.count("*").alias("n"), F.sum("n_hits").alias("n_hits"), F.avg("d_entry").alias("mean_entry"), F.median("d_entry").alias("median_entry"), F.stddev_samp("d_entry").alias("sd_entry"),
-        F.avg("d").alias("mean_d"), F.median("d").alias("median_d"), F.avg(slope("a")).alias("slope_a"), F.stddev_samp(slope("a")).alias("sd_slope_a"), F.avg(slope("b")).alias("slope_b"),
-        resultant(c, s_).alias("psi_resultant"), F.percentile(off("a"), 0.9).alias("anchor_p90"), F.count_if(F.col("d_entry") < 10).alias("ill"),
+    by = f.agg(
+        F.count("*").alias("n"), F.sum("n_hits").alias("n_hits"), F.avg("d_entry").alias("mean_entry"), F.stddev_samp("d_entry").alias("sd_entry"),
+        F.avg("d").alias("mean_d"), F.avg(slope("a")).alias("slope_a"), F.stddev_samp(slope("a")).alias("sd_slope_a"), F.avg(slope("b")).alias("slope_b"),
+        resultant(c, s_).alias("psi_resultant"), F.count_if(F.col("d_entry") < 10).alias("ill"),
     )
+    return with_quantiles(by, f, [], {"median_entry": ("d_entry", 0.5), "median_d": ("d", 0.5), "anchor_p90": (off("a"), 0.9)})
 
 
 def shower_stats(showers: DataFrame) -> DataFrame:

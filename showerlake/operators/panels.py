@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import estimates as es
+from ..functions.quantiles import with_quantiles
 from .events import NEGATIVE_DEPTH, profiles, splat  # noqa: F401
 from .filters import N_GROUPS, d_slice, finite, group_key, own_shower  # noqa: F401
 
@@ -17,10 +18,11 @@ def wrap(x: Column) -> Column:
 
 
 def summary(events: DataFrame) -> DataFrame:
-    return events.agg(
+    by = events.agg(
         F.count("*").alias("n"), F.sum("n_hits").alias("n_hits"), F.count_if(F.col("d").isNull()).alias("without_d"), F.sum("e_dep").alias("e_dep"), F.avg("d").alias("mean_d"),
-        F.median("d").alias("median_d"), F.stddev_samp("d").alias("sd_d"), F.avg("e1").alias("mean_e1"), F.avg("e2").alias("mean_e2"), F.avg("cax").alias("mean_cax"), F.avg("cby").alias("mean_cby"),
+        F.stddev_samp("d").alias("sd_d"), F.avg("e1").alias("mean_e1"), F.avg("e2").alias("mean_e2"), F.avg("cax").alias("mean_cax"), F.avg("cby").alias("mean_cby"),
     )
+    return with_quantiles(by, events, [], {"median_d": ("d", 0.5)})
 
 
 def coherence(showers: DataFrame) -> DataFrame:
@@ -30,7 +32,8 @@ def coherence(showers: DataFrame) -> DataFrame:
 def pointing(showers: DataFrame) -> DataFrame:
     """Azimuth of the direction against that of the translated centroid, and the implied depth."""
     off = wrap(F.col("phi") - F.atan2("cyt", "cxt"))
-    return showers.groupBy("b").agg(F.avg(off).alias("mean"), F.stddev_samp(off).alias("sd"), F.median(F.hypot("cxt", "cyt") / F.tan("theta")).alias("depth"))
+    by = showers.groupBy("b").agg(F.avg(off).alias("mean"), F.stddev_samp(off).alias("sd"))
+    return with_quantiles(by, showers, ["b"], {"depth": (F.hypot("cxt", "cyt") / F.tan("theta"), 0.5)})
 
 
 def trajectories(showers: DataFrame, n: int) -> DataFrame:
@@ -95,7 +98,8 @@ def resolution(showers: DataFrame) -> DataFrame:
 def resolution_windows(df: DataFrame, keys=("series", "bin")) -> DataFrame:
     """Per window: rows, mean 1/sqrt(p), sample and robust widths of a ratio and its tail."""
     r = F.col("value") / F.col("p")
-    by = df.withColumn("r", r).groupBy(*keys).agg(F.count("*").alias("n"), F.avg(1 / F.sqrt("p")).alias("x"), F.avg("r").alias("mu"), F.stddev_samp("r").alias("s"), F.median("r").alias("median"), F.median(F.abs(F.col("r") - 1)).alias("off"), F.percentile("r", [0.25, 0.75]).alias("q"))
+    by = df.withColumn("r", r).groupBy(*keys).agg(F.count("*").alias("n"), F.avg(1 / F.sqrt("p")).alias("x"), F.avg("r").alias("mu"), F.stddev_samp("r").alias("s"))
+    by = with_quantiles(by, df, keys, {"median": (r, 0.5), "off": (F.abs(r - 1), 0.5), "q": (r, [0.25, 0.75])})
     return by.withColumns({"kappa": F.try_divide("s", "mu"), "robust": F.when((F.col("n") >= es.LEAST_ROBUST) & (F.col("median") > 0), (F.get("q", F.lit(1)) - F.get("q", F.lit(0))) / (es.ROBUST * F.col("median")))}).drop("q")
 
 
@@ -164,7 +168,8 @@ def fit_noise(windows: DataFrame) -> DataFrame:
 
 
 def median_calibration(showers: DataFrame) -> DataFrame:
-    return showers.filter("e_own > 0").groupBy("b").agg((1 / F.median(F.col("e_own") / F.col("p"))).alias("c"))
+    some = showers.filter("e_own > 0")
+    return with_quantiles(some.groupBy("b").agg(F.count("*").alias("n")), some, ["b"], {"m": (F.col("e_own") / F.col("p"), 0.5)}).select("b", (1 / F.col("m")).alias("c"))
 
 
 def dominant_species(events: DataFrame, share: float = 0.95) -> DataFrame:
@@ -176,7 +181,9 @@ def dominant_species(events: DataFrame, share: float = 0.95) -> DataFrame:
 def describe_hits(hits: DataFrame) -> DataFrame:
     """Rows of each quantity: count, moments, exact quartiles and energy-weighted mean."""
     rows = F.array(*[F.struct(F.lit(n).alias("quantity"), c.alias("c")) for n, c in (("x", F.col("xl")), ("y", F.col("yl")), ("z", F.col("zl")), ("rho", F.hypot("xl", "yl")), ("e", F.col("energy")))])
-    by = hits.select("energy", F.inline(rows)).groupBy("quantity").agg(F.count("*").alias("n"), F.avg("c").alias("mean"), F.stddev_samp("c").alias("s1"), F.stddev_pop("c").alias("s0"), F.min("c").alias("lo"), F.percentile("c", [0.25, 0.5, 0.75]).alias("q"), F.max("c").alias("hi"), (F.sum(F.col("energy") * F.col("c")) / F.sum("energy")).alias("weighted"))
+    each = hits.select("energy", F.inline(rows))
+    by = each.groupBy("quantity").agg(F.count("*").alias("n"), F.avg("c").alias("mean"), F.stddev_samp("c").alias("s1"), F.stddev_pop("c").alias("s0"), F.min("c").alias("lo"), F.max("c").alias("hi"), (F.sum(F.col("energy") * F.col("c")) / F.sum("energy")).alias("weighted"))
+    by = with_quantiles(by, each, ["quantity"], {"q": ("c", [0.25, 0.5, 0.75])})
     return by.withColumns({f"q{i}": F.get("q", F.lit(i - 1)) for i in (1, 2, 3)})
 
 
@@ -206,7 +213,7 @@ def negative_depth(hits: DataFrame) -> DataFrame:
 def affected(hits: DataFrame) -> DataFrame:
     neg = F.col("zl") < NEGATIVE_DEPTH
     by = hits.groupBy("event_number", own_shower(F.col("origin")).alias("b")).agg((F.count_if(neg) / F.count("*")).alias("f")).filter("f > 0")
-    return by.agg(F.count("*").alias("n"), F.avg("f").alias("mean"), F.stddev_samp("f").alias("sd"), F.percentile("f", 0.5).alias("median"))
+    return with_quantiles(by.agg(F.count("*").alias("n"), F.avg("f").alias("mean"), F.stddev_samp("f").alias("sd")), by, [], {"median": ("f", 0.5)})
 
 
 def profile_curves(prof: DataFrame, showers: DataFrame) -> DataFrame:
@@ -245,7 +252,7 @@ def shower_hists(showers: DataFrame, axes: dict[str, tuple[float, float, int]])
 
 
 def weighted_percentile(showers: DataFrame) -> DataFrame:
-    return showers.groupBy("b").agg(F.percentile("p", 0.5, F.col("n_own")).alias("median_p"), F.percentile("theta", 0.9, F.col("n_own")).alias("p90_theta"))
+    return with_quantiles(showers.select("b").distinct(), showers, ["b"], {"median_p": ("p", 0.5), "p90_theta": ("theta", 0.9)}, F.col("n_own"))
 
 
 MOMENT_COLUMNS = {"x": "xl", "y": "yl", "z": "zl", "e": "loge", "p": "p", "t": "theta", "c": "cphi", "s": "sphi"}
@@ -316,7 +323,9 @@ def long_features(ft: DataFrame, names=LINEAR) -> DataFrame:
 
 
 def feature_describe(ft: DataFrame) -> DataFrame:
-    by = long_features(ft).groupBy("label", "feature").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("s1"), F.stddev_pop("value").alias("s0"), F.min("value").alias("lo"), F.median("value").alias("median"), F.max("value").alias("hi"), F.count_if(F.col("value") <= 1e-6).alias("floored"))
+    each = long_features(ft)
+    by = each.groupBy("label", "feature").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("s1"), F.stddev_pop("value").alias("s0"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.count_if(F.col("value") <= 1e-6).alias("floored"))
+    by = with_quantiles(by, each, ["label", "feature"], {"median": ("value", 0.5)})
     lo, hi = es.t_interval(F.col("mean"), F.col("s1"), F.col("n"))
     return by.withColumns({"mean_lo": lo, "mean_hi": hi, "s_unbiased": F.col("s1") / es.c4(F.col("n"))})
 
@@ -374,7 +383,8 @@ def residual_cards(showers: DataFrame, *keys: str) -> DataFrame:
 
 def perf_bins(showers: DataFrame) -> DataFrame:
     err = F.col("energy_pred") - F.col("p")
-    return showers.groupBy("b", "bin").agg(F.count(err).alias("n"), F.sqrt(F.avg(err * err)).alias("rmse"), F.avg(F.abs(err)).alias("mae"), F.avg(err).alias("bias"), F.median(err / F.col("p")).alias("median_rel"), F.median(F.abs(err)).alias("median_abs"), F.count_if(F.col("energy_pred").isNull()).alias("missing"))
+    by = showers.groupBy("b", "bin").agg(F.count(err).alias("n"), F.sqrt(F.avg(err * err)).alias("rmse"), F.avg(F.abs(err)).alias("mae"), F.avg(err).alias("bias"), F.count_if(F.col("energy_pred").isNull()).alias("missing"))
+    return with_quantiles(by, showers, ["b", "bin"], {"median_rel": (err / F.col("p"), 0.5), "median_abs": (F.abs(err), 0.5)})
 
 
 def pred_density(showers: DataFrame, hi: float = 20.0, bins: int = 20) -> DataFrame:
@@ -386,7 +396,7 @@ def pred_density(showers: DataFrame, hi: float = 20.0, bins: int = 20) -> DataFr
 def residual_hist(showers: DataFrame) -> DataFrame:
     """Residuals in Freedman-Diaconis bins over the 1 to 99 % range."""
     r = showers.select(((F.col("energy_pred") - F.col("p")) / F.col("p")).alias("r"))
-    q = r.agg(F.percentile("r", [0.01, 0.25, 0.75, 0.99]).alias("q"), F.count("*").alias("total"))
+    q = with_quantiles(r.agg(F.count("*").alias("total")), r, [], {"q": ("r", [0.01, 0.25, 0.75, 0.99])})
     q = q.select(F.get("q", F.lit(0)).alias("lo"), F.get("q", F.lit(3)).alias("hi"), (2 * (F.get("q", F.lit(2)) - F.get("q", F.lit(1))) / F.pow("total", F.lit(1 / 3))).alias("w"))
     inside = r.crossJoin(F.broadcast(q)).filter("r BETWEEN lo AND hi")
     return inside.groupBy(F.floor((F.col("r") - F.col("lo")) / F.col("w") + 1e-9).cast("int").alias("bin")).agg(F.count("*").alias("n"))

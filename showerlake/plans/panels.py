@@ -189,7 +189,7 @@ q("T6_ratio_ci", lambda c: es.ratio_ci(c.showers, ["b", "bin"], F.col("e_own"),
 q("T7_wilson", lambda c: two(c.events.groupBy(F.floor("e1").alias("bin")).agg(F.count("*").alias("n"), F.count_if(F.col("n_ab") > 0).alias("k")), es.wilson(F.col("k"), F.col("n"))), "bin n k ~lo ~hi", f"SELECT *, {WILSON.format(s='-')} AS lo, {WILSON.format(s='+')} AS hi FROM (SELECT floor(e1) AS bin, count(*) AS n, count(*) FILTER (WHERE n_ab > 0) AS k FROM ev GROUP BY 1)")
 q("T8_fisher_ci", lambda c: two(c.showers.groupBy("b").agg(F.corr("p", "e_own").alias("r"), F.count("*").alias("n")), es.fisher_ci(F.col("r"), F.col("n"))), "b n ~r ~lo ~hi", f"SELECT *, tanh(atanh(r) - {Z} / sqrt(n - 3)) AS lo, tanh(atanh(r) + {Z} / sqrt(n - 3)) AS hi FROM (SELECT b, corr(p, e_own) AS r, count(*) AS n FROM sh GROUP BY b)")
 q("T9_mae_rmse", lambda c: es.mae_rmse(c.showers, ["b"], F.col("energy_pred") - F.col("p")), "b n ~mae ~mae_lo ~mae_hi ~rmse ~rmse_lo ~rmse_hi ~bias", f"SELECT *, mae - {T} * sa / sqrt(n) AS mae_lo, mae + {T} * sa / sqrt(n) AS mae_hi, sqrt(mse) AS rmse, sqrt(greatest(0, mse - {T} * sq / sqrt(n))) AS rmse_lo, sqrt(mse + {T} * sq / sqrt(n)) AS rmse_hi FROM (SELECT b, count(*) AS n, avg(abs(e)) AS mae, stddev_samp(abs(e)) AS sa, avg(e * e) AS mse, stddev_samp(e * e) AS sq, avg(e) AS bias FROM (SELECT b, energy_pred - p AS e FROM sh) GROUP BY b)")
-q("T10_bootstrap", lambda c: es.bootstrap(c.showers, ["b"], "p", ["event_number", "b"], F.col("energy_pred") - F.col("p")), "b n n_rmse ~se ~lo ~hi ~width_se ~width_lo ~width_hi ~rmse_se ~rmse_lo ~rmse_hi")
+q("T10_bootstrap", lambda c: es.bootstrap(c.showers, ["b"], "p", F.col("energy_pred") - F.col("p")), "b n n_rmse ~se ~lo ~hi ~width_se ~width_lo ~width_hi ~rmse_se ~rmse_lo ~rmse_hi")
 # The rank by summing the binomial's chances over the groups' own sizes.
 RANKS = "SELECT n, greatest(1, count(*) FILTER (WHERE below <= 25e-3)) AS j FROM (SELECT n, k, sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2))) OVER (PARTITION BY n ORDER BY k) AS below FROM (SELECT n, unnest(range(n + 1)) AS k FROM (SELECT DISTINCT n FROM r))) GROUP BY n"
 q("T11_median_order_ci", lambda c: es.median_order_ci(c.showers, ["b", "bin"], "e_own"), "b bin n ~lo ~hi", f"WITH r AS (SELECT b, bin, e_own, row_number() OVER (PARTITION BY b, bin ORDER BY e_own) AS k, count(*) OVER (PARTITION BY b, bin) AS n FROM sh), ranks AS ({RANKS}) SELECT b, bin, n, max(e_own) FILTER (WHERE k = CASE WHEN n <= 1000 THEN j ELSE floor((n + 1 - {Z} * sqrt(n)) / 2) END) AS lo, max(e_own) FILTER (WHERE k = n + 1 - CASE WHEN n <= 1000 THEN j ELSE floor((n + 1 - {Z} * sqrt(n)) / 2) END) AS hi FROM r JOIN ranks USING (n) WHERE n >= 6 GROUP BY ALL")

@@ -14,7 +14,7 @@ def test_bootstrap(spark):
     rows = [(k, i, float(v)) for k, n in (("a", 200), ("b", 19), ("c", 20), ("d", 1)) for i, v in enumerate(x[:n])]
     rows += [("b", 900, None), ("b", 901, float("nan"))]
     df = spark.createDataFrame(rows, "k string, i long, v double")
-    got = {r["k"]: r for r in es.bootstrap(df, ["k"], "v", ["k", "i"], F.col("v") - 10, replicates=400).collect()}
+    got = {r["k"]: r for r in es.bootstrap(df, ["k"], "v", F.col("v") - 10, replicates=400).collect()}
     assert {k: r["n"] for k, r in got.items()} == {"a": 200, "b": 19, "c": 20, "d": 1}
     for stat in ("", "width_", "rmse_"):
         assert got["b"][stat + "lo"] is None and got["b"][stat + "hi"] is None and got["b"][stat + "se"] > 0
@@ -106,7 +106,7 @@ def test_robust_width_and_circular(spark):
         assert (r["width"] is None) == (n < 20 or n == 25) and (r["tail"] is None) == (n < 300 or n == 301)
     q = np.percentile(big, [25, 50, 75])
     assert abs(got[400]["tail"] - np.mean(np.abs(big - q[1]) > 3 * (q[2] - q[0]) / 1.349)) < 1e-12
-    found = by_group(es.robust_width(df.filter("g >= 20"), ["g"], "v", row_key=["g", "i"]))
+    found = by_group(es.robust_width(df.filter("g >= 20"), ["g"], "v", error=True))
     assert found[200]["width_lo"] < found[200]["width"] < found[200]["width_hi"]
     around = by_group(es.circular(df, ["g"], "v"))
     assert around[1]["rayleigh_p"] is None and abs(around[1]["r"] - 1) < 1e-12 and around[2]["rayleigh_p"] is not None
