@@ -76,6 +76,27 @@ def write_archive(df: DataFrame, path: str, mode: str = "error") -> None:
     df.repartitionByRange(parts, "event_number").sortWithinPartitions(*[c for c in ("event_number", "cell_id") if c in df.columns]).write.mode(mode).option("compression", "zstd").parquet(path)
 
 
+def write_bucketed(df: DataFrame, path: str) -> DataFrame:
+    """An archive in buckets of events, sorted by event (and cell) within each, as the table that knows it.
+
+    Whatever groups by event, shower of an event or layer of an event then needs no shuffle, and a filter on one event reads one
+    bucket. How many buckets there are is told by the folder's name, so `bucketed` finds the table again."""
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    order = [c for c in ("event_number", "cell_id") if c in df.columns]
+    name, path = f"archive_{uuid.uuid4().hex}", f"{path}-by-{n}"
+    df.repartition(n, "event_number").write.bucketBy(n, "event_number").sortBy(*order).option("compression", "zstd").option("path", path).format("parquet").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def bucketed(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """An archive that write_bucketed has written, in any session."""
+    n, name = int(path.rsplit("-by-", 1)[1]), f"archive_{uuid.uuid4().hex}"
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema(kind).fields)
+    order = ", ".join(c for c in ("event_number", "cell_id") if c in schema(kind).fieldNames())
+    spark.sql(f"CREATE TABLE {name} ({fields}) USING parquet CLUSTERED BY (event_number) SORTED BY ({order}) INTO {n} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 def read_archive(spark: SparkSession, paths: list[str], kind: str) -> DataFrame:
     return spark.read.schema(schema(kind)).parquet(*paths)
 
@@ -113,13 +134,13 @@ def ingest(spark: SparkSession, source: str, target: str, kind: str = "two", for
     """Validate, archive, derive, check, publish."""
     read = read_hits_csv if form == "csv" else read_hits_parquet
     df = read(spark, source, kind)
-    if audit_source(df, kind).first()["out_of_range"]:
+    audit = audit_source(df, kind).first()
+    if audit["out_of_range"]:
         raise ValueError("integers out of range")
     staged = f"{target}/staged-{uuid.uuid4().hex}"
-    write_archive(df, f"{staged}/archive")
-    archive = read_archive(spark, [f"{staged}/archive"], kind)
+    archive = write_bucketed(df, f"{staged}/archive")
     tables = derive(archive, staged, kind)
-    failed = ck.failures(archive, tables, kind).filter("failed > 0").count()
+    failed = ck.failures(archive, tables, kind).filter("failed > 0").count() + (archive.count() != audit["rows"])
     return publish(spark, staged, target, failed, kind)
 
 
@@ -151,15 +172,22 @@ def publish(spark: SparkSession, staged: str, target: str, failed: int, kind: st
 
 def current(spark: SparkSession, target: str) -> dict[str, DataFrame]:
     newest = versions(spark, target)[0]
-    return {n: spark.read.parquet(f"{newest['path']}/{n}") for n in ("archive", *RECIPES[newest["kind"]])}
+    path, kind = newest["path"], newest["kind"]
+    return {"archive": bucketed(spark, _archive_path(spark, path), kind)} | {n: spark.read.parquet(f"{path}/{n}") for n in RECIPES[kind]}
+
+
+def _archive_path(spark: SparkSession, version: str) -> str:
+    """The one folder of a version that is named archive-by-<buckets>."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{version}/archive-by-*")
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)[0].getPath().toString()
 
 
 def rebuild(spark: SparkSession, target: str) -> dict[str, DataFrame]:
     """Derive every table again from the published archive alone, and publish."""
     kind, archive = versions(spark, target)[0]["kind"], current(spark, target)["archive"]
     staged = f"{target}/staged-{uuid.uuid4().hex}"
-    archive.write.parquet(f"{staged}/archive")
-    tables = derive(spark.read.parquet(f"{staged}/archive"), staged, kind)
+    copied = write_bucketed(archive, f"{staged}/archive")
+    tables = derive(copied, staged, kind)
     return publish(spark, staged, target, ck.failures(archive, tables, kind).filter("failed > 0").count(), kind)
 
 
