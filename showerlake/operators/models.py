@@ -1,12 +1,12 @@
-"""Model analysis: splits, fits with Spark's own trees, and metrics over a table of predictions."""
+"""Model analysis: splits, boosted fits of all outputs and folds, and metrics over a table of predictions."""
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import estimates as es
+from . import boosting
 
 OUTPUTS = ("p", "theta", "phi")
 FEATURES = ("width", "height", "depth", "mean_r", "max_r", "weighted_r", "n", "e")
@@ -27,40 +27,14 @@ def assembled(df: DataFrame, names=FEATURES) -> DataFrame:
     return VectorAssembler(inputCols=list(names), outputCol="features").transform(df.fillna(0.0, list(names)))
 
 
-def fit_regressor(df: DataFrame, label: str = "p", trees: int = 100, rate: float = 0.1, depth: int = 3):
-    """Boosted trees on the rows that are not held out."""
-    from pyspark.ml.regression import GBTRegressor
-
-    return GBTRegressor(labelCol=label, maxIter=trees, stepSize=rate, maxDepth=depth, seed=7).fit(assembled(df.filter("holdout = 0")))
-
-
-def fit_outputs(df: DataFrame, outputs: tuple[str, ...] = OUTPUTS, folds: tuple[int, ...] = (0,), **how) -> dict:
-    """One model for each output and fold (the fold is held out); the fits run side by side, each as Spark jobs."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    kinds = [(o, k) for o in outputs for k in folds]
-    one = lambda kind: fit_regressor(df.withColumn("holdout", (fold() == kind[1]).cast("int")), kind[0], **how)
-    with ThreadPoolExecutor(min(8, len(kinds))) as pool:
-        return dict(zip(kinds, pool.map(one, kinds), strict=True))
+def fit_outputs(df: DataFrame, outputs: tuple[str, ...] = OUTPUTS, folds: tuple[int, ...] = (0, 1, 2, 3, 4), trees: int = 100, rate: float = 0.1, depth: int = 3) -> boosting.Boosted:
+    """One model for each output and fold (the fold is held out), all grown in step."""
+    return boosting.fit(df, fold(), FEATURES, outputs, folds, trees, rate, depth)
 
 
-def predict_outputs(models: dict, df: DataFrame) -> DataFrame:
-    """The held-out rows of each fold with its models' predictions: fold, pred_<output>."""
-    rows = assembled(df).withColumn("fold", fold())
-    parts = []
-    for k in sorted({k for _, k in models}):
-        part = rows.filter(F.col("fold") == k)
-        for o in sorted({o for o, _ in models}):
-            part = models[o, k].transform(part).withColumnRenamed("prediction", f"pred_{o}")
-        parts.append(part.drop("features"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def predict(model, df: DataFrame) -> DataFrame:
-    return model.transform(assembled(df)).withColumnRenamed("prediction", "pred").drop("features")
+def predict_outputs(model: boosting.Boosted, df: DataFrame) -> DataFrame:
+    """The rows of the model's folds, with the fold and pred_<output> by the models that have not seen them."""
+    return boosting.predicted(model, df, fold())
 
 
 def surrogate(df: DataFrame, target: str = "pred", depth: int = 3) -> DataFrame:
@@ -75,11 +49,6 @@ def surrogate(df: DataFrame, target: str = "pred", depth: int = 3) -> DataFrame:
     return leaf.groupBy("leaf").agg(F.count("*").alias("n"), F.avg(target).alias("value"), F.var_samp(target).alias("variance")).crossJoin(F.broadcast(whole))
 
 
-def importance(model, names=FEATURES) -> list[tuple[str, float]]:
-    values = model.featureImportances.toArray()
-    return [(n, float(v)) for n, v in zip(names, values, strict=True)]
-
-
 def split_check(preds: DataFrame, seeds: int = 100) -> DataFrame:
     """Mean squared error of both parts for many splits, in one pass over exploded seeds."""
     each = preds.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))

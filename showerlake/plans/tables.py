@@ -137,27 +137,21 @@ def modelled(c):
     return written(table(c).join(angles, "event_number"), "modelled")
 
 
-@lru_cache(4)
-def fitted(c, folds=(0,), trees=100):
-    """Models by output and fold, and their table."""
+@lru_cache(2)
+def fitted(c, trees=100):
+    """The models of all outputs and folds, and their table."""
     rows = modelled(c)
-    return md.fit_outputs(rows, folds=folds, trees=trees), rows
-
-
-#: Refits of all folds take as many fits; they are shorter than the default.
-FOLDS, FOLD_TREES = (0, 1, 2, 3, 4), 20
+    return md.fit_outputs(rows, trees=trees), rows
 
 
 def refits(c):
-    models, rows = fitted(c, FOLDS, FOLD_TREES)
-    preds = md.predict_outputs(models, rows)
+    preds = md.predict_outputs(*fitted(c))
     parts = [md.fold_metrics(preds, f"pred_{o}", o, o == "phi").withColumn("output", F.lit(o)) for o in md.OUTPUTS]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def gains(c):
-    models, _ = fitted(c, FOLDS, FOLD_TREES)
-    rows = [(o, k, f, g) for (o, k), m in models.items() for f, g in md.importance(m)]
+    rows = [(o, k, f, g) for (o, k), each in fitted(c)[0].importance().items() for f, g in each]
     return c.spark.createDataFrame(rows, "output string, fold int, feature string, gain double")
 
 
