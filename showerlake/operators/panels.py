@@ -116,57 +116,6 @@ def anchors(windows: DataFrame, nominal=(2.5, 5.5, 10.5), least: int = 15) -> Da
     return each.withColumn("place", F.row_number().over(first)).filter("place = 1").select("series", "anchor", "bin")
 
 
-def weighted_line(df: DataFrame, keys: list[str], x: Column, y: Column, w: Column) -> DataFrame:
-    """y = a x + b by weighted least squares, from five sums."""
-    by = df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(w).alias("w"), F.sum(w * x).alias("wx"), F.sum(w * y).alias("wy"), F.sum(w * x * x).alias("wxx"), F.sum(w * x * y).alias("wxy"), F.sum(w * y * y).alias("wyy"))
-    det = F.col("w") * F.col("wxx") - F.col("wx") ** 2
-    a = F.try_divide(F.col("w") * F.col("wxy") - F.col("wx") * F.col("wy"), det)
-    by = by.withColumn("a", a).withColumn("c", (F.col("wy") - F.col("a") * F.col("wx")) / F.col("w"))
-    return by.withColumn("chi2", F.col("wyy") - F.col("a") * F.col("wxy") - F.col("c") * F.col("wy")).withColumn("a0", F.try_divide("wxy", "wxx"))
-
-
-def fit_resolution(windows: DataFrame, rounds: int = 2) -> DataFrame:
-    """Resolution against 1/sqrt(p), all series at once; the weights are taken again from the fitted value each round."""
-    w = windows.filter("n >= 8 AND kappa > 0").select("series", "bin", "n", "x", "kappa")
-    fit = weighted_line(w, ["series"], F.col("x"), F.col("kappa"), 2 * F.col("n") / F.col("kappa") ** 2)
-    for _ in range(rounds):
-        again = w.join(fit.select("series", "a", "c"), "series")
-        model = F.greatest(F.col("a") * F.col("x") + F.col("c"), F.lit(1e-3))
-        fit = weighted_line(again.withColumn("wt", 2 * F.col("n") / model**2).drop("a", "c"), ["series"], F.col("x"), F.col("kappa"), F.col("wt"))
-    return fit.select("series", "n", "a", "c", "a0", "chi2")
-
-
-def fit_noise(windows: DataFrame) -> DataFrame:
-    """kappa^2 = A x^2 + B + C x^4 with no negative term: all seven sign faces are solved, the feasible one with the smallest rest wins."""
-    w = windows.filter("n >= 8 AND kappa > 0")
-    u, y, wt = F.col("x") ** 2, F.col("kappa") ** 2, F.col("n") / F.col("kappa") ** 4
-    basis = {"a": u, "b": F.lit(1.0), "c": u * u}
-    names = list(basis)
-    sums = [F.sum(wt * basis[i] * basis[j]).alias(f"s_{i}{j}") for k, i in enumerate(names) for j in names[k:]] + [F.sum(wt * basis[i] * y).alias(f"t_{i}") for i in names] + [F.sum(wt * y * y).alias("t")]
-    s = w.groupBy("series").agg(*sums)
-    m = lambda i, j: F.col(f"s_{min(i, j)}{max(i, j)}")
-    t = lambda i: F.col(f"t_{i}")
-    faces = []
-    for face in ("a", "b", "c", "ab", "ac", "bc", "abc"):
-        if len(face) == 1:
-            x = {face: F.try_divide(t(face), m(face, face))}
-        elif len(face) == 2:
-            i, j = face
-            det = m(i, i) * m(j, j) - m(i, j) ** 2
-            x = {i: F.try_divide(t(i) * m(j, j) - t(j) * m(i, j), det), j: F.try_divide(t(j) * m(i, i) - t(i) * m(i, j), det)}
-        else:
-            minor = lambda r, c: m(r[0], c[0]) * m(r[1], c[1]) - m(r[0], c[1]) * m(r[1], c[0])
-            rest = {"a": "bc", "b": "ac", "c": "ab"}
-            sign = lambda i, j: 1 if (names.index(i) + names.index(j)) % 2 == 0 else -1
-            det = sum((sign("a", j) * m("a", j) * minor("bc", rest[j]) for j in "bc"), m("a", "a") * minor("bc", "bc"))
-            x = {j: F.try_divide(sum((sign(i, j) * t(i) * minor(rest[i], rest[j]) for i in "bc"), sign("a", j) * t("a") * minor(rest["a"], rest[j])), det) for j in names}
-        full = {n: F.coalesce(x[n], F.lit(-1.0)) if n in x else F.lit(0.0) for n in names}
-        ssr = F.col("t") - sum((full[n] * t(n) for n in "bc"), full["a"] * t("a"))
-        ok = (full["a"] >= 0) & (full["b"] >= 0) & (full["c"] >= 0)
-        faces.append(F.struct(F.when(ok, ssr).otherwise(F.lit(float("inf"))).alias("ssr"), F.lit(face).alias("face"), *[full[n].alias(n) for n in names]))
-    return s.select("series", F.array_min(F.array(*faces)).alias("f")).select("series", "f.face", "f.a", "f.b", "f.c")
-
-
 def median_calibration(showers: DataFrame) -> DataFrame:
     some = showers.filter("e_own > 0")
     return with_quantiles(some.groupBy("b").agg(F.count("*").alias("n")), some, ["b"], {"m": (F.col("e_own") / F.col("p"), 0.5)}).select("b", (1 / F.col("m")).alias("c"))

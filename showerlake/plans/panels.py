@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import estimates as es
+from ..functions import fits as ft
 from ..operators import events as ev
 from ..operators import filters as fl
 from ..operators import models as md
@@ -44,16 +45,27 @@ q("V14_pooled_scale", lambda c: pn.pooled_scale(windows(c)), "$series ~scale", f
 q("V15_anchors", lambda c: pn.anchors(windows(c)), "$series anchor bin", f"SELECT series, anchor, bin FROM ({WIN}), (VALUES (0, 25e-1), (1, 55e-1), (2, 105e-1)) a(anchor, nominal) WHERE n >= 15 QUALIFY row_number() OVER (PARTITION BY series, anchor ORDER BY round(abs(ln((bin + 5e-1) / nominal)), 9), bin) = 1")
 
 
-def _fit_sql() -> str:
-    def step(i: int, weight: str, joined: str = "") -> str:
-        return f"f{i} AS (SELECT series, count(*) AS n, sum(w * x * y) / sum(w * x * x) AS a0, (sum(w) * sum(w * x * y) - sum(w * x) * sum(w * y)) / (sum(w) * sum(w * x * x) - pow(sum(w * x), 2)) AS a, (sum(w * y) - (sum(w) * sum(w * x * y) - sum(w * x) * sum(w * y)) / (sum(w) * sum(w * x * x) - pow(sum(w * x), 2)) * sum(w * x)) / sum(w) AS c FROM (SELECT w.series, x, kappa AS y, {weight} AS w FROM w {joined}) GROUP BY series)"
-
-    model = "2 * w.n / pow(greatest(f.a * x + f.c, 1e-3), 2)"
-    return f"WITH w AS (SELECT * FROM ({WIN}) WHERE n >= 8 AND kappa > 1e-9), {step(0, '2 * n / (kappa * kappa)')}, {step(1, model, 'JOIN f0 f ON w.series = f.series')}, {step(2, model, 'JOIN f1 f ON w.series = f.series')} SELECT * FROM f2"
-
-
-q("V16_fit_resolution", lambda c: pn.fit_resolution(windows(c).filter("kappa > 1e-9")), "$series n ~a ~c ~a0", _fit_sql())
-q("V17_fit_noise", lambda c: pn.fit_noise(windows(c).filter("kappa > 1e-9")), "$series $face ~a ~b ~c")
+def _fit_sql(rounds: int = 60) -> str:
+    """Every form by its own sums, its weights taken again from the fitted value so often that it has settled."""
+    err = "abs({0}) * sqrt(1e0 / (2 * (n - 1)) + {0} * {0} / n)"
+    root = f"2 * sqrt(v) * {err.format('sqrt(v)')}"
+    basis = "SELECT series, n, x, kappa, 'affine' AS form, x AS u, 1e0 AS o, kappa AS y, kappa AS v FROM w UNION ALL SELECT series, n, x, kappa, 'pinned', x, 0e0, kappa, kappa FROM w UNION ALL SELECT series, n, x, kappa, 'quadrature', x * x, 1e0, kappa * kappa, kappa * kappa FROM w"
+    weight = f"pow(CASE WHEN form = 'quadrature' THEN {root} ELSE {err.format('v')} END, -2)"
+    sums = f"count(*) AS n, sum(g) AS s, sum(g * u) AS su, sum(g * u * u) AS suu, sum(g * y) AS sy, sum(g * u * y) AS suy, sum(g * y * y) AS syy"
+    line = "CASE WHEN form = 'pinned' THEN suy / suu ELSE (s * suy - su * sy) / (s * suu - su * su) END AS a, CASE WHEN form <> 'pinned' THEN (suu * sy - su * suy) / (s * suu - su * su) END AS b"
+    one = lambda i, source: f"f{i} AS MATERIALIZED (SELECT *, {line} FROM (SELECT series, form, {sums} FROM (SELECT *, {weight} AS g FROM ({source})) GROUP BY ALL))"
+    again = lambda i: f"SELECT p.* EXCLUDE (v), CASE WHEN f.a * u + coalesce(f.b, 0) > 0 THEN f.a * u + coalesce(f.b, 0) ELSE p.v END AS v FROM p JOIN f{i} f USING (series, form)"
+    chain = ", ".join([one(0, "SELECT * FROM p"), *[one(i + 1, again(i)) for i in range(rounds)]])
+    rest = "greatest(0, syy - 2 * a * suy + a * a * suu + CASE WHEN form = 'pinned' THEN 0 ELSE b * b * s - 2 * b * sy + 2 * a * b * su END)"
+    return f"WITH w AS (SELECT * FROM ({WIN}) WHERE n >= 8 AND kappa > 1e-9), p AS MATERIALIZED ({basis}), {chain}, r AS (SELECT *, {rest} AS chi2, n - CASE WHEN form = 'pinned' THEN 1 ELSE 2 END AS ndf FROM f{rounds}), z AS (SELECT *, sqrt(greatest(1e0, chi2 / ndf)) AS scale, CASE WHEN form = 'pinned' THEN suu ELSE (s * suu - su * su) / s END AS da, CASE WHEN form <> 'pinned' THEN (s * suu - su * su) / suu END AS db, CASE WHEN form <> 'pinned' THEN -su / (s * suu - su * su) END AS cab FROM r)"
+
+
+FITTED = _fit_sql()
+q("V16_fit_resolution", lambda c: ft.fit_windows(windows(c).filter("kappa > 1e-9")), "$series $form n ~a ~b ~se_a ~se_b ~rho ~chi2 ndf ~scale misfit", f"{FITTED} SELECT *, scale / sqrt(da) AS se_a, scale / sqrt(db) AS se_b, cab * sqrt(da * db) AS rho, CASE WHEN scale > 5 THEN 1 ELSE 0 END AS misfit FROM z")
+BAND_T = T.replace("n < 2", "ndf < 1").replace("n <= 31", "ndf <= 30").replace("n - 1", "ndf")
+BAND = f"{FITTED} SELECT series, form, point, x, CASE WHEN form = 'quadrature' THEN sqrt(greatest(0, v)) ELSE v END AS y, CASE WHEN form = 'quadrature' THEN sqrt(greatest(0, v - h)) ELSE v - h END AS lo, CASE WHEN form = 'quadrature' THEN sqrt(greatest(0, v + h)) ELSE v + h END AS hi FROM (SELECT *, a * u + coalesce(b, 0) AS v, scale * CASE WHEN scale > 1 THEN {BAND_T} ELSE {Z} END * sqrt(greatest(0, u * u / da + coalesce(1 / db + 2 * u * cab, 0))) AS h FROM (SELECT z.*, point, 2e-1 + 2e-1 * point AS x, CASE WHEN form = 'quadrature' THEN pow(2e-1 + 2e-1 * point, 2) ELSE 2e-1 + 2e-1 * point END AS u FROM z, range(5) g(point)))"
+q("V16_fit_bands", lambda c: ft.fit_bands(windows(c).filter("kappa > 1e-9")), "$series $form point ~x ~y ~lo ~hi", BAND)
+q("V17_fit_noise", lambda c: ft.fit_windows(windows(c).filter("kappa > 1e-9"), ("noise",)), "$series n ~a ~b ~c ~se_a ~se_b ~se_c ~chi2 ndf ~p_value ~scale misfit")
 q("V18_median_calibration", lambda c: pn.median_calibration(c.showers), "b ~c", "SELECT b, 1 / median(e_own / p) AS c FROM sh WHERE e_own > 0 GROUP BY b")
 q("V19_dominant_species", lambda c: pn.dominant_species(c.singles), "$primary_type n ~share dominant", "SELECT primary_type, count(*) AS n, count(*) / sum(count(*)) OVER () AS share, 0 AS dominant FROM sg GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1")
 QUANT = "SELECT 'x' AS quantity, xl AS c, energy FROM hits UNION ALL SELECT 'y', yl, energy FROM hits UNION ALL SELECT 'z', zl, energy FROM hits UNION ALL SELECT 'rho', sqrt(xl * xl + yl * yl), energy FROM hits UNION ALL SELECT 'e', energy, energy FROM hits"
