@@ -1,7 +1,9 @@
 """Mixing sources to target weights: equal-token blocks, apportioned by the highest Sainte-Laguë quotients.
 
 Everything is DataFrame operations. A source is cut into shards of a bounded number
-of documents, so a source with a third of all rows is many window groups.
+of documents, by a hash of id and size, so a source with a third of all rows is many window groups, whatever its ids.
+Blocks are whole words, and as many as the data need: every shard of every source has LEAST_BLOCKS of them and more,
+unless that would make a block less than a word.
 
 Sizes: words of the text; a null text has none. Sources are taken by code point, null
 last, with the weights in turn. Repeated rows (also of one doc_id) each count and are
@@ -20,10 +22,9 @@ from .common import SPACE_CLASS, WORD_CLASS, text_column, written
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST_REPEATS = 2
-N_BLOCKS = 16_384
 ROWS_PER_SHARD = 8_192
-#: Where a source or a shard would get fewer blocks than this, blocks are too coarse for it and it gets its share in words.
-LEAST_BLOCKS = 64
+#: Blocks that the target of a source holds for each of its shards, at least (if they have that many words).
+LEAST_BLOCKS = 256
 SEED = "mix-1"
 
 
@@ -53,62 +54,62 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most
 
 
 def sainte_lague(votes: DataFrame, keys: list[str], seats: Column, group: list[str], vote: str = "votes") -> DataFrame:
-    """Seats of each row of `votes`, by the highest quotients votes / (2 k + 1) within each `group`.
+    """Seats of each row of `votes`, by the highest quotients votes / (2 k + 1) within each `group`. Ties go to the smaller keys.
 
-    A row can take at most its proportional share rounded up, plus one, so only that many of
-    its quotients stand for election: about `seats` rows in all. Ties go to the smaller keys."""
+    The quotients that could decide are few, however many seats there are: among n rows the last seat's quotient is within
+    n / (2 seats) of votes over seats, so a row of share p wins its fair number of seats, give or take p n / 2 + 1.
+    Seats below that are its own; those around it stand for election, some six quotients a row."""
     whole = Window.partitionBy(*group)
-    base = votes.withColumn("_seats", seats).withColumn("_all", F.sum(vote).over(whole))
-    most = F.when(F.col("_all") > 0, F.ceil(F.col("_seats") * F.col(vote) / F.col("_all")) + 1).otherwise(0).cast("int")
-    standing = base.filter(F.col(vote) > 0).select(*keys, "_seats", vote, F.explode(F.sequence(F.lit(0), most - 1)).alias("_k"))
+    base = votes.filter(F.col(vote) > 0).withColumns({"_seats": seats.cast("long"), "_part": F.col(vote) / F.sum(vote).over(whole), "_n": F.count("*").over(whole)})
+    fair, reach = F.floor(F.col("_seats") * F.col("_part")), F.ceil(F.col("_part") * F.col("_n") / 2) + 2
+    base = base.withColumns({"_own": F.greatest(F.lit(0), fair - reach), "_top": fair + reach})
+    base = base.withColumn("_left", F.col("_seats") - F.sum("_own").over(whole))
+    standing = base.select(*keys, "_left", F.explode(F.sequence("_own", "_top")).alias("_k"), vote)
     quotient = (F.col(vote) / (2 * F.col("_k") + 1)).alias("_q")
     order = Window.partitionBy(*group).orderBy(F.col("_q").desc(), *[F.col(k).asc_nulls_last() for k in keys])
-    elected = standing.withColumn("_q", quotient).withColumn("_place", F.row_number().over(order)).filter("_place <= _seats")
-    return elected.groupBy(*keys).agg(F.count("*").alias("quota"))
+    elected = standing.withColumn("_q", quotient).withColumn("_place", F.row_number().over(order)).filter("_place <= _left").groupBy(*keys).agg(F.count("*").alias("_won"))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_e_{k}"))
+    elected = elected.withColumnsRenamed({k: f"_e_{k}" for k in keys})
+    return base.join(elected, on, "left").select(*keys, (F.col("_own") + F.coalesce("_won", F.lit(0))).alias("quota"))
 
 
-def taken_words(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST_REPEATS, n_blocks: int = N_BLOCKS, rows_per_shard: int = ROWS_PER_SHARD, seed: str = SEED) -> DataFrame:
+def taken_words(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST_REPEATS, least_blocks: int = LEAST_BLOCKS, rows_per_shard: int = ROWS_PER_SHARD, seed: str = SEED) -> DataFrame:
     """`docs` with size, source_size, target and taken (words, repeats counted). Needs doc_id, source and size.
 
-    The target total is cut into `n_blocks` equal blocks. Sources get blocks by their targets,
-    then the shards of a source get its blocks by their sizes; what a shard has no room for goes
-    to the shards that have, by their room. A source of under LEAST_BLOCKS blocks gets its target
-    in words, and where any shard would get fewer, all of its source get their shares in words,
-    so none is lost to the size of a block. In a shard the documents stand
-    in a seeded order; it is taken as often as the quota covers it, and then from its
-    start up to the block where the quota ends (one document a shard may be cut there)."""
+    The target total is cut into equal blocks of whole words, small enough that the target of each source is `least_blocks`
+    and more for each of its shards. Sources get blocks by their targets, then the shards of a source get its blocks by their
+    sizes: integer quotas. A shard takes its quota of blocks, or all that it may give if that is less; a source whose target
+    is all that it may give is taken so in every shard. In a shard the documents stand in a seeded order, and its blocks are cut from that
+    order; it is taken as often as the quota covers it, and then up to the block where the quota ends (one
+    document a shard may be cut there)."""
+    everything = Window.partitionBy()
     sources = source_targets(docs, weights, share, most)
-    sources = sources.withColumn("_block", F.col("total") / F.lit(float(n_blocks)))
     sources = sources.withColumn("_shards", F.greatest(F.lit(1), F.ceil(F.col("source_rows") / rows_per_shard)).cast("long"))
-    placed = docs.join(sources.withColumnRenamed("source", "_source"), docs["source"].eqNullSafe(F.col("_source"))).drop("_source")
-    placed = placed.withColumn("_shard", F.coalesce(F.pmod(F.col("doc_id"), F.col("_shards")), F.lit(0)).cast("long"))
+    finest = F.min(F.when(F.col("target") > 0, F.floor(F.col("target") / (least_blocks * F.col("_shards"))))).over(everything)
+    sources = sources.withColumn("_block", F.greatest(F.lit(1), F.coalesce(finest, F.lit(1))).cast("long"))
+    sources = sources.withColumn("_blocks", F.round(F.sum("target").over(everything) / F.col("_block")).cast("long"))
+    quotas = sainte_lague(sources, ["source"], F.col("_blocks"), [], "target")
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("size").cast("string")).cast("binary"))
+    placed = docs.join(sources.withColumnRenamed("source", "_source"), docs["source"].eqNullSafe(F.col("_source"))).drop("_source").withColumn("_key", key)
+    placed = placed.withColumn("_shard", F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") % F.col("_shards"))
     units = placed.groupBy("source", "_shard").agg(F.sum("size").alias("unit_size"))
-    quotas = sainte_lague(sources, ["source"], F.lit(n_blocks), [], "target")
-    per_source = units.join(quotas.withColumnRenamed("source", "_s").withColumnRenamed("quota", "source_quota"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    per_source = per_source.join(sources.select(F.col("source").alias("_s"), "_block", F.col("target").alias("source_target")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    per_source = per_source.withColumn("source_quota", F.coalesce("source_quota", F.lit(0)))
-    shards = Window.partitionBy("source").orderBy("_shard").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    words, least = F.sum("unit_size").over(shards), F.min(F.when(F.col("unit_size") > 0, F.col("unit_size"))).over(shards)
-    per_source = per_source.withColumn("_share", F.try_divide(F.col("unit_size").cast("double"), words))
-    per_source = per_source.withColumn("_in_blocks", F.coalesce(F.try_divide(F.col("source_quota") * least, words.cast("double")) >= LEAST_BLOCKS, F.lit(False)))
-    source_words = F.when(F.col("source_quota") >= LEAST_BLOCKS, F.least(F.col("source_quota") * F.col("_block"), words * float(most))).otherwise(F.col("source_target"))
-    per_source = per_source.withColumn("_whole", F.coalesce(source_words * F.col("_share"), F.lit(0.0)))
-    unit_quotas = sainte_lague(per_source, ["source", "_shard"], F.when(F.col("_in_blocks"), F.col("source_quota")).otherwise(0), ["source"], "unit_size")
-    unit_quotas = unit_quotas.select(F.col("source").alias("_s"), F.col("_shard").alias("_sh"), "quota")
-    unit_quotas = per_source.join(unit_quotas, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_shard") == F.col("_sh")), "left").drop("_s", "_sh")
-    limit, given = F.lit(float(most)) * F.col("unit_size"), F.coalesce("quota", F.lit(0)) * F.col("_block")
-    unit_quotas = unit_quotas.withColumn("_given", F.least(given, limit)).withColumn("_over", given - F.col("_given")).withColumn("_room", limit - F.col("_given"))
-    handed_on = F.least(F.col("_room"), F.coalesce(F.try_divide(F.sum("_over").over(shards) * F.col("_room"), F.sum("_room").over(shards)), F.lit(0.0)))
-    unit_quotas = unit_quotas.withColumn("_words", F.round(F.when(F.col("_in_blocks"), F.col("_given") + handed_on).otherwise(F.least("_whole", limit))).cast("long"))
-    unit_quotas = unit_quotas.select(F.col("source").alias("_us"), F.col("_shard").alias("_ush"), "unit_size", "_words")
-    out = placed.join(unit_quotas, F.col("source").eqNullSafe(F.col("_us")) & (F.col("_shard") == F.col("_ush"))).drop("_us", "_ush")
-    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    seeded = Window.partitionBy("source", "_shard").orderBy(key, "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    about = sources.select(F.col("source").alias("_s"), "_block", (F.col("target") >= F.col("source_size") * float(most)).alias("_full"))
+    about = about.join(quotas.withColumnsRenamed({"source": "_q", "quota": "source_quota"}), F.col("_s").eqNullSafe(F.col("_q")), "left").drop("_q")
+    units = units.join(about, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    own = sainte_lague(units, ["source", "_shard"], F.coalesce("source_quota", F.lit(0)), ["source"], "unit_size").withColumnsRenamed({"source": "_s", "_shard": "_sh"})
+    units = units.join(own, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_shard") == F.col("_sh")), "left").drop("_s", "_sh")
+    limit = most * F.col("unit_size")
+    units = units.withColumn("_words", F.when(F.col("_full"), limit).otherwise(F.least(F.coalesce("quota", F.lit(0)) * F.col("_block"), limit)).cast("long"))
+    units = units.select(F.col("source").alias("_us"), F.col("_shard").alias("_ush"), "unit_size", "_words")
+    out = placed.join(units, F.col("source").eqNullSafe(F.col("_us")) & (F.col("_shard") == F.col("_ush"))).drop("_us", "_ush")
+    seeded = Window.partitionBy("source", "_shard").orderBy("_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = out.withColumn("_start", F.sum("size").over(seeded) - F.col("size"))
     times = F.when(F.col("unit_size") > 0, F.floor(F.col("_words") / F.col("unit_size"))).otherwise(0).cast("long")
     rest = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_words") - times * F.col("unit_size") - F.col("_start")))
     out = out.withColumn("taken", (times * F.col("size") + rest).cast("long"))
-    return out.drop("source_rows", "total", "_block", "_shards", "_shard", "_start", "_words", "unit_size")
+    return out.drop("source_rows", "total", "_block", "_blocks", "_shards", "_shard", "_key", "_start", "_words", "unit_size")
 
 
 def mix_documents(docs: DataFrame, **how) -> DataFrame:

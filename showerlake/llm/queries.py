@@ -105,14 +105,16 @@ s0 AS (SELECT source, sum(size) AS source_size, count(*) AS n FROM d GROUP BY so
 s1 AS (SELECT *, list_extract([5e0, 2e0, 1e0], (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1) AS weight, source_size * 2e0 AS most, sum(source_size) OVER () * 15e-1 AS total FROM s0),
 s2 AS (SELECT *, most / weight AS reach, (total - coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS here FROM s1),
 s3 AS (SELECT *, max(here) FILTER (WHERE here <= reach) OVER () AS level FROM s2),
-s AS (SELECT source, CAST(source_size AS BIGINT) AS source_size, total / 16384 AS block, greatest(1, CAST(ceil(n / 8192e0) AS BIGINT)) AS shards, CASE WHEN source_size = 0 THEN 0e0 ELSE least(most, coalesce(level * weight, most)) END AS target FROM s3),
-q1 AS (SELECT source, count(*) AS quota FROM (SELECT *, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, source NULLS LAST) AS place FROM (SELECT *, unnest(range(CAST(ceil(16384 * target / whole) + 1 AS BIGINT))) AS k FROM (SELECT *, sum(target) OVER () AS whole FROM s) WHERE target > 0)) WHERE place <= 16384 GROUP BY source),
-p AS (SELECT d.*, s.source_size, s.target, s.block, coalesce(((d.doc_id % shards) + shards) % shards, 0) AS shard FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
-u AS (SELECT p.source, shard, sum(size) AS unit_size, coalesce(any_value(quota), 0) AS seats FROM p LEFT JOIN q1 ON p.source IS NOT DISTINCT FROM q1.source GROUP BY p.source, shard),
-q2 AS (SELECT source, shard, count(*) AS quota FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY unit_size / CAST(2 * k + 1 AS DOUBLE) DESC, shard) AS place FROM (SELECT *, unnest(range(CAST(ceil(seats * unit_size / CAST(whole AS DOUBLE)) + 1 AS BIGINT))) AS k FROM (SELECT *, sum(unit_size) OVER (PARTITION BY source) AS whole FROM u) WHERE unit_size > 0)) WHERE place <= seats GROUP BY source, shard),
-t AS (SELECT p.*, unit_size, round(least(coalesce(quota, 0) * block, 2e0 * unit_size)) AS words, sum(size) OVER (PARTITION BY p.source, p.shard ORDER BY md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), size ROWS UNBOUNDED PRECEDING) - size AS start
+s4 AS (SELECT source, CAST(source_size AS BIGINT) AS source_size, greatest(1, CAST(ceil(n / 8192e0) AS BIGINT)) AS shards, CASE WHEN source_size = 0 THEN 0e0 ELSE least(most, coalesce(level * weight, most)) END AS target, most FROM s3),
+s AS (SELECT *, target >= most AS is_full, CAST(round(sum(target) OVER () / block) AS BIGINT) AS blocks, count(*) FILTER (WHERE target > 0) OVER () AS rivals FROM (SELECT *, CAST(greatest(1, coalesce(min(floor(target / (256 * shards))) FILTER (WHERE target > 0) OVER (), 1)) AS BIGINT) AS block FROM s4)),
+q1 AS (SELECT source, count(*) AS quota FROM (SELECT *, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, source NULLS LAST) AS place FROM (SELECT *, unnest(range(CAST(ceil(blocks * target / whole) + rivals AS BIGINT))) AS k FROM (SELECT *, sum(target) OVER () AS whole FROM s) WHERE target > 0)) WHERE place <= blocks GROUP BY source),
+k AS (SELECT d.*, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || size) AS key FROM d),
+p AS (SELECT k.*, s.source_size, s.target, s.block, s.is_full, CAST('0x' || substr(key, 1, 8) AS BIGINT) % shards AS shard FROM k JOIN s ON k.source IS NOT DISTINCT FROM s.source),
+u AS (SELECT p.source, shard, sum(size) AS unit_size, coalesce(any_value(quota), 0) AS seats, count(*) OVER (PARTITION BY p.source) AS rivals FROM p LEFT JOIN q1 ON p.source IS NOT DISTINCT FROM q1.source GROUP BY p.source, shard),
+q2 AS (SELECT source, shard, count(*) AS quota FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY unit_size / CAST(2 * k + 1 AS DOUBLE) DESC, shard) AS place FROM (SELECT *, unnest(range(CAST(ceil(seats * unit_size / CAST(whole AS DOUBLE)) + rivals AS BIGINT))) AS k FROM (SELECT *, sum(unit_size) OVER (PARTITION BY source) AS whole FROM u) WHERE unit_size > 0)) WHERE place <= seats GROUP BY source, shard),
+t AS (SELECT p.*, unit_size, CASE WHEN is_full THEN 2 * unit_size ELSE least(coalesce(quota, 0) * block, 2 * unit_size) END AS words, sum(size) OVER (PARTITION BY p.source, p.shard ORDER BY key ROWS UNBOUNDED PRECEDING) - size AS start
   FROM p JOIN u ON p.source IS NOT DISTINCT FROM u.source AND p.shard = u.shard LEFT JOIN q2 ON p.source IS NOT DISTINCT FROM q2.source AND p.shard = q2.shard)
-SELECT doc_id, size, source_size, target, CAST(CASE WHEN unit_size > 0 THEN floor(words / unit_size) ELSE 0 END * size + greatest(0, least(size, words - CASE WHEN unit_size > 0 THEN floor(words / unit_size) ELSE 0 END * unit_size - start)) AS BIGINT) AS taken FROM t"""
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN unit_size > 0 THEN words // unit_size ELSE 0 END * size + greatest(0, least(size, words - CASE WHEN unit_size > 0 THEN words // unit_size ELSE 0 END * unit_size - start)) AS BIGINT) AS taken FROM t"""
 
 OP8 = """
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)

@@ -138,13 +138,13 @@ def test_mixing_of_small_sources_and_full_shards(spark):
     df = spark.createDataFrame(rows, "doc_id long, source string, size long")
     got = {r["source"]: r for r in mixing.taken_words(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()}
     assert got["small"]["target"] == 40 and got["small"]["taken"] == 40
-    # A shard for each document. Source a may repeat whole: with few blocks a shard, and with many; c has a shard far smaller than the others.
-    for n, blocks in ((3000, 16_384), (20, 16_384)):
+    # A shard for each document. Source a may repeat whole; c has a shard far smaller than the others.
+    for n in (3000, 20):
         rows = [(i, "c", 400 + i % 37) for i in range(n)] + [(n, "c", 3)]
         rows += [(10_000 + i, "a", 300 + 7 * (i % 50)) for i in range(n)]
         rows += [(20_000 + i, "b", 2_000) for i in range(n)]
         df = spark.createDataFrame(rows, "doc_id long, source string, size long")
-        by = mixing.taken_words(df, rows_per_shard=1, n_blocks=blocks)
+        by = mixing.taken_words(df, rows_per_shard=1)
         assert by.filter("taken > 2 * size").count() == 0 and by.filter("source in ('a', 'c') and taken = 0").count() == 0
         for r in by.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
             assert abs(r["taken"] - r["target"]) <= 0.002 * r["target"], r
