@@ -13,6 +13,7 @@ itself. An empty table gives no pieces.
 
 from __future__ import annotations
 
+import json
 import re
 import threading
 import unicodedata
@@ -40,22 +41,38 @@ _LONGEST_KEPT = 64
 KEPT_SECONDS = 10.0
 
 
+# How a tokenizer file must normalise and split for parts between blanks to be encoded apart.
+NORMALISES = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLITS = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+WORD_END = "</w>"
+
+
+def splits_as_expected(path: str) -> bool:
+    """Whether the tokenizer's own settings are the ones that Encoder's short cut rests on; others encode whole texts."""
+    with open(path, encoding="utf-8") as f:
+        settings = json.load(f)
+    normalises, splits = settings.get("normalizer") or {}, settings.get("pre_tokenizer") or {}
+    return normalises.get("normalizers") == NORMALISES and splits.get("pretokenizers", [None])[0] == SPLITS and settings["model"].get("end_of_word_suffix") == WORD_END
+
+
 class Encoder:
     """The token ids of texts, as bytes of little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and joins nothing over it, so blank-separated parts are
     encoded once and looked up afterwards. It also splits letters, single digits and other marks from each other and
-    ignores case, so an unseen part is looked up again in those pieces, where that is sure to be the same."""
+    ignores case, so an unseen part is looked up again in those pieces, where that is sure to be the same. A tokenizer with
+    other settings encodes each text whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.apart = splits_as_expected(path)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.unsure = re.compile("|".join(map(re.escape, ["'", "\u0130", *special]))).search
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.parts: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -100,6 +117,8 @@ class Encoder:
         return parts, new
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.apart:
+            return self.direct(texts)
         split = [t.replace("\n", " ").split(" ") for t in texts]
         added = self.learn([w for w in set().union(*split) if w not in self.parts])
         find = self.parts.__getitem__

@@ -51,7 +51,9 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.judged(table(spark, sf_dir, "documents")).drop("lang")
+    found = rules.judged(table(spark, sf_dir, "documents")).drop("lang")
+    first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return found.select(*first, *[c for c in found.columns if c not in first])
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,3 +54,13 @@ def test_ids_of_any_characters():
     encoder = packing.Encoder(path)
     for text, ids in zip(texts, packing.token_ids(texts, path), strict=True):
         assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_other_tokenizers_encode_whole_texts():
+    """A file with other settings doesn't get the short cut, and so gets its own ids too."""
+    path = tokenizer_path("byte_bpe_50k.json")
+    texts = ["Plain WORDS, don't  split\tapart\n", "", "\u0130x 12345 e\u0301", "a" * 3000]
+    encoder = packing.Encoder(path)
+    assert not encoder.apart and packing.Encoder(tokenizer_path()).apart
+    for text, ids in zip(texts, packing.token_ids(texts, path), strict=True):
+        assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
