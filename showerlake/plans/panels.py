@@ -57,11 +57,11 @@ def _fit_sql(rounds: int = 60) -> str:
     again = lambda i: f"SELECT p.* EXCLUDE (v), CASE WHEN f.a * u + coalesce(f.b, 0) > 0 THEN f.a * u + coalesce(f.b, 0) ELSE p.v END AS v FROM p JOIN f{i} f USING (series, form)"
     chain = ", ".join([one(0, "SELECT * FROM p"), *[one(i + 1, again(i)) for i in range(rounds)]])
     rest = "greatest(0, syy - 2 * a * suy + a * a * suu + CASE WHEN form = 'pinned' THEN 0 ELSE b * b * s - 2 * b * sy + 2 * a * b * su END)"
-    return f"WITH w AS (SELECT * FROM ({WIN}) WHERE n >= 8 AND kappa > 1e-9), p AS MATERIALIZED ({basis}), {chain}, r AS (SELECT *, {rest} AS chi2, n - CASE WHEN form = 'pinned' THEN 1 ELSE 2 END AS ndf FROM f{rounds}), z AS (SELECT *, sqrt(greatest(1e0, chi2 / ndf)) AS scale, CASE WHEN form = 'pinned' THEN suu ELSE (s * suu - su * su) / s END AS da, CASE WHEN form <> 'pinned' THEN (s * suu - su * su) / suu END AS db, CASE WHEN form <> 'pinned' THEN -su / (s * suu - su * su) END AS cab FROM r)"
+    return f"WITH w AS (SELECT * FROM ({WIN}) WHERE n >= 8 AND kappa > 1e-9), p AS MATERIALIZED ({basis}), {chain}, r AS (SELECT *, {rest} AS chi2, n - CASE WHEN form = 'pinned' THEN 1 ELSE 2 END AS ndf FROM f{rounds}), z AS (SELECT *, sqrt(greatest(1e0, chi2 / nullif(ndf, 0))) AS scale, CASE WHEN form = 'pinned' THEN suu ELSE (s * suu - su * su) / s END AS da, CASE WHEN form <> 'pinned' THEN (s * suu - su * su) / suu END AS db, CASE WHEN form <> 'pinned' THEN -su / (s * suu - su * su) END AS cab FROM r)"
 
 
 FITTED = _fit_sql()
-q("V16_fit_resolution", lambda c: ft.fit_windows(windows(c).filter("kappa > 1e-9")), "$series $form n ~a ~b ~se_a ~se_b ~rho ~chi2 ndf ~scale misfit", f"{FITTED} SELECT *, scale / sqrt(da) AS se_a, scale / sqrt(db) AS se_b, cab * sqrt(da * db) AS rho, CASE WHEN scale > 5 THEN 1 ELSE 0 END AS misfit FROM z")
+q("V16_fit_resolution", lambda c: ft.fit_windows(windows(c).filter("kappa > 1e-9")).withColumn("chi2_ndf", F.try_divide("chi2", "ndf")), "$series $form n ~a ~b ~se_a ~se_b ~rho ~chi2_ndf ndf ~scale misfit", f"{FITTED} SELECT *, chi2 / nullif(ndf, 0) AS chi2_ndf, scale / sqrt(da) AS se_a, scale / sqrt(db) AS se_b, cab * sqrt(da * db) AS rho, CASE WHEN scale > 5 THEN 1 ELSE 0 END AS misfit FROM z")
 BAND_T = T.replace("n < 2", "ndf < 1").replace("n <= 31", "ndf <= 30").replace("n - 1", "ndf")
 BAND = f"{FITTED} SELECT series, form, point, x, CASE WHEN form = 'quadrature' THEN sqrt(greatest(0, v)) ELSE v END AS y, CASE WHEN form = 'quadrature' THEN sqrt(greatest(0, v - h)) ELSE v - h END AS lo, CASE WHEN form = 'quadrature' THEN sqrt(greatest(0, v + h)) ELSE v + h END AS hi FROM (SELECT *, a * u + coalesce(b, 0) AS v, scale * CASE WHEN scale > 1 THEN {BAND_T} ELSE {Z} END * sqrt(greatest(0, u * u / da + coalesce(1 / db + 2 * u * cab, 0))) AS h FROM (SELECT z.*, point, 2e-1 + 2e-1 * point AS x, CASE WHEN form = 'quadrature' THEN pow(2e-1 + 2e-1 * point, 2) ELSE 2e-1 + 2e-1 * point END AS u FROM z, range(5) g(point)))"
 q("V16_fit_bands", lambda c: ft.fit_bands(windows(c).filter("kappa > 1e-9")), "$series $form point ~x ~y ~lo ~hi", BAND)
