@@ -121,6 +121,49 @@ def stamp(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(row), F.lit(0)).alias("hash"))
 
 
+FANOUT_BITS = 10
+
+
+def _texts(columns: list[str]):
+    """A row's values as one text, each with its length before it, so that no two rows of different values share it."""
+    value = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+    return F.concat(*[value(c) for c in columns])
+
+
+def stamp_tree(df: DataFrame, key: str, levels: int) -> DataFrame:
+    """Digests of the rows by ranges of 2^(10 * levels) integer keys, each over the digests of its parts in ascending order
+    of key: a row that is moved, changed or lost changes its range, and those above it.
+
+    A leaf is one key: its rows have no order, so their SHA-256 are added in four parts of 60 bits. A range holds 1,024 parts
+    at most, whatever the keys, so no task gathers more. A null key is a range of its own, the first. Columns are taken in
+    the order of their names. No rows: no ranges."""
+    columns = sorted(c for c in df.columns if c != key)
+    hashed = df.select(F.col(key).cast("long").alias("at"), F.sha2(_texts([key, *columns]), 256).alias("h"))
+    part = lambda i: F.sum(F.conv(F.substring("h", 15 * i + 1, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    level = hashed.groupBy("at").agg(F.count("*").alias("rows"), F.concat_ws(",", *[part(i) for i in range(4)]).alias("digest"))
+    for _ in range(levels):
+        parts = F.sort_array(F.collect_list(F.struct("at", "rows", "digest")))
+        text = F.concat_ws(";", F.transform(parts, lambda p: F.concat_ws("|", F.coalesce(p["at"].cast("string"), F.lit("-")), p["rows"].cast("string"), p["digest"])))
+        level = level.groupBy(F.shiftright("at", FANOUT_BITS).alias("to")).agg(F.sum("rows").alias("rows"), F.sha2(text, 256).alias("digest")).withColumnRenamed("to", "at")
+    return level
+
+
+def ordered_stamp(df: DataFrame, key: str) -> DataFrame:
+    """Whether a table has changed: rows, and one digest over all ranges of keys in ascending order (at most 17 at the top)."""
+    parts = F.sort_array(F.collect_list(F.struct("at", "digest")))
+    text = F.concat_ws(";", F.transform(parts, lambda p: F.concat_ws("|", F.coalesce(p["at"].cast("string"), F.lit("-")), p["digest"])))
+    return stamp_tree(df, key, 6).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n"), F.sha2(text, 256).alias("digest"))
+
+
+def changed_ranges(old: DataFrame, new: DataFrame, key: str, levels: int = 1) -> DataFrame:
+    """The ranges of keys (lo to hi) in which two tables differ, with the rows that each has there. Ranges that agree are
+    settled by their digests alone."""
+    a, b = stamp_tree(old, key, levels), stamp_tree(new, key, levels)
+    both = a.select(F.col("at"), F.col("rows").alias("n_old"), F.col("digest").alias("was")).join(b.select(F.col("at").alias("to"), F.col("rows").alias("n_new"), F.col("digest").alias("is")), F.col("at").eqNullSafe(F.col("to")), "full")
+    at, span = F.coalesce("at", "to"), 1 << (FANOUT_BITS * levels)
+    return both.filter(~F.col("was").eqNullSafe(F.col("is"))).select((at * span).alias("lo"), (at * span + span - 1).alias("hi"), F.coalesce("n_old", F.lit(0)).alias("n_old"), F.coalesce("n_new", F.lit(0)).alias("n_new"))
+
+
 def arithmetic_stamp(df: DataFrame, key: str, value: str) -> DataFrame:
     """A stamp of a key and an integer value that any engine can repeat."""
     return df.agg(F.count("*").alias("n"), F.sum(F.pmod(F.col(key) * 7919 + F.col(value) * 104729, F.lit(1000003))).alias("sum"))
