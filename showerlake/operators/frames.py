@@ -270,6 +270,41 @@ def islands(marginal: DataFrame, gap: int = 2) -> DataFrame:
     return by.withColumn("share", F.col("e") / F.sum("e").over(Window.partitionBy()))
 
 
+def cap_windows(cells: DataFrame, floor: float = 1e-3, low: float = 1e-3, high: float = 0.999, least: float = 200.0, extent: float = 0.0, gap: float = FOOTPRINT[0], island: float = 1e-3, size: float = BIN) -> DataFrame:
+    """The window about zero of each panel's first axis, from cells (panel, i, j, e) of bins of `size`, cut where only islands lie
+    beyond, and what is drawn outside it.
+
+    A window holds the energy between two shares of the panel. Cells at a ratio `floor` to the panel's peak are drawn; runs of
+    drawn bins that gaps of more than `gap` part are components, and one with less than `island` of the drawn energy is an
+    island (all count where all are that small). The outer edge of the others and `extent`, in whole bins and not under
+    `least`, is the limit, which only ever tightens the window. `share_out` is of the panel's energy, and n, e and at (the
+    centre of energy along the second axis) are of drawn cells beyond either end. Cells without energy take no part."""
+    panel, i = Window.partitionBy("panel"), F.col("i")
+    own = cells.filter("e > 0").withColumn("shown", F.col("e") >= floor * F.max("e").over(panel))
+    shown = lambda x: F.sum(F.when(F.col("shown"), x))
+    bins = own.groupBy("panel", "i").agg(F.sum("e").alias("e"), F.coalesce(shown(F.lit(1)), F.lit(0)).alias("dn"), F.coalesce(shown(F.col("e")), F.lit(0.0)).alias("de"), F.coalesce(shown(F.col("e") * (F.col("j") + 0.5) * size), F.lit(0.0)).alias("dm"))
+    outer = lambda a, b: F.greatest(F.abs(a * size), F.abs((b + 1) * size))
+    snap = lambda x: F.greatest(F.lit(least), F.ceil(x / size - 1e-9) * size)
+    share = running_share(bins, "e", "i", "panel")
+    first = lambda p: F.min(F.when(F.col("share") >= p, i))
+    plain = share.groupBy("panel").agg(snap(outer(first(low), first(high))).alias("half_plain"), F.sum("e").alias("total"))
+    order = panel.orderBy("i")
+    runs = bins.filter("dn > 0").withColumn("cut", F.when(i - F.lag("i").over(order) - 1 > int(gap / size + 1e-9), 1).otherwise(0)).withColumn("run", F.sum("cut").over(order))
+    parts = runs.groupBy("panel", "run").agg(F.min("i").alias("a"), F.max("i").alias("b"), F.sum("de").alias("de"))
+    parts = parts.withColumn("large", F.col("de") >= island * F.sum("de").over(panel))
+    parts = parts.withColumn("kept", F.col("large") | ~F.max("large").over(panel))
+    drawn = parts.groupBy("panel").agg(F.count("*").alias("components"), F.count_if("kept").alias("kept"), F.max(F.when(F.col("kept"), outer(F.col("a"), F.col("b")))).alias("half_drawn"))
+    ends = plain.join(drawn, "panel").withColumn("cap", snap(F.col("half_drawn") + extent))
+    ends = ends.withColumns({"applied": (F.col("cap") < F.col("half_plain") - 1e-9).cast("int"), "half": F.least("cap", "half_plain")})
+    under, over = (i + 1) * size <= -F.col("half") + 1e-9, i * size >= F.col("half") - 1e-9
+    some = lambda side, x: F.coalesce(F.sum(F.when(side, F.col(x))), F.lit(0))
+    facts = ["panel", "components", "kept", "half_plain", "half_drawn", "applied", "half", "total"]
+    out = bins.join(ends, "panel").groupBy(*facts).agg(
+        (some(under | over, "e") / F.col("total")).alias("share_out"), *[some(side, x).alias(f"{name}_{end}") for end, side in (("lo", under), ("hi", over)) for name, x in (("n", "dn"), ("e", "de"), ("m", "dm"))]
+    )
+    return out.withColumns({f"at_{end}": F.try_divide(f"m_{end}", f"e_{end}") for end in ("lo", "hi")}).drop("total", "m_lo", "m_hi")
+
+
 def kernel_resample(marginal: DataFrame, sigma: float = 1.0, reach_: int = 3) -> DataFrame:
     """Bins spread by a Gaussian whose weights add up to one."""
     raw = [math.exp(-0.5 * (d / sigma) ** 2) for d in range(-reach_, reach_ + 1)]

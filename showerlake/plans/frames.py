@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import kernels as kn
 from ..operators import filters as fl
 from ..operators import frames as fr
 from ..operators import joins as jn
@@ -47,8 +48,59 @@ q("P21_reach", lambda c: fr.reach(c.hits), "k n", "SELECT k, count(*) FILTER (WH
 q("P22_pool_layers", lambda c: fr.pool_layers(c.hits), "grp ~e n layers", "SELECT CASE WHEN iz < 1 THEN 0 WHEN iz < 3 THEN 1 ELSE 2 END AS grp, sum(energy) AS e, count(*) AS n, count(DISTINCT iz) AS layers FROM hits GROUP BY 1")
 q("P23_fit_window", lambda c: fr.fit_window(marginal(c)), "half ~outside ~total", f"WITH m AS ({MARGINAL}), s AS (SELECT *, sum(e) OVER (ORDER BY bin) / sum(e) OVER () AS share FROM m), h AS (SELECT greatest(2, -min(bin) FILTER (WHERE share >= 5e-3), min(bin) FILTER (WHERE share >= 995e-3)) AS half FROM s) SELECT half, coalesce(sum(e) FILTER (WHERE bin < -half OR bin > half), 0) AS outside, sum(e) AS total FROM m, h GROUP BY half")
 q("P24_islands", lambda c: fr.islands(marginal(c).filter("bin % 9 NOT IN (2, 3, 4)")), "island lo hi ~e ~share", f"WITH m AS (SELECT * FROM ({MARGINAL}) WHERE bin % 9 NOT IN (2, 3, 4)) SELECT island, min(bin) AS lo, max(bin) AS hi, sum(e) AS e, sum(e) / (SELECT sum(e) FROM m) AS share FROM (SELECT *, sum(cut) OVER (ORDER BY bin) AS island FROM (SELECT *, CASE WHEN bin - lag(bin) OVER (ORDER BY bin) > 2 THEN 1 ELSE 0 END AS cut FROM m)) GROUP BY island")
+
+
+def local_panels(c):
+    axis = lambda a: F.floor(F.col(a) / 20).cast("int")
+    rows = F.array(*[F.struct(F.lit(p).alias("panel"), axis("xl").alias("i"), axis(a).alias("j")) for p, a in (("xy", "yl"), ("xz", "zl"))])
+    return c.hits.select("energy", F.inline(rows)).groupBy("panel", "i", "j").agg(F.sum("energy").alias("e"))
+
+
+#: Shares so large that a part of the fixture's own field lies beyond its cap.
+CAP = {"floor": 5e-3, "low": 1e-3, "high": 0.999, "least": 200.0, "gap": 20.0, "island": 0.01}
+
+
+def _cap_sql(floor: float, low: float, high: float, least: float, gap: float, island: float) -> str:
+    n = lambda x: f"CAST('{x}' AS DOUBLE)"
+    return f"""WITH c AS (SELECT *, e >= {n(floor)} * max(e) OVER (PARTITION BY panel) AS shown FROM (SELECT panel, CAST(floor(xl / 20) AS INT) AS i, CAST(floor(a / 20) AS INT) AS j, sum(energy) AS e
+        FROM (SELECT 'xy' AS panel, xl, yl AS a, energy FROM hits UNION ALL SELECT 'xz', xl, zl, energy FROM hits) GROUP BY ALL)),
+      b AS (SELECT panel, i, sum(e) AS e, count(*) FILTER (WHERE shown) AS dn, coalesce(sum(e) FILTER (WHERE shown), 0) AS de, coalesce(sum(e * (20 * j + 10)) FILTER (WHERE shown), 0) AS dm FROM c GROUP BY ALL),
+      s AS (SELECT *, sum(e) OVER (PARTITION BY panel ORDER BY i) / sum(e) OVER (PARTITION BY panel) AS share FROM b),
+      p AS (SELECT panel, greatest({n(least)}, 20 * greatest(abs(min(i) FILTER (WHERE share >= {n(low)})), abs(1 + min(i) FILTER (WHERE share >= {n(high)})))) AS half_plain, sum(e) AS total FROM s GROUP BY panel),
+      r AS (SELECT *, sum(cut) OVER (PARTITION BY panel ORDER BY i) AS run FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY panel ORDER BY i) > 1 + {int(gap / 20)} THEN 1 ELSE 0 END AS cut FROM b WHERE dn > 0)),
+      k AS (SELECT *, de >= {n(island)} * sum(de) OVER (PARTITION BY panel) AS large FROM (SELECT panel, run, min(i) AS a, max(i) AS z, sum(de) AS de FROM r GROUP BY ALL)),
+      d AS (SELECT panel, count(*) AS components, count(*) FILTER (WHERE kept) AS kept, max(20 * greatest(abs(a), abs(z + 1))) FILTER (WHERE kept) AS half_drawn FROM (SELECT *, large OR NOT bool_or(large) OVER (PARTITION BY panel) AS kept FROM k) GROUP BY panel),
+      h AS (SELECT *, least(half_plain, greatest({n(least)}, half_drawn)) AS half FROM p JOIN d USING (panel))
+      SELECT panel, components, kept, half_plain, half_drawn, half, CASE WHEN half < half_plain THEN 1 ELSE 0 END AS applied, sum(CASE WHEN 20 * (i + 1) <= -half OR 20 * i >= half THEN e ELSE 0 END) / any_value(total) AS share_out,
+        coalesce(sum(dn) FILTER (WHERE 20 * (i + 1) <= -half), 0) AS n_lo, coalesce(sum(dn) FILTER (WHERE 20 * i >= half), 0) AS n_hi, coalesce(sum(de) FILTER (WHERE 20 * (i + 1) <= -half), 0) AS e_lo, coalesce(sum(de) FILTER (WHERE 20 * i >= half), 0) AS e_hi,
+        sum(dm) FILTER (WHERE 20 * (i + 1) <= -half) / nullif(sum(de) FILTER (WHERE 20 * (i + 1) <= -half), 0) AS at_lo, sum(dm) FILTER (WHERE 20 * i >= half) / nullif(sum(de) FILTER (WHERE 20 * i >= half), 0) AS at_hi FROM b JOIN h USING (panel) GROUP BY ALL"""
+
+
+q("P24_cap_windows", lambda c: fr.cap_windows(local_panels(c), **CAP), "$panel components kept ~half_plain ~half_drawn ~half applied ~share_out n_lo n_hi ~e_lo ~e_hi ~at_lo ~at_hi", _cap_sql(**CAP))
 q("P25_ratio_resample", lambda c: jn.resample(c.hits.groupBy(F.col("x").alias("at")).agg(F.sum(F.col("energy") * F.col("gradcam")).alias("v")).withColumns({"lo": F.col("at") - 24.3, "hi": F.col("at") + 24.3}), [i * 35.0 - 40 for i in range(32)]).withColumnRenamed("v", "num").join(jn.resample(c.hits.groupBy(F.col("x").alias("at")).agg(F.sum("energy").alias("v")).withColumns({"lo": F.col("at") - 24.3, "hi": F.col("at") + 24.3}), [i * 35.0 - 40 for i in range(32)]), "bin").withColumn("ratio", F.try_divide("num", "v")), "bin ~ratio", "SELECT i AS bin, sum(g * o) / sum(v * o) AS ratio FROM (SELECT i, g, v, (least(pos + 243e-1, i * 35 - 5) - greatest(pos - 243e-1, i * 35 - 40)) AS o FROM (SELECT x AS pos, sum(energy) AS v, sum(energy * gradcam) AS g FROM hits GROUP BY x) s, range(31) r(i)) WHERE o > 0 GROUP BY i")
 q("P26_kernel_resample", lambda c: fr.kernel_resample(marginal(c)), "bin ~e", f"WITH k AS (SELECT o, exp(-5e-1 * o * o) / sum(exp(-5e-1 * o * o)) OVER () AS wt FROM range(-3, 4) r(o)) SELECT bin + o AS bin, sum(e * wt) AS e FROM ({MARGINAL}) m, k GROUP BY 1")
+EDGES = (-300.0, -200.0, -120.0, -70.0, -30.0, -10.0, 0.0, 15.0, 40.0, 90.0, 150.0, 260.0, 400.0)
+
+
+def uneven_sources(c):
+    """Bins of 20 mm about zero and of 80 mm beyond."""
+    b = F.floor(F.col("xl") / 20)
+    lo = F.when(F.abs(b) < 5, b * 20).otherwise(F.floor(b / 4) * 80)
+    return c.hits.groupBy(lo.cast("double").alias("lo"), (lo + F.when(F.abs(b) < 5, 20).otherwise(80)).cast("double").alias("hi")).agg(F.sum("energy").alias("v"))
+
+
+def _kernel_sql(below: str, more: str = "", from_: str = "") -> str:
+    edges = " UNION ALL ".join(f"SELECT {i} AS k, CAST({e} AS DOUBLE) AS pos" for i, e in enumerate(EDGES))
+    return f"""WITH s AS (SELECT lo, hi, sum(energy) AS v FROM (SELECT energy, CASE WHEN abs(b) < 5 THEN b * 20e0 ELSE floor(b / 4) * 80e0 END AS lo, CASE WHEN abs(b) < 5 THEN b * 20e0 + 20 ELSE floor(b / 4) * 80e0 + 80 END AS hi FROM (SELECT energy, floor(xl / 20) AS b FROM hits)) GROUP BY ALL),
+      e AS ({edges}){more}, g AS (SELECT k, sum(v * {below}) AS under FROM s, e {from_} GROUP BY k), t AS (SELECT sum(v) AS total FROM s)
+      SELECT k AS bin, coalesce(lead(under) OVER (ORDER BY k), total) - under AS v FROM g, t UNION ALL SELECT -1, under FROM g WHERE k = 0"""
+
+
+RAMP = "{u} * (1 + {f}) / 2 + exp(-5e-1 * {u} * {u}) / sqrt(2 * pi())"
+SERIES = ", u AS (SELECT DISTINCT (e.pos - c) / 25 AS u FROM e, (SELECT lo AS c FROM s UNION SELECT hi FROM s)), f AS (SELECT u, CASE WHEN abs(u) > 9 THEN sign(u) ELSE sign(u) * (SELECT sum(exp((2 * r.i + 1) * ln(greatest(abs(u) / sqrt(2), 1e-300)) - u * u / 2 - lgamma(r.i + 15e-1))) FROM range(161) r(i)) END AS f FROM u)"
+q("P26_kernel_gaussian", lambda c: kn.spread(uneven_sources(c), list(EDGES), kn.gaussian(25.0)), "bin ~v", _kernel_sql(f"(({RAMP.format(u='a.u', f='a.f')}) - ({RAMP.format(u='z.u', f='z.f')})) * 25 / (hi - lo)", SERIES, "JOIN f a ON a.u = (e.pos - lo) / 25 JOIN f z ON z.u = (e.pos - hi) / 25"))
+TENT = "(e.pos - (lo + hi) / 2) / (hi - lo)"
+q("P26_kernel_tent", lambda c: kn.spread(uneven_sources(c), list(EDGES), kn.tent()), "bin ~v", _kernel_sql(f"CASE WHEN {TENT} <= -1 THEN 0 WHEN {TENT} >= 1 THEN 1 WHEN {TENT} <= 0 THEN pow(1 + {TENT}, 2) / 2 ELSE 1 - pow(1 - {TENT}, 2) / 2 END"))
 q("P27_top_cells", lambda c: fr.top_cells(fl.summed(c.hits, "ix", "iy", "iz"), "m_s", 20, "ix", "iy", "iz"), "ix iy iz ~m_s", "SELECT * FROM cells ORDER BY abs(round(m_s, 9)) DESC, ix, iy, iz LIMIT 20")
 DETREND = f"SELECT *, lag(rest) OVER (ORDER BY bin) AS before FROM (SELECT bin, e, e - avg(e) OVER (ORDER BY bin ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS rest FROM ({MARGINAL}) m)"
 q("P28_comb", lambda c: fr.comb(marginal(c)), "~lag1 n comb", f"SELECT corr(rest, before) AS lag1, count(*) AS n, CASE WHEN corr(rest, before) < -1e-1 THEN 1 ELSE 0 END AS comb FROM ({DETREND})")

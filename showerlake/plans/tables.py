@@ -185,7 +185,7 @@ q("X12_stamp_of_values", lambda c: md.stamp(c.events.select("event_number", "n_h
 
 
 def _tree_sql(levels: int, changed: bool = False) -> str:
-    n_ab = "CASE WHEN event_number % 1009 = 5 THEN n_ab + 1 ELSE n_ab END" if changed else "n_ab"
+    n_ab = "CASE WHEN event_number % 5003 = 5 THEN n_ab + 1 ELSE n_ab END" if changed else "n_ab"
     text = "||".join(f"length(CAST({c} AS VARCHAR)) || ':' || {c}" for c in ("event_number", "n_ab", "n_hits"))
     parts = " || ',' || ".join(f"CAST(sum(CAST('0x' || substr(h, {15 * i + 1}, 15) AS BIGINT)) AS VARCHAR)" for i in range(4))
     sql = f"SELECT event_number AS pos, count(*) AS n, {parts} AS digest FROM (SELECT event_number, sha256({text}) AS h FROM (SELECT event_number, {n_ab} AS n_ab, n_hits FROM ev) GROUP BY ALL) GROUP BY 1"
@@ -199,4 +199,4 @@ def stamped(c):
 
 
 q("X12_ordered_stamp", lambda c: md.ordered_stamp(stamped(c), "event_number"), "n $digest", f"SELECT sum(n) AS n, sha256(string_agg(pos || '|' || digest, ';' ORDER BY pos)) AS digest FROM ({_tree_sql(6)})")
-q("X12_changed_ranges", lambda c: md.changed_ranges(stamped(c), stamped(c).withColumn("n_ab", F.when(F.col("event_number") % 1009 == 5, F.col("n_ab") + 1).otherwise(F.col("n_ab"))), "event_number"), "lo hi n_old n_new", f"SELECT a.pos * 1024 AS lo, a.pos * 1024 + 1023 AS hi, a.n AS n_old, b.n AS n_new FROM ({_tree_sql(1)}) a JOIN ({_tree_sql(1, True)}) b ON a.pos = b.pos WHERE a.digest <> b.digest")
+q("X12_changed_ranges", lambda c: md.changed_ranges(stamped(c), stamped(c).withColumn("n_ab", F.when(F.col("event_number") % 5003 == 5, F.col("n_ab") + 1).otherwise(F.col("n_ab"))), "event_number"), "lo hi n_old n_new", f"SELECT a.pos * 1024 AS lo, a.pos * 1024 + 1023 AS hi, a.n AS n_old, b.n AS n_new FROM ({_tree_sql(1)}) a JOIN ({_tree_sql(1, True)}) b ON a.pos = b.pos WHERE a.digest <> b.digest")
