@@ -1,9 +1,9 @@
 """Queries of sources, orders and sets, checks and model analysis."""
 
 import re
-from functools import lru_cache
+from functools import lru_cache, reduce
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import checks as ck
@@ -79,6 +79,17 @@ def dropped(c):
     return out
 
 
+def dropped_datasets(c):
+    """All hits as files, each a dataset of whole events, dropped in two goes, the second run finding the first one's files again."""
+    source, root = fs.scratch(c.spark, "drop"), fs.scratch(c.spark, "datasets")
+    for part in (0, 1):
+        typed(c).filter(F.col("event_number") % 2 == part).repartition(2, "event_number").write.mode("append").parquet(source)
+        log = folder.ingest_datasets(c.spark, source, root, root + "-checkpoint", settle=0)
+    loaded = [r["dataset"] for r in log.filter("action = 'loaded'").collect()]
+    events = reduce(DataFrame.unionByName, [fs.current(c.spark, f"{root}/{name}")["events"] for name in loaded])
+    return events.select("event_number", "n_hits", "e_dep", "d").withColumn("datasets", F.lit(log.count()))
+
+
 q("L1_read_hits_csv", lambda c: digest(fs.read_hits_csv(c.spark, as_csv(c), "two")), ALL, ALLSQL)
 q("L2_read_hits_parquet", lambda c: fs.read_hits_parquet(c.spark, as_parquet(c), "two"), "event_number cell_id $origin ~energy $daughter_type", "SELECT * FROM raw")
 q("L3_audit_source", lambda c: fs.audit_source(typed(c), "two"), "rows out_of_range integers", "SELECT count(*) AS rows, 0 AS out_of_range, 6 AS integers FROM raw")
@@ -94,6 +105,7 @@ q("L8_ingest_features", lambda c: ingested(c, kind="features")["events"], "event
 q("L9_rebuild", lambda c: ingested(c, True)["layers"], "event_number b layer ~e n", "SELECT * FROM lay")
 q("L10_publish", lambda c: ck.failures(fs.read_hits_parquet(c.spark, as_parquet(c), "two"), ingested(c)), "$check failed", "SELECT unnest(['projection', 'lattice', 'energy', 'derived', 'undefined_d', 'shape_sums', 'profiles']) AS \"check\", 0 AS failed FROM (SELECT count(*) FROM raw)")
 q("L11_ingest_folder", lambda c: digest(dropped(c)), ALL, ALLSQL)
+q("L11_checked_folder", dropped_datasets, "event_number n_hits ~e_dep ~d datasets", "SELECT *, 4 AS datasets FROM ev")
 q("L12_csv_to_parquet", lambda c: digest(fs.csv_to_parquet(c.spark, as_csv(c), fs.scratch(c.spark, "typed"), "two")), ALL, ALLSQL)
 q("L13_catalogue", lambda c: fs.catalogue(c.hits, c.events), "n_hits ~energy n_events ~min_e1 ~max_e1 ~max_d n_x n_y n_z", "SELECT * FROM (SELECT count(*) AS n_hits, sum(energy) AS energy, count(DISTINCT x) AS n_x, count(DISTINCT y) AS n_y, count(DISTINCT z) AS n_z FROM hits), (SELECT count(*) AS n_events, min(e1) AS min_e1, max(e1) AS max_e1, max(d) AS max_d FROM ev)")
 
