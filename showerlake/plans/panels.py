@@ -4,10 +4,12 @@ from pyspark.sql import functions as F
 
 from ..functions import estimates as es
 from ..functions import fits as ft
+from ..operators import axes as ax
 from ..operators import events as ev
 from ..operators import filters as fl
 from ..operators import models as md
 from ..operators import panels as pn
+from ..sources.shared import written
 from .registry import q
 
 SERIES = "SELECT event_number, b, d, p, bin, theta, 'truth' AS series, p AS value FROM sh UNION ALL SELECT event_number, b, d, p, bin, theta, 'model', energy_pred FROM sh UNION ALL SELECT event_number, b, d, p, bin, theta, 'deposit', e_own / 1e-2 FROM sh"
@@ -141,6 +143,40 @@ def _pairs_sql() -> str:
 q("V36_feature_corr", lambda c: pn.feature_corr(table(c)), "label $pair ~r n", f"SELECT label, pair, corr(u, v) AS r, count(*) AS n FROM ({_pairs_sql()}) GROUP BY ALL")
 q("V37_circ_corr", lambda c: pn.circ_corr(c.events, "phi_a", "phi_b"), "~r n", "SELECT sum(sin(phi_a - ma) * sin(phi_b - mb)) / sqrt(sum(pow(sin(phi_a - ma), 2)) * sum(pow(sin(phi_b - mb), 2))) AS r, count(*) AS n FROM ev, (SELECT atan2(avg(sin(phi_a)), avg(cos(phi_a))) AS ma, atan2(avg(sin(phi_b)), avg(cos(phi_b))) AS mb FROM ev)")
 q("V38_feature_hist", lambda c: pn.feature_hist(table(c), "weighted_r"), "label bin n", "SELECT label, least(19, floor((weighted_r - lo) / ((hi - lo) / 20))) AS bin, count(*) AS n FROM ft, (SELECT min(weighted_r) AS lo, max(weighted_r) AS hi FROM ft WHERE n > 1) WHERE n > 1 GROUP BY ALL")
+PLANNED = (*pn.LINEAR, "volume", "centroid_x", "n", "trans_depth_range")
+LATTICES, SIGNED = {"n": 1.0, "trans_depth_range": None}, ("centroid_x",)
+
+
+def planned_rows(c):
+    ft = pn.feature_table(ev.features(ev.features(ev.shape_sums(c.single)), "t", "trans_"), c.singles)
+    return written(pn.long_features(ft, PLANNED), "axis-rows")
+
+
+def planned(rows):
+    return ax.plan_axes(rows, LATTICES, SIGNED)
+
+
+def counted(rows):
+    return ax.planned_hist(rows, planned(rows))
+
+
+def _plan_sql() -> str:
+    rows = " UNION ALL ".join(f"SELECT label, '{n}' AS feature, CAST({'greatest(max_zt - min_zt, 1e-6)' if n == 'trans_depth_range' else n} AS DOUBLE) AS value FROM ft WHERE n > 1" for n in PLANNED)
+    return f"""lf AS MATERIALIZED ({rows}), sz AS (SELECT feature, label, count(*) AS n FROM lf GROUP BY ALL), mn AS (SELECT feature, coalesce(min(n) FILTER (WHERE n >= 15), 0) AS least FROM sz GROUP BY 1),
+      st AS (SELECT feature, value FROM lf JOIN sz USING (feature, label) JOIN mn USING (feature) WHERE (sz.n >= 15 OR least = 0) AND (value > 1e-6 OR feature = 'centroid_x')),
+      qt AS (SELECT feature, quantile_cont(value, 1e-2) AS p1, quantile_cont(value, 99e-2) AS p2, quantile_cont(log10(CASE WHEN value > 0 THEN value END), 1e-2) AS g1, quantile_cont(log10(CASE WHEN value > 0 THEN value END), 99e-2) AS g2 FROM st GROUP BY 1),
+      sc AS (SELECT *, feature NOT IN ('n', 'trans_depth_range') AND coalesce(decades >= 1, FALSE) AS lg FROM (SELECT *, CASE WHEN feature <> 'centroid_x' AND p1 > 0 THEN log10(p2 / p1) END AS decades FROM qt)),
+      en AS (SELECT *, CASE WHEN lg THEN g1 ELSE p1 END AS a, CASE WHEN lg THEN g2 ELSE p2 END AS z FROM sc),
+      iv AS (SELECT *, (SELECT min(m * pow(10e0, floor(log10((z - a) / 12)))) FROM (VALUES (1e0), (2e0), (5e0), (10e0)) t(m) WHERE (z - a) / (m * pow(10e0, floor(log10((z - a) / 12)))) <= 12e0 * (1 + 1e-12)) AS iv FROM en),
+      nr AS (SELECT *, floor(a / iv + 1e-9 * greatest(1, abs(a / iv))) * iv AS lo0, ceil(z / iv - 1e-9 * greatest(1, abs(z / iv))) * iv AS hi0, greatest(8, least(120, ceil(2 * pow(least, CAST(1 AS DOUBLE) / 3)))) AS b0 FROM iv JOIN mn USING (feature)),
+      lt AS (SELECT 'n' AS feature, CAST(1 AS DOUBLE) AS step, min(value) AS anchor FROM lf WHERE feature = 'n' UNION ALL SELECT 'trans_depth_range', min(gap), min(v) FROM (SELECT v, v - lag(v) OVER (ORDER BY v) AS gap FROM (SELECT DISTINCT round(value, 6) AS v FROM lf WHERE feature = 'trans_depth_range' AND value > 1e-6))),
+      w AS (SELECT *, greatest(1, ceil((hi0 - lo0) / b0 / step - 1e-9)) AS steps, anchor + (floor((lo0 - anchor) / step - 5e-1 + 1e-9) + 5e-1) * step AS first FROM nr LEFT JOIN lt USING (feature)),
+      pl AS MATERIALIZED (SELECT feature, CASE WHEN lg THEN 'log' ELSE 'linear' END AS scale, coalesce(first, lo0) AS lo, coalesce(CASE WHEN step IS NOT NULL THEN steps * step END, (hi0 - lo0) / b0) AS width, CASE WHEN step IS NULL THEN b0 ELSE greatest(1, ceil((hi0 - first) / (steps * step) - 1e-9)) END AS bins,
+        iv AS interval, decades, step, CASE WHEN step IS NOT NULL THEN steps END AS steps, CASE WHEN least = 0 THEN 1 ELSE 0 END AS provisional FROM w)"""
+
+
+q("V38_plan_axes", lambda c: planned(planned_rows(c)), "$feature $scale ~lo ~width bins ~interval ~decades ~step steps provisional", f"WITH {_plan_sql()} SELECT * FROM pl")
+q("V38_planned_hist", lambda c: counted(planned_rows(c)), "$feature label bin n", f"WITH {_plan_sql()} SELECT feature, label, CASE WHEN x IS NULL THEN -2 WHEN x < lo THEN -1 WHEN x > lo + bins * width THEN bins ELSE least(bins - 1, floor((x - lo) / width)) END AS bin, count(*) AS n FROM (SELECT *, CASE WHEN scale = 'log' THEN CASE WHEN value > 0 THEN log10(value) END ELSE value END AS x FROM lf JOIN pl USING (feature)) GROUP BY ALL")
 q("V39_value_step", lambda c: pn.value_step(c.hits, "z"), "~step n", "SELECT min(gap) AS step, count(*) AS n FROM (SELECT v - lag(v) OVER (ORDER BY v) AS gap FROM (SELECT DISTINCT round(z, 6) AS v FROM hits))")
 q("V40_hist2d", lambda c: pn.hist2d(c.singles, ("p", 0.0, 1.0), ("e_dep", 0.0, 0.05)), "bx by n", "SELECT floor(p) AS bx, floor(e_dep / CAST('0.05' AS DOUBLE)) AS \"by\", count(*) AS n FROM sg GROUP BY ALL")
 SEG = "accuracy ~precision ~recall ~f1 ~mae ~weighted_mae ~rmse"
