@@ -47,7 +47,7 @@ q("P20_layer_profile", lambda c: c.hits.groupBy(F.round(F.col("zt") / 20.5).cast
 q("P21_reach", lambda c: fr.reach(c.hits), "k n", "SELECT k, count(*) FILTER (WHERE s <= 6 - k) AS n FROM range(7) r(k), (SELECT event_number, min(iz) AS s FROM hits GROUP BY event_number, origin = 'A') t GROUP BY k")
 q("P22_pool_layers", lambda c: fr.pool_layers(c.hits), "grp ~e n layers", "SELECT CASE WHEN iz < 1 THEN 0 WHEN iz < 3 THEN 1 ELSE 2 END AS grp, sum(energy) AS e, count(*) AS n, count(DISTINCT iz) AS layers FROM hits GROUP BY 1")
 q("P23_fit_window", lambda c: fr.fit_window(marginal(c)), "half ~outside ~total", f"WITH m AS ({MARGINAL}), s AS (SELECT *, sum(e) OVER (ORDER BY bin) / sum(e) OVER () AS share FROM m), h AS (SELECT greatest(2, -min(bin) FILTER (WHERE share >= 5e-3), min(bin) FILTER (WHERE share >= 995e-3)) AS half FROM s) SELECT half, coalesce(sum(e) FILTER (WHERE bin < -half OR bin > half), 0) AS outside, sum(e) AS total FROM m, h GROUP BY half")
-q("P24_islands", lambda c: fr.islands(marginal(c).filter("bin % 9 NOT IN (2, 3, 4)")), "island lo hi ~e ~share", f"WITH m AS (SELECT * FROM ({MARGINAL}) WHERE bin % 9 NOT IN (2, 3, 4)) SELECT island, min(bin) AS lo, max(bin) AS hi, sum(e) AS e, sum(e) / (SELECT sum(e) FROM m) AS share FROM (SELECT *, sum(cut) OVER (ORDER BY bin) AS island FROM (SELECT *, CASE WHEN bin - lag(bin) OVER (ORDER BY bin) > 2 THEN 1 ELSE 0 END AS cut FROM m)) GROUP BY island")
+q("P24_islands", lambda c: fr.islands(marginal(c)), "island lo hi ~e ~share", f"WITH m AS ({MARGINAL}) SELECT island, min(bin) AS lo, max(bin) AS hi, sum(e) AS e, sum(e) / (SELECT sum(e) FROM m) AS share FROM (SELECT *, sum(cut) OVER (ORDER BY bin) AS island FROM (SELECT *, CASE WHEN bin - lag(bin) OVER (ORDER BY bin) > 2 THEN 1 ELSE 0 END AS cut FROM m)) GROUP BY island")
 
 
 def local_panels(c):

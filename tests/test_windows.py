@@ -70,3 +70,9 @@ def test_what_is_kept(spark):
     even = caps(spark, [("e", 5 * k, 0, 1.0) for k in range(1200)])["e"]  # all are islands, so all are kept
     assert even["components"] == even["kept"] == 1200
     assert caps(spark, [("z", 1, 1, 0.0)]) == {}
+
+
+def test_islands(spark):
+    rows = [(b, 1.0) for b in (-9, -8, -5, 0, 1, 3, 7)]
+    got = sorted(tuple(r) for r in fr.islands(spark.createDataFrame(rows, "bin int, e double")).select("lo", "hi", "e").collect())
+    assert got == [(-9, -8, 2.0), (-5, -5, 1.0), (0, 3, 3.0), (7, 7, 1.0)]
