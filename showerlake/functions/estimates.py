@@ -132,7 +132,7 @@ def ratio_ci(df: DataFrame, keys: list[str], num: Column, den: Column) -> DataFr
     by = df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(num).alias("_u"), F.sum(den).alias("_v"), F.sum(num * num).alias("_uu"), F.sum(num * den).alias("_uv"), F.sum(den * den).alias("_vv"))
     by = by.withColumn("ratio", F.try_divide("_u", "_v"))
     spread = F.greatest(F.lit(0.0), c("_uu") - 2 * c("ratio") * c("_uv") + c("ratio") ** 2 * c("_vv"))
-    by = by.withColumn("se", F.sqrt(spread * F.try_divide(c("n"), c("n") - 1)) / F.abs("_v"))
+    by = by.withColumn("se", F.try_divide(F.sqrt(spread * F.try_divide(c("n"), c("n") - 1)), F.abs("_v")))
     half = t975(c("n") - 1) * c("se")
     return by.withColumns({"lo": c("ratio") - half, "hi": c("ratio") + half}).drop("_u", "_v", "_uu", "_uv", "_vv")
 
@@ -143,6 +143,13 @@ def wilson(k: Column, n: Column) -> tuple[Column, Column]:
     return mid - half, mid + half
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's r of the rows that have both, as an aggregate; none where either has no spread (`corr` fails there)."""
+    both = a.isNotNull() & b.isNotNull()
+    a, b = F.when(both, a), F.when(both, b)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def fisher_ci(r: Column, n: Column) -> tuple[Column, Column]:
     z, half = F.atanh(r), F.lit(Z) / F.sqrt(n - 3)
     return F.when(n > 3, F.tanh(z - half)), F.when(n > 3, F.tanh(z + half))

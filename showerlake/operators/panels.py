@@ -149,32 +149,12 @@ def selection_counts(showers: DataFrame) -> DataFrame:
     return showers.agg(F.countDistinct("event_number").alias("events"), F.count("*").alias("showers"), F.sum("n_own").alias("hits"), F.countDistinct(F.when(F.col("b") == 0, F.col("event_number"))).alias("with_a"))
 
 
-def negative_depth(hits: DataFrame) -> DataFrame:
-    """Hits and energy in front of the entry layer, as shares with the error of events, for momentum splits."""
-    neg = F.col("zl") < NEGATIVE_DEPTH
-    by = hits.groupBy("event_number", own_shower(F.col("origin")).alias("b")).agg(F.max("p").alias("p"), F.count("*").alias("n"), F.count_if(neg).alias("nn"), F.sum("energy").alias("e"), F.coalesce(F.sum(F.when(neg, F.col("energy"))), F.lit(0.0)).alias("en"))
-    split = F.when(F.col("p") < 5, "low").when(F.col("p") < 10, "mid").otherwise("high")
-    each = by.withColumn("split", F.explode(F.array(F.lit("all"), split)))
-    r = es.ratio_ci(each, ["split"], F.col("nn"), F.col("n")).select("split", "n", F.col("ratio").alias("hit_share"), F.col("se").alias("hit_se"))
-    return r.join(each.groupBy("split").agg((F.sum("en") / F.sum("e")).alias("energy_share"), F.count_if(F.col("nn") > 0).alias("affected")), "split")
-
-
 def affected(hits: DataFrame) -> DataFrame:
     neg = F.col("zl") < NEGATIVE_DEPTH
     by = hits.groupBy("event_number", own_shower(F.col("origin")).alias("b")).agg((F.count_if(neg) / F.count("*")).alias("f")).filter("f > 0")
     return with_quantiles(by.agg(F.count("*").alias("n"), F.avg("f").alias("mean"), F.stddev_samp("f").alias("sd")), by, [], {"median": ("f", 0.5)})
 
 
-def profile_curves(prof: DataFrame, showers: DataFrame) -> DataFrame:
-    """Mean fraction of a shower's energy in each bin, with its spread, and the pooled ratio."""
-    s = showers.select("event_number", "b", "e_own")
-    n = s.agg(F.count("*").alias("n_showers"), F.sum("e_own").alias("all_e"))
-    f = prof.join(s, ["event_number", "b"]).withColumn("f", F.col("e") / F.col("e_own"))
-    by = f.groupBy("axis", "bin").agg(F.sum("f").alias("sf"), F.sum(F.col("f") ** 2).alias("sff"), F.sum("e").alias("se"))
-    by = by.crossJoin(F.broadcast(n)).withColumns({"mean": F.col("sf") / F.col("n_showers"), "pooled": F.col("se") / F.col("all_e")})  # showers without the bin count as zero
-    return by.withColumn("sd", F.sqrt(F.greatest(F.lit(0.0), (F.col("sff") - F.col("n_showers") * F.col("mean") ** 2) / (F.col("n_showers") - 1))))
-
-
 def hit_uvw(hits: DataFrame, size: float = 20.0) -> DataFrame:
     """Histograms of u, v and w by momentum bin from one pass: a row for each axis of a deposit, summed before the shuffle."""
     h = splat(hits, 2, 1)
@@ -274,16 +254,19 @@ def long_features(ft: DataFrame, names=LINEAR) -> DataFrame:
 def feature_describe(ft: DataFrame) -> DataFrame:
     each = long_features(ft)
     by = each.groupBy("label", "feature").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("s1"), F.stddev_pop("value").alias("s0"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.count_if(F.col("value") <= 1e-6).alias("floored"))
-    by = with_quantiles(by, each, ["label", "feature"], {"median": ("value", 0.5)})
+    by = with_quantiles(by, each, ["label", "feature"], {"qs": ("value", [0.25, 0.5, 0.75])})
+    by = by.withColumns({name: F.get("qs", F.lit(i)) for i, name in enumerate(("q25", "median", "q75"))}).drop("qs")
     lo, hi = es.t_interval(F.col("mean"), F.col("s1"), F.col("n"))
-    return by.withColumns({"mean_lo": lo, "mean_hi": hi, "s_unbiased": F.col("s1") / es.c4(F.col("n"))})
+    sd_lo, sd_hi = es.chi2_interval(F.col("s1"), F.col("n"))
+    se = F.try_divide(F.col("s1"), F.sqrt(2.0 * (F.col("n") - 1)))
+    return by.withColumns({"mean_lo": lo, "mean_hi": hi, "sd_lo": sd_lo, "sd_hi": sd_hi, "sd_se": se, "s_unbiased": F.col("s1") / es.c4(F.col("n"))})
 
 
 def feature_corr(ft: DataFrame, names=LINEAR) -> DataFrame:
     """Pearson's r of each pair of features in each class, without rows that either feature floors."""
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
     rows = F.array(*[F.struct(F.lit(f"{a}:{b}").alias("pair"), F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs])
-    by = ft.select("label", F.inline(rows)).filter("u > 1e-6 AND v > 1e-6").groupBy("label", "pair").agg(F.corr("u", "v").alias("r"), F.count("*").alias("n"))
+    by = ft.select("label", F.inline(rows)).filter("u > 1e-6 AND v > 1e-6").groupBy("label", "pair").agg(es.correlation(F.col("u"), F.col("v")).alias("r"), F.count("*").alias("n"))
     lo, hi = es.fisher_ci(F.least(F.lit(1 - 1e-12), F.col("r")), F.col("n"))
     return by.withColumns({"lo": lo, "hi": hi})
 
@@ -324,12 +307,6 @@ def seg_quality(events: DataFrame, *keys: str) -> DataFrame:
     return s.withColumns({"accuracy": F.col("n_correct") / F.col("n_hits"), "precision": p, "recall": r, "f1": F.try_divide(2 * p * r, p + r), "mae": F.col("abs_err") / F.col("n_hits"), "weighted_mae": F.col("wabs_err") / F.col("e_dep"), "rmse": F.sqrt(F.col("sq_err") / F.col("n_hits"))})
 
 
-def residual_cards(showers: DataFrame, *keys: str) -> DataFrame:
-    """Relative energy and angle residuals (mrad) with the correlation of prediction and truth."""
-    e, a = (F.col("energy_pred") - F.col("p")) / F.col("p"), 1e3 * (F.col("angle_pred") - F.col("theta"))
-    return showers.groupBy("b", *keys).agg(F.count("*").alias("n"), F.avg(e).alias("e_bias"), F.stddev_samp(e).alias("e_sd"), F.sqrt(F.avg(e * e)).alias("e_rmse"), F.corr("energy_pred", "p").alias("e_r"), F.avg(a).alias("a_bias"), F.stddev_samp(a).alias("a_sd"))
-
-
 def perf_bins(showers: DataFrame) -> DataFrame:
     err = F.col("energy_pred") - F.col("p")
     by = showers.groupBy("b", "bin").agg(F.count(err).alias("n"), F.sqrt(F.avg(err * err)).alias("rmse"), F.avg(F.abs(err)).alias("mae"), F.avg(err).alias("bias"), F.count_if(F.col("energy_pred").isNull()).alias("missing"))
@@ -351,12 +328,6 @@ def residual_hist(showers: DataFrame) -> DataFrame:
     return inside.groupBy(F.floor((F.col("r") - F.col("lo")) / F.col("w") + 1e-9).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def phi_residual(showers: DataFrame) -> DataFrame:
-    d = wrap(F.col("phi") - F.atan2("cyt", "cxt"))
-    by = showers.groupBy("b").agg(F.count("*").alias("n"), F.avg(F.cos(d)).alias("c"), F.avg(F.sin(d)).alias("s"), F.avg(F.cos(2 * d)).alias("c2"))
-    return by.withColumns({"mean": F.atan2("s", "c"), "r": F.hypot("c", "s"), "sd": F.sqrt(-2 * F.ln(F.hypot("c", "s")))})
-
-
 def primaries(events: DataFrame) -> DataFrame:
     by = events.groupBy("p_bin").agg(F.count("*").alias("n"), F.count_if(F.col("n_primary") == 0).alias("k"))
     lo, hi = es.wilson(F.col("k"), F.col("n"))

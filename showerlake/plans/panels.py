@@ -75,18 +75,7 @@ q("V20_describe_hits", lambda c: pn.describe_hits(c.hits), "$quantity n ~mean ~s
 q("V21_weighted_quartiles", lambda c: pn.weighted_quartiles(c.hits), "~q1 ~q2 ~q3", "WITH s AS (SELECT *, sum(e) OVER (ORDER BY bin) AS upto, sum(e) OVER () AS total FROM (SELECT floor(xl) AS bin, sum(energy) AS e FROM hits GROUP BY 1)) SELECT arg_min(bin + (25e-2 * total - upto + e) / e, bin) FILTER (WHERE upto >= 25e-2 * total) AS q1, arg_min(bin + (5e-1 * total - upto + e) / e, bin) FILTER (WHERE upto >= 5e-1 * total) AS q2, arg_min(bin + (75e-2 * total - upto + e) / e, bin) FILTER (WHERE upto >= 75e-2 * total) AS q3 FROM s")
 q("V22_selection_counts", lambda c: pn.selection_counts(c.showers), "events showers hits with_a", "SELECT count(DISTINCT event_number) AS events, count(*) AS showers, sum(n_own) AS hits, count(DISTINCT event_number) FILTER (WHERE b = 0) AS with_a FROM sh")
 NEG = "SELECT event_number, CASE WHEN origin = 'A' THEN 0 ELSE 1 END AS sb, max(p) AS p, count(*) AS n, count(*) FILTER (WHERE zl < -1025e-2) AS nn, sum(energy) AS e, coalesce(sum(energy) FILTER (WHERE zl < -1025e-2), 0) AS en FROM hits GROUP BY ALL"
-q("V23_negative_depth", lambda c: pn.negative_depth(c.hits), "$split n ~hit_share ~hit_se ~energy_share affected", f"SELECT split, count(*) AS n, ratio AS hit_share, se AS hit_se, energy_share, affected FROM (SELECT split, count(*) AS n, {RATIO}, sum(en) / sum(e) AS energy_share, count(*) FILTER (WHERE a > 0) AS affected FROM (SELECT 'all' AS split, CAST(nn AS DOUBLE) AS a, CAST(n AS DOUBLE) AS b, e, en FROM ({NEG}) UNION ALL SELECT CASE WHEN p < 5 THEN 'low' WHEN p < 10 THEN 'mid' ELSE 'high' END, nn, n, e, en FROM ({NEG})) GROUP BY split)".replace("SELECT split, count(*) AS n, ratio AS", "SELECT split, n, ratio AS"))
 q("V24_affected", lambda c: pn.affected(c.hits), "n ~mean ~sd ~median", f"SELECT count(*) AS n, avg(f) AS mean, stddev_samp(f) AS sd, median(f) AS median FROM (SELECT CAST(nn AS DOUBLE) / n AS f FROM ({NEG})) WHERE f > 0")
-
-
-def _curves_sql() -> str:
-    from .base import KEYED
-
-    one = lambda axis, j: f"SELECT event_number, b, {axis} AS axis, {j} AS bin, sum(v) AS e FROM ({KEYED}) k GROUP BY ALL"
-    return f"WITH f AS (SELECT axis, p.bin, e, e / e_own AS f FROM ({one(0, 'jw')} UNION ALL {one(1, 'jr')}) p JOIN sh USING (event_number, b)), n AS (SELECT count(*) AS n, sum(e_own) AS ee FROM sh) SELECT axis, bin, sum(f) / any_value(n) AS mean, sqrt(greatest(0, (sum(f * f) - any_value(n) * pow(sum(f) / any_value(n), 2)) / (any_value(n) - 1))) AS sd, sum(e) / any_value(ee) AS pooled FROM f, n GROUP BY axis, bin"
-
-
-q("V25_profile_curves", lambda c: pn.profile_curves(ev.profiles(c.hits), c.showers), "axis bin ~mean ~sd ~pooled", _curves_sql())
 q("V26_hit_uvw", lambda c: pn.hit_uvw(c.hits), "mb $axis bin n", "WITH o AS (SELECT ((i + 5e-1) / 2 - 5e-1) * 486e-1 AS ox, ((j + 5e-1) / 2 - 5e-1) * 505e-1 AS oy FROM range(2) a(i), range(2) b(j)) SELECT floor(p) AS mb, axis, floor(c / 20) AS bin, count(*) AS n FROM (SELECT p, 'u' AS axis, xl + ox AS c FROM hits, o UNION ALL SELECT p, 'v', yl + oy FROM hits, o UNION ALL SELECT p, 'w', zl FROM hits, o) GROUP BY ALL")
 q("V27_hit_energy", lambda c: pn.hit_energy(c.hits), "mb bin n", "SELECT floor(p) AS mb, floor(log10(energy) * 100) AS bin, count(*) AS n FROM hits GROUP BY ALL")
 HISTS = (("theta", "0.05", "0.55", 25), ("phi", "-3.0", "3.0", 24), ("p", "1.0", "20.0", 38))
@@ -131,7 +120,7 @@ q("V33_mardia", lambda c: pn.mardia(pn.event_moments(c.showers)), "~xc ~xs ~cs ~
 FT = "SELECT * FROM ft WHERE n > 1"
 LONG = " UNION ALL ".join(f"SELECT label, '{n}' AS feature, {n} AS value FROM ft WHERE n > 1" for n in pn.LINEAR)
 q("V34_feature_table", lambda c: table(c), "event_number label p_bin ~p ~width ~height ~depth ~mean_r ~weighted_r", FT)
-q("V35_feature_describe", lambda c: pn.feature_describe(table(c)), "label $feature n ~mean ~s1 ~s0 ~lo ~median ~hi floored ~mean_lo", f"SELECT *, mean - {T} * s1 / sqrt(n) AS mean_lo FROM (SELECT label, feature, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS s1, stddev_pop(value) AS s0, min(value) AS lo, median(value) AS median, max(value) AS hi, count(*) FILTER (WHERE value <= 1e-6) AS floored FROM ({LONG}) GROUP BY ALL)")
+q("V35_feature_describe", lambda c: pn.feature_describe(table(c)), "label $feature n ~mean ~s1 ~s0 ~lo ~q25 ~median ~q75 ~hi floored ~mean_lo ~mean_hi ~sd_lo ~sd_hi ~sd_se", f"SELECT *, mean - {T} * s1 / sqrt(n) AS mean_lo, mean + {T} * s1 / sqrt(n) AS mean_hi, s1 * sqrt((n - 1) / {CHI['lo']}) AS sd_lo, s1 * sqrt((n - 1) / {CHI['hi']}) AS sd_hi, s1 / sqrt(2e0 * (n - 1)) AS sd_se FROM (SELECT label, feature, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS s1, stddev_pop(value) AS s0, min(value) AS lo, quantile_cont(value, 25e-2) AS q25, median(value) AS median, quantile_cont(value, 75e-2) AS q75, max(value) AS hi, count(*) FILTER (WHERE value <= 1e-6) AS floored FROM ({LONG}) GROUP BY ALL)")
 
 
 def _pairs_sql() -> str:
@@ -140,7 +129,7 @@ def _pairs_sql() -> str:
     return " UNION ALL ".join(f"SELECT label, '{a}:{b}' AS pair, {a} AS u, {b} AS v FROM ft WHERE n > 1 AND {a} > 1e-6 AND {b} > 1e-6" for a, b in combinations(pn.LINEAR, 2))
 
 
-q("V36_feature_corr", lambda c: pn.feature_corr(table(c)), "label $pair ~r n", f"SELECT label, pair, corr(u, v) AS r, count(*) AS n FROM ({_pairs_sql()}) GROUP BY ALL")
+q("V36_feature_corr", lambda c: pn.feature_corr(table(c)), "label $pair ~r n ~lo ~hi", f"SELECT *, CASE WHEN n > 3 THEN tanh(atanh(least(1 - 1e-12, r)) - {Z} / sqrt(n - 3)) END AS lo, CASE WHEN n > 3 THEN tanh(atanh(least(1 - 1e-12, r)) + {Z} / sqrt(n - 3)) END AS hi FROM (SELECT label, pair, corr(u, v) AS r, count(*) AS n FROM ({_pairs_sql()}) GROUP BY ALL)")
 q("V37_circ_corr", lambda c: pn.circ_corr(c.events, "phi_a", "phi_b"), "~r n", "SELECT sum(sin(phi_a - ma) * sin(phi_b - mb)) / sqrt(sum(pow(sin(phi_a - ma), 2)) * sum(pow(sin(phi_b - mb), 2))) AS r, count(*) AS n FROM ev, (SELECT atan2(avg(sin(phi_a)), avg(cos(phi_a))) AS ma, atan2(avg(sin(phi_b)), avg(cos(phi_b))) AS mb FROM ev)")
 q("V38_feature_hist", lambda c: pn.feature_hist(table(c), "weighted_r"), "label bin n", "SELECT label, least(19, floor((weighted_r - lo) / ((hi - lo) / 20))) AS bin, count(*) AS n FROM ft, (SELECT min(weighted_r) AS lo, max(weighted_r) AS hi FROM ft WHERE n > 1) WHERE n > 1 GROUP BY ALL")
 PLANNED = (*pn.LINEAR, "volume", "centroid_x", "n", "trans_depth_range")
@@ -183,12 +172,9 @@ SEG = "accuracy ~precision ~recall ~f1 ~mae ~weighted_mae ~rmse"
 SEGSQL = "sum(n_correct) / CAST(sum(n_hits) AS DOUBLE) AS accuracy, sum(n_tp) / CAST(sum(n_pred) AS DOUBLE) AS precision, sum(n_tp) / CAST(sum(n_true) AS DOUBLE) AS recall, 2e0 * sum(n_tp) / (sum(n_pred) + sum(n_true)) AS f1, sum(abs_err) / sum(n_hits) AS mae, sum(wabs_err) / sum(e_dep) AS weighted_mae, sqrt(sum(sq_err) / sum(n_hits)) AS rmse"
 q("V41_seg_quality", lambda c: pn.seg_quality(c.events), f"n_hits ~{SEG}", f"SELECT sum(n_hits) AS n_hits, {SEGSQL} FROM ev")
 q("V41_seg_quality_by_d", lambda c: pn.seg_quality(c.events.withColumn("slice", fl.d_slice(F.col("d"))), "slice"), f"slice n_hits ~{SEG}", f"SELECT {SLICE} AS slice, sum(n_hits) AS n_hits, {SEGSQL} FROM ev GROUP BY 1")
-CARD = "count(*) AS n, avg(energy_pred / p - 1) AS e_bias, stddev_samp(energy_pred / p - 1) AS e_sd, sqrt(avg(pow(energy_pred / p - 1, 2))) AS e_rmse, corr(energy_pred, p) AS e_r, avg(1e3 * (angle_pred - theta)) AS a_bias, stddev_samp(1e3 * (angle_pred - theta)) AS a_sd"
-q("V42_residual_cards", lambda c: pn.residual_cards(c.showers), "b n ~e_bias ~e_sd ~e_rmse ~e_r ~a_bias ~a_sd", f"SELECT b, {CARD} FROM sh GROUP BY b")
 q("V43_perf_bins", lambda c: pn.perf_bins(c.showers), "b bin n ~rmse ~mae ~bias ~median_rel ~median_abs missing", "SELECT b, bin, count(*) AS n, sqrt(avg(pow(energy_pred - p, 2))) AS rmse, avg(abs(energy_pred - p)) AS mae, avg(energy_pred - p) AS bias, median((energy_pred - p) / p) AS median_rel, median(abs(energy_pred - p)) AS median_abs, 0 AS missing FROM sh GROUP BY ALL")
 q("V44_pred_density", lambda c: pn.pred_density(c.showers), "b pb tb n", "SELECT b, CASE WHEN energy_pred >= 20 THEN 20 ELSE floor(energy_pred) END AS pb, CASE WHEN p >= 20 THEN 20 ELSE floor(p) END AS tb, count(*) AS n FROM sh GROUP BY ALL")
 q("V45_residual_hist", lambda c: pn.residual_hist(c.showers), "bin n", "WITH r AS (SELECT (energy_pred - p) / p AS r FROM sh), q AS (SELECT quantile_cont(r, 1e-2) AS lo, quantile_cont(r, 99e-2) AS hi, 2 * (quantile_cont(r, 75e-2) - quantile_cont(r, 25e-2)) / pow(count(*), 1 / 3e0) AS w FROM r) SELECT floor((r - lo) / w + 1e-9) AS bin, count(*) AS n FROM r, q WHERE r BETWEEN lo AND hi GROUP BY 1")
-q("V46_phi_residual", lambda c: pn.phi_residual(c.showers), "b n ~mean ~r ~sd", "SELECT b, count(*) AS n, atan2(avg(sin(o)), avg(cos(o))) AS mean, sqrt(pow(avg(cos(o)), 2) + pow(avg(sin(o)), 2)) AS r, sqrt(-2 * ln(sqrt(pow(avg(cos(o)), 2) + pow(avg(sin(o)), 2)))) AS sd FROM (SELECT b, phi - atan2(cyt, cxt) AS o FROM sh) GROUP BY b")
 WILSON = f"(k / CAST(n AS DOUBLE) + {Z} * {Z} / (2e0 * n)) / (1 + {Z} * {Z} / n) {{s}} {Z} * sqrt(k / CAST(n AS DOUBLE) * (1 - k / CAST(n AS DOUBLE)) / n + {Z} * {Z} / (4e0 * n * n)) / (1 + {Z} * {Z} / n)"
 q("V47_primaries", lambda c: pn.primaries(c.singles), "p_bin n k ~lo ~hi", f"SELECT *, {WILSON.format(s='-')} AS lo, {WILSON.format(s='+')} AS hi FROM (SELECT p_bin, count(*) AS n, count(*) FILTER (WHERE n_primary = 0) AS k FROM sg GROUP BY 1)")
 q("V48_primary_counts", lambda c: pn.primary_counts(c.singles), "bucket n", "SELECT least(n_primary, 10) AS bucket, count(*) AS n FROM sg GROUP BY 1")

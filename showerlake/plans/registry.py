@@ -137,7 +137,7 @@ def q(name: str, build: Callable[[Fixture], DataFrame], columns: str, sql: str |
 
 def _load() -> None:
     if not REGISTERED:
-        from . import base, frames, panels, tables  # noqa: F401
+        from . import base, clusters, frames, panels, tables  # noqa: F401
 
 
 def queries() -> dict:
