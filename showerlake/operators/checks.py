@@ -43,18 +43,54 @@ def check_derived(hits: DataFrame, events: DataFrame, layers: DataFrame) -> Data
     return met.agg(rel(F.col("e_own_a") + F.col("e_own_b")).alias("shower_residual"), rel(F.col("le")).alias("layer_residual"), F.count_if(~F.col("ln").eqNullSafe(F.col("n_hits"))).alias("failed"))
 
 
+def check_partition(hits: DataFrame, events: DataFrame, layers: DataFrame, prof: DataFrame, most: float = 1e-9) -> DataFrame:
+    """Whether derived tables divide each event and shower among them, in one row.
+
+    Events whose showers' hits don't add up, and the largest relative difference of their energies; showers with a cell twice;
+    showers whose layers have other hits, and the largest difference of energies; axes of profiles that are missing, and the
+    largest differences of their energies and of those in front of the entry layer. `failed` counts the rules that are broken."""
+    b = own_shower(F.col("origin"))
+    neg = F.when(F.col("zl") < ev.NEGATIVE_DEPTH, F.col("energy")).otherwise(0.0)
+    cells = hits.groupBy("event_number", b.alias("b"), "cell_id").agg(F.count("*").alias("n"), F.sum("energy").alias("e"), F.sum(neg).alias("e_neg"))
+    s = cells.groupBy("event_number", "b").agg(F.sum("n").alias("n"), F.count("*").alias("cells"), F.sum("e").alias("e"), F.sum("e_neg").alias("e_neg"))
+    l = layers.groupBy("event_number", "b").agg(F.sum("n").alias("ln"), F.sum("e").alias("le"))  # noqa: E741
+    p = prof.groupBy("event_number", "b", "axis").agg(F.sum("e").alias("pe"), F.sum("e_neg").alias("pn"))
+    p = s.select("event_number", "b", "e", "e_neg").join(p, ["event_number", "b"], "left").groupBy("event_number", "b").agg(
+        F.count("axis").alias("axes"), F.max(F.abs(F.col("pe") - F.col("e"))).alias("pd"), F.max(F.abs(F.col("pn") - F.col("e_neg"))).alias("nd"),
+    )
+    met = s.join(l, ["event_number", "b"], "left").join(p, ["event_number", "b"], "left")
+    worst = lambda x: F.max(F.try_divide(F.abs(x), F.col("e")))
+    of_showers = met.agg(
+        F.count_if(F.col("n") != F.col("cells")).alias("cells_twice"), F.count_if(~F.col("ln").eqNullSafe(F.col("n"))).alias("layers_off"), worst(F.col("le") - F.col("e")).alias("layer_residual"),
+        F.coalesce(F.sum(2 - F.col("axes")), F.lit(0)).alias("axes_missing"), worst(F.col("pd")).alias("profile_residual"), worst(F.col("nd")).alias("negative_residual"),
+    )
+    rest = F.col("e_own_a") + F.col("e_own_b") - F.col("e_dep")
+    of_events = events.agg(F.count_if(F.col("n_own_a") + F.col("n_own_b") != F.col("n_hits")).alias("hits_off"), F.max(F.try_divide(F.abs(rest), F.col("e_dep"))).alias("shower_residual"))
+    far = [F.coalesce(F.col(c), F.lit(0.0)) > t for c, t in (("shower_residual", 1e-12), ("layer_residual", most), ("profile_residual", most), ("negative_residual", most))]
+    off = [F.col(c) > 0 for c in ("hits_off", "layers_off", "axes_missing")]
+    return of_events.crossJoin(of_showers).withColumn("failed", sum((x.cast("int") for x in (*off, *far)), F.lit(0)))
+
+
 def check_undefined_d(events: DataFrame) -> DataFrame:
     return events.agg(F.count("*").alias("n"), F.count_if(F.col("d").isNull()).alias("undefined"), F.count_if(F.col("d").isNull() != ((F.col("n_own_a") == 0) | (F.col("n_own_b") == 0))).alias("failed"))
 
 
 def check_rows_contract(hits: DataFrame) -> DataFrame:
-    """Per row: coordinates that are not finite, residuals of rotation and layer, values out of range, A+B rows off the origin."""
+    """Per row, in one pass: values that are not finite, residuals of rotation and layer, values out of range, A+B rows off
+    the origin, unknown origins, and how far a row's momentum and angle are from those of its own shower."""
+    c = F.col
     r = hits.withColumns(ev.rotation())
-    rot = F.abs(F.col("zl") - (F.col("r31") * F.col("xt") + F.col("r32") * F.col("yt") + F.col("r33") * F.col("zt")))
-    layer = F.abs(F.col("zt") / PITCH - F.round(F.col("zt") / PITCH))
+    turned = {"xl": c("r11") * c("xt") + c("r12") * c("yt") + c("r13") * c("zt"), "yl": c("r21") * c("xt") + c("r22") * c("yt"), "zl": c("r31") * c("xt") + c("r32") * c("yt") + c("r33") * c("zt")}
+    rot = F.greatest(*[F.abs(c(k) - v) for k, v in turned.items()])
+    layer = F.abs(c("zt") / PITCH - F.round(c("zt") / PITCH))
+    own = lambda x: F.max(F.when(c("origin") != "A+B", F.abs(c(x) - F.when(c("origin") == "A", c(f"{x}_a")).otherwise(c(f"{x}_b")))))
+    placed = [f"{a}{f}" for f in ("", "t", "l") for a in "xyz"]
     return r.agg(
-        F.count_if(~finite(F.col("xl"))).alias("not_finite"), F.max(rot).alias("rotation"), F.max(layer).alias("layer"), F.count_if(~F.col("seg_pred").between(0, 1)).alias("out_of_range"),
-        F.count_if((F.col("origin") == "A+B") & ((F.col("xt") != 0) | (F.col("yt") != 0))).alias("off_origin"),
+        F.count_if(~finite(c("xl"))).alias("not_finite"), F.sum(sum(((~finite(c(k))).cast("int") for k in placed), F.lit(0))).alias("not_finite_all"), F.max(rot).alias("rotation"), F.max(layer).alias("layer"),
+        F.count_if(~c("seg_pred").between(0, 1)).alias("out_of_range"), F.count_if(~c("seg_true").between(0, 1)).alias("true_out_of_range"),
+        F.count_if(~c("gradcam").between(0, 1)).alias("gradcam_outside"), F.count_if(F.abs("shapcam") > 1).alias("shapcam_outside"),
+        F.count_if((c("origin") == "A+B") & ((c("xt") != 0) | (c("yt") != 0) | (c("zt") != 0))).alias("off_origin"), F.count_if(~F.coalesce(c("origin").isin("A", "B", "A+B"), F.lit(False))).alias("bad_origin"),
+        own("p").alias("p_residual"), own("theta").alias("theta_residual"),
     )
 
 
@@ -90,13 +126,21 @@ def check_events(features: DataFrame) -> DataFrame:
     return features.agg(F.count("*").alias("n"), F.count_if((F.col("p") >= 2).cast("int") != F.col("label")).alias("label_off"), F.count_if(F.col("width") <= 1e-6).alias("floored"), F.count_if(~F.col("avg_theta").between(0, 3.1415927)).alias("out_of_range"))
 
 
-def feature_parity(a: DataFrame, b: DataFrame, names: list[str], floor: float = 1e-6) -> DataFrame:
-    """Largest relative difference of each feature over the shared events, and the event of the worst."""
+def feature_parity(a: DataFrame, b: DataFrame, names: list[str]) -> DataFrame:
+    """Largest relative difference of each feature over the shared events, and the event of the worst (the smallest, at a tie).
+
+    A difference is taken against the larger of both values and of the feature's median size in `b`, so that values near
+    zero don't count as far apart. A value that one side alone has is an infinite difference; one that both lack is none."""
     rows = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"a.{n}").cast("double").alias("u"), F.col(f"b.{n}").cast("double").alias("v")) for n in names])
     met = a.alias("a").join(b.alias("b"), "event_number").select("event_number", F.inline(rows))
-    rel = F.abs(F.col("u") - F.col("v")) / F.greatest(F.abs("u"), F.abs("v"), F.lit(floor))
-    worst = met.withColumn("rel", F.round(rel, 9)).groupBy("feature").agg(F.max("rel").alias("rel"), F.max_by("event_number", F.struct("rel", -F.col("event_number"))).alias("worst"), F.count("*").alias("n"))
-    return worst
+    u, v = F.when(finite(F.col("u")), F.col("u")), F.when(finite(F.col("v")), F.col("v"))
+    both = u.isNotNull() & v.isNotNull()
+    size = F.abs(F.when(both, F.col("v")))
+    floors = with_quantiles(met.select("feature").distinct(), met, ["feature"], {"floor": (size, 0.5)})
+    scale = F.greatest(F.abs(u), F.abs(v), F.coalesce("floor", F.lit(0.0)))
+    rel = F.when(both, F.coalesce(F.try_divide(F.abs(u - v), scale), F.lit(0.0))).when(u.isNull() & v.isNull(), 0.0).otherwise(float("inf"))
+    each = met.join(floors, "feature").withColumn("rel", F.round(rel, 9))
+    return each.groupBy("feature").agg(F.max("rel").alias("rel"), F.max_by("event_number", F.struct("rel", -F.col("event_number"))).alias("worst"), F.count("*").alias("n"), F.first("floor").alias("floor"))
 
 
 def check_sums(events: DataFrame, sums: DataFrame, total: str, most: float = 1e-6) -> DataFrame:

@@ -370,12 +370,29 @@ def pick_densest(events: DataFrame, most: int) -> DataFrame:
     return events.orderBy(F.desc_nulls_last("n_hits"), "event_number").limit(most)
 
 
-def pick_uniform(events: DataFrame, seed: int, draw: int) -> DataFrame:
-    """The draw-th event, modulo the pool, of a seeded order: the order is a hash, so a bounded top list is enough."""
-    n = events.filter(in_pool()).count()
-    k = draw % max(1, n)
+def pick_uniform(events: DataFrame, seed: int, draw: int, span: int = 1024) -> DataFrame:
+    """The draw-th event, modulo the pool, of a seeded order: by a hash, then by number.
+
+    Hashes are counted in ranges of `span`, then one by one in the range that holds the draw; only the events of a single hash
+    are put in order. The driver sees two lists of about a thousand counts, whatever the pool."""
     key = F.pmod(F.col("event_number") * 7919 + seed * 104729, F.lit(1000003))
-    return events.filter(in_pool()).orderBy(key, "event_number").limit(k + 1).orderBy(F.desc(key), F.desc("event_number")).limit(1)
+    pool = events.filter(in_pool()).withColumn("_key", key)
+    counts = lambda df, c: sorted((r[0], r[1]) for r in df.groupBy(c.alias("at")).count().collect())
+    ranges = counts(pool, F.floor(F.col("_key") / span))
+    rest = draw % max(1, sum(n for _, n in ranges))
+
+    def holder(of: list) -> int:
+        nonlocal rest
+        for at, n in of:
+            if rest < n:
+                return at
+            rest -= n
+        return -1  # an empty pool
+
+    within = holder(ranges)
+    one = holder(counts(pool.filter(F.floor(F.col("_key") / span) == within), F.col("_key")))
+    place = F.row_number().over(Window.orderBy("event_number"))  # of one hash in a million
+    return pool.filter(F.col("_key") == one).withColumn("_at", place).filter(F.col("_at") == rest + 1).drop("_key", "_at")
 
 
 def resolution_inputs(showers: DataFrame) -> DataFrame:

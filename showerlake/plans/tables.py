@@ -7,14 +7,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import checks as ck
+from ..operators import clusters as cl
 from ..operators import events as ev
 from ..operators import filters as fl
 from ..operators import frames as fr
 from ..operators import joins as jn
 from ..operators import models as md
+from ..operators import panels as pn
 from ..sources import files as fs
 from ..sources.shared import written
 from ..streaming import folder
+from .base import KEYED
 from .frames import DETREND, MARGINAL, marginal
 from .panels import T, WILSON, table
 from .registry import q
@@ -125,14 +128,21 @@ q("C1_check_rows", lambda c: ck.check_rows(c.raw, two_parts(c)), "source archive
 q("C2_check_projection", lambda c: ck.check_projection(c.raw, fl.project_rows(c.hits)), "rows kept events kept_events warned failed", "SELECT count(*) AS rows, count(*) FILTER (WHERE energy > 0) AS kept, count(DISTINCT event_number) AS events, count(DISTINCT event_number) FILTER (WHERE energy > 0) AS kept_events, 0 AS warned, 0 AS failed FROM raw")
 q("C3_check_lattice", lambda c: ck.check_lattice(c.hits), "max_ix max_iy max_iz least failed", "SELECT max(ix) AS max_ix, max(iy) AS max_iy, max(iz) AS max_iz, 0 AS least, 0 AS failed FROM hits")
 q("C4_check_energy", lambda c: ck.check_energy(c.hits), "~energy not_finite failed", "SELECT sum(energy) AS energy, 0 AS not_finite, 0 AS failed FROM hits")
-q("C5_check_derived", lambda c: ck.check_derived(c.hits, c.events, ev.layers(c.hits)), "~shower_residual ~layer_residual failed", "SELECT max(abs(e_own_a + e_own_b - e_dep) / e_dep) AS shower_residual, 0 AS layer_residual, 0 AS failed FROM ev")
+PARTS = f"""WITH k AS MATERIALIZED ({KEYED}), s AS (SELECT event_number, CASE WHEN origin = 'A' THEN 0 ELSE 1 END AS b, count(*) AS n, count(DISTINCT cell_id) AS cells, sum(energy) AS e, coalesce(sum(energy) FILTER (WHERE zl < -1025e-2), 0) AS en FROM hits GROUP BY ALL),
+  pr AS (SELECT event_number, b, sum(v) AS e, coalesce(sum(v) FILTER (WHERE neg), 0) AS en FROM k GROUP BY ALL), la AS (SELECT event_number, b, sum(n) AS n, sum(e) AS e FROM lay GROUP BY ALL)
+  SELECT (SELECT count(*) FROM ev WHERE n_own_a + n_own_b <> n_hits) AS hits_off, (SELECT max(abs(e_own_a + e_own_b - e_dep) / e_dep) FROM ev) AS shower_residual, count(*) FILTER (WHERE s.n <> cells) AS cells_twice,
+    count(*) FILTER (WHERE la.n IS DISTINCT FROM s.n) AS layers_off, max(abs(la.e - s.e) / s.e) AS layer_residual, 2 * count(*) FILTER (WHERE pr.e IS NULL) AS axes_missing, max(abs(pr.e - s.e) / s.e) AS profile_residual, max(abs(pr.en - s.en) / s.e) AS negative_residual
+  FROM s LEFT JOIN la ON la.event_number = s.event_number AND la.b = s.b LEFT JOIN pr ON pr.event_number = s.event_number AND pr.b = s.b"""
+q("C5_check_derived", lambda c: ck.check_partition(c.hits, c.events, ev.layers(c.hits), ev.profiles(c.hits)), "hits_off ~shower_residual cells_twice layers_off ~layer_residual axes_missing ~profile_residual ~negative_residual failed", f"SELECT *, CASE WHEN hits_off > 0 THEN 1 ELSE 0 END + CASE WHEN layers_off > 0 THEN 1 ELSE 0 END + CASE WHEN axes_missing > 0 THEN 1 ELSE 0 END + CASE WHEN shower_residual > 1e-12 THEN 1 ELSE 0 END + CASE WHEN greatest(layer_residual, profile_residual, negative_residual) > 1e-9 THEN 1 ELSE 0 END AS failed FROM ({PARTS})")
 q("C6_check_undefined_d", lambda c: ck.check_undefined_d(c.events), "n undefined failed", "SELECT count(*) AS n, count(*) - count(d) AS undefined, 0 AS failed FROM ev")
-q("C7_check_rows_contract", lambda c: ck.check_rows_contract(c.hits), "not_finite ~rotation ~layer out_of_range off_origin", "SELECT 0 AS not_finite, 0 AS rotation, max(abs(zt / 205e-1 - round(zt / 205e-1))) AS layer, count(*) FILTER (WHERE seg_pred > 1) AS out_of_range, 0 AS off_origin FROM hits")
+TURNED = "greatest(abs(xl - (cos(theta) * cos(phi) * xt + cos(theta) * sin(phi) * yt - sin(theta) * zt)), abs(yl - (cos(phi) * yt - sin(phi) * xt)), abs(zl - (sin(theta) * cos(phi) * xt + sin(theta) * sin(phi) * yt + cos(theta) * zt)))"
+q("C7_check_rows_contract", lambda c: ck.check_rows_contract(c.hits), "not_finite not_finite_all ~rotation ~layer out_of_range true_out_of_range gradcam_outside shapcam_outside off_origin bad_origin ~p_residual ~theta_residual", f"SELECT count(*) FILTER (WHERE NOT isfinite(xl)) AS not_finite, count(*) FILTER (WHERE NOT isfinite(x + y + z + xt + yt + zt + xl + yl + zl)) AS not_finite_all, max({TURNED}) AS rotation, max(abs(zt / 205e-1 - round(zt / 205e-1))) AS layer, count(*) FILTER (WHERE seg_pred < 0 OR seg_pred > 1) AS out_of_range, count(*) FILTER (WHERE seg_true < 0 OR seg_true > 1) AS true_out_of_range, count(*) FILTER (WHERE gradcam < 0 OR gradcam > 1) AS gradcam_outside, count(*) FILTER (WHERE abs(shapcam) > 1) AS shapcam_outside, count(*) FILTER (WHERE origin = 'A+B' AND (xt <> 0 OR yt <> 0 OR zt <> 0)) AS off_origin, count(*) FILTER (WHERE origin IS NULL OR origin NOT IN ('A', 'B', 'A+B')) AS bad_origin, max(abs(p - CASE origin WHEN 'A' THEN p_a ELSE p_b END)) FILTER (WHERE origin <> 'A+B') AS p_residual, max(abs(theta - CASE origin WHEN 'A' THEN theta_a ELSE theta_b END)) FILTER (WHERE origin <> 'A+B') AS theta_residual FROM hits")
 q("C8_check_p0", lambda c: ck.check_p0(c.hits), "n ~mean ~worst", "SELECT count(*) AS n, avg(d) AS mean, max(d) AS worst FROM (SELECT sqrt(pow(sum(energy * x) FILTER (WHERE z = z0) / sum(energy) FILTER (WHERE z = z0) - avg(x - xt), 2) + pow(sum(energy * y) FILTER (WHERE z = z0) / sum(energy) FILTER (WHERE z = z0) - avg(y - yt), 2)) AS d FROM (SELECT *, origin = 'A' AS a, min(z) OVER (PARTITION BY event_number, origin = 'A') AS z0 FROM hits) GROUP BY event_number, a)")
 q("C9_anchor_residual", lambda c: ck.anchor_residual(c.events.filter("d IS NOT NULL")), "$shower ~median ~p90 over", "SELECT shower, median(r) AS median, quantile_cont(r, 9e-1) AS p90, count(*) FILTER (WHERE r > 505e-1) AS over FROM (" + " UNION ALL ".join(f"SELECT '{s}' AS shower, sqrt(pow(c{s}x - p0{s}x - (c{s}z - p0{s}z) * tan(theta_{s}) * cos(phi_{s}), 2) + pow(c{s}y - p0{s}y - (c{s}z - p0{s}z) * tan(theta_{s}) * sin(phi_{s}), 2)) AS r FROM ev WHERE d IS NOT NULL" for s in "ab") + ") GROUP BY shower")
 q("C10_check_single", lambda c: ck.check_single(c.single), "repeated off_bin unknown parents", "SELECT 0 AS repeated, count(*) FILTER (WHERE p_bin <> floor(p)) AS off_bin, 0 AS unknown, 0 AS parents FROM single")
 q("C11_check_events", lambda c: ck.check_events(table(c)), "n label_off floored out_of_range", "SELECT count(*) AS n, 0 AS label_off, count(*) FILTER (WHERE width <= 1e-6) AS floored, 0 AS out_of_range FROM ft WHERE n > 1")
-q("C12_feature_parity", lambda c: ck.feature_parity(ev.features(ev.shape_sums(c.single)), ev.features(ev.shape_sums(c.single), "t"), ["width", "height", "mean_r"]), "$feature ~rel n", "SELECT feature, max(abs(u - v) / greatest(abs(u), abs(v), 1e-6)) AS rel, count(*) AS n FROM (SELECT 'width' AS feature, width AS u, greatest(max_xt - min_xt, 1e-6) AS v FROM ft0 UNION ALL SELECT 'height', height, greatest(max_yt - min_yt, 1e-6) FROM ft0 UNION ALL SELECT 'mean_r', mean_r, CASE WHEN sum_r_t = 0 THEN 0 ELSE sum_r_t / n END FROM ft0) GROUP BY 1")
+PARITY = "SELECT event_number, 'width' AS feature, width AS u, greatest(max_xt - min_xt, 1e-6) AS v FROM ft0 UNION ALL SELECT event_number, 'height', height, greatest(max_yt - min_yt, 1e-6) FROM ft0 UNION ALL SELECT event_number, 'mean_r', mean_r, CASE WHEN sum_r_t = 0 THEN 0 ELSE sum_r_t / n END FROM ft0"
+q("C12_feature_parity", lambda c: ck.feature_parity(ev.features(ev.shape_sums(c.single)), ev.features(ev.shape_sums(c.single), "t"), ["width", "height", "mean_r"]), "$feature ~rel n ~floor worst", f"SELECT feature, max(rel) AS rel, count(*) AS n, any_value(floor) AS floor, min(event_number) FILTER (WHERE rel = top) AS worst FROM (SELECT *, max(rel) OVER (PARTITION BY feature) AS top FROM (SELECT event_number, feature, floor, coalesce(round(abs(u - v) / nullif(greatest(abs(u), abs(v), floor), 0), 9), 0) AS rel FROM ({PARITY}) p JOIN (SELECT feature, median(abs(v)) AS floor FROM ({PARITY}) GROUP BY 1) m USING (feature))) GROUP BY feature")
 
 # --- model analysis ---------------------------------------------------------------------------------------
 FOLD = "(event_number * 7919) % 1000003 % 5"
@@ -190,6 +200,25 @@ def _rates_sql() -> str:
 
 q("X8_confusion", lambda c: md.confusion(preds(c)), "tp fp fn tn n " + " ".join(f"~{r} ~{r}_lo ~{r}_hi" for r in [*RATES, "balanced"]), _rates_sql())
 q("X9_surrogate", lambda c: md.surrogate(md.predict_outputs(*fitted(c)), "pred_p"), "~leaf n ~value ~variance ~r2 ~mae")
+
+
+def model_preds(c):
+    """Out-of-fold predictions of the fitted models, with the columns of the stored ones; fold 0 is the holdout."""
+    p = md.predict_outputs(*fitted(c))
+    return p.select("event_number", F.lit(0).alias("b"), "p", F.col("pred_p").alias("pred"), F.col("pred_p").alias("energy_pred"), "theta", F.col("pred_theta").alias("angle_pred"), "phi", "pred_phi", F.floor("p").cast("int").alias("bin"), "fold")
+
+
+def model_held(c):
+    return model_preds(c).filter("fold = 0")
+
+
+q("X3_model_split_check", lambda c: md.split_check(model_preds(c)), "seed ~mse_valid ~mse_train n_valid")
+q("X7_model_sample", lambda c: md.binary_sample(model_preds(c)), "event_number y ~p ~pred fallback")
+q("X8_model_confusion", lambda c: md.confusion(model_held(c)), "tp fp fn tn n ~accuracy ~accuracy_lo ~accuracy_hi ~recall ~precision ~balanced ~balanced_lo ~balanced_hi")
+q("J9_model_holdout", lambda c: jn.restrict(model_held(c), c.singles.filter("p BETWEEN 5 AND 10")), "event_number ~p ~pred ~theta ~angle_pred ~phi ~pred_phi")
+q("V56_model_perf", lambda c: pn.perf_bins(model_held(c)), "b bin n ~rmse ~mae ~bias ~median_rel ~median_abs missing")
+q("V56_model_density", lambda c: pn.pred_density(model_held(c)), "b pb tb n")
+q("V56_model_phi", lambda c: cl.mean_direction(model_held(c), ["bin"], F.col("pred_phi") - F.col("phi")), "bin n ~mean ~r ~sd ~se ~lo ~hi")
 q("X10_circ_fidelity", lambda c: md.circ_fidelity(c.showers.withColumn("at", F.atan2("cyt", "cxt")), "at", "phi"), "~fidelity ~mae", "WITH s AS (SELECT phi, atan2(cyt, cxt) AS a FROM sh), m AS (SELECT atan2(avg(sin(phi)), avg(cos(phi))) AS m FROM s) SELECT 1 - sum(1 - cos(a - phi)) / sum(1 - cos(phi - m)) AS fidelity, avg(abs(atan2(sin(a - phi), cos(a - phi)))) AS mae FROM s, m")
 q("X11_importance", gains, "$output fold $feature ~gain")
 q("X12_stamp", lambda c: md.arithmetic_stamp(c.events, "event_number", "n_hits"), "n sum", "SELECT count(*) AS n, sum((event_number * 7919 + n_hits * 104729) % 1000003) AS sum FROM ev")
