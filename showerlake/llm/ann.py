@@ -10,7 +10,8 @@ k-th largest lower bound of its query. The tiles' results are merged by a heap f
 A query's own rows are all rows with its vec_id; query rows that agree in vec_id and vector are
 searched once. Vectors that are null, empty, zero, or hold null or
 non-finite components take no part; candidates of another length than the query are no
-candidates of it. Ties go to the smaller vec_id. Fewer than k candidates: all of them.
+candidates of it. Ties go to the smaller vec_id. Fewer than k candidates: all of them. An empty
+table gives no rows. Rows that are repeated are candidates each; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

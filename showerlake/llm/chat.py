@@ -4,7 +4,8 @@ Rows are dealt by conversation and sorted by turn; they are then streamed, so a
 conversation of any length needs the memory of one turn. Ties of a turn number are
 taken by role and text; repeated rows are turns of their own. A null role is the empty
 role, a null text is empty, a null turn comes first. A conversation that breaks the turn
-order is formatted like any other and says so in `valid` and `error`.
+order is formatted like any other and says so in `valid` and `error`. An empty table gives no
+rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

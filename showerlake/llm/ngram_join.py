@@ -13,7 +13,9 @@ pair of documents is ever a row: a tile gives each of its sets the number of its
 
 Equal sets (copies above all) are one set throughout. A text of under five words is one shingle of
 all its words; a text without words (null, empty) has no links and is its own class.
-Rows that repeat a doc_id are documents of their own. A null doc_id can't name a class.
+Rows that repeat a doc_id are documents of their own. A null doc_id can't name a class. A text of any
+length is read in chunks for its sketch, and is held whole only while it is compared, in a tile of a bounded
+number of sets. An empty table gives no rows; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations

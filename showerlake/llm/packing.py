@@ -8,7 +8,7 @@ piece's length) that has room for all of it; where none has, the cheapest sequen
 filled up with a piece of it. A group is made of neighbouring rows of a task, so its memory is bounded.
 
 A null or empty text is the end id alone. Repeated rows and ids are packed each for
-itself. An empty table gives no pieces.
+itself. An empty table gives no pieces. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ that starts each one is found, and runs of such windows are the maximal exact re
 A window that several documents of one chunk of text start goes into the comparison once,
 for the smallest of them, so a passage of a third of all documents is a few rows a task.
 A null doc_id comes after all others. Documents that share a doc_id do not count
-against each other. Null and empty texts have no words; texts under 13 words lose none.
+against each other. Null and empty texts have no words; texts under 13 words lose none. An
+empty table gives no rows. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
