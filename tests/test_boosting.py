@@ -72,3 +72,16 @@ def test_nulls_constant_features_and_empty(spark):
     assert len(found) == 16 and all(np.isfinite(r["pred_y"]) for r in found) and model.importance()["y", 0][1] == ("b", 0.0)
     none = boosting.fit(df.filter("i < 0"), F.col("i") % 5, NAMES, ("y",), (0,), trees=2)
     assert boosting.predicted(none, df.filter("i < 0"), F.col("i") % 5).count() == 0 and none.base.tolist() == [0.0]
+
+
+def test_a_pass_below_the_root_looks_at_the_lesser_children(spark, monkeypatch):
+    seen, gathered = [], boosting._gathered
+    monkeypatch.setattr(boosting, "_gathered", lambda *a: seen.append(gathered(*a)) or seen[-1])
+    x, y, fold = data()
+    df = spark.createDataFrame([(i, *map(float, x[i]), *map(float, y[i])) for i in range(len(x))], "i int, a double, b double, c double, y double, z double")
+    boosting.fit(df, F.col("i") % 3, NAMES, OUTPUTS, FOLDS, trees=2, depth=3, bins=8)
+    models, wide = len(OUTPUTS) * len(FOLDS), len(NAMES) * 9
+    assert [s.size for s in seen] == [2 * models * wide, 2 * models * wide, 4 * models * wide, models * wide, 2 * models * wide, 4 * models * wide]
+    for level in (1, 2, 4, 5):
+        rows = seen[level].reshape(2, models, -1)[1].sum(-1) / len(NAMES)
+        assert (rows <= [np.sum(fold != k) / 2 for _ in OUTPUTS for k in FOLDS]).all()
