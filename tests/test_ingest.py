@@ -102,3 +102,17 @@ def test_single_and_feature_checks_fail(c):
     assert ck.check_rows(one, one.limit(1)).first()["failed"] == 1
     assert ck.check_rows_contract(c.hits.withColumn("zl", F.col("zl") + 5)).first()["rotation"] > 4
     assert ck.check_rows_contract(c.hits.withColumn("seg_pred", F.lit(2.0))).first()["out_of_range"] > 0
+
+
+def test_rebuild_shares_the_archive(c, tmp_path):
+    """A rebuild writes derived tables alone; the archive of the version before serves the new one, and the next rebuild as well."""
+    target = f"file://{tmp_path}/dataset"
+    first = fs.ingest(c.spark, tb.as_parquet(c), target)
+    for _ in range(2):
+        again = fs.rebuild(c.spark, target)
+        assert again["archive"].inputFiles() == first["archive"].inputFiles()
+        for name in fs.RECIPES["two"]:
+            assert set(again[name].inputFiles()).isdisjoint(first[name].inputFiles())
+        assert again["archive"].count() == first["archive"].count()
+        assert again["layers"].exceptAll(first["layers"]).count() == 0 == first["layers"].exceptAll(again["layers"]).count()
+    assert [v["version"] for v in fs.versions(c.spark, target)] == [3, 2, 1]
