@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from showerlake.operators import checks as ck
 from showerlake.plans import tables as tb
 from showerlake.sources import files as fs
-from showerlake.sources.fixtures import fixture
+from showerlake.sources.fixtures import Fixture, fixture
 
 
 @pytest.fixture(scope="module")
@@ -116,3 +116,10 @@ def test_rebuild_shares_the_archive(c, tmp_path):
         assert again["archive"].count() == first["archive"].count()
         assert again["layers"].exceptAll(first["layers"]).count() == 0 == first["layers"].exceptAll(again["layers"]).count()
     assert [v["version"] for v in fs.versions(c.spark, target)] == [3, 2, 1]
+
+
+def test_sources_of_an_ingest_are_not_kept(spark, sf_dir):
+    c = Fixture(spark, sf_dir)
+    for kind in ("two", "one"):
+        assert tb.typed(c, kind).columns == fs.schema(kind).names
+    assert not {"raw", "single"} & set(vars(c))  # both are kept once they are asked for
