@@ -3,7 +3,8 @@
 A document is the set of its 5-word shingles. Each run sends a set to a bucket for each of its
 tokens whose hash of the run falls under 1 / (threshold * size), so two similar sets
 meet in a bucket with a chance of two thirds; a bucket that is still large is split again on other
-sampled tokens, level by level, and runs repeat until the target recall: a pair at the threshold
+sampled tokens, level by level (one beyond a bound first meets a few pivots, and only sets that none of them
+covers are split), and runs repeat until the target recall: a pair at the threshold
 that is split over k levels is found by a run with a chance of (2/3)^k, so sets of buckets that are split
 twice and more are sent through more runs. Small buckets are compared by brute force, on sketches;
 a last bucket beyond a bound is dealt over many tasks in blocks, each of which meets the same few pivots,
@@ -40,6 +41,8 @@ LEVELS = 4
 SMALL_BUCKET = 48
 #: Sets of one bucket that a task compares; a tile of two blocks has about twice as many.
 LARGE_BUCKET = 2_048
+#: Sets of a bucket beyond which it meets pivots before it is split.
+PIVOTS_FIRST = 2_048
 PIVOTS, PIVOT_ROUNDS = 64, 3
 SKETCH = 128
 #: Estimated similarity from which sets of a small bucket are linked: the threshold less five deviations of the sketch.
@@ -91,39 +94,48 @@ def _described(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[
         yield pa.RecordBatch.from_pydict({"did": batch.column(0), "th": batch.column(1), "sh": pa.array(out["sh"], pa.int64()), "n": pa.array(out["n"], pa.int32()), "sketch": pa.array(out["sketch"], pa.binary()), **lists})
 
 
-def leaf_buckets(sets: DataFrame, small: int) -> tuple[DataFrame, DataFrame | None]:
-    """path, sh, size: the buckets of two sets and more in which splitting ends; and sh of the sets in buckets that are
-    split twice and more. `sets` has a row for each sh."""
-    deep = None
+def leaf_buckets(sets: DataFrame, sketches: DataFrame, small: int, large: int, first: int) -> tuple[DataFrame, DataFrame | None, list[DataFrame]]:
+    """path, sh, size: the buckets of two sets and more in which splitting ends; sh of the sets in buckets that are
+    split twice and more; and links. `sets` has a row for each sh.
+
+    Splitting doesn't tell near copies apart, and a large group of them would go through all levels in every run. So
+    a bucket beyond `first` meets pivots before it is split, and only sets that no pivot covers go on."""
+    deep, links = None, []
     rows = sets.select("sh", F.explode("t1").alias("path"))
     leaves = None
     for level in range(1, LEVELS + 1):
         sizes = rows.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1")
-        sized = written(rows.join(sizes, "path"), f"buckets-{level}")
+        sized = written(rows.join(sizes, "path"), f"buckets-{level}").select("path", "sh", "size")
+        big = sized.filter(F.col("size") > first)
+        if level < LEVELS and not big.isEmpty():
+            left, found = met_by_pivots(big, sketches, large, level)
+            sized = sized.filter(F.col("size") <= first).unionByName(left)
+            links.append(found)
         ended = sized if level == LEVELS else sized.filter(F.col("size") <= small)
         leaves = ended if leaves is None else leaves.unionByName(ended)
-        large = sized.filter(F.col("size") > small).select("path", "sh")
-        if level == LEVELS or large.isEmpty():
+        split = sized.filter(F.col("size") > small).select("path", "sh")
+        if level == LEVELS or split.isEmpty():
             break
         if level == 2:
-            deep = large.select("sh").distinct()
+            deep = split.select("sh").distinct()
         run = F.col("path").bitwiseAND(31)
         own = F.filter(f"t{level + 1}", lambda t: t.bitwiseAND(31) == run)
-        deeper = large.join(sets.select("sh", f"t{level + 1}"), "sh").select("path", "sh", F.explode(own).alias("t"))
+        deeper = split.join(sets.select("sh", f"t{level + 1}"), "sh").select("path", "sh", F.explode(own).alias("t"))
         rows = deeper.select("sh", F.xxhash64("path", "t").bitwiseAND(~31).bitwiseOR(run).alias("path"))
-    return leaves.select("path", "sh", "size"), deep
+    return leaves.select("path", "sh", "size"), deep, links
 
 
-def all_leaves(base: DataFrame, small: int) -> DataFrame:
-    """The buckets of the first runs, and those of the other runs for the sets that need them."""
+def all_leaves(base: DataFrame, sketches: DataFrame, small: int, large: int, first: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The buckets of the first runs, and those of the other runs for the sets that need them; and links."""
     levels = [f"t{level + 1}" for level in range(LEVELS)]
     some = lambda df, rule: df.groupBy("sh").agg(*[F.first(F.filter(c, rule)).alias(c) for c in levels])
     worded = base.filter("n > 0")
-    leaves, deep = leaf_buckets(some(worded, lambda t: t.bitwiseAND(31) < FIRST_RUNS), small)
+    leaves, deep, links = leaf_buckets(some(worded, lambda t: t.bitwiseAND(31) < FIRST_RUNS), sketches, small, large, first)
     if deep is None:
-        return leaves
+        return leaves, links
     again = written(some(worded.join(written(deep, "deep"), "sh", "left_semi"), lambda t: t.bitwiseAND(31) >= FIRST_RUNS), "deep-sets")
-    return leaves.unionByName(leaf_buckets(again, small)[0])
+    more, _, more_links = leaf_buckets(again, sketches, small, large, first)
+    return leaves.unionByName(more), links + more_links
 
 
 def _estimates(pivot: np.ndarray, values: np.ndarray, owner: np.ndarray, ends: np.ndarray, full: np.ndarray) -> np.ndarray:
@@ -231,29 +243,39 @@ def _met_by_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield batch()
 
 
+def met_by_pivots(big: DataFrame, sketches: DataFrame, large: int, turn: int) -> tuple[DataFrame, DataFrame]:
+    """path, sh, size: the sets of the buckets that no pivot covers, of two and more; and links.
+
+    A bucket is dealt into blocks, and its pivots are sent to each. What is similar to a covered set is linked to the same
+    pivot, so covered sets are done."""
+    blocks = F.ceil(F.col("size") / large).cast("int")
+    block = F.pmod(F.xxhash64("sh"), blocks).cast("int").alias("block")
+    pivots = big.groupBy("path", F.pmod(F.xxhash64("sh", F.lit(turn)), F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct(F.xxhash64("path", "sh"), "sh")).alias("one"), F.first("size").alias("size"))
+    pivots = pivots.select("path", "size", F.col("one.sh").alias("sh")).join(sketches, "sh").select("path", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(0).alias("kind"), "sh", "sketch")
+    members = big.join(sketches, "sh").select("path", block, F.lit(1).alias("kind"), "sh", "sketch")
+    dealt = pivots.unionByName(members).repartition("path", "block").sortWithinPartitions("path", "block", "kind", "sh")
+    met = written(mapped(dealt, _met_by_pivots, "path long, sh long, u long, v long"), "pivots")
+    left = met.filter("path is not null").select("path", "sh")
+    sizes = left.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1")
+    return left.join(sizes, "path"), met.filter("u is not null").select("u", "v")
+
+
 def bounded_buckets(leaves: DataFrame, sketches: DataFrame, large: int) -> tuple[DataFrame, list[DataFrame]]:
     """path, sh: buckets of at most `large` sets and tiles of about twice as many, in place of any larger ones; and links.
 
-    The sets of a larger bucket are dealt into blocks, and its pivots are sent to each. As within one bucket, what is similar
-    to a covered set is linked to the same pivot, so covered sets are done; the others go on, with new pivots. A block
-    meets each other block of what is left after some rounds, so no pair is lost."""
+    A larger bucket meets pivots, round by round, each with new ones. A block meets each other block of what is left after
+    some rounds, so no pair is lost."""
     done, links = leaves.filter(F.col("size") <= large).select("path", "sh"), []
     big = leaves.filter(F.col("size") > large)
-    blocks = F.ceil(F.col("size") / large).cast("int")
-    block = F.pmod(F.xxhash64("sh"), blocks).cast("int").alias("block")
     for turn in range(PIVOT_ROUNDS):
         if big.isEmpty():
             return done, links
-        pivots = big.groupBy("path", F.pmod(F.xxhash64("sh", F.lit(turn)), F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct(F.xxhash64("path", "sh"), "sh")).alias("one"), F.first("size").alias("size"))
-        pivots = pivots.select("path", "size", F.col("one.sh").alias("sh")).join(sketches, "sh").select("path", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(0).alias("kind"), "sh", "sketch")
-        members = big.join(sketches, "sh").select("path", block, F.lit(1).alias("kind"), "sh", "sketch")
-        dealt = pivots.unionByName(members).repartition("path", "block").sortWithinPartitions("path", "block", "kind", "sh")
-        met = written(mapped(dealt, _met_by_pivots, "path long, sh long, u long, v long"), "pivots")
-        links.append(met.filter("u is not null").select("u", "v"))
-        left = met.filter("path is not null").select("path", "sh")
-        left = left.join(left.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1"), "path")
+        left, found = met_by_pivots(big, sketches, large, turn)
+        links.append(found)
         done = done.unionByName(left.filter(F.col("size") <= large).select("path", "sh"))
         big = left.filter(F.col("size") > large)
+    blocks = F.ceil(F.col("size") / large).cast("int")
+    block = F.pmod(F.xxhash64("sh"), blocks).cast("int")
     tiles = big.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     return done.unionByName(tiles.select(F.xxhash64("path", F.least("block", "other"), F.greatest("block", "other")).alias("path"), "sh")), links
 
@@ -306,17 +328,17 @@ def _compared(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[p
     yield batch()
 
 
-def joined(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMALL_BUCKET, tile: int = TILE, large: int = LARGE_BUCKET) -> DataFrame:
+def joined(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMALL_BUCKET, tile: int = TILE, large: int = LARGE_BUCKET, first: int = PIVOTS_FIRST) -> DataFrame:
     """One row per document: doc_id, th (hash of its text), class_id (the smallest doc_id that it is linked to, directly or
     over others, itself included) and n_links (documents of at least the threshold's similarity, copies included)."""
     rows = keyed(docs, F.col("doc_id").cast("long").alias("_id"))
     base = written(mapped(rows.select("did", "th", "text"), lambda b: _described(b, threshold), BASE), "sets")
-    leaves = written(all_leaves(base, small), "leaves")
     sketches = base.filter("n > 0").select("sh", "sketch").dropDuplicates(["sh"])
-    bounded, by_pivots = bounded_buckets(leaves, sketches, large)
+    leaves, by_pivots = all_leaves(base, sketches, small, large, first)
+    bounded, more_pivots = bounded_buckets(written(leaves, "leaves"), sketches, large)
     filled_leaves = bounded.join(sketches, "sh").select("path", "sh", "sketch")
     links = mapped(filled_leaves.repartition("path").sortWithinPartitions("path"), lambda b: _linked(b, small), "u long, v long")
-    for more in by_pivots:
+    for more in by_pivots + more_pivots:
         links = links.unionByName(more)
     found = components(links)
     members = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "sh")
