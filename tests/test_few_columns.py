@@ -15,7 +15,7 @@ def test_some_columns_of_all_kept_hits(spark, sf_dir):
     assert "q_ax" not in few.select(F.sum("zl"))._jdf.queryExecution().optimizedPlan().toString().split("InMemoryRelation")[1].split("]")[0]
 
 
-@pytest.mark.parametrize("name", ["G2_layer_pitch", "P34_event_attention", "V47_primaries", "E16_profiles"])
+@pytest.mark.parametrize("name", ["G2_layer_pitch", "P34_event_attention", "V47_primaries", "E16_profiles", "C12_feature_parity"])
 def test_wide_tables_are_not_kept(spark, sf_dir, name, monkeypatch):
     wide = property(lambda self: pytest.fail("the query keeps a table of all columns"))
     for table in ("raw", "single", "singles", "events"):
