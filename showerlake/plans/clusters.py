@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clusters as cl
 from ..operators import events as ev
+from ..operators import filters as fl
 from ..operators import panels as pn
 from .base import KEYED
 from .panels import CHI, NEG, SLICE, WILSON, T, Z
@@ -55,8 +56,15 @@ def _curves_sql(drop: bool) -> str:
 
 
 CURVES = "axis bin ~mean ~sd ~lo ~hi ~pooled ~pooled_lo ~pooled_hi"
-q("V25_profile_curves", lambda c: cl.profile_curves(ev.profiles(c.hits), c.showers, ev.layers(c.hits)), CURVES, _curves_sql(False))
-q("V25_curves_without_negative", lambda c: cl.profile_curves(ev.profiles(c.hits), c.showers, ev.layers(c.hits), True), CURVES, _curves_sql(True))
+def curves(c, drop_negative=False):
+    """Profiles, showers and layers of the hits, which are dealt by event once for all of them."""
+    hits = c.by_event("origin", "energy", "theta", "phi", "xl", "yl", "zl", "xt", "yt", "zt")
+    own = hits.groupBy("event_number", fl.own_shower(F.col("origin")).alias("b")).agg(F.sum("energy").alias("e_own"))
+    return cl.profile_curves(ev.profiles(hits), own, ev.layers(hits), drop_negative)
+
+
+q("V25_profile_curves", curves, CURVES, _curves_sql(False))
+q("V25_curves_without_negative", lambda c: curves(c, True), CURVES, _curves_sql(True))
 
 SHOWER_LINEAR = ("p", "theta", "e_own", "n_own")
 
