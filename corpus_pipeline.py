@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from showerlake.llm import mixing, ngram_join, packing, quality, queries, suffix
-from showerlake.llm.common import fresh, table, written
+from showerlake.llm.common import fresh, settled, table
 
 #: A passage of over 50 words goes if it repeats: 51 words of three bytes and a blank each are over 200 bytes.
 REPEAT_BYTES = 200
@@ -63,10 +63,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each result is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs, name.replace(" ", "-"))
-    return docs
+    """All stages over `documents`; each result is written to the shared folder and read again, and goes once the next is written."""
+
+    def after(n: int) -> DataFrame:
+        if not n:
+            return table(spark, sf_dir, "documents")
+        name, stage = STAGES[n - 1]
+        return settled(spark, name.replace(" ", "-"), lambda: stage(spark, after(n - 1), sf_dir))
+
+    return STAGES[-1][1](spark, after(len(STAGES) - 1), sf_dir)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, WORD_CLASS, text_column, written
+from .common import SPACE_CLASS, WORD_CLASS, settled, text_column, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -116,16 +116,20 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
     """The mixed rows of `docs`, in its columns: a document once for each whole time it is taken, and once more cut
     after its first words where the last block of its shard ends in it.
 
-    Only ids and sizes go through the apportionment; the texts move once, to meet their share. Rows that are equal
-    in every column move as one row with the list of their shares."""
-    row = F.xxhash64(*[F.col(c) for c in docs.columns])
-    slim = written(docs.select("doc_id", "source", word_count(text_column()).alias("size"), row.alias("_row")), "sizes")
-    shares = taken_words(slim, **how).filter("taken > 0").groupBy("doc_id", "_row").agg(F.first("size").alias("_size"), F.collect_list("taken").alias("_taken"))
-    shares = shares.withColumnRenamed("doc_id", "_id")
+    Only ids and sizes go through the apportionment, which ends in a table of shares; the texts move once, to meet
+    their share. Rows that are equal in every column move as one row with the list of their shares."""
+    row = F.xxhash64(*[F.col(c) for c in docs.columns]).alias("_row")
+    key = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")).alias("_id")  # no null, so that both sides are dealt by it
+
+    def shared_out() -> DataFrame:
+        slim = written(docs.select("doc_id", "source", word_count(text_column()).alias("size"), row), "sizes")
+        return taken_words(slim, **how).filter("taken > 0").groupBy("_row", key).agg(F.first("size").alias("_size"), F.collect_list("taken").alias("_taken"))
+
+    shares = settled(docs.sparkSession, "shares", shared_out)
     own = [c for c in docs.columns if c not in ("doc_id", "text")]
-    named = docs.select(F.col("doc_id"), text_column().alias("_text"), *[F.col(c).alias(f"_own_{i}") for i, c in enumerate(own)], row.alias("_row"))
-    rows = named.groupBy("doc_id", "_row").agg(F.first("_text").alias("_text"), *[F.first(f"_own_{i}").alias(f"_own_{i}") for i in range(len(own))])
-    met = rows.join(shares, ["_row"]).filter(F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id", "_row").withColumn("_t", F.explode("_taken")).drop("_taken")
+    named = docs.select(F.col("doc_id"), text_column().alias("_text"), *[F.col(c).alias(f"_own_{i}") for i, c in enumerate(own)], row, key)
+    rows = named.groupBy("_row", "_id").agg(F.first("doc_id").alias("doc_id"), F.first("_text").alias("_text"), *[F.first(f"_own_{i}").alias(f"_own_{i}") for i in range(len(own))])
+    met = rows.join(shares, ["_row", "_id"]).drop("_id", "_row").withColumn("_t", F.explode("_taken")).drop("_taken")
     pieces = F.split("_text", f"(?<={WORD_CLASS})(?={SPACE_CLASS})")
     part = F.col("_t") % F.col("_size")
     head = F.concat_ws("", F.slice(pieces, F.lit(1), part.cast("int")))

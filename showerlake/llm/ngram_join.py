@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LITTLE, U64, WORD_CLASS, filled, gram_hashes, mapped, mix, signed, text_chunks, text_column, word_hashes, words_of, written
+from .common import LITTLE, U64, WORD_CLASS, filled, gram_hashes, mapped, mix, settled, signed, text_chunks, text_column, word_hashes, words_of, written
 from .components import components
 from .substring import keyed
 
@@ -366,9 +366,10 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMALL_BUC
 def representatives(docs: DataFrame, **how) -> DataFrame:
     """The rows of `docs` without all but one of each class: the one with the smallest doc_id (null last), then of the
     smallest hash of its text; rows that agree in both are one row. Texts without words all stay."""
-    found = joined(docs, **how)
     order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("did"), "th")
-    first = found.filter(~F.col("empty")).groupBy("class_key").agg(F.min(order).alias("one")).select("one.did", "one.th")
+    # The chosen rows' names are written before the texts move; the tables of the join are gone by then.
+    chosen = lambda: joined(docs, **how).filter(~F.col("empty")).groupBy("class_key").agg(F.min(order).alias("one")).select("one.did", "one.th")
+    first = settled(docs.sparkSession, "chosen", chosen)
     rows = keyed(docs, F.struct(*docs.columns).alias("_doc")).drop("text")
     one = rows.join(first, ["did", "th"], "left_semi").groupBy("did", "th").agg(F.first("_doc").alias("_doc"))
     return one.select("_doc.*").unionByName(docs.filter(~text_column().rlike(WORD_CLASS)))
