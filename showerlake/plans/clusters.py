@@ -59,7 +59,8 @@ CURVES = "axis bin ~mean ~sd ~lo ~hi ~pooled ~pooled_lo ~pooled_hi"
 def curves(c, drop_negative=False):
     """Profiles, showers and layers of the hits, which are dealt by event once for all of them."""
     hits = c.by_event("origin", "energy", "theta", "phi", "xl", "yl", "zl", "xt", "yt", "zt")
-    own = hits.groupBy("event_number", fl.own_shower(F.col("origin")).alias("b")).agg(F.sum("energy").alias("e_own"))
+    lost = F.sum(F.when(F.col("zl") < ev.NEGATIVE_DEPTH, F.col("energy")).otherwise(0.0))
+    own = hits.groupBy("event_number", fl.own_shower(F.col("origin")).alias("b")).agg(F.sum("energy").alias("e_own"), lost.alias("lost"))
     return cl.profile_curves(ev.profiles(hits), own, ev.layers(hits), drop_negative)
 
 
